@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -25,6 +26,14 @@ def no_strings() -> Column:
     return F.array().cast("array<string>")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    A plain reference inside a lambda would be worked out again for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 # --- color identity -------------------------------------------------------
 
 

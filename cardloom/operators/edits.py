@@ -86,3 +86,25 @@ def replay_cards(log: DataFrame, cards: DataFrame, chunk_rows: int = running.CHU
     return folded.select("deck_id", "card_id", F.col("value").cast("bigint").alias("quantity")).where(
         F.col("quantity") > 0
     )
+
+
+def advance(
+    deck_state: DataFrame, leaders: DataFrame, log: DataFrame, cards: DataFrame, chunk_rows: int = running.CHUNK_ROWS
+) -> tuple[DataFrame, DataFrame]:
+    """Apply a further stretch of log to known decks -> (deck cards, commanders).
+
+    The known state enters as rows that precede the log, so the same distributed
+    fold serves the first batch and every later one.
+    """
+    columns = ["deck_id", "seq", "op", "card_id", "quantity"]
+    before = F.lit(-1).cast("bigint").alias("seq")
+    held = deck_state.select("deck_id", before, F.lit("put").alias("op"), "card_id", F.col("quantity").cast("bigint"))
+    seated = leaders.select(
+        "deck_id",
+        before,
+        F.when(F.col("commander_id").isNull(), "remove_commander").otherwise("seat").alias("op"),
+        F.col("commander_id").alias("card_id"),
+        F.lit(None).cast("bigint").alias("quantity"),
+    )
+    whole = held.unionByName(seated).unionByName(log.select(*columns))
+    return replay_cards(whole, cards, chunk_rows), replay_commanders(whole)

@@ -49,7 +49,7 @@ def validate_decks(
         .groupBy("deck_id", F.coalesce("_copy_key", F.col("card_id").cast("string")).alias("_copy_key"))
         .agg(
             F.sum("quantity").alias("_copies"),
-            F.bool_or(F.coalesce("_basic", F.lit(False))).alias("_basic"),
+            F.bool_or(F.coalesce("_basic", F.lit(True))).alias("_basic"),
             F.bit_or(F.coalesce("ci_mask", F.lit(0))).alias("_mask"),
         )
     )

@@ -96,20 +96,21 @@ def catalogue_pools(cards: DataFrame) -> DataFrame:
     return _as_arrays(_first(spread, ["leader_mask"]), ["leader_mask"], "pool")
 
 
-def owned_heads(cards: DataFrame, collection: DataFrame) -> DataFrame:
-    """Pool heads of every user's own cards."""
+def owned_cards(cards: DataFrame, collection: DataFrame) -> DataFrame:
+    """One row per user: the own cards that can still reach a deck, in pool order.
+
+    The array is bounded by the heads: 32 masks times 64 spells, 99 lands and one
+    leader, however large the collection is.
+    """
     owned = collection.where(F.col("quantity") > 0).select("user_id", "card_id")
-    return pool_heads(owned.join(pool_rows(cards), "card_id"), ["user_id"])
+    heads = pool_heads(owned.join(pool_rows(cards), "card_id"), ["user_id"])
+    return heads.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("entry", "kind", "ci_mask", "leader"))).alias("own"))
 
 
-def owned_pools(heads: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Own spells and lands per wanted (user_id, leader_mask)."""
-    fitting = (
-        heads.where(F.col("kind") != "leader")
-        .join(wanted, "user_id")
-        .where(C.mask_within("ci_mask", "leader_mask"))
-    )
-    return _as_arrays(_first(fitting, ["user_id", "leader_mask"]), ["user_id", "leader_mask"], "own")
+def _own_entries(kind: str) -> Column:
+    """Own entries of a kind within the leader's identity."""
+    fitting = F.filter("own", lambda e: (e["kind"] == kind) & C.mask_within(e["ci_mask"], F.col("leader_mask")))
+    return F.slice(F.transform(fitting, lambda e: e["entry"]), 1, HEADS[kind])
 
 
 # --- leaders --------------------------------------------------------------
@@ -140,25 +141,13 @@ def leader_table(cards: DataFrame) -> DataFrame:
     return scored.groupBy("wanted_mask").agg(F.max_by("leader", "_score").alias("pool_leader"))
 
 
-def owned_leaders(heads: DataFrame) -> DataFrame:
-    """Per user the first own legend of every mask: at most 32 entries."""
-    return (
-        heads.where(F.col("kind") == "leader")
-        .groupBy("user_id")
-        .agg(F.collect_list(F.struct(F.col("entry.ordinal").alias("ordinal"), "leader")).alias("own_leaders"))
-    )
-
-
 def _best_owned(wanted_mask: Column) -> Column:
-    scored = F.transform(
-        "own_leaders",
-        lambda x: F.struct(
-            *[c.alias(n) for n, c in zip(["f1", "f2", "f3"], _fit(x["leader"]["ci_mask"], wanted_mask))],
-            (-x["ordinal"]).alias("f4"),
-            x["leader"].alias("leader"),
-        ),
-    )
-    return F.array_max(scored)["leader"]
+    def scored(e: Column) -> Column:
+        fit = [c.alias(n) for n, c in zip(["covers", "overlap", "width"], _fit(e["ci_mask"], wanted_mask))]
+        return F.struct(*fit, (-e["entry"]["ordinal"]).alias("order"), e["leader"].alias("leader"))
+
+    legends = F.filter("own", lambda e: e["kind"] == "leader")
+    return F.array_max(F.transform(legends, scored))["leader"]
 
 
 # --- requests -------------------------------------------------------------
@@ -206,17 +195,17 @@ def resolve_context(cards: DataFrame, requests: DataFrame, collection: DataFrame
     )
 
 
-def pick_leaders(requests: DataFrame, cards: DataFrame, own_leaders: DataFrame | None) -> DataFrame:
+def pick_leaders(requests: DataFrame, cards: DataFrame) -> DataFrame:
     """Add ``leader``; NULL when no card may lead.
 
-    Owned-only requests choose among own legends. With owned cards preferred, an
-    own legend wins a tie on the color criteria.
+    Owned-only requests choose among own legends (``own``, where present). With
+    owned cards preferred, an own legend wins a tie on the color criteria.
     """
     # 32 rows at most, one per wanted mask.
     picked = requests.join(F.broadcast(leader_table(cards)), "wanted_mask", "left")
-    if own_leaders is None:
-        return picked.withColumn("leader", F.col("pool_leader")).drop("pool_leader")
-    picked = picked.join(own_leaders, "user_id", "left").withColumn("own_leader", _best_owned(F.col("wanted_mask")))
+    if "own" not in requests.columns:
+        return picked.withColumnRenamed("pool_leader", "leader")
+    picked = picked.withColumn("own_leader", _best_owned(F.col("wanted_mask")))
     own_mask, pool_mask = F.col("own_leader.ci_mask"), F.col("pool_leader.ci_mask")
     ties = F.struct(*_fit(own_mask, F.col("wanted_mask"))) == F.struct(*_fit(pool_mask, F.col("wanted_mask")))
     choice = (
@@ -224,11 +213,7 @@ def pick_leaders(requests: DataFrame, cards: DataFrame, own_leaders: DataFrame |
         .when((F.col("collection_preference") == PREFER_OWNED) & F.coalesce(ties, F.lit(False)), F.col("own_leader"))
         .otherwise(F.col("pool_leader"))
     )
-    return picked.withColumn("leader", choice).drop("pool_leader", "own_leader", "own_leaders")
-
-
-def _without(entries: Column, ids: Column) -> Column:
-    return F.filter(entries, lambda e: ~F.array_contains(ids, e["id"]))
+    return picked.withColumn("leader", choice).drop("pool_leader", "own_leader")
 
 
 def generate(cards: DataFrame, requests: DataFrame, collection: DataFrame | None = None) -> DataFrame:
@@ -237,77 +222,39 @@ def generate(cards: DataFrame, requests: DataFrame, collection: DataFrame | None
     ``cards`` carries ``ordinal``, ``ci_mask`` and ``primary_role``. Without a
     collection every request is served from the whole catalogue.
     """
+    entries = entries_type(cards)
+    none = F.array().cast(entries)
     if collection is None:
-        requests = requests.withColumn("collection_preference", F.lit(STRONGEST))
-        led = pick_leaders(resolve_context(cards, requests, None), cards, None)
+        asked = resolve_context(cards, requests.withColumn("collection_preference", F.lit(STRONGEST)), None)
     else:
-        heads = owned_heads(cards, collection)
-        led = pick_leaders(resolve_context(cards, requests, collection), cards, owned_leaders(heads))
-    led = led.withColumn("leader_mask", F.col("leader.ci_mask"))
-
+        asked = resolve_context(cards, requests, collection).join(owned_cards(cards, collection), "user_id", "left")
+    led = pick_leaders(asked, cards).withColumn("leader_mask", F.col("leader.ci_mask"))
     # 32 rows at most, one per leader mask.
     rows = led.join(F.broadcast(catalogue_pools(cards)), "leader_mask", "left")
-    entries = entries_type(cards)
-    none = F.array().cast(entries)
     pool_spells, pool_lands = F.coalesce("pool_spells", none), F.coalesce("pool_lands", none)
-    if collection is None:
-        own_spells = own_lands = none
-    else:
+    own_spells = own_lands = none
+    if collection is not None:
         uses_own = F.col("collection_preference").isin(PREFER_OWNED, ONLY_OWNED)
-        wanted = led.where(uses_own & F.col("leader_mask").isNotNull()).select("user_id", "leader_mask").distinct()
-        rows = rows.join(owned_pools(heads, wanted), ["user_id", "leader_mask"], "left")
-        own_spells = F.when(uses_own, F.coalesce("own_spells", none)).otherwise(none)
-        own_lands = F.when(uses_own, F.coalesce("own_lands", none)).otherwise(none)
+        own_spells = F.when(uses_own, F.coalesce(_own_entries("spell"), none)).otherwise(none)
+        own_lands = F.when(uses_own, F.coalesce(_own_entries("land"), none)).otherwise(none)
         only = F.col("collection_preference") == ONLY_OWNED
         pool_spells = F.when(only, none).otherwise(pool_spells)
         pool_lands = F.when(only, none).otherwise(pool_lands)
 
-    def ids(name: str) -> Column:
-        return F.transform(name, lambda e: e["id"])
-
     first = F.filter(
         "context",
-        lambda c: ~c["land"] & c["usable"] & C.mask_within(c["ci_mask"], F.col("leader_mask")),
+        lambda c: ~c["land"] & c["usable"] & C.mask_within(c["ci_mask"], F.col("leader_mask")) & (c["id"] != F.col("leader.id")),
     )
+    identity = F.col("leader.color_identity")
     rows = (
         rows.withColumn("_own_spells", own_spells)
         .withColumn("_own_lands", own_lands)
         .withColumn("_pool_spells", pool_spells)
         .withColumn("_pool_lands", pool_lands)
         .withColumn("_first", F.transform(first, lambda c: F.struct(c["ordinal"], c["id"], c["role"])).cast(entries))
-        .withColumn("_taken", F.concat(ids("_first"), F.array("leader.id")))
-        .withColumn("_own_ids", ids("_own_spells"))
-        .withColumn("_own_land_ids", ids("_own_lands"))
-    )
-    ranked = F.concat(
-        _without(F.col("_first"), F.array("leader.id")),
-        _without(F.col("_own_spells"), F.col("_taken")),
-        _without(F.col("_pool_spells"), F.concat("_taken", "_own_ids")),
+        .withColumn("_deck", F.when(F.col("leader").isNotNull(), _assemble(identity)))
     )
-    led_by = F.col("leader").isNotNull()
-    identity = F.col("leader.color_identity")
-    basic_colors = F.when(F.size(identity) > 0, identity).otherwise(F.array(*[F.lit(c) for c in DEFAULT_IDENTITY]))
-    rows = (
-        rows.withColumn("spells", F.when(led_by, F.slice(ranked, 1, MAX_SPELLS)).otherwise(none))
-        .withColumn("lands_needed", F.lit(DECK_SIZE_WITHOUT_COMMANDER) - F.size("spells"))
-        .withColumn("_room", F.greatest(F.lit(0), F.col("lands_needed") - F.size(identity)))
-        .withColumn(
-            "lands",
-            F.when(
-                led_by,
-                F.slice(F.concat("_own_lands", _without(F.col("_pool_lands"), F.col("_own_land_ids"))), F.lit(1), F.col("_room")),
-            ).otherwise(none),
-        )
-        .withColumn("_basics", F.col("lands_needed") - F.size("lands"))
-        .withColumn("_colors", basic_colors)
-    )
-    each = F.floor(F.col("_basics") / F.size("_colors")).cast("int")
-    spare = F.col("_basics") % F.size("_colors")
-    slots = F.transform(
-        "_colors",
-        lambda color, i: F.struct(color.alias("color"), (each + (i < spare).cast("int")).alias("quantity")),
-    )
-    return rows.withColumn("basics", F.when(led_by, F.filter(slots, lambda s: s["quantity"] > 0))).select(
+    return rows.select(
         "request_id",
         "user_id",
         "power_level",
@@ -315,13 +262,77 @@ def generate(cards: DataFrame, requests: DataFrame, collection: DataFrame | None
         F.col("leader.id").alias("commander_id"),
         identity.alias("color_identity"),
         F.col("leader_mask").alias("commander_mask"),
+        "leader",
+        "context",
+        F.coalesce("_deck.spells", none).alias("spells"),
+        F.coalesce("_deck.lands", none).alias("lands"),
+        "_deck.basics",
+        "_deck.lands_needed",
+    ).select(
+        "request_id",
+        "user_id",
+        "power_level",
+        "collection_preference",
+        "commander_id",
+        "color_identity",
+        "commander_mask",
         "spells",
         "lands",
         "basics",
-        F.when(led_by, F.col("lands_needed")).alias("lands_needed"),
-        F.when(led_by, explanation()).alias("explanation"),
-        F.when(~led_by, F.lit(NO_LEADER)).alias("error"),
+        "lands_needed",
+        F.when(F.col("leader").isNotNull(), explanation()).alias("explanation"),
+        F.when(F.col("leader").isNull(), F.lit(NO_LEADER)).alias("error"),
+    )
+
+
+def _ids(entries: Column) -> Column:
+    return F.transform(entries, lambda e: e["id"])
+
+
+def _without(entries: Column, ids: Column) -> Column:
+    return C.let(ids, lambda taken: F.filter(entries, lambda e: ~F.array_contains(taken, e["id"])))
+
+
+def _assemble(identity: Column) -> Column:
+    """Struct of spells, lands_needed, lands and basics of one request."""
+    first, own, pool = F.col("_first"), F.col("_own_spells"), F.col("_pool_spells")
+    leader_id = F.array("leader.id")
+    ranked = F.concat(
+        first,
+        _without(own, F.concat(_ids(first), leader_id)),
+        _without(pool, F.concat(_ids(first), leader_id, _ids(own))),
+    )
+    lands = F.concat("_own_lands", _without(F.col("_pool_lands"), _ids(F.col("_own_lands"))))
+    colors = F.when(F.size(identity) > 0, identity).otherwise(F.array(*[F.lit(c) for c in DEFAULT_IDENTITY]))
+
+    def with_lands(spells: Column) -> Column:
+        needed = F.lit(DECK_SIZE_WITHOUT_COMMANDER) - F.size(spells)
+        room = F.greatest(F.lit(0), needed - F.size(identity))
+        return F.struct(
+            spells.alias("spells"), needed.alias("lands_needed"), F.slice(lands, F.lit(1), room).alias("lands")
+        )
+
+    def with_basics(deck: Column) -> Column:
+        left = deck["lands_needed"] - F.size(deck["lands"])
+        return F.struct(
+            deck["spells"].alias("spells"),
+            deck["lands_needed"].alias("lands_needed"),
+            deck["lands"].alias("lands"),
+            C.let(F.struct(left.alias("left"), colors.alias("colors")), _split_basics).alias("basics"),
+        )
+
+    return C.let(C.let(F.slice(ranked, 1, MAX_SPELLS), with_lands), with_basics)
+
+
+def _split_basics(slots: Column) -> Column:
+    """Even split over the colors; the remainder goes to the first ones."""
+    left, colors = slots["left"], slots["colors"]
+    each = F.floor(left / F.size(colors)).cast("int")
+    spare = left % F.size(colors)
+    counted = F.transform(
+        colors, lambda color, i: F.struct(color.alias("color"), (each + (i < spare).cast("int")).alias("quantity"))
     )
+    return F.filter(counted, lambda s: s["quantity"] > 0)
 
 
 def entries_type(cards: DataFrame) -> str:
