@@ -156,6 +156,77 @@ led AS (
   SELECT deck_id, seq, op, CASE WHEN op = 'set_commander' THEN card_id END AS leader FROM live
   WHERE op IN ('set_commander', 'remove_commander'))"""
 
+RETRIEVAL = """asked AS (
+  SELECT request_id, bit_or(ci_mask) AS mask, list_sort(list_distinct(list(primary_role))) AS roles,
+    list_sort(list_distinct(list(type_line))) AS themes,
+    list_sort(list_distinct(flatten(list(string_split(p_name, ' '))))) AS mechanics
+  FROM context JOIN roled ON id = card_id GROUP BY request_id),
+asked_vectors AS (
+  SELECT request_id, list(x ORDER BY i) AS vector FROM (
+    SELECT request_id, i, avg(x) AS x FROM (
+      SELECT request_id, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS i
+      FROM context JOIN embeddings ON vec_id = card_id) GROUP BY ALL) GROUP BY request_id),
+nearest AS (
+  SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, card_id)::INT AS rank FROM (
+    SELECT request_id, vec_id AS card_id, round(list_cosine_similarity(vector, embedding::DOUBLE[]), 6) AS score
+    FROM asked_vectors, embeddings)),
+synergistic AS (
+  SELECT * FROM (
+    SELECT request_id, card_id, round(overlap / n, 6) AS score,
+      row_number() OVER (PARTITION BY request_id ORDER BY overlap DESC, card_id)::INT AS rank
+    FROM (
+      SELECT request_id, c.id AS card_id, len(mechanics) AS n, len(list_intersect(mechanics, string_split(p_name, ' '))) AS overlap
+      FROM asked, cards c) WHERE overlap > 0) WHERE rank <= 50),
+supporting AS (
+  SELECT request_id, card_id, 0.5::DOUBLE AS score FROM (
+    SELECT request_id, c.id AS card_id, row_number() OVER (PARTITION BY request_id, c.primary_role ORDER BY c.id) AS rank
+    FROM asked JOIN roled c ON c.ci_mask & ~mask = 0
+    WHERE c.primary_role IN ('Ramp', 'Card Draw', 'Removal', 'Protection')) WHERE rank <= 10),
+mixed AS (
+  SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, card_id)::INT AS rank FROM (
+    SELECT request_id, card_id, max(score) AS score, string_agg(kind, '+' ORDER BY kind) AS kinds FROM (
+      SELECT request_id, card_id, score, 'similar' AS kind FROM nearest WHERE rank <= 100
+      UNION ALL SELECT request_id, card_id, score, 'synergistic' FROM synergistic
+      UNION ALL SELECT request_id, card_id, score, 'supporting' FROM supporting) GROUP BY ALL) QUALIFY rank <= 200)"""
+
+METADATA = """answers AS (
+  SELECT doc_id AS card_id, source, lang, n_chars / 500.0 AS rating, coalesce(toxic, 0) AS toxic,
+    (['Early', 'Mid', 'Late', 'Endless'])[doc_id % 4 + 1] AS stage
+  FROM documents LEFT JOIN labels USING (doc_id)),
+judged_answers AS (
+  SELECT *, CASE WHEN toxic = 1 THEN 'malformed' WHEN stage = 'Endless' THEN 'game stage'
+    WHEN rating > 10 THEN 'power rating' END AS reason FROM answers)"""
+
+CSV = """csv_rows AS (
+  SELECT event_id, user_id, p_partkey, CASE WHEN event_type <> 'error' THEN floor(value)::BIGINT END AS quantity
+  FROM ev LEFT JOIN part ON p_partkey = k * 30),
+csv_judged AS (
+  SELECT *, CASE WHEN quantity IS NULL THEN 'malformed' WHEN quantity <= 0 THEN 'quantity'
+    WHEN p_partkey IS NULL THEN 'unknown card' END AS reason FROM csv_rows)"""
+
+RESPONSES = """basic AS (SELECT * FROM cards WHERE type_line = 'Basic Land' ORDER BY id LIMIT 1),
+answered AS (
+  SELECT event_id AS request_id, (k % 4)::INT AS attempt, event_type, event_id % 2 AS odd,
+    a.type_line AS leader_type, a.ci_mask AS leader_mask, b.id AS b, b.type_line AS bt, b.ci_mask AS bm,
+    c.id AS c, c.type_line AS ct, c.ci_mask AS cm, z.id AS z, z.ci_mask AS zm
+  FROM ev JOIN cards a ON a.id = k JOIN cards b ON b.id = k + 1 JOIN cards c ON c.id = k + 2, basic z),
+answer_cards AS (
+  SELECT request_id, b AS id, bt AS type_line, bm AS ci_mask, 1 AS quantity FROM answered
+  UNION ALL SELECT request_id, c, ct, cm, 1 + odd FROM answered
+  UNION ALL SELECT request_id, z, 'Basic Land', zm, 97 - odd - (event_type = 'view')::INT FROM answered),
+answer_sums AS (
+  SELECT request_id, bit_or(ci_mask) AS mask,
+    count(*) FILTER (NOT contains(type_line, 'Basic Land') AND quantity > 1) AS repeated, sum(quantity) AS n
+  FROM (SELECT request_id, id, type_line, ci_mask, sum(quantity) AS quantity FROM answer_cards GROUP BY ALL) GROUP BY request_id),
+checked AS (
+  SELECT request_id, attempt, CASE WHEN event_type = 'error' THEN 'answer is not readable' ELSE concat_ws('; ',
+    CASE WHEN n + (event_type = 'view')::INT + 1 <> 100 THEN 'expected 100 cards, found ' || (n + (event_type = 'view')::INT + 1) END,
+    CASE WHEN leader_type <> 'Legendary Creature' THEN 'commander is not a legendary creature' END,
+    CASE WHEN mask & ~leader_mask <> 0 THEN 'cards outside the commander''s color identity' END,
+    CASE WHEN repeated > 0 THEN repeated || ' cards exceed 1 copy' END,
+    CASE WHEN event_type = 'view' THEN '1 unknown card names' END) END AS errors
+  FROM answered JOIN answer_sums USING (request_id))"""
+
 
 def _with(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
@@ -327,4 +398,86 @@ FROM leaders l LEFT JOIN need n USING (request_id) LEFT JOIN (
   SELECT request_id, count(*) FILTER (role = 'Ramp') AS ramp, count(*) FILTER (role = 'Card Draw') AS draw,
     count(*) FILTER (role = 'Removal') AS removal, count(*) FILTER (role = 'Protection') AS protection
   FROM spells GROUP BY request_id) USING (request_id)""",
+    "deck_result_split": _with(*GEN_BASE) + """
+SELECT g.request_id, section, g.card_id, g.quantity, coalesce(c.quantity, 0) > 0 AS owned, coalesce(c.quantity, 0) <= 0 AS proxy
+FROM generated g JOIN requests r USING (request_id)
+LEFT JOIN collection c ON c.user_id = r.user_id AND c.card_id = g.card_id""",
+    "draft_json_defaults": _with(EVENTS) + """
+SELECT event_id, CASE WHEN event_type IN ('click', 'purchase') THEN user_id::VARCHAR END AS deck_id,
+  CASE WHEN event_type IN ('click', 'purchase') THEN 'Draft ' || k END AS name,
+  CASE WHEN event_type IN ('click', 'purchase', 'signup') THEN k::VARCHAR END AS commander_id,
+  CASE WHEN event_type IN ('click', 'purchase', 'signup') THEN 2 ELSE 0 END AS n_cards,
+  event_type IN ('view', 'error') AS is_empty FROM ev""",
+    "draft_card_rows": _with(EVENTS) + """
+SELECT event_id, (k + i)::VARCHAR AS card_id, (1 + i)::INT AS quantity
+FROM ev, (VALUES (0), (1)) v(i) WHERE event_type IN ('click', 'purchase', 'signup')""",
+    "csv_import_resolve": _with(EVENTS, CSV) + """
+SELECT user_id, p_partkey AS card_id, sum(quantity)::BIGINT AS quantity FROM csv_judged WHERE reason IS NULL GROUP BY ALL""",
+    "csv_import_quarantine": _with(EVENTS, CSV) + "SELECT event_id, reason FROM csv_judged WHERE reason IS NOT NULL",
+    "metadata_ingest": _with(METADATA) + """
+SELECT card_id, 'Text from ' || source AS summary, stage AS game_stage, round(rating, 6) AS power_rating,
+  source || ',' || lang AS roles FROM judged_answers WHERE reason IS NULL""",
+    "metadata_quarantine": _with(METADATA) + "SELECT card_id, reason FROM judged_answers WHERE reason IS NOT NULL",
+    "metadata_tags": """
+SELECT doc_id AS card_id, kind, tag FROM documents JOIN (VALUES ('[0-9]{3}', 'theme', 'Numbers'), ('@', 'theme', 'Contact'),
+  ('licen[cs]e', 'role', 'License'), ('the ', 'role', 'English'), ('http', 'theme', 'Links')) r(pattern, kind, tag)
+  ON regexp_matches(lower(text), pattern)""",
+    "knowledge_docs": """
+SELECT doc_id AS card_id, concat_ws(chr(10) || chr(10), 'Card:', 'document ' || doc_id,
+  CASE WHEN quality IS NOT NULL THEN 'Summary:' END, CASE WHEN quality IS NOT NULL THEN 'Text from ' || source END,
+  CASE WHEN quality IS NOT NULL THEN 'Roles:' END, CASE WHEN quality IS NOT NULL THEN 'Text' || chr(10) || lang END,
+  CASE WHEN quality = 1 THEN 'Themes:' END, CASE WHEN quality = 1 THEN 'Good' END,
+  CASE WHEN toxic = 1 THEN 'Weakness:' END, CASE WHEN toxic = 1 THEN 'Toxic' END,
+  'Oracle Text:', text) AS document
+FROM documents LEFT JOIN labels USING (doc_id)""",
+    "vector_records": _with(CARDS, ROLED) + """
+SELECT id AS card_id, name, identity AS colors, CASE WHEN split_part(p_name, ' ', 2) = 'gear' THEN 'Card Draw,Ramp'
+    WHEN split_part(p_name, ' ', 2) = 'rod' THEN 'Oddity,Tutor' ELSE primary_role END AS roles,
+  type_line AS themes, mana_value, len(embedding)::INT AS dims
+FROM embeddings JOIN roled ON id = vec_id""",
+    "retrieval_query": _with(CARDS, ROLED, REQUESTS, RETRIEVAL) + """
+, named AS (SELECT request_id, list_sort(list_distinct(flatten(list(CASE split_part(p_name, ' ', 2)
+    WHEN 'gear' THEN ['Card Draw', 'Ramp'] WHEN 'rod' THEN ['Oddity', 'Tutor'] ELSE [primary_role] END)))) AS roles
+  FROM context JOIN roled ON id = card_id GROUP BY request_id)
+SELECT request_id, mask, array_to_string(n.roles, ',') AS roles, array_to_string(themes, ',') AS themes,
+  array_to_string(mechanics, ',') AS mechanics, round(list_inner_product(vector, vector), 6) AS vector_norm
+FROM asked JOIN named n USING (request_id) LEFT JOIN asked_vectors USING (request_id)""",
+    "vector_topk": _with(CARDS, ROLED, REQUESTS, RETRIEVAL) + """
+SELECT request_id, rank, card_id, score FROM nearest WHERE rank <= 100""",
+    "vector_topk_filtered": _with(CARDS, ROLED, REQUESTS, RETRIEVAL) + """
+SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, card_id)::INT AS rank, card_id, score
+FROM nearest JOIN cards ON id = card_id WHERE mana_value <= 3
+QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY score DESC, card_id) <= 20""",
+    "synergistic_cards": _with(CARDS, ROLED, REQUESTS, RETRIEVAL) + """
+SELECT request_id, rank, card_id, score FROM synergistic""",
+    "supporting_cards": _with(CARDS, ROLED, REQUESTS, RETRIEVAL) + "SELECT request_id, card_id, score FROM supporting",
+    "candidate_mix": _with(CARDS, ROLED, REQUESTS, RETRIEVAL) + """
+SELECT request_id, rank, card_id, score, kinds FROM mixed""",
+    "prompt_table": _with(CARDS, ROLED, REQUESTS, RETRIEVAL) + """
+, chosen AS (SELECT request_id, string_agg('- ' || name || ' | ' || type_line, chr(10) ORDER BY id) AS lines
+  FROM context JOIN cards ON id = card_id GROUP BY request_id),
+offered AS (SELECT request_id, string_agg('- ' || name || ' | ' || type_line, chr(10) ORDER BY rank) AS lines
+  FROM mixed JOIN cards ON id = card_id GROUP BY request_id)
+SELECT request_id, concat_ws(chr(10) || chr(10), 'Build a deck around the selected cards.', 'Power level: ' || power_level,
+  'Collection preference: ' || CASE pref WHEN 'strongest' THEN 'Build strongest possible deck'
+    WHEN 'prefer' THEN 'Prefer cards I own' ELSE 'Only use my collection' END,
+  'Selected cards:' || chr(10) || c.lines, 'Candidate cards:' || chr(10) || o.lines,
+  'Rules:' || chr(10) || '- Exactly 100 cards including one commander.' || chr(10) || '- The commander is a legendary creature.'
+    || chr(10) || '- Every card stays within the commander''s color identity.' || chr(10)
+    || '- One copy of each card except basic lands.') AS prompt
+FROM requests LEFT JOIN chosen c USING (request_id) LEFT JOIN offered o USING (request_id)""",
+    "response_check": _with(CARDS, EVENTS, RESPONSES) + """
+SELECT request_id, attempt, errors, errors = '' AS is_valid FROM checked""",
+    "retry_table": _with(CARDS, EVENTS, RESPONSES) + """
+SELECT request_id, attempt + 1 AS attempt, 'Build deck ' || request_id || chr(10) || chr(10)
+  || 'The previous deck broke these rules:' || chr(10) || '- ' || replace(errors, '; ', chr(10) || '- ') AS prompt
+FROM checked WHERE errors <> '' AND attempt < 3""",
+    "upgrade_suggestions": _with(*GEN_BASE, RETRIEVAL) + """
+SELECT m.request_id, row_number() OVER (PARTITION BY m.request_id ORDER BY m.score DESC, m.card_id)::INT AS rank, m.card_id, m.score,
+  c.card_id IS NOT NULL AS owned
+FROM mixed m JOIN requests r ON r.request_id = m.request_id
+LEFT JOIN (SELECT DISTINCT request_id, card_id FROM generated) g ON g.request_id = m.request_id AND g.card_id = m.card_id
+LEFT JOIN collection c ON c.user_id = r.user_id AND c.card_id = m.card_id AND c.quantity > 0
+WHERE g.card_id IS NULL
+QUALIFY row_number() OVER (PARTITION BY m.request_id ORDER BY m.score DESC, m.card_id) <= 10""",
 }

@@ -12,7 +12,10 @@ from cardloom.functions.constants import FACET_COLORS
 from cardloom.operators import collection as coll
 from cardloom.operators import deck_log, decks, edits, facets, roles, stats, validate
 from cardloom.plans import generate as gen
+from cardloom.plans import knowledge, prompts, retrieve
 from cardloom.session import tune
+from cardloom.sources.collection_csv import parse_collection_lines
+from cardloom.sources.drafts import draft_cards, load_drafts
 from cardloom.sources.views import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -282,3 +285,174 @@ def deck_generate(t: Tables) -> DataFrame:
 @query
 def deck_explain(t: Tables) -> DataFrame:
     return generated(t).select("request_id", "lands_needed", "explanation")
+
+
+@query
+def deck_result_split(t: Tables) -> DataFrame:
+    rows = generated(t)
+    return prompts.split_result(rows, gen.deck_list(rows, t.basics()), t.collection())
+
+
+# --- semi-structured input ------------------------------------------------
+
+
+@query
+def draft_json_defaults(t: Tables) -> DataFrame:
+    rows = load_drafts(t.drafts())
+    return rows.select("event_id", "deck_id", "name", "commander_id", F.size("cards").alias("n_cards"), "is_empty")
+
+
+@query
+def draft_card_rows(t: Tables) -> DataFrame:
+    return draft_cards(load_drafts(t.drafts()), "event_id")
+
+
+@query
+def csv_import_resolve(t: Tables) -> DataFrame:
+    accepted, _ = coll.resolve_import(parse_collection_lines(t.csv_lines()), t.cards())
+    return accepted
+
+
+@query
+def csv_import_quarantine(t: Tables) -> DataFrame:
+    _, rejected = coll.resolve_import(parse_collection_lines(t.csv_lines()), t.cards())
+    return rejected.select("event_id", "reason")
+
+
+# --- knowledge ------------------------------------------------------------
+
+TAG_RULES = [
+    ("[0-9]{3}", "theme", "Numbers"),
+    ("@", "theme", "Contact"),
+    ("licen[cs]e", "role", "License"),
+    ("the ", "role", "English"),
+    ("http", "theme", "Links"),
+]
+
+
+@query
+def metadata_ingest(t: Tables) -> DataFrame:
+    accepted, _ = knowledge.ingest_metadata(t.metadata_responses())
+    roles_text = F.array_join("roles", ",").alias("roles")
+    return accepted.select("card_id", "summary", "game_stage", F.round("power_rating", 6).alias("power_rating"), roles_text)
+
+
+@query
+def metadata_quarantine(t: Tables) -> DataFrame:
+    _, rejected = knowledge.ingest_metadata(t.metadata_responses())
+    return rejected.select("card_id", "reason")
+
+
+@query
+def metadata_tags(t: Tables) -> DataFrame:
+    texts = t.text_cards().select(F.col("id").alias("card_id"), "oracle_text")
+    return knowledge.tag_texts(texts, TAG_RULES)
+
+
+@query
+def knowledge_docs(t: Tables) -> DataFrame:
+    return knowledge.build_documents(t.text_cards(), t.text_metadata())
+
+
+@query
+def tfidf_embed(t: Tables) -> DataFrame:
+    """No SQL counterpart: the hash of a word is Spark's own."""
+    rows = knowledge.embed_documents(knowledge.build_documents(t.text_cards(), t.text_metadata()))
+    used = F.size(F.filter("embedding", lambda x: x != 0)).alias("n_used")
+    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return rows.select("card_id", used, F.round(norm, 4).alias("norm"))
+
+
+@query
+def vector_records(t: Tables) -> DataFrame:
+    docs = t.vectors().withColumn("document", F.lit("vector"))
+    cards = t.tagged_cards()
+    rows = knowledge.vector_records(docs, cards, cards.select(F.col("id").alias("card_id"), "roles", "themes"))
+    return rows.select(
+        "card_id",
+        "meta.name",
+        F.array_join("meta.colors", "").alias("colors"),
+        F.array_join("meta.roles", ",").alias("roles"),
+        F.array_join("meta.themes", ",").alias("themes"),
+        "meta.mana_value",
+        F.size("embedding").alias("dims"),
+    )
+
+
+# --- retrieval ------------------------------------------------------------
+
+
+def _context(t: Tables) -> DataFrame:
+    rows = gen.resolve_context(t.role_cards(), t.requests(), None)
+    return rows.select("request_id", F.explode("context.id").alias("card_id"))
+
+
+def _asked(t: Tables) -> DataFrame:
+    return retrieve.retrieval_queries(_context(t), t.tagged_cards(), t.vectors())
+
+
+@query
+def retrieval_query(t: Tables) -> DataFrame:
+    norm = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
+    return _asked(t).select(
+        "request_id",
+        "mask",
+        *[F.array_join(name, ",").alias(name) for name in ("roles", "themes", "mechanics")],
+        F.round(norm, 6).alias("vector_norm"),
+    )
+
+
+@query
+def vector_topk(t: Tables) -> DataFrame:
+    return retrieve.similar_cards(_asked(t), t.vectors())
+
+
+@query
+def vector_topk_filtered(t: Tables) -> DataFrame:
+    """Only records whose metadata has a low mana value take part."""
+    facts = t.cards().select(F.col("id").alias("card_id"), F.struct("mana_value").alias("meta"))
+    records = t.vectors().join(facts, "card_id")
+    return retrieve.similar_cards(_asked(t), records, 20, F.col("meta.mana_value") <= 3)
+
+
+@query
+def synergistic_cards(t: Tables) -> DataFrame:
+    return retrieve.synergistic_cards(_asked(t), t.tagged_cards()).select("request_id", "rank", "card_id", "score")
+
+
+@query
+def supporting_cards(t: Tables) -> DataFrame:
+    return retrieve.supporting_cards(_asked(t), t.tagged_cards())
+
+
+def _candidates(t: Tables) -> DataFrame:
+    return retrieve.candidates(_asked(t), t.tagged_cards(), t.vectors())
+
+
+@query
+def candidate_mix(t: Tables) -> DataFrame:
+    return _candidates(t).select("request_id", "rank", "card_id", "score", "kinds")
+
+
+@query
+def prompt_table(t: Tables) -> DataFrame:
+    return prompts.build_prompts(t.requests(), _context(t), _candidates(t), t.cards())
+
+
+@query
+def response_check(t: Tables) -> DataFrame:
+    return prompts.judge_responses(t.responses(), t.cards())
+
+
+@query
+def retry_table(t: Tables) -> DataFrame:
+    asked = t.events().select(
+        F.col("event_id").alias("request_id"), F.concat(F.lit("Build deck "), F.col("event_id").cast("string")).alias("prompt")
+    )
+    return prompts.retry_table(prompts.judge_responses(t.responses(), t.cards()), asked)
+
+
+@query
+def upgrade_suggestions(t: Tables) -> DataFrame:
+    deck = gen.deck_list(generated(t), t.basics())
+    return retrieve.upgrade_suggestions(_candidates(t), deck, t.requests(), t.collection())

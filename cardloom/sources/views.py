@@ -197,3 +197,109 @@ class Tables:
         """Events with the number in their JSON text."""
         k = F.get_json_object("props", "$.k").cast("bigint")
         return self.raw("events").withColumn("k", k)
+
+    def vectors(self) -> DataFrame:
+        return self.raw("embeddings").select(F.col("vec_id").alias("card_id"), "embedding")
+
+    def tagged_cards(self) -> DataFrame:
+        """Cards with roles, themes and tags: the words of the part name are the tags."""
+        return self.role_cards().withColumn("themes", F.array("type_line")).withColumn("tags", F.col("keywords"))
+
+    def text_cards(self) -> DataFrame:
+        """Documents as cards with long rules text."""
+        return self.raw("documents").select(
+            F.col("doc_id").alias("id"),
+            F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("name"),
+            F.col("text").alias("oracle_text"),
+            "lang",
+            "source",
+            "n_chars",
+        )
+
+    def text_metadata(self) -> DataFrame:
+        """Labels as metadata of those documents; unlabelled ones have none."""
+        labelled = self.raw("documents").select("doc_id", "lang", "source").join(self.raw("labels"), "doc_id")
+        return labelled.select(
+            F.col("doc_id").alias("card_id"),
+            F.concat(F.lit("Text from "), "source").alias("summary"),
+            F.array(F.lit("Text"), F.col("lang")).alias("roles"),
+            F.when(F.col("quality") == 1, F.array(F.lit("Good"))).otherwise(C.no_strings()).alias("themes"),
+            C.no_strings().alias("strengths"),
+            F.when(F.col("toxic") == 1, F.array(F.lit("Toxic"))).otherwise(C.no_strings()).alias("weaknesses"),
+        )
+
+    def metadata_responses(self) -> DataFrame:
+        """JSON answers about documents, some of them cut off or out of range."""
+        stage = F.element_at(F.array(*[F.lit(s) for s in ("Early", "Mid", "Late", "Endless")]), (F.col("doc_id") % 4 + 1).cast("int"))
+        body = F.to_json(
+            F.struct(
+                F.concat(F.lit("Text from "), "source").alias("summary"),
+                F.array(F.col("source"), F.col("lang")).alias("roles"),
+                stage.alias("game_stage"),
+                (F.col("n_chars") / 500.0).alias("power_rating"),
+            )
+        )
+        docs = self.raw("documents").join(self.raw("labels"), "doc_id", "left")
+        cut = F.when(F.col("toxic") == 1, F.substring(body, F.lit(1), F.length(body) - 9)).otherwise(body)
+        return docs.select(F.col("doc_id").alias("card_id"), cut.alias("response"))
+
+    def drafts(self) -> DataFrame:
+        """Draft decks as JSON text, one per event, with gaps and damage by event type."""
+        cards = F.create_map(F.col("k").cast("string"), F.lit(1), (F.col("k") + 1).cast("string"), F.lit(2))
+        named = F.to_json(
+            F.struct(
+                F.col("user_id").cast("string").alias("deckId"),
+                F.concat(F.lit("Draft "), F.col("k").cast("string")).alias("name"),
+                F.col("k").cast("string").alias("commanderId"),
+                cards.alias("cards"),
+            )
+        )
+        older = F.to_json(F.struct(F.col("k").cast("string").alias("commanderId"), cards.alias("cards")))
+        text = (
+            F.when(F.col("event_type").isin("click", "purchase"), named)
+            .when(F.col("event_type") == "signup", older)
+            .when(F.col("event_type") == "view", F.lit("{}"))
+            .otherwise(F.substring(named, F.lit(1), F.length(named) - 1))
+        )
+        return self.events().select("event_id", text.alias("draft"))
+
+    def csv_lines(self) -> DataFrame:
+        """Collection lines, one per event: unknown names, bad numbers and zeroes occur."""
+        names = self.raw("part").select(F.col("p_partkey").alias("_part"), "p_name")
+        copies = F.when(F.col("event_type") == "error", F.lit("many")).otherwise(F.floor("value").cast("string"))
+        part = F.col("k") * 30
+        return (
+            self.events()
+            .join(names, F.col("_part") == part, "left")
+            .select(
+                "event_id",
+                "user_id",
+                F.concat(
+                    F.lit('" '), F.coalesce("p_name", F.lit("lost")), F.lit(" "), part.cast("string"), F.lit('",'), copies
+                ).alias("line"),
+            )
+        )
+
+    def responses(self) -> DataFrame:
+        """Deck answers as JSON text, one per event, right and wrong ones."""
+        names = self.cards().select("id", "name")
+        basic = self.raw("part").where(F.col("p_type") == "ECONOMY").agg(F.min("p_partkey").alias("id")).join(names, "id")
+        basic_name = basic.select("name").scalar()
+        a = names.select(F.col("id").alias("k"), F.col("name").alias("_a"))
+        b = names.select((F.col("id") - 1).alias("k"), F.col("name").alias("_b"))
+        c = names.select((F.col("id") - 2).alias("k"), F.col("name").alias("_c"))
+        odd = (F.col("event_id") % 2).cast("int")
+        one = F.lit(1)
+
+        def listed(name, quantity):
+            return F.struct(name.alias("name"), quantity.cast("int").alias("quantity"))
+
+        lost = F.when(F.col("event_type") == "view", listed(F.lit("no such card"), one))
+        basics = listed(basic_name, 97 - odd - (F.col("event_type") == "view").cast("int"))
+        cards = F.array_compact(F.array(listed(F.col("_b"), one), listed(F.col("_c"), one + odd), basics, lost))
+        body = F.to_json(F.struct(F.col("_a").alias("commander"), cards.alias("cards")))
+        text = F.when(F.col("event_type") == "error", F.substring(body, F.lit(1), F.length(body) - 7)).otherwise(body)
+        return (
+            self.events().join(a, "k").join(b, "k").join(c, "k")
+            .select(F.col("event_id").alias("request_id"), (F.col("k") % 4).cast("int").alias("attempt"), text.alias("response"))
+        )
