@@ -174,14 +174,13 @@ def resolve_context(cards: DataFrame, requests: DataFrame, collection: DataFrame
         ).alias("card"),
     )
     rows = named.join(info, "_wanted", "left")
-    owned = F.lit(True)
+    owned = F.lit(False)
     if collection is not None:
         have = collection.where(F.col("quantity") > 0).select("user_id", "card_id", F.lit(True).alias("_have"))
         rows = rows.join(have, ["user_id", "card_id"], "left")
         owned = F.col("_have").isNotNull()
-    usable = owned | (F.col("collection_preference") != ONLY_OWNED)
     return (
-        rows.withColumn("card", F.when(F.col("card_id").isNotNull(), F.col("card").withField("usable", usable)))
+        rows.withColumn("card", F.when(F.col("card_id").isNotNull(), F.col("card").withField("owned", owned)))
         .groupBy("request_id", "user_id", "power_level", "collection_preference")
         .agg(
             F.coalesce(F.bit_or("card.ci_mask"), F.lit(0)).alias("_context_mask"),
@@ -241,10 +240,19 @@ def generate(cards: DataFrame, requests: DataFrame, collection: DataFrame | None
         pool_spells = F.when(only, none).otherwise(pool_spells)
         pool_lands = F.when(only, none).otherwise(pool_lands)
 
-    first = F.filter(
+    fitting = F.filter(
         "context",
-        lambda c: ~c["land"] & c["usable"] & C.mask_within(c["ci_mask"], F.col("leader_mask")) & (c["id"] != F.col("leader.id")),
+        lambda c: ~c["land"] & C.mask_within(c["ci_mask"], F.col("leader_mask")) & (c["id"] != F.col("leader.id")),
     )
+    first = fitting
+    if collection is not None:
+        own = F.filter("_fitting", lambda c: c["owned"])
+        rows = rows.withColumn("_fitting", fitting)
+        first = (
+            F.when(F.col("collection_preference") == ONLY_OWNED, own)
+            .when(F.col("collection_preference") == PREFER_OWNED, F.concat(own, F.filter("_fitting", lambda c: ~c["owned"])))
+            .otherwise(F.col("_fitting"))
+        )
     identity = F.col("leader.color_identity")
     rows = (
         rows.withColumn("_own_spells", own_spells)
