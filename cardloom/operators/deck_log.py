@@ -44,30 +44,29 @@ def accept_creates(
     """Creates with ``accepted``: a create is refused while its user is at the cap.
 
     The deck count of a user moves up with creates and down with deletes and is
-    held below the cap. A create is refused exactly when the free-running count
-    reaches a new high above the cap, so running sums and maxima decide it. A user
-    who starts above the cap first has to delete the excess.
+    held at the cap. A create is refused exactly when the free-running count would
+    reach a new high above the cap, so running sums and maxima decide it. A user
+    who starts above the cap first has to delete the excess, and those deletes
+    leave no room.
     """
     start = base.groupBy("user_id").agg((F.count(F.lit(1)) - cap).alias("_over"))
     moves = classified.where(F.col("effect").isin("create", "delete")).join(start, "user_id", "left")
     moves = moves.withColumn("_over", F.coalesce("_over", F.lit(-cap).cast("bigint")))
-    is_delete = (F.col("effect") == "delete").cast("bigint")
-    moves = running.with_running(moves, ["user_id"], "seq", sums={"_deletes": is_delete}, chunk_rows=chunk_rows)
-    step = (
-        F.when(F.col("effect") == "create", F.lit(1))
-        .when(F.col("_deletes") > F.greatest("_over", F.lit(0)), F.lit(-1))
-        .otherwise(F.lit(0))
-        .cast("bigint")
+    counted = {
+        f"_{effect}s": (F.col("effect") == effect).cast("bigint") for effect in ("create", "delete")
+    }
+    moves = running.with_running(moves, ["user_id"], "seq", sums=counted, chunk_rows=chunk_rows)
+    excess, room = F.greatest("_over", F.lit(0)), F.least("_over", F.lit(0))
+    level = room + F.col("_creates") - F.greatest(F.col("_deletes") - excess, F.lit(0))
+    moves = moves.withColumn("_level", level)
+    moves = running.with_running(
+        moves, ["user_id"], "seq", maxes={"_high": F.col("_level")}, chunk_rows=chunk_rows, inclusive=False
     )
-    moves = running.with_running(moves, ["user_id"], "seq", sums={"_level": step}, chunk_rows=chunk_rows)
-    moves = running.with_running(moves, ["user_id"], "seq", maxes={"_high": F.col("_level")}, chunk_rows=chunk_rows)
-    moves = running.with_previous(moves, ["user_id"], "seq", "_high", "_earlier_high", chunk_rows)
-    below = F.least("_over", F.lit(0))
-    refused = below + F.col("_level") > F.greatest(below + F.coalesce("_earlier_high", -below), F.lit(0))
+    refused = F.col("_level") > F.greatest(F.coalesce("_high", F.lit(0)), F.lit(0))
     return (
         moves.where(F.col("effect") == "create")
         .withColumn("accepted", ~refused)
-        .drop("_over", "_deletes", "_level", "_high", "_earlier_high")
+        .drop("_over", "_creates", "_deletes", "_level", "_high")
     )
 
 

@@ -27,9 +27,13 @@ def with_running(
     sums: dict[str, Column] | None = None,
     maxes: dict[str, Column] | None = None,
     chunk_rows: int = CHUNK_ROWS,
+    inclusive: bool = True,
 ) -> DataFrame:
-    """Add inclusive running sums and maxima per key, ordered by a unique sequence."""
-    steps = [(out, expr, F.sum, lambda a, b: a + F.coalesce(b, F.lit(0))) for out, expr in (sums or {}).items()]
+    """Add running sums and maxima per key, ordered by a unique sequence.
+
+    ``inclusive=False`` leaves the row itself out (NULL maximum on the first row).
+    """
+    steps = [(out, expr, F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))) for out, expr in (sums or {}).items()]
     steps += [(out, expr, F.max, F.greatest) for out, expr in (maxes or {}).items()]
     chunked = df.withColumn("_chunk", chunk_of(order, chunk_rows))
 
@@ -42,7 +46,9 @@ def with_running(
     )
 
     inside = (
-        Window.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.partitionBy(*keys, "_chunk")
+        .orderBy(order)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
     )
     local = chunked.select("*", *[agg(expr).over(inside).alias(f"_local_{out}") for out, expr, agg, _ in steps])
     joined = local.join(carried, [*keys, "_chunk"])

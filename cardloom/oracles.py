@@ -480,4 +480,16 @@ LEFT JOIN (SELECT DISTINCT request_id, card_id FROM generated) g ON g.request_id
 LEFT JOIN collection c ON c.user_id = r.user_id AND c.card_id = m.card_id AND c.quantity > 0
 WHERE g.card_id IS NULL
 QUALIFY row_number() OVER (PARTITION BY m.request_id ORDER BY m.score DESC, m.card_id) <= 10""",
+    "collection_seed": _with(CARDS) + """
+SELECT 'new user' AS user_id, id AS card_id, (mana_value - 4)::INT AS quantity FROM cards WHERE mana_value > 4""",
+    "stream_collection": _with(EVENTS, ADDS) + """
+SELECT user_id, card_id, sum(least(99, greatest(1, quantity)))::BIGINT AS quantity FROM adds GROUP BY ALL""",
+    "stream_decks": _with(EVENTS) + """
+, saves AS (
+  SELECT coalesce(o_custkey, user_id) AS user_id, event_id AS seq, 'deck of event ' || event_id AS name, k AS commander_id, ts
+  FROM (SELECT *, CASE WHEN event_type <> 'signup' THEN user_id * 10 + k % 10 END AS target FROM ev
+        WHERE event_type NOT IN ('view', 'error')) LEFT JOIN orders ON o_orderkey = target)
+SELECT 'deck-' || sha256(user_id || ':' || seq) AS id, user_id, name, commander_id, ts AS created_at, ts AS updated_at
+FROM saves QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seq) <= 12""",
 }
+ORACLES["stream_edits"] = ORACLES["edit_log_replay"]

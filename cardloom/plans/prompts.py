@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardloom import schemas
-from cardloom.functions import columns as C
 from cardloom.functions.constants import DEFAULT_POWER_LEVEL, STRONGEST
-from cardloom.operators.validate import validate_decks
+from cardloom.operators.validate import card_facts, deck_errors, deck_facts
 
 RULES = [
     "Exactly 100 cards including one commander.",
@@ -67,45 +66,71 @@ def build_prompts(requests: DataFrame, context: DataFrame, candidates: DataFrame
     return with_request_defaults(requests).join(blocks, "request_id", "left").select("request_id", prompt.alias("prompt"))
 
 
-def parse_responses(responses: DataFrame, cards: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(request_id, attempt, response) -> (decks, deck cards, unusable answers).
+def parse_responses(responses: DataFrame) -> DataFrame:
+    """(request_id, attempt, response) -> commander, cards and explanation per answer.
 
-    Names resolve against the catalogue; an unknown name keeps its place in the
-    deck with a NULL card id, so the size rule still sees it.
+    ``readable`` is false for text that is no deck; its fields are NULL.
     """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     parsed = responses.withColumn("_r", F.from_json("response", schemas.DECK_RESPONSE_JSON, options))
-    broken = F.col("_r").isNull() | F.col("_r._corrupt").isNotNull() | F.col("_r.cards").isNull()
-    usable = parsed.where(~broken)
+    readable = F.col("_r").isNotNull() & F.col("_r._corrupt").isNull() & F.col("_r.cards").isNotNull()
+    return parsed.select(
+        "request_id",
+        "attempt",
+        readable.alias("readable"),
+        *[F.when(readable, F.col(f"_r.{name}")).alias(name) for name in ("commander", "cards", "explanation")],
+    )
+
+
+def response_decks(parsed: DataFrame, cards: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Readable answers as deck tables; names the catalogue lacks drop out."""
     ids = cards.select(F.col("name").alias("_name"), F.col("id").alias("_id"))
-    decks = usable.join(ids, F.col("_r.commander") == F.col("_name"), "left").select(
-        F.col("request_id").alias("id"), "attempt", F.col("_id").alias("commander_id"), F.col("_r.explanation").alias("explanation")
+    usable = parsed.where("readable")
+    decks = usable.join(ids, F.col("commander") == F.col("_name"), "left").select(
+        "request_id", "attempt", F.col("_id").alias("commander_id"), "explanation"
     )
-    listed = usable.select(F.col("request_id").alias("deck_id"), F.inline("_r.cards"))
     deck_cards = (
-        listed.join(ids, F.col("name") == F.col("_name"), "left")
-        .groupBy("deck_id", F.col("_id").alias("card_id"), F.when(F.col("_id").isNull(), F.col("name")).alias("unknown_name"))
+        usable.select("request_id", "attempt", F.inline("cards"))
+        .join(ids, F.col("name") == F.col("_name"))
+        .groupBy("request_id", "attempt", F.col("_id").alias("card_id"))
         .agg(F.sum(F.coalesce("quantity", F.lit(1))).cast("bigint").alias("quantity"))
     )
-    return decks, deck_cards, parsed.where(broken).select("request_id", "attempt")
+    return decks, deck_cards
 
 
 def judge_responses(responses: DataFrame, cards: DataFrame) -> DataFrame:
-    """request_id, attempt, is_valid and errors for every answer, readable or not."""
-    decks, deck_cards, broken = parse_responses(responses, cards)
-    unknown = deck_cards.where(F.col("card_id").isNull()).groupBy("deck_id").agg(
-        F.count(F.lit(1)).alias("_unknown")
+    """request_id, attempt, is_valid and errors for every answer, readable or not.
+
+    Every text is parsed once. Cards with unknown names count towards the size and
+    are reported as such.
+    """
+    deck = ["request_id", "attempt", "readable", "commander"]
+    facts = card_facts(cards)
+    listed = parse_responses(responses).select(*deck, F.inline_outer("cards"))
+    rows = (
+        listed.withColumn("quantity", F.when(F.col("name").isNotNull(), F.coalesce("quantity", F.lit(1))))
+        .withColumnRenamed("name", "listed")
+        .join(facts.drop("can_lead", "card_id"), F.col("listed") == F.col("card_name"), "left")
     )
-    ruled = validate_decks(decks, deck_cards, cards)
-    note = F.when(F.col("_unknown").isNotNull(), F.concat(F.col("_unknown").cast("string"), F.lit(" unknown card names")))
-    errors = F.concat_ws("; ", F.when(F.col("errors") != "", F.col("errors")), note)
-    readable = (
-        ruled.join(unknown, "deck_id", "left")
-        .join(decks.select(F.col("id").alias("deck_id"), "attempt"), "deck_id")
-        .select(F.col("deck_id").alias("request_id"), "attempt", errors.alias("errors"))
+    leaders = facts.select(F.col("card_name").alias("commander"), "can_lead", F.col("ci_mask").alias("leader_mask"))
+    led = F.col("commander").isNotNull()
+    whole = deck_facts(rows, deck).join(leaders, "commander", "left").select(
+        "request_id",
+        "attempt",
+        "readable",
+        "unknown",
+        (F.coalesce("copies", F.lit(0)) + led.cast("int")).cast("bigint").alias("deck_size"),
+        led.alias("has_commander"),
+        "can_lead",
+        "leader_mask",
+        "mask",
+        "repeated",
     )
-    unreadable = broken.select("request_id", "attempt", F.lit("answer is not readable").alias("errors"))
-    return readable.unionByName(unreadable).withColumn("is_valid", F.col("errors") == "")
+    note = F.when(F.col("unknown") > 0, F.concat(F.col("unknown").cast("string"), F.lit(" unknown card names")))
+    errors = F.when(
+        F.col("readable"), F.concat_ws("; ", deck_errors(whole), note)
+    ).otherwise(F.lit("answer is not readable"))
+    return whole.select("request_id", "attempt", errors.alias("errors")).withColumn("is_valid", F.col("errors") == "")
 
 
 def retry_table(judged: DataFrame, prompts: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:

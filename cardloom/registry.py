@@ -13,10 +13,12 @@ from cardloom.operators import collection as coll
 from cardloom.operators import deck_log, decks, edits, facets, roles, stats, validate
 from cardloom.plans import generate as gen
 from cardloom.plans import knowledge, prompts, retrieve
-from cardloom.session import tune
+from cardloom.session import shared_dir, tune
+from cardloom.sources import stores
 from cardloom.sources.collection_csv import parse_collection_lines
 from cardloom.sources.drafts import draft_cards, load_drafts
 from cardloom.sources.views import Tables
+from cardloom.streaming import tables as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -80,8 +82,8 @@ def collection_upsert_rejects(t: Tables) -> DataFrame:
     return rejected.select("seq", "user_id", "card_id")
 
 
-def _adds(t: Tables) -> DataFrame:
-    bought = t.events().where(F.col("event_type") == "purchase")
+def _adds(t: Tables, events: DataFrame | None = None) -> DataFrame:
+    bought = (t.events() if events is None else events).where(F.col("event_type") == "purchase")
     return bought.select(
         F.col("event_id").alias("seq"),
         "user_id",
@@ -97,6 +99,13 @@ def collection_merge(t: Tables) -> DataFrame:
     return coll.replace_or_append(t.collection(), newer, ["user_id", "card_id"])
 
 
+@query
+def collection_seed(t: Tables) -> DataFrame:
+    """First collection of every user from a table of names and quantities."""
+    quantities = t.cards().select("name", (F.col("mana_value") - 4).cast("int").alias("quantity"))
+    return coll.seed(t.cards(), quantities, F.lit("new user"))
+
+
 # --- decks ----------------------------------------------------------------
 
 
@@ -162,9 +171,9 @@ def _base_decks(t: Tables) -> DataFrame:
     return t.decks().select("id", "user_id", "name", "commander_id", "created_at", "updated_at")
 
 
-def _deck_ops(t: Tables) -> DataFrame:
+def _deck_ops(t: Tables, events: DataFrame | None = None) -> DataFrame:
     """Events as deck commands by the owner of the deck they name; sign-ups create."""
-    events = t.events().where(F.col("event_type") != "view")
+    events = (t.events() if events is None else events).where(F.col("event_type") != "view")
     target = F.when(F.col("event_type") != "signup", F.col("user_id") * 10 + F.col("k") % 10)
     named = events.withColumn("_target", target)
     owners = t.raw("orders").select(F.col("o_orderkey").alias("_target"), "o_custkey")
@@ -456,3 +465,33 @@ def retry_table(t: Tables) -> DataFrame:
 def upgrade_suggestions(t: Tables) -> DataFrame:
     deck = gen.deck_list(generated(t), t.basics())
     return retrieve.upgrade_suggestions(_candidates(t), deck, t.requests(), t.collection())
+
+
+# --- streams --------------------------------------------------------------
+
+
+@query
+def stream_collection(t: Tables) -> DataFrame:
+    """The add commands as a stream that keeps a collection table."""
+    base = shared_dir(t.spark, "collection")
+    adds = _adds(t, t.event_stream()).where(F.col("card_id").isNotNull())
+    streams.keep_collection(adds, f"{base}/table", f"{base}/checkpoint").awaitTermination()
+    return stores.read_latest(t.spark, f"{base}/table", streams.COLLECTION)
+
+
+@query
+def stream_edits(t: Tables) -> DataFrame:
+    """The edit log as a stream that keeps draft decks."""
+    base = shared_dir(t.spark, "edits")
+    log = t.edit_log(t.event_stream())
+    streams.keep_edits(log, t.cards(), f"{base}/table", f"{base}/checkpoint").awaitTermination()
+    return stores.read_latest(t.spark, f"{base}/table/cards", streams.EDIT_CARDS)
+
+
+@query
+def stream_decks(t: Tables) -> DataFrame:
+    """Deck commands without known decks as a stream: all saves create, up to the cap."""
+    base = shared_dir(t.spark, "decks")
+    ops = _deck_ops(t, t.event_stream())
+    streams.keep_decks(ops, f"{base}/table", f"{base}/checkpoint", DECK_LOG_CAP).awaitTermination()
+    return stores.read_latest(t.spark, f"{base}/table", streams.DECKS)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings: adaptive plans, and splitting of hot join keys even when
 # that costs an extra exchange further up the plan.
@@ -53,3 +53,13 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         root = _LOCAL_ROOT.setdefault("path", None) or tempfile.mkdtemp(prefix="cardloom-")
         _LOCAL_ROOT["path"] = root
     return f"{root.rstrip('/')}/cardloom/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder: worked out once, read many times.
+
+    A lost executor costs the reading tasks only, not the work before the table.
+    """
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -175,7 +175,7 @@ class Tables:
         )
         return customers.join(built_around, "request_id", "left")
 
-    def edit_log(self) -> DataFrame:
+    def edit_log(self, events: DataFrame | None = None) -> DataFrame:
         """Deck edits: the event user is the deck, the JSON number the card."""
         op = (
             F.when(F.col("event_type").isin("click", "purchase"), "add")
@@ -184,7 +184,7 @@ class Tables:
             .when(F.col("value") > 60, "clear")
             .when(F.col("value") < 2, "remove_commander")
         )
-        events = self.events().select(
+        events = (self.events() if events is None else events).select(
             F.col("user_id").alias("deck_id"),
             F.col("event_id").alias("seq"),
             op.alias("op"),
@@ -195,8 +195,16 @@ class Tables:
 
     def events(self) -> DataFrame:
         """Events with the number in their JSON text."""
-        k = F.get_json_object("props", "$.k").cast("bigint")
-        return self.raw("events").withColumn("k", k)
+        return self.raw("events").withColumn("k", self._number())
+
+    def event_stream(self) -> DataFrame:
+        """The same events as a stream over the files of their table."""
+        reader = self.spark.readStream.schema(self.raw("events").schema).option("pathGlobFilter", "events*.parquet")
+        return reader.parquet(self.folder).withColumn("k", self._number())
+
+    @staticmethod
+    def _number():
+        return F.get_json_object("props", "$.k").cast("bigint")
 
     def vectors(self) -> DataFrame:
         return self.raw("embeddings").select(F.col("vec_id").alias("card_id"), "embedding")
