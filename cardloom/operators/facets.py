@@ -66,14 +66,10 @@ def search_cards(cards: DataFrame, query: str, limit: int = SEARCH_LIMIT) -> Dat
     return cards.where(hit).orderBy("ordinal").limit(limit)
 
 
-def _grams(text: Column) -> Column:
-    """All substrings of one to three characters."""
-
-    def of_length(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1)))
-        return F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))
-
-    return F.concat(*[of_length(n) for n in range(1, GRAM + 1)])
+def _grams(text: Column, length: int) -> Column:
+    """All substrings of a length; a shorter text is its own only one."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (length - 1), F.lit(1)))
+    return F.transform(starts, lambda i: F.substring(text, i, F.lit(length)))
 
 
 def search_batch(cards: DataFrame, queries: DataFrame, limit: int = SEARCH_LIMIT) -> DataFrame:
@@ -86,12 +82,16 @@ def search_batch(cards: DataFrame, queries: DataFrame, limit: int = SEARCH_LIMIT
     wanted = queries.select("query_id", C.folded("query").alias("needle")).where(F.length("needle") > 0)
     needles = wanted.select("needle").distinct().withColumn("gram", F.substring("needle", 1, GRAM))
     name, type_line = F.lower("name"), F.lower("type_line")
+    usual = F.concat(_grams(name, GRAM), _grams(type_line, GRAM))
+    brief = F.concat(*[_grams(text, n) for text in (name, type_line) for n in range(1, GRAM)])
+    n_brief = needles.where(F.length("needle") < GRAM).agg(F.count(F.lit(1))).scalar()
+    grams = F.when(n_brief > 0, F.concat(usual, brief)).otherwise(usual)
     indexed = cards.select(
         F.col("id").alias("card_id"),
         "ordinal",
         name.alias("_name"),
         type_line.alias("_type"),
-        F.explode(F.array_distinct(F.concat(_grams(name), _grams(type_line)))).alias("gram"),
+        F.explode(F.array_distinct(grams)).alias("gram"),
     )
     hits = indexed.join(needles, "gram").where(
         F.col("_name").contains(F.col("needle")) | F.col("_type").contains(F.col("needle"))
