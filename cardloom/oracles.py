@@ -480,6 +480,18 @@ LEFT JOIN (SELECT DISTINCT request_id, card_id FROM generated) g ON g.request_id
 LEFT JOIN collection c ON c.user_id = r.user_id AND c.card_id = m.card_id AND c.quantity > 0
 WHERE g.card_id IS NULL
 QUALIFY row_number() OVER (PARTITION BY m.request_id ORDER BY m.score DESC, m.card_id) <= 10""",
+    "deck_results": _with(*GEN_BASE) + """
+SELECT l.request_id, l.commander_id, coalesce(cards, '') AS cards,
+  CASE WHEN l.commander_id IS NULL THEN 'no eligible commander' END AS error
+FROM leaders l LEFT JOIN (
+  SELECT request_id, string_agg(quantity || 'x' || card_id, ',' ORDER BY
+    CASE section WHEN 'spell' THEN 1 WHEN 'land' THEN 2 ELSE 3 END, rank) AS cards
+  FROM generated GROUP BY request_id) USING (request_id)""",
+    "decks_newest_first": "SELECT o_orderkey AS id, o_custkey AS user_id, o_orderdate AS updated_at FROM orders",
+    "collection_by_color": _with(CARDS, COLLECTION) + """
+SELECT user_id, id, name, CASE WHEN contains(type_line, 'Land') THEN 7 WHEN bit_count(ci_mask) > 1 THEN 5
+  WHEN ci_mask = 8 THEN 3 ELSE 4 END AS color_key, quantity
+FROM cards JOIN collection ON card_id = id WHERE quantity <> 0 AND ci_mask & 24 <> 0""",
     "collection_seed": _with(CARDS) + """
 SELECT 'new user' AS user_id, id AS card_id, (mana_value - 4)::INT AS quantity FROM cards WHERE mana_value > 4""",
     "stream_collection": _with(EVENTS, ADDS) + """

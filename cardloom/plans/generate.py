@@ -429,3 +429,20 @@ def deck_list(generated: DataFrame, basics: DataFrame) -> DataFrame:
         .where(F.col("card_id").isNotNull())
         .select("request_id", "section", "rank", "card_id", "quantity")
     )
+
+
+def deck_results(generated: DataFrame, listed: DataFrame) -> DataFrame:
+    """One result per request: commander, cards with their copies, explanation.
+
+    Copies of basic lands are kept. A deck has at most 99 entries, so the list per
+    request is short. Requests without a deck keep their error.
+    """
+    section = F.array_position(F.array(*[F.lit(s) for s in ("spell", "land", "basic")]), F.col("section"))
+    entry = F.struct(section.alias("part"), "rank", F.struct("card_id", "quantity").alias("card"))
+    cards = listed.groupBy("request_id").agg(
+        F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["card"]).alias("cards")
+    )
+    none = F.array().cast(cards.schema["cards"].dataType)
+    return generated.join(cards, "request_id", "left").select(
+        "request_id", "user_id", "commander_id", F.coalesce("cards", none).alias("cards"), "explanation", "error"
+    )

@@ -45,6 +45,13 @@ def collection_browse(t: Tables) -> DataFrame:
     return found.select("user_id", "id", "name", "mana_value", "quantity")
 
 
+@query
+def collection_by_color(t: Tables) -> DataFrame:
+    owned = coll.library(t.cards(), t.collection())
+    found = facets.browse(owned, colors=["R", "G"], sort="color")
+    return found.select("user_id", "id", "name", C.color_sort_key().alias("color_key"), "quantity")
+
+
 @query
 def catalog_search_topk(t: Tables) -> DataFrame:
     """Every word of the part names and type lines is a query."""
@@ -125,6 +132,11 @@ def deck_commanders(t: Tables) -> DataFrame:
     return rows.select("id", "commander_id", "commander_name", "default_name", "updated_label")
 
 
+@query
+def decks_newest_first(t: Tables) -> DataFrame:
+    return decks.newest_first(t.decks()).select("id", "user_id", "updated_at")
+
+
 @query
 def cards_by_ids(t: Tables) -> DataFrame:
     return facets.cards_by_ids(t.cards(), decks.commander_ids(t.decks())).select("id", "name")
@@ -302,6 +314,16 @@ def deck_result_split(t: Tables) -> DataFrame:
     return prompts.split_result(rows, gen.deck_list(rows, t.basics()), t.collection())
 
 
+@query
+def deck_results(t: Tables) -> DataFrame:
+    rows = generated(t)
+    results = gen.deck_results(rows, gen.deck_list(rows, t.basics()))
+    cards = F.array_join(
+        F.transform("cards", lambda c: F.concat_ws("x", c["quantity"].cast("string"), c["card_id"].cast("string"))), ","
+    )
+    return results.select("request_id", "commander_id", cards.alias("cards"), "error")
+
+
 # --- semi-structured input ------------------------------------------------
 
 
