@@ -9,6 +9,8 @@ from cardloom.functions import columns as C
 from cardloom.functions.constants import FACET_COLORS, SEARCH_LIMIT
 
 GRAM = 3
+BROADCAST_CHARS = 4_000_000
+ROW_CHARS = 40  # what a row costs besides its text
 
 
 def filter_cards(cards: DataFrame, query: str = "", colors: list[str] | None = None, type_: str = "") -> DataFrame:
@@ -72,20 +74,28 @@ def _grams(text: Column, length: int) -> Column:
     return F.transform(starts, lambda i: F.substring(text, i, F.lit(length)))
 
 
-def search_batch(cards: DataFrame, queries: DataFrame, limit: int = SEARCH_LIMIT) -> DataFrame:
+def search_batch(
+    cards: DataFrame, queries: DataFrame, limit: int = SEARCH_LIMIT, broadcast_chars: int = BROADCAST_CHARS
+) -> DataFrame:
     """Search for many queries at once: (query_id, query) -> ranked card ids.
 
     Each distinct needle is looked up once, through an equi-join on its leading
     gram; the substring test then decides. No query meets a card that shares no
-    gram with it.
+    gram with it. The needles are counted first: up to ``broadcast_chars``
+    characters they go to every task and the grams of the catalogue stay where
+    they are; beyond, both sides are exchanged by gram.
     """
     wanted = queries.select("query_id", C.folded("query").alias("needle")).where(F.length("needle") > 0)
     needles = wanted.select("needle").distinct().withColumn("gram", F.substring("needle", 1, GRAM))
+    size = needles.agg(
+        F.sum(F.length("needle") + ROW_CHARS).alias("chars"), F.min(F.length("needle")).alias("shortest")
+    ).first()
+    if (size["chars"] or 0) <= broadcast_chars:
+        needles = F.broadcast(needles)
+
     name, type_line = F.lower("name"), F.lower("type_line")
-    usual = F.concat(_grams(name, GRAM), _grams(type_line, GRAM))
-    brief = F.concat(*[_grams(text, n) for text in (name, type_line) for n in range(1, GRAM)])
-    n_brief = needles.where(F.length("needle") < GRAM).agg(F.count(F.lit(1))).scalar()
-    grams = F.when(n_brief > 0, F.concat(usual, brief)).otherwise(usual)
+    lengths = range(min(size["shortest"] or GRAM, GRAM), GRAM + 1)
+    grams = F.concat(*[_grams(text, n) for text in (name, type_line) for n in lengths])
     indexed = cards.select(
         F.col("id").alias("card_id"),
         "ordinal",

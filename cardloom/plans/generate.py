@@ -262,7 +262,7 @@ def generate(cards: DataFrame, requests: DataFrame, collection: DataFrame | None
         .withColumn("_first", F.transform(first, lambda c: F.struct(c["ordinal"], c["id"], c["role"])).cast(entries))
         .withColumn("_deck", F.when(F.col("leader").isNotNull(), _assemble(identity)))
     )
-    return rows.select(
+    made = rows.select(
         "request_id",
         "user_id",
         "power_level",
@@ -276,20 +276,12 @@ def generate(cards: DataFrame, requests: DataFrame, collection: DataFrame | None
         F.coalesce("_deck.lands", none).alias("lands"),
         "_deck.basics",
         "_deck.lands_needed",
-    ).select(
-        "request_id",
-        "user_id",
-        "power_level",
-        "collection_preference",
-        "commander_id",
-        "color_identity",
-        "commander_mask",
-        "spells",
-        "lands",
-        "basics",
-        "lands_needed",
-        F.when(F.col("leader").isNotNull(), explanation()).alias("explanation"),
-        F.when(F.col("leader").isNull(), F.lit(NO_LEADER)).alias("error"),
+    )
+    led_by = F.col("leader").isNotNull()
+    return (
+        made.withColumn("explanation", F.when(led_by, explanation()))
+        .withColumn("error", F.when(~led_by, F.lit(NO_LEADER)))
+        .drop("leader", "context")
     )
 
 

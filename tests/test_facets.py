@@ -65,11 +65,13 @@ def test_batch_search_equals_single_search(spark, make_cards):
     cards = make_cards(CARDS + [(f"x{i}", f"repeat {i}", "Artifact", "") for i in range(30)])
     texts = ["re", "alpha", " Creature ", "", "%", "é", "repeat 1", "zzz", "land", "a", "repeat"]
     queries = spark.createDataFrame(list(enumerate(texts)), "query_id int, query string")
-    got = {}
-    for r in facets.search_batch(cards, queries).orderBy("query_id", "rank").collect():
-        got.setdefault(r["query_id"], []).append(r["card_id"])
-    for i, text in enumerate(texts):
-        assert got.get(i, []) == [r["id"] for r in facets.search_cards(cards, text).collect()], text
+    want = [[r["id"] for r in facets.search_cards(cards, text).collect()] for text in texts]
+    for room in (0, facets.BROADCAST_CHARS):
+        got = {}
+        for r in facets.search_batch(cards, queries, broadcast_chars=room).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["card_id"])
+        assert [got.get(i, []) for i in range(len(texts))] == want
+    assert facets.search_batch(cards, queries.where("query = ''")).count() == 0
 
 
 def test_roles_table_fallbacks_and_order(make_cards, rows_of):
