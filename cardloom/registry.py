@@ -14,7 +14,6 @@ from cardloom.operators import deck_log, decks, edits, facets, roles, stats, val
 from cardloom.plans import generate as gen
 from cardloom.plans import knowledge, prompts, retrieve
 from cardloom.session import shared_dir, tune
-from cardloom.sources import stores
 from cardloom.sources.collection_csv import parse_collection_lines
 from cardloom.sources.drafts import draft_cards, load_drafts
 from cardloom.sources.views import Tables
@@ -498,7 +497,7 @@ def stream_collection(t: Tables) -> DataFrame:
     base = shared_dir(t.spark, "collection")
     adds = _adds(t, t.event_stream()).where(F.col("card_id").isNotNull())
     streams.keep_collection(adds, f"{base}/table", f"{base}/checkpoint").awaitTermination()
-    return stores.read_latest(t.spark, f"{base}/table", streams.COLLECTION)
+    return streams.read_collection(t.spark, f"{base}/table")
 
 
 @query
@@ -506,8 +505,9 @@ def stream_edits(t: Tables) -> DataFrame:
     """The edit log as a stream that keeps draft decks."""
     base = shared_dir(t.spark, "edits")
     log = t.edit_log(t.event_stream())
-    streams.keep_edits(log, t.cards(), f"{base}/table", f"{base}/checkpoint").awaitTermination()
-    return stores.read_latest(t.spark, f"{base}/table/cards", streams.EDIT_CARDS)
+    streams.keep_drafts(log, t.cards(), f"{base}/table", f"{base}/checkpoint").awaitTermination()
+    drafts = streams.read_drafts(t.spark, f"{base}/table")
+    return drafts.where(~F.col("is_commander")).select("deck_id", "card_id", "quantity")
 
 
 @query
@@ -516,4 +516,4 @@ def stream_decks(t: Tables) -> DataFrame:
     base = shared_dir(t.spark, "decks")
     ops = _deck_ops(t, t.event_stream())
     streams.keep_decks(ops, f"{base}/table", f"{base}/checkpoint", DECK_LOG_CAP).awaitTermination()
-    return stores.read_latest(t.spark, f"{base}/table", streams.DECKS)
+    return streams.read_decks(t.spark, f"{base}/table")

@@ -1,17 +1,25 @@
-"""Versioned parquet tables: every write is a new version, readers see whole ones only."""
+"""Versioned parquet tables: every write is a new version, readers see whole ones only.
+
+Two kinds: plain tables, where a version is the whole table, and grouped tables,
+where a version holds the groups (all rows of a key) that changed, and now and
+then a full one starts a new chain.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+CHANGED, FULL = "v", "f"
+
 
 def _file_system(spark: SparkSession, base: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(base)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
-def versions(spark: SparkSession, base: str) -> list[int]:
+def versions(spark: SparkSession, base: str, kind: str = CHANGED) -> list[int]:
     """Complete versions in ascending order: those whose write was committed."""
     fs, root = _file_system(spark, base)
     if not fs.exists(root):
@@ -20,7 +28,7 @@ def versions(spark: SparkSession, base: str) -> list[int]:
     found = []
     for status in fs.listStatus(root):
         name = status.getPath().getName()
-        if name.startswith("v") and name[1:].isdigit() and fs.exists(new_path(status.getPath(), "_SUCCESS")):
+        if name.startswith(kind) and name[1:].isdigit() and fs.exists(new_path(status.getPath(), "_SUCCESS")):
             found.append(int(name[1:]))
     return sorted(found)
 
@@ -51,3 +59,34 @@ def load_or_seed(spark: SparkSession, base: str, schema: StructType | str, seed:
         write_version(seed, base)
         stored = read_latest(spark, base, schema)
     return stored
+
+
+def write_groups(rows: DataFrame, touched: DataFrame, base: str, number: int, keys: list[str], full: bool = False) -> None:
+    """Write all rows of the touched keys as version ``number``.
+
+    A touched key without rows has lost its group. The keys are written last and
+    complete the version; a number written again replaces the earlier try.
+    """
+    spark, kind = rows.sparkSession, FULL if full else CHANGED
+    path = f"{base}/rows/{kind}{number}"
+    rows.write.mode("overwrite").parquet(path)
+    kept = spark.read.schema(rows.schema).parquet(path).select(*keys)
+    kept.unionByName(touched.select(*keys)).distinct().write.mode("overwrite").parquet(f"{base}/keys/{kind}{number}")
+
+
+def read_groups(
+    spark: SparkSession, base: str, schema: StructType | str, keys: list[str], below: int | None = None
+) -> DataFrame:
+    """Every group as its newest complete version (older than ``below``) has it."""
+    known = [(n, kind) for kind in (CHANGED, FULL) for n in versions(spark, f"{base}/keys", kind) if below is None or n < below]
+    start = max((n for n, kind in known if kind == FULL), default=0)
+    chain = [f"{kind}{n}" for n, kind in sorted(known) if n >= start]
+    empty = spark.createDataFrame([], schema)
+    if not chain:
+        return empty
+    number = F.regexp_extract(F.col("_metadata.file_path"), r"/[vf](\d+)/[^/]*$", 1).cast("bigint").alias("_version")
+    rows = spark.read.schema(schema).parquet(*[f"{base}/rows/{c}" for c in chain]).select("*", number)
+    key_schema = empty.select(*keys).schema
+    touched = spark.read.schema(key_schema).parquet(*[f"{base}/keys/{c}" for c in chain]).select("*", number)
+    newest = touched.groupBy(*keys).agg(F.max("_version").alias("_version"))
+    return rows.join(newest, [*keys, "_version"], "left_semi").select(*empty.columns)

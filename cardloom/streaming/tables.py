@@ -1,14 +1,17 @@
 """Tables kept up to date from streams of commands.
 
-Each micro-batch writes version ``batch + 1`` from the newest older version, so a
-batch that runs again after a failure writes the same version again.
+A micro-batch rewrites the groups it touches (a collection entry, the decks of a
+user, the content of a draft) and nothing else; every ``FULL_EVERY`` batches the
+whole table is written to keep the chain of versions short. The version carries
+the number of the batch and is made from older versions only, so a batch that
+runs again after a failure writes the same version again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -18,13 +21,32 @@ from cardloom.operators import deck_log, edits
 from cardloom.operators.collection import replace_or_append
 from cardloom.sources import stores
 
+FULL_EVERY = 50
+
 COLLECTION = "user_id bigint, card_id bigint, quantity bigint"
-EDIT_CARDS = "deck_id bigint, card_id bigint, quantity bigint"
-EDIT_LEADERS = "deck_id bigint, commander_id bigint"
+COLLECTION_KEYS = ["user_id", "card_id"]
 DECKS = "id string, user_id bigint, name string, commander_id bigint, created_at timestamp, updated_at timestamp"
+DECK_KEYS = ["user_id"]
+DRAFTS = "deck_id bigint, card_id bigint, quantity bigint, is_commander boolean"
+DRAFT_KEYS = ["deck_id"]
+
+Update = Callable[[DataFrame, DataFrame], DataFrame]
+
 
+def _keep(
+    stream: DataFrame, update: Update, base: str, schema: str, keys: list[str], checkpoint: str, mode: str, full_every: int
+) -> StreamingQuery:
+    def step(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()  # read several times below
+        held = stores.read_groups(batch.sparkSession, base, schema, keys, below=number)
+        touched = batch.select(*keys).distinct()
+        full = number > 0 and number % full_every == 0
+        if not full:
+            held = held.join(touched, keys, "left_semi")
+        rows = update(held, batch).select(*held.columns)
+        stores.write_groups(rows, touched, base, number, keys, full)
+        batch.unpersist()
 
-def _run(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, mode: str) -> StreamingQuery:
     return (
         stream.writeStream.outputMode(mode)
         .foreachBatch(step)
@@ -34,11 +56,6 @@ def _run(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint:
     )
 
 
-def _previous(batch: DataFrame, base: str, schema: str, number: int) -> DataFrame:
-    stored = stores.read_latest(batch.sparkSession, base, schema, below=number + 1)
-    return batch.sparkSession.createDataFrame([], schema) if stored is None else stored
-
-
 def collection_totals(adds: DataFrame) -> DataFrame:
     """Running quantities per (user_id, card_id) of a stream of add commands."""
     return (
@@ -48,36 +65,52 @@ def collection_totals(adds: DataFrame) -> DataFrame:
     )
 
 
-def keep_collection(adds: DataFrame, base: str, checkpoint: str, schema: str = COLLECTION) -> StreamingQuery:
+def keep_collection(
+    adds: DataFrame, base: str, checkpoint: str, schema: str = COLLECTION, full_every: int = FULL_EVERY
+) -> StreamingQuery:
     """Maintain a collection table: changed totals replace their rows."""
 
-    def step(changed: DataFrame, number: int) -> None:
-        old = _previous(changed, base, schema, number)
-        stores.write_version(replace_or_append(old, changed, ["user_id", "card_id"]), base, number + 1)
+    def update(held: DataFrame, changed: DataFrame) -> DataFrame:
+        return replace_or_append(held, changed, COLLECTION_KEYS)
+
+    return _keep(collection_totals(adds), update, base, schema, COLLECTION_KEYS, checkpoint, "update", full_every)
 
-    return _run(collection_totals(adds), step, checkpoint, "update")
+
+def read_collection(spark: SparkSession, base: str, schema: str = COLLECTION) -> DataFrame:
+    return stores.read_groups(spark, base, schema, COLLECTION_KEYS)
 
 
 def keep_decks(
-    ops: DataFrame, base: str, checkpoint: str, cap: int = MAX_DECKS, schema: str = DECKS
+    ops: DataFrame, base: str, checkpoint: str, cap: int = MAX_DECKS, schema: str = DECKS, full_every: int = FULL_EVERY
 ) -> StreamingQuery:
     """Maintain the saved decks: the last save wins, deletes repeat safely, creates obey the cap."""
 
-    def step(batch: DataFrame, number: int) -> None:
-        after, _ = deck_log.apply_ops(_previous(batch, base, schema, number), batch, cap)
-        stores.write_version(after.select(*deck_log.COLUMNS), base, number + 1)
+    def update(held: DataFrame, batch: DataFrame) -> DataFrame:
+        return deck_log.apply_ops(held, batch, cap)[0]
 
-    return _run(ops, step, checkpoint, "append")
+    return _keep(ops, update, base, schema, DECK_KEYS, checkpoint, "append", full_every)
 
 
-def keep_edits(log: DataFrame, cards: DataFrame, base: str, checkpoint: str) -> StreamingQuery:
-    """Maintain draft decks from an edit stream: tables ``cards`` and ``leaders`` below ``base``."""
+def read_decks(spark: SparkSession, base: str, schema: str = DECKS) -> DataFrame:
+    return stores.read_groups(spark, base, schema, DECK_KEYS)
+
+
+def keep_drafts(
+    log: DataFrame, cards: DataFrame, base: str, checkpoint: str, schema: str = DRAFTS, full_every: int = FULL_EVERY
+) -> StreamingQuery:
+    """Maintain draft decks from an edit stream; a row is a card or the commander."""
+
+    def update(held: DataFrame, batch: DataFrame) -> DataFrame:
+        inside = held.where(~F.col("is_commander"))
+        leading = held.where("is_commander").select("deck_id", F.col("card_id").alias("commander_id"))
+        deck_cards, leaders = edits.advance(inside, leading, batch, cards)
+        seated = leaders.where(F.col("commander_id").isNotNull()).select(
+            "deck_id", F.col("commander_id").alias("card_id"), F.lit(1).cast("bigint").alias("quantity"), F.lit(True).alias("is_commander")
+        )
+        return deck_cards.withColumn("is_commander", F.lit(False)).unionByName(seated)
+
+    return _keep(log, update, base, schema, DRAFT_KEYS, checkpoint, "append", full_every)
 
-    def step(batch: DataFrame, number: int) -> None:
-        held = _previous(batch, f"{base}/cards", EDIT_CARDS, number)
-        seated = _previous(batch, f"{base}/leaders", EDIT_LEADERS, number)
-        deck_cards, leaders = edits.advance(held, seated, batch, cards)
-        stores.write_version(deck_cards.select("deck_id", "card_id", "quantity"), f"{base}/cards", number + 1)
-        stores.write_version(leaders.select("deck_id", "commander_id"), f"{base}/leaders", number + 1)
 
-    return _run(log, step, checkpoint, "append")
+def read_drafts(spark: SparkSession, base: str, schema: str = DRAFTS) -> DataFrame:
+    return stores.read_groups(spark, base, schema, DRAFT_KEYS)

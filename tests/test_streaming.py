@@ -1,5 +1,7 @@
 """Streams give the same tables as one batch over all rows."""
 
+import pytest
+
 from cardloom.operators import collection as coll
 from cardloom.operators import deck_log, edits
 from cardloom.sources import stores
@@ -20,30 +22,31 @@ def finish(query):
     assert query.exception() is None
 
 
-def test_collection_stream_equals_batch(spark, rows_of, tmp_path):
-    adds = spark.range(60).selectExpr("id AS seq", "id % 3 AS user_id", "id % 7 AS card_id", "id % 5 AS quantity")
-    stream = streamed(spark, adds, tmp_path / "in", 3)
-    finish(tables.keep_collection(stream, str(tmp_path / "t"), str(tmp_path / "ck")))
-    got = stores.read_latest(spark, str(tmp_path / "t"), tables.COLLECTION)
+@pytest.mark.parametrize("full_every", [2, 50])
+def test_collection_stream_equals_batch(spark, rows_of, tmp_path, full_every):
+    adds = spark.range(60).selectExpr("id AS seq", "id % 3 AS user_id", "(id + id div 20) % 7 AS card_id", "id % 5 AS quantity")
+    base = str(tmp_path / "t")
+    stream = streamed(spark, adds, tmp_path / "in", 4)
+    finish(tables.keep_collection(stream, base, str(tmp_path / "ck"), full_every=full_every))
     cards = spark.range(7).selectExpr("id")
-    empty = spark.createDataFrame([], tables.COLLECTION)
-    want, _ = coll.add_copies(empty, adds, cards)
-    assert rows_of(got) == rows_of(want) and len(stores.versions(spark, str(tmp_path / "t"))) == 3
+    want, _ = coll.add_copies(spark.createDataFrame([], tables.COLLECTION), adds, cards)
+    assert rows_of(tables.read_collection(spark, base)) == rows_of(want)
+    assert stores.versions(spark, f"{base}/keys", stores.FULL) == ([2] if full_every == 2 else [])
 
 
-def test_edit_stream_equals_batch(spark, make_cards, rows_of, tmp_path):
+def test_draft_stream_equals_batch(spark, rows_of, tmp_path):
     cards = spark.range(6).selectExpr("id", "CASE WHEN id = 0 THEN 'Basic Land' ELSE 'Creature' END AS type_line")
     log = spark.range(120).selectExpr(
-        "id % 4 AS deck_id", "id AS seq",
+        "CASE WHEN id > 60 THEN id % 2 ELSE id % 4 END AS deck_id", "id AS seq",
         "element_at(array('add','add','remove','set_commander','add','clear','remove_commander'), CAST(id * 31 % 37 % 7 + 1 AS INT)) AS op",
         "id * 17 % 6 AS card_id", "CAST(NULL AS BIGINT) AS quantity",
     )
     stream = streamed(spark, log, tmp_path / "in", 4)
-    finish(tables.keep_edits(stream, cards, str(tmp_path / "t"), str(tmp_path / "ck")))
-    got = stores.read_latest(spark, str(tmp_path / "t/cards"), tables.EDIT_CARDS)
-    leaders = stores.read_latest(spark, str(tmp_path / "t/leaders"), tables.EDIT_LEADERS)
-    assert rows_of(got) == rows_of(edits.replay_cards(log, cards))
-    assert rows_of(leaders) == rows_of(edits.replay_commanders(log))
+    finish(tables.keep_drafts(stream, cards, str(tmp_path / "t"), str(tmp_path / "ck"), full_every=3))
+    got = tables.read_drafts(spark, str(tmp_path / "t"))
+    assert rows_of(got.where("NOT is_commander"), "deck_id", "card_id", "quantity") == rows_of(edits.replay_cards(log, cards))
+    leaders = edits.replay_commanders(log).where("commander_id IS NOT NULL")
+    assert rows_of(got.where("is_commander"), "deck_id", "card_id") == rows_of(leaders)
 
 
 def test_deck_stream_keeps_the_cap_and_last_save(spark, rows_of, tmp_path):
@@ -53,6 +56,15 @@ def test_deck_stream_keeps_the_cap_and_last_save(spark, rows_of, tmp_path):
     )
     stream = streamed(spark, ops, tmp_path / "in", 4)
     finish(tables.keep_decks(stream, str(tmp_path / "t"), str(tmp_path / "ck"), cap=7))
-    got = stores.read_latest(spark, str(tmp_path / "t"), tables.DECKS)
+    got = tables.read_decks(spark, str(tmp_path / "t"))
     want, _ = deck_log.apply_ops(spark.createDataFrame([], tables.DECKS), ops, cap=7)
     assert rows_of(got) == rows_of(want) and got.count() == 14
+
+
+def test_groups_that_lose_all_rows_disappear(spark, rows_of, tmp_path):
+    base, schema = str(tmp_path / "t"), "k int, v int"
+    first = spark.createDataFrame([(1, 1), (1, 2), (2, 3)], schema)
+    stores.write_groups(first, first, base, 0, ["k"])
+    stores.write_groups(spark.createDataFrame([], schema), first.where("k = 1"), base, 1, ["k"])
+    assert rows_of(stores.read_groups(spark, base, schema, ["k"])) == [(2, 3)]
+    assert rows_of(stores.read_groups(spark, base, schema, ["k"], below=1)) == [(1, 1), (1, 2), (2, 3)]
