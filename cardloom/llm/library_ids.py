@@ -1,35 +1,75 @@
-"""Ids of whole texts as the tokenizers library gives them, each distinct piece encoded once."""
+"""Ids of whole texts as the tokenizers library gives them, each distinct word encoded once."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import cache
 
 import numpy as np
 
 from cardloom.llm.pieces import Coder, Ragged, chunks, cut
 
+# Words that one Python worker remembers over its tasks; forgetting costs time, not results.
+WORKER_WORDS = 500_000
+# Between a letter or digit and one of these a match of either pre-tokenizer always ends.
+_TAIL = "!#$%&()*+,-./:;?"
 
-class LibraryIds:
-    """An encoder for one task. `words` says that the tokenizer drops white space."""
 
-    def __init__(self, path: str, words: bool) -> None:
+class _Words:
+    """The library's ids of words without context, kept by a worker over its tasks."""
+
+    def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = words
+        self.rows: dict[str, int] = {}
+        self.ids = Ragged(np.int32)
+
+    def take(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids one after the other, and how many each has."""
+        if len(self.rows) > WORKER_WORDS:
+            self.rows, self.ids = {}, Ragged(np.int32)
+        rows = self.rows
+        fresh = list({x for x in words if x not in rows})
+        for at in range(0, len(fresh), 4096):
+            part = fresh[at : at + 4096]
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            rows.update(zip(part, range(len(rows), len(rows) + len(part))))
+            self.ids.extend(np.fromiter((y for x in found for y in x), np.int32, int(sizes.sum())), sizes)
+        return self.ids.take(np.fromiter(map(rows.__getitem__, words), np.int64, len(words)))
+
+
+@cache
+def _words(path: str) -> _Words:
+    return _Words(path)
+
+
+def _plain_case(word: str) -> str:
+    """Lower case where that is one for one, which a tokenizer that lowers case would do itself."""
+    return word.lower() if "<|" not in word and (word.isascii() or max(word) <= "\xff") else word
+
+
+class LibraryIds:
+    """An encoder for one task. `words` says that the tokenizer drops white space and lowers case."""
+
+    def __init__(self, path: str, words: bool) -> None:
+        self.known, self.words = _words(path), words
         self.ids = Ragged(np.int32)
         self.coder = Coder(self._learn, self.ids.clear, chunks if words else cut, "" if words else "\0")
 
     def _learn(self, fresh: list[str]) -> None:
-        if self.words:
-            texts = fresh
-        else:
-            texts = [x[1:] if x[:1] == "\0" else " " + x for x in fresh]
-        for at in range(0, len(texts), 4096):
-            rows = [x.ids for x in self.tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-            flat = np.fromiter((y for x in rows for y in x), np.int32, int(sizes.sum()))
-            self.ids.extend(flat, sizes)
+        parts = []
+        for piece in fresh:
+            if not self.words:
+                piece = piece[1:] if piece[:1] == "\0" else " " + piece
+            core = piece.rstrip(_TAIL)
+            if not core or not core[-1].isalnum():
+                core = piece
+            parts.append(_plain_case(core) if self.words else core)
+            parts.append(piece[len(core) :])
+        flat, sizes = self.known.take(parts)
+        self.ids.extend(flat, sizes[::2] + sizes[1::2])
 
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and where each text's ids begin (one more at the end)."""

@@ -10,6 +10,7 @@ full. Documents are ranked among those of their length, which says which sequenc
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -23,24 +24,30 @@ from pyspark.sql.window import Window
 from cardloom.llm.common import ready, text_of, written
 from cardloom.llm.library_ids import LibraryIds, with_end
 
+# Lengths are counted in steps of so many tokens for the patterns; offsets use the true lengths.
+STEP = 8
 # Column generation ends when the program's value is this close to its lower bound, or after so many
-# patterns. Either only decides how little padding is left; every document is placed all the same.
-GAP = 0.002
-MOST_PATTERNS = 1200
+# patterns; a pattern that leaves more than MOST_WASTE of a sequence empty is not used. These only
+# decide how little padding is left and how many documents are cut: every document is placed.
+GAP = 0.001
+MOST_PATTERNS = 3000
+MOST_WASTE = 0.02
 
 PIECE = "doc_id long, doc_tokens long, start long, length int, tail boolean, task int, place long, ids binary"
 
 
 class Plan(NamedTuple):
-    """Where the r-th remainder of each length goes; `first` and the rest are by length."""
+    """Where the r-th remainder of each length goes. A bin holds STEP neighbouring lengths, shortest first."""
 
     capacity: int
-    first: list[np.ndarray]  # ranks at which a pattern's share begins
-    sequence: list[np.ndarray]  # that pattern's first sequence
-    copies: list[np.ndarray]  # documents of this length in one such sequence
-    offset: list[np.ndarray]  # where they begin in it
-    left_rank: np.ndarray  # ranks from here on are left over
-    left_at: np.ndarray  # place of the first of them in the row of leftovers
+    begins: list[int]  # by length: the rank in its bin of the first remainder of this length
+    bin_lengths: list[list[int]]  # by bin: the lengths in it that occur
+    bin_begins: list[list[int]]  # by bin: where each of them begins
+    first: list[list[int]]  # by bin: the ranks at which a pattern's share begins
+    which: list[list[int]]  # by bin: that pattern
+    patterns: list[tuple[int, list[tuple[int, int, int]]]]  # first sequence; (bin, first rank, copies) in their order
+    left_rank: list[int]  # by bin: ranks from here on are left over
+    left_at: list[int]  # by length: where the leftovers of this length begin in their row
     left_sequence: int
     sequences: int
 
@@ -95,40 +102,49 @@ def patterns(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np
 
 def make_plan(counts: np.ndarray, capacity: int) -> Plan:
     """The plan for `counts[l]` remainders of each length l below the capacity."""
-    lengths = np.flatnonzero(counts)
-    left = counts.astype(np.int64).copy()
-    parts: list[list[tuple[int, int, int, int]]] = [[] for _ in counts]
-    ranks = np.zeros(len(counts), np.int64)
-    sequences = 0
-    if len(lengths):
-        rows, times = patterns(lengths, counts[lengths].astype(float), capacity)
+    n_bins = -(-capacity // STEP) + 1
+    begins, bin_lengths, bin_begins = [0] * capacity, [[] for _ in range(n_bins)], [[] for _ in range(n_bins)]
+    held = np.zeros(n_bins, np.int64)
+    for length in np.flatnonzero(counts).tolist():
+        b = -(-length // STEP)
+        begins[length] = int(held[b])
+        bin_lengths[b].append(length)
+        bin_begins[b].append(int(held[b]))
+        held[b] += int(counts[length])
+    bins = np.flatnonzero(held)
+    ranks, left, sequences = np.zeros(n_bins, np.int64), held.copy(), 0
+    first, which, chosen = [[] for _ in range(n_bins)], [[] for _ in range(n_bins)], []
+    if len(bins):
+        rows, times = patterns(bins, held[bins].astype(float), capacity // STEP)
         for row, often in zip(rows, np.floor(times + 1e-9).astype(np.int64)):
-            # Patterns may cover more than there is: never use one beyond what is left.
             inside = np.flatnonzero(row)
-            often = min([int(often), *(int(left[lengths[k]] // row[k]) for k in inside)])
-            if often <= 0:
+            # Patterns may cover more than there is: never use one beyond what is left.
+            often = min([int(often), *(int(left[bins[k]] // row[k]) for k in inside)])
+            if often <= 0 or STEP * (row @ bins) < (1 - MOST_WASTE) * capacity:
                 continue
-            offset = 0
-            for k in inside[::-1]:
-                length, copies = int(lengths[k]), int(row[k])
-                parts[length].append((int(ranks[length]), sequences, copies, offset))
-                ranks[length] += copies * often
-                left[length] -= copies * often
-                offset += copies * length
+            items = []
+            for b, copies in zip(bins[inside].tolist(), row[inside].tolist()):
+                first[b].append(int(ranks[b]))
+                which[b].append(len(chosen))
+                items.append((b, int(ranks[b]), copies))
+                ranks[b] += copies * often
+                left[b] -= copies * often
+            chosen.append((sequences, items))
             sequences += often
-    left_at = np.zeros(len(counts), np.int64)
-    at = 0
-    for length in range(len(counts) - 1, 0, -1):
+    left_at, at = [0] * capacity, 0
+    for length in np.flatnonzero(counts).tolist()[::-1]:
         left_at[length] = at
-        at += int(left[length]) * length
-    by = [[np.array([p[i] for p in part], np.int64) for part in parts] for i in range(4)]
-    return Plan(capacity, by[0], by[1], by[2], by[3], ranks, left_at, sequences, sequences + -(-at // capacity))
+        over = begins[length] + int(counts[length]) - max(int(ranks[-(-length // STEP)]), begins[length])
+        at += max(0, over) * length
+    return Plan(capacity, begins, bin_lengths, bin_begins, first, which, chosen, ranks.tolist(), left_at, sequences, sequences + -(-at // capacity))
 
 
 def place(plan: Plan, length: int, rank: int) -> list[tuple[int, int, int, int]]:
     """(start, length, sequence, offset) of each piece of the rank-th remainder of a length."""
-    if rank >= plan.left_rank[length]:
-        at = int(plan.left_at[length]) + (rank - int(plan.left_rank[length])) * length
+    own = -(-length // STEP)
+    rank += plan.begins[length]
+    if rank >= plan.left_rank[own]:
+        at = plan.left_at[length] + (rank - max(plan.left_rank[own], plan.begins[length])) * length
         out, start = [], 0
         while start < length:
             sequence, offset = divmod(at + start, plan.capacity)
@@ -136,9 +152,16 @@ def place(plan: Plan, length: int, rank: int) -> list[tuple[int, int, int, int]]
             out.append((start, size, plan.left_sequence + sequence, offset))
             start += size
         return out
-    k = int(np.searchsorted(plan.first[length], rank, side="right")) - 1
-    row, slot = divmod(rank - int(plan.first[length][k]), int(plan.copies[length][k]))
-    return [(0, length, int(plan.sequence[length][k]) + row, int(plan.offset[length][k]) + slot * length)]
+    k = bisect_right(plan.first[own], rank) - 1
+    sequence, items = plan.patterns[plan.which[own][k]]
+    row, slot = divmod(rank - plan.first[own][k], next(c for b, _, c in items if b == own))
+    offset = 0
+    for b, begin, copies in items:  # the true lengths of what lies before in the same sequence
+        before = range(begin + row * copies, begin + row * copies + (slot if b == own else copies))
+        offset += sum(plan.bin_lengths[b][bisect_right(plan.bin_begins[b], r) - 1] for r in before)
+        if b == own:
+            break
+    return [(0, length, sequence + row, offset)]
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

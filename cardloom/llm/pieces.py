@@ -37,7 +37,8 @@ def cut(text: str) -> list[str]:
 
 def chunks(text: str) -> list[str]:
     """Runs between plain blanks, for tokenizers that drop white space; other white space stays inside."""
-    return [x for x in text.replace("\n", " ").replace("\t", " ").split(" ") if x]
+    parts = text.replace("\n", " ").replace("\t", " ").split(" ")
+    return [x for x in parts if x] if "" in parts else parts
 
 
 class _Codes(dict):

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cardloom.llm import packing, token_files
+from cardloom.llm import bpe_sql, near_vectors, packing, posting_lists, token_counts, token_files
 from cardloom.llm.common import ready, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +35,53 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents packed into sequences of at most 1024 tokens."""
     packed = packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
     return packing.piece_digest(packed)
+
+
+@query
+def op5_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
+    """Byte-level BPE ids of all documents, and what they decode to, as checksums."""
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe_sql.encode_digest(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+@query
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of all documents by the compiled transducer."""
+    return token_counts.token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op2_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest vectors by inner product of every 20th vector."""
+    return posting_lists.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query
+def op6_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Links of cosine 0.95 or more between all vectors, and their components."""
+    return near_vectors.near_duplicates(table(spark, folder, "embeddings"), threshold=0.95)
+
+
+ORACLES["op6_near_vectors"] = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) > 0
+      AND NOT list_bool_or(list_transform(embedding, x -> x IS NULL OR NOT isfinite(x)))
+      AND list_bool_or(list_transform(embedding, x -> x <> 0))
+),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+    WHERE len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95
+),
+reach(a, b) AS (
+    SELECT a, b FROM links
+    UNION
+    SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+),
+counts AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a),
+least_of AS (SELECT a AS vec_id, min(b) AS near FROM reach GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links,
+       least(vec_id, coalesce(near, vec_id)) AS component_id,
+       vec_id = least(vec_id, coalesce(near, vec_id)) AS kept
+FROM embeddings LEFT JOIN counts USING (vec_id) LEFT JOIN least_of USING (vec_id)
+"""
