@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardloom.llm.common import ready, text_of
-from cardloom.llm.pieces import Coder, cut
+from cardloom.llm.pieces import Coder
 
 # Matches that one recursive query works on, by number and by bytes: this bounds its memory.
 MATCHES = 20_000
@@ -96,7 +96,7 @@ class Pieces:
         import regex
 
         self.bpe, self.matches = SqlBpe(ranks_path), regex.compile(pattern).findall
-        self.coder = Coder(self._learn, self._forget, cut, "\0")
+        self.coder = Coder(self._learn, self._forget)
         self._forget()
 
     def _forget(self) -> None:

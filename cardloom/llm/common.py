@@ -14,8 +14,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 # Rows and bytes of one Arrow batch, so that very long texts do not meet in one batch.
 BATCH_SETTINGS = {
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
 }
 
 

@@ -2,76 +2,106 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
 from functools import cache
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from cardloom.llm.pieces import Coder, Ragged, chunks, cut
+from cardloom.llm.pieces import Coder, Ragged
 
 # Words that one Python worker remembers over its tasks; forgetting costs time, not results.
 WORKER_WORDS = 500_000
 # Between a letter or digit and one of these a match of either pre-tokenizer always ends.
 _TAIL = "!#$%&()*+,-./:;?"
+# ... if that letter stays one letter when case and composition are normalised.
+_HEAD_END = "[a-zA-Z0-9À-ÖØ-öø-ÿ]\\z"
+
+
+_LATIN = re.compile(" ?[a-zA-ZÀ-ÖØ-öø-ÿ]+")
+# How byte-level models write the bytes that are no printable characters.
+_UNPRINTED = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
+
+
+def _byte_text(word: str) -> str:
+    if word.isascii():
+        return "\u0120" + word[1:] if word[0] == " " else word
+    return word.encode().decode("latin-1").translate(_UNPRINTED)
 
 
 class _Words:
     """The library's ids of words without context, kept by a worker over its tasks."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, spaced: bool) -> None:
         from tokenizers import Tokenizer
 
+        self.spaced = spaced  # whether a match takes the space before it
+
         self.tokenizer = Tokenizer.from_file(path)
         self.rows: dict[str, int] = {}
         self.ids = Ragged(np.int32)
 
-    def take(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The words' ids one after the other, and how many each has."""
+    def rows_of(self, words: list[str]) -> np.ndarray:
+        """The words' rows in `ids`."""
         if len(self.rows) > WORKER_WORDS:
             self.rows, self.ids = {}, Ragged(np.int32)
-        rows = self.rows
-        fresh = list({x for x in words if x not in rows})
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            found = [x.ids for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            rows.update(zip(part, range(len(rows), len(rows) + len(part))))
-            self.ids.extend(np.fromiter((y for x in found for y in x), np.int32, int(sizes.sum())), sizes)
-        return self.ids.take(np.fromiter(map(rows.__getitem__, words), np.int64, len(words)))
+        fresh = [x for x in words if x not in self.rows]
+        # A run of Latin letters is one match of the pre-tokenizer: the library's model takes it as it is.
+        model, plain = self.tokenizer.model.tokenize, _LATIN.fullmatch
+        found: list[list[int]] = []
+        rest = []
+        for k, word in enumerate(fresh):
+            if plain(word) and (self.spaced or word[0] != " "):
+                found.append([x.id for x in model(_byte_text(word if self.spaced else word.lower()))])
+            else:
+                found.append([])
+                rest.append(k)
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
+            for k, x in zip(part, self.tokenizer.encode_batch_fast([fresh[k] for k in part], add_special_tokens=False)):
+                found[k] = x.ids
+        self.rows.update(zip(fresh, range(len(self.rows), len(self.rows) + len(fresh))))
+        self.ids.extend(np.array(list(chain.from_iterable(found)), np.int32), np.array(list(map(len, found)), np.int64))
+        return np.array([self.rows[x] for x in words], np.int64)
 
 
 @cache
-def _words(path: str) -> _Words:
-    return _Words(path)
-
-
-def _plain_case(word: str) -> str:
-    """Lower case where that is one for one, which a tokenizer that lowers case would do itself."""
-    return word.lower() if "<|" not in word and (word.isascii() or max(word) <= "\xff") else word
+def _words(path: str, spaced: bool) -> _Words:
+    return _Words(path, spaced)
 
 
 class LibraryIds:
     """An encoder for one task. `words` says that the tokenizer drops white space and lowers case."""
 
     def __init__(self, path: str, words: bool) -> None:
-        self.known, self.words = _words(path), words
+        self.known, self.words = _words(path, not words), words
         self.ids = Ragged(np.int32)
-        self.coder = Coder(self._learn, self.ids.clear, chunks if words else cut, "" if words else "\0")
+        self.coder = Coder(self._learn, self.ids.clear, words)
 
     def _learn(self, fresh: list[str]) -> None:
-        parts = []
-        for piece in fresh:
-            if not self.words:
-                piece = piece[1:] if piece[:1] == "\0" else " " + piece
-            core = piece.rstrip(_TAIL)
-            if not core or not core[-1].isalnum():
-                core = piece
-            parts.append(_plain_case(core) if self.words else core)
-            parts.append(piece[len(core) :])
-        flat, sizes = self.known.take(parts)
-        self.ids.extend(flat, sizes[::2] + sizes[1::2])
-
-    def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not self.words:
+            fresh = [x[1:] if x[:1] == "\0" else " " + x for x in fresh]
+        whole = pa.array(fresh, pa.large_string())
+        core = pc.utf8_rtrim(whole, _TAIL)
+        split = pc.and_(pc.less(pc.binary_length(core), pc.binary_length(whole)), pc.match_substring_regex(core, _HEAD_END))
+        core = pc.if_else(split, core, whole)
+        if self.words:
+            # ASCII letters lower one for one, which the tokenizer would do itself; special strings are left alone.
+            core = pc.if_else(pc.match_substring(core, "<|"), core, pc.ascii_lower(core))
+        tails = np.flatnonzero(split.to_numpy(zero_copy_only=False))
+        ends = pc.utf8_length(core).to_numpy()[tails]
+        words = pa.concat_arrays([core, pa.array([fresh[k][n:] for k, n in zip(tails.tolist(), ends.tolist())], pa.large_string())])
+        coded = words.dictionary_encode()
+        rows = self.known.rows_of(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        # Each piece's word, then its tail if it has one.
+        piece = np.concatenate([np.arange(len(fresh)), tails])
+        order = np.argsort(piece, kind="stable")
+        flat, sizes = self.known.ids.take(rows[order])
+        self.ids.extend(flat, np.bincount(piece[order], weights=sizes, minlength=len(fresh)).astype(np.int64))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and where each text's ids begin (one more at the end)."""
         codes, starts = self.coder.encode(texts)
         flat, sizes = self.ids.take(codes)

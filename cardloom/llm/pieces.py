@@ -8,9 +8,11 @@ tokenizer makes of the pieces is then what it makes of the whole text.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # White space besides the plain space: what Latin texts hold, and the rest.
 _LATIN_BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0"
@@ -35,49 +37,65 @@ def cut(text: str) -> list[str]:
     return text.split(" ") if _every_space_cuts(text) else _SAFE_SPACE.split(text)
 
 
-def chunks(text: str) -> list[str]:
-    """Runs between plain blanks, for tokenizers that drop white space; other white space stays inside."""
-    parts = text.replace("\n", " ").replace("\t", " ").split(" ")
-    return [x for x in parts if x] if "" in parts else parts
-
-
-class _Codes(dict):
-    def __init__(self) -> None:
-        super().__init__()
-        self.fresh: list[str] = []
-
-    def __missing__(self, key: str) -> int:
-        code = self[key] = len(self)
-        self.fresh.append(key)
-        return code
+# Characters that are no characters: one that no text of a batch holds stands for spaces not to be cut at.
+_STAND_INS = [chr(c) for c in range(0xFDD0, 0xFDF0)]
+
+
+def pieces(texts: list[str], words: bool) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """(places in the list of distinct pieces, that list, where each text begins) of a batch.
+
+    With `words` a text gives its runs between plain blanks, for tokenizers that drop white space; other
+    white space stays inside a run. Else a text gives the pieces described above: the first is marked
+    by a leading NUL, and all others stand for a space and what follows.
+    """
+    if words:
+        texts = [x.replace("\n", " ").replace("\t", " ") for x in texts]
+    else:
+        unsafe = [i for i, x in enumerate(texts) if not _every_space_cuts(x)]
+        stand_in = next((c for c in _STAND_INS if not any(c in x for x in texts)), None)
+        if stand_in is None:
+            parts = [["\0" + x if k == 0 else x for k, x in enumerate(cut(text))] for text in texts]
+            flat = pa.array([x for part in parts for x in part], pa.large_string()).dictionary_encode()
+            return flat.indices.to_numpy(), flat.dictionary.to_pylist(), np.cumsum([0, *map(len, parts)])
+        texts = ["\0" + x for x in texts]
+        for i in unsafe:
+            parts = _SAFE_SPACE.split(texts[i][1:])
+            texts[i] = "\0" + " ".join([x.replace(" ", stand_in) for x in parts])
+    lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+    coded = lists.values.dictionary_encode()
+    places, starts = coded.indices.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+    names = coded.dictionary.to_pylist()
+    if words:
+        empty = names.index("") if "" in names else -1
+        held = np.concatenate([[0], np.cumsum(places != empty)])
+        return places[places != empty], names, held[starts]
+    if unsafe:
+        names = [x.replace(stand_in, " ") if stand_in in x else x for x in names]
+    return places, names, starts
 
 
 class Coder:
     """Codes of pieces in the order of first sight; `learn` is told each new piece once."""
 
-    def __init__(self, learn: Callable[[list[str]], None], forget: Callable[[], None], split: Callable[[str], list[str]], lead: str = " ") -> None:
-        self.learn, self.forget, self.split, self.lead = learn, forget, split, lead
-        self.codes = _Codes()
+    def __init__(self, learn: Callable[[list[str]], None], forget: Callable[[], None], words: bool = False) -> None:
+        self.learn, self.forget, self.words = learn, forget, words
+        self.codes: dict[str, int] = {}
 
-    def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' codes one after the other, and where each text's codes begin (one more at the end)."""
         if len(self.codes) > MEMORY:
-            self.codes = _Codes()
+            self.codes = {}
             self.forget()
-        flat: list[str] = []
-        starts = np.zeros(len(texts) + 1, np.int64)
-        for i, text in enumerate(texts):
-            parts = self.split(text)
-            if self.lead and parts:
-                # Inner pieces carry no space as keys; a first piece is marked instead, as it has none.
-                parts[0] = self.lead + parts[0]
-            flat += parts
-            starts[i + 1] = len(flat)
-        codes = np.fromiter(map(self.codes.__getitem__, flat), np.int64, len(flat))
-        if self.codes.fresh:
-            self.learn(self.codes.fresh)
-            self.codes.fresh = []
-        return codes, starts
+        places, names, starts = pieces(texts, self.words)
+        get = self.codes.get
+        codes = np.fromiter([get(x, -1) for x in names], np.int64, len(names))
+        unknown = np.flatnonzero(codes < 0)
+        if len(unknown):
+            fresh = list(dict.fromkeys([names[k] for k in unknown.tolist()]))
+            self.codes.update(zip(fresh, range(len(self.codes), len(self.codes) + len(fresh))))
+            self.learn(fresh)
+            codes[unknown] = [self.codes[names[k]] for k in unknown.tolist()]
+        return codes[places], starts
 
 
 class Ragged:
