@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,27 +25,34 @@ from cardloom.llm.pieces import Coder
 MATCHES = 20_000
 MATCH_BYTES = 400_000
 
+# Words that one Python worker remembers over its tasks; forgetting costs time, not results.
+WORKER_WORDS = 400_000
+
+# A word that is a token as a whole starts as that token (`single`). A step finds each word's smallest
+# (rank, place) among its neighbouring pairs, writes the new token there and drops the pair's second.
 ENCODE = """
 WITH RECURSIVE step(n, word, place, id) AS (
-    SELECT 0, word, place, b.id FROM letters JOIN bytes b USING (byte)
+    SELECT 0, word, place, CASE WHEN single >= 0 THEN single ELSE b.id END FROM letters JOIN bytes b USING (byte)
     UNION ALL
-    SELECT n + 1, word, place, CASE WHEN key = best THEN key >> 32 ELSE id END
-    FROM (
-        SELECT *, lag(key) OVER (PARTITION BY word ORDER BY place) AS before
-        FROM (
-            SELECT *, min(key) OVER (PARTITION BY word) AS best
+    (
+        WITH pair AS MATERIALIZED (
+            SELECT s.*, (m.id << 32) + place AS key
             FROM (
-                SELECT pair.*, (m.id << 32) + place AS key
-                FROM (SELECT *, lead(id) OVER (PARTITION BY word ORDER BY place) AS next FROM step) pair
-                LEFT JOIN merges m ON pair.id = m.lhs AND pair.next = m.rhs
-            )
+                SELECT *, lead(id) OVER w AS next, lead(place) OVER w AS after
+                FROM step WINDOW w AS (PARTITION BY word ORDER BY place)
+            ) s
+            LEFT JOIN merges m ON s.id = m.lhs AND s.next = m.rhs
+        ),
+        best AS (
+            SELECT word, min(key) AS key, arg_min(after, key) AS gone FROM pair WHERE key IS NOT NULL GROUP BY word
         )
-        WHERE best IS NOT NULL
+        SELECT n + 1, word, place, CASE WHEN pair.key = best.key THEN best.key >> 32 ELSE id END
+        FROM pair JOIN best USING (word)
+        WHERE place <> gone
     )
-    WHERE before IS DISTINCT FROM best
 ),
 last AS (SELECT word, max(n) AS n FROM step GROUP BY word)
-SELECT word, list(id ORDER BY place) AS ids, unhex(string_agg(hex, '' ORDER BY place)) AS decoded
+SELECT list(id ORDER BY place) AS ids, unhex(string_agg(hex, '' ORDER BY place)) AS decoded
 FROM step JOIN last USING (word, n) JOIN tokens USING (id)
 GROUP BY word
 ORDER BY word
@@ -52,7 +60,7 @@ ORDER BY word
 
 
 class SqlBpe:
-    """Encodes and decodes matches in one in-memory DuckDB connection of one task."""
+    """Encodes and decodes matches in one in-memory DuckDB connection of one Python worker."""
 
     def __init__(self, ranks_path: str) -> None:
         import duckdb
@@ -61,6 +69,7 @@ class SqlBpe:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self.ranks = ranks
+        self.known: dict[str, tuple[str, bytes, int]] = {}
         pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         left, right, new = (pa.array(x, pa.int64()) for x in zip(*pairs))
         self._table("merges", lhs=left, rhs=right, id=new)
@@ -85,17 +94,39 @@ class SqlBpe:
         self.con.register("given", pa.table({"word": word, "place": place, "single": single, "byte": letter}))
         self.con.execute("CREATE OR REPLACE TABLE letters AS SELECT word, place, single, byte FROM given")
         self.con.unregister("given")
-        found = self.con.execute(ENCODE.replace("SELECT 0, word, place, b.id", "SELECT 0, word, place, CASE WHEN single >= 0 THEN single ELSE b.id END")).to_arrow_table()
+        found = self.con.sql(ENCODE).to_arrow_table()
         return found.column("ids").to_pylist(), found.column("decoded").to_pylist()
 
 
+    def learn(self, words: Iterable[str]) -> dict[str, tuple[str, bytes, int]]:
+        """(ids as text, decoded bytes, number of ids) of these words, and of others seen before."""
+        if len(self.known) > WORKER_WORDS:
+            self.known = {}
+        fresh = [w for w in words if w not in self.known]
+        at = 0
+        while at < len(fresh):
+            size, part = 0, []
+            while at < len(fresh) and len(part) < MATCHES and (not part or size + len(fresh[at]) <= MATCH_BYTES):
+                size += len(fresh[at])
+                part.append(fresh[at])
+                at += 1
+            for word, ids, decoded in zip(part, *self.encode([w.encode() for w in part])):
+                self.known[word] = ",".join(map(str, ids)), decoded, len(ids)
+        return self.known
+
+
+@cache
+def sql_bpe(ranks_path: str) -> SqlBpe:
+    return SqlBpe(ranks_path)
+
+
 class Pieces:
     """Ids as text and decoded bytes of each distinct piece."""
 
     def __init__(self, ranks_path: str, pattern: str) -> None:
         import regex
 
-        self.bpe, self.matches = SqlBpe(ranks_path), regex.compile(pattern).findall
+        self.bpe, self.matches = sql_bpe(ranks_path), regex.compile(pattern).findall
         self.coder = Coder(self._learn, self._forget)
         self._forget()
 
@@ -104,31 +135,18 @@ class Pieces:
         self.decoded: list[bytes] = []
         self.sizes: list[int] = []
 
-    def _words(self, words: list[bytes]) -> tuple[list[list[int]], list[bytes]]:
-        ids: list[list[int]] = []
-        decoded: list[bytes] = []
-        at = 0
-        while at < len(words):
-            size, end = 0, at
-            while end < len(words) and end - at < MATCHES and (end == at or size + len(words[end]) <= MATCH_BYTES):
-                size += len(words[end])
-                end += 1
-            a, b = self.bpe.encode(words[at:end])
-            ids += a
-            decoded += b
-            at = end
-        return ids, decoded
-
     def _learn(self, fresh: list[str]) -> None:
         parts = [self.matches(x[1:] if x[:1] == "\0" else " " + x) for x in fresh]
-        places = {w: k for k, w in enumerate(dict.fromkeys(w for x in parts for w in x))}
-        ids, decoded = self._words([w.encode() for w in places])
-        text = [",".join(map(str, x)) for x in ids]
+        known = self.bpe.learn(dict.fromkeys([w for x in parts for w in x]))
         for x in parts:
-            at = [places[w] for w in x]
-            self.ids.append(",".join([text[k] for k in at]))
-            self.decoded.append(b"".join([decoded[k] for k in at]))
-            self.sizes.append(sum([len(ids[k]) for k in at]))
+            if len(x) == 1:
+                ids, decoded, n = known[x[0]]
+            else:
+                found = [known[w] for w in x]
+                ids, decoded, n = ",".join([y[0] for y in found]), b"".join([y[1] for y in found]), sum([y[2] for y in found])
+            self.ids.append(ids)
+            self.decoded.append(decoded)
+            self.sizes.append(n)
 
     def digest(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """(number of ids, checksum of the ids as text, checksum of the decoded bytes) of each text."""

@@ -5,7 +5,7 @@ holds where the pre-tokenizer stands and, inside a match, what byte-pair encodin
 the longest suffix that some token continues, the last token at each place in it, and the counts
 there relative to now. A byte's transition takes the one token that ends there and may follow the
 token before it, so its count is that place's count plus one. Both are finite; states and
-transitions are compiled when first needed and kept for the task.
+transitions are compiled when first needed and kept.
 
 Texts are cut into chunks before single spaces between other characters. There every state moves to
 the same one, so a chunk's state map is one count whatever state it is entered in; maps are worked
@@ -29,8 +29,8 @@ from cardloom.llm.common import ready, text_of
 from cardloom.llm.pieces import Coder, Ragged, text_sums
 
 WHITE = frozenset("\t\n\x0b\x0c\r \x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B))))
-# Compiled transitions that a task keeps before it starts afresh; that costs time, not results.
-MOST_TRANSITIONS = 1_500_000
+# Compiled transitions that a worker keeps before it starts afresh; that costs time, not results.
+MOST_TRANSITIONS = 1_200_000
 
 
 @cache
@@ -123,14 +123,18 @@ class Transducer:
         suffix += bytes([byte])
         for i in range(len(suffix)):  # from the longest candidate on
             token = suffix[i:]
-            if token in self.tokens and self._may_follow(lasts[i], token):
+            if lasts[i] is not None and token in self.tokens and self._may_follow(lasts[i], token):
                 emitted = counts[i] + 1
                 break
         else:
             raise ValueError("the vocabulary lacks a byte")
         lasts, counts = (*lasts, token), (*(c - emitted for c in counts), 0)
-        keep = next((i for i in range(len(suffix)) if suffix[i:] in self.begins), len(suffix))
-        found = self._byte_state((suffix[keep:], lasts[keep:], counts[keep:])), emitted
+        # Only places from which some token may still come matter to what follows.
+        open_ = [i == len(suffix) or suffix[i:] in self.begins for i in range(len(suffix) + 1)]
+        keep = open_.index(True)
+        places = range(keep, len(suffix) + 1)
+        key = suffix[keep:], tuple(lasts[i] if open_[i] else None for i in places), tuple(counts[i] if open_[i] else 0 for i in places)
+        found = self._byte_state(key), emitted
         self.byte_moves[state, byte] = found
         self.compiled += 1
         return found
@@ -232,6 +236,12 @@ class Transducer:
         return total + self.ends[state]
 
 
+@cache
+def transducer(path: str) -> Transducer:
+    """One for each Python worker, which keeps what it has compiled over its tasks."""
+    return Transducer(path)
+
+
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (more than `limit` tokens) of every whole text.
 
@@ -241,7 +251,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
     ready(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine, known = Transducer(tokenizer), Ragged(np.int64)
+        machine, known = transducer(tokenizer), Ragged(np.int64)
 
         def learn(fresh: list[str]) -> None:
             if machine.compiled > MOST_TRANSITIONS:
