@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from cardloom.llm.pieces import Coder, Ragged
 
 # Words that one Python worker remembers over its tasks; forgetting costs time, not results.
-WORKER_WORDS = 500_000
+WORKER_WORDS = 300_000
 # Between a letter or digit and one of these a match of either pre-tokenizer always ends.
 _TAIL = "!#$%&()*+,-./:;?"
 # ... if that letter stays one letter when case and composition are normalised.

@@ -19,7 +19,7 @@ _LATIN_BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0"
 _OTHER_BLANK = re.compile("[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 # Distinct pieces that one task remembers before it starts afresh; forgetting costs time, not results.
-MEMORY = 400_000
+MEMORY = 250_000
 
 
 def _every_space_cuts(text: str) -> bool:

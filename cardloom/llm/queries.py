@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardloom.llm import bpe_sql, near_vectors, packing, posting_lists, token_counts, token_files
+from cardloom.llm import bpe_sql, languages, near_vectors, packing, posting_lists, quality, token_counts, token_files
 from cardloom.llm.common import ready, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,15 @@ SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links,
        vec_id = least(vec_id, coalesce(near, vec_id)) AS kept
 FROM embeddings LEFT JOIN counts USING (vec_id) LEFT JOIN least_of USING (vec_id)
 """
+
+
+@query
+def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of all documents, learned from the labels."""
+    return quality.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op9_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of all documents."""
+    return languages.predict_languages(table(spark, folder, "documents"))
