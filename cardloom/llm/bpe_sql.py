@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardloom.llm.common import ready, text_of
-from cardloom.llm.pieces import Coder
+from cardloom.llm.pieces import Coder, piece_text
 
 # Matches that one recursive query works on, by number and by bytes: this bounds its memory.
 MATCHES = 20_000
@@ -136,7 +136,7 @@ class Pieces:
         self.sizes: list[int] = []
 
     def _learn(self, fresh: list[str]) -> None:
-        parts = [self.matches(x[1:] if x[:1] == "\0" else " " + x) for x in fresh]
+        parts = [self.matches(piece_text(x)) for x in fresh]
         known = self.bpe.learn(dict.fromkeys([w for x in parts for w in x]))
         for x in parts:
             if len(x) == 1:

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from cardloom.llm.pieces import Coder, Ragged
+from cardloom.llm.pieces import Coder, Ragged, piece_text
 
 # Words that one Python worker remembers over its tasks; forgetting costs time, not results.
 WORKER_WORDS = 300_000
@@ -81,8 +81,12 @@ class LibraryIds:
         self.coder = Coder(self._learn, self.ids.clear, words)
 
     def _learn(self, fresh: list[str]) -> None:
+        lines: list[int] = []
         if not self.words:
-            fresh = [x[1:] if x[:1] == "\0" else " " + x for x in fresh]
+            lines = [k for k, x in enumerate(fresh) if x[:1] == "\n" and len(x) > 1]
+            fresh = [piece_text(x) for x in fresh]
+            for k in lines:  # the line end is a match of its own
+                fresh[k] = fresh[k][1:]
         whole = pa.array(fresh, pa.large_string())
         core = pc.utf8_rtrim(whole, _TAIL)
         split = pc.and_(pc.less(pc.binary_length(core), pc.binary_length(whole)), pc.match_substring_regex(core, _HEAD_END))
@@ -92,11 +96,11 @@ class LibraryIds:
             core = pc.if_else(pc.match_substring(core, "<|"), core, pc.ascii_lower(core))
         tails = np.flatnonzero(split.to_numpy(zero_copy_only=False))
         ends = pc.utf8_length(core).to_numpy()[tails]
-        words = pa.concat_arrays([core, pa.array([fresh[k][n:] for k, n in zip(tails.tolist(), ends.tolist())], pa.large_string())])
+        words = pa.concat_arrays([pa.array(["\n"] * len(lines), pa.large_string()), core, pa.array([fresh[k][n:] for k, n in zip(tails.tolist(), ends.tolist())], pa.large_string())])
         coded = words.dictionary_encode()
         rows = self.known.rows_of(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-        # Each piece's word, then its tail if it has one.
-        piece = np.concatenate([np.arange(len(fresh)), tails])
+        # Each piece's line end if it has one, its word, then its tail if it has one.
+        piece = np.concatenate([np.array(lines, np.int64), np.arange(len(fresh)), tails])
         order = np.argsort(piece, kind="stable")
         flat, sizes = self.known.ids.take(rows[order])
         self.ids.extend(flat, np.bincount(piece[order], weights=sizes, minlength=len(fresh)).astype(np.int64))

@@ -32,6 +32,16 @@ def _every_space_cuts(text: str) -> bool:
     return text.isascii() or _OTHER_BLANK.search(text) is None
 
 
+def _lines_cut(text: str) -> bool:
+    """Whether every line end stands between characters that are no white space: it is then a match of its own."""
+    return "\n" in text and "\n\n" not in text and not any(b in text for b in _LATIN_BLANKS if b != "\n") and _every_space_cuts(text) and _OTHER_BLANK.search(text) is None
+
+
+def piece_text(piece: str) -> str:
+    """What a piece stands for: a first piece is marked by NUL, a line's first word keeps the line end before it."""
+    return piece[1:] if piece[:1] == "\0" else piece if piece[:1] == "\n" else " " + piece
+
+
 def cut(text: str) -> list[str]:
     """The pieces of a text; all but the first stand for a space and what follows."""
     return text.split(" ") if _every_space_cuts(text) else _SAFE_SPACE.split(text)
@@ -57,7 +67,7 @@ def pieces(texts: list[str], words: bool) -> tuple[np.ndarray, list[str], np.nda
             parts = [["\0" + x if k == 0 else x for k, x in enumerate(cut(text))] for text in texts]
             flat = pa.array([x for part in parts for x in part], pa.large_string()).dictionary_encode()
             return flat.indices.to_numpy(), flat.dictionary.to_pylist(), np.cumsum([0, *map(len, parts)])
-        texts = ["\0" + x for x in texts]
+        texts = ["\0" + (x.replace("\n", " \n") if _lines_cut(x) else x) for x in texts]
         for i in unsafe:
             parts = _SAFE_SPACE.split(texts[i][1:])
             texts[i] = "\0" + " ".join([x.replace(" ", stand_in) for x in parts])

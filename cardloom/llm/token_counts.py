@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardloom.llm.common import ready, text_of
-from cardloom.llm.pieces import Coder, Ragged, text_sums
+from cardloom.llm.pieces import Coder, Ragged, piece_text, text_sums
 
 WHITE = frozenset("\t\n\x0b\x0c\r \x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B))))
 # Compiled transitions that a worker keeps before it starts afresh; that costs time, not results.
@@ -256,7 +256,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
         def learn(fresh: list[str]) -> None:
             if machine.compiled > MOST_TRANSITIONS:
                 machine.clear()
-            n = [machine.count(x[1:] if x[:1] == "\0" else " " + x) for x in fresh]
+            n = [machine.count(piece_text(x)) for x in fresh]
             known.extend(np.array(n, np.int64), np.ones(len(n), np.int64))
 
         coder = Coder(learn, known.clear)
