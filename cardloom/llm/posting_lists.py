@@ -26,13 +26,13 @@ from cardloom.llm.vectors import matrix, vector_rows
 # lists are searched in slices of about SLICE vectors. Every vector is indexed.
 SAMPLE = 20_000
 MOST_LISTS = 512
-LIST = 200
+LIST = 1000
 SLICE = 8192
-REPLICAS = 8
+REPLICAS = 4
 # How much farther than the nearest centroid: for a list to hold a vector, and to be searched.
 REPLICA_RATIO = 1.25
-RATIO = 1.17
-FEWEST_LISTS = 6
+RATIO = 1.08
+FEWEST_LISTS = 4
 NEIGHBOURS = 16
 
 
@@ -158,7 +158,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
         if not len(base) or not len(asked):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         x, ids = np.array(base.v.tolist()), base.vec_id.to_numpy()
-        found = []
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for at in range(0, len(asked), 256):
             part = asked.iloc[at : at + 256]
             q = np.array(part.v.tolist())
@@ -169,10 +169,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
                 least = np.partition(line, -k)[-k] if len(line) > k else -np.inf
                 pick = np.flatnonzero((line >= least - 1e-9) & np.isfinite(line))
                 # One fixed order of addition, so that equal vectors have equal scores everywhere.
-                exact = np.array([float((q[i] * x[j]).sum()) for j in pick])
+                exact = (q[i] * x[pick]).sum(axis=1)
                 best = np.lexsort((ids[pick], -exact))[:k]
-                found.append(pd.DataFrame({"query_id": query, "vec_id": ids[pick][best], "score": exact[best]}))
-        return pd.concat(found)
+                found.append((np.full(len(best), query), ids[pick][best], exact[best]))
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*found)))))
 
     scored = left.groupBy("list", "slice").cogroup(right.groupBy("list", "slice")).applyInPandas(score, out)
     once = scored.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
