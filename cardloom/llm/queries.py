@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardloom.llm import bpe_sql, dart_minhash, languages, near_vectors, packing, posting_lists, quality, token_counts, token_files
+from cardloom.llm import bpe_sql, dart_minhash, languages, mixing, near_vectors, packing, posting_lists, quality, token_counts, token_files
 from cardloom.llm.common import ready, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,9 @@ def op9_languages(spark: SparkSession, folder: str) -> DataFrame:
 def op4_near_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Classes of near-duplicate documents: five-word shingles, similarity of 0.8 or more."""
     return dart_minhash.classes(table(spark, folder, "documents")).select("doc_id", "class_id", "kept")
+
+
+@query
+def op3_text_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probabilities of all documents by mixed bit predictors, beside the counted base."""
+    return mixing.score_texts(table(spark, folder, "documents"))
