@@ -76,9 +76,12 @@ def pieces(texts: list[str], words: bool) -> tuple[np.ndarray, list[str], np.nda
     places, starts = coded.indices.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
     names = coded.dictionary.to_pylist()
     if words:
-        empty = names.index("") if "" in names else -1
-        held = np.concatenate([[0], np.cumsum(places != empty)])
-        return places[places != empty], names, held[starts]
+        if "" not in names:
+            return places, names, starts
+        empty = names.index("")
+        keep = places != empty
+        held = np.concatenate([[0], np.cumsum(keep)])
+        return np.where(places > empty, places - 1, places)[keep], names[:empty] + names[empty + 1 :], held[starts]
     if unsafe:
         names = [x.replace(stand_in, " ") if stand_in in x else x for x in names]
     return places, names, starts
