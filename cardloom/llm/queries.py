@@ -64,10 +64,10 @@ def op6_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 ORACLES["op6_near_vectors"] = """
 WITH RECURSIVE v AS (
-    SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
+    SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
     WHERE embedding IS NOT NULL AND len(embedding) > 0
-      AND NOT list_bool_or(list_transform(embedding, x -> x IS NULL OR NOT isfinite(x)))
-      AND list_bool_or(list_transform(embedding, x -> x <> 0))
+      AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)))
+      AND list_bool_or(list_transform(embedding, lambda x: x <> 0))
 ),
 links AS (
     SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
