@@ -496,7 +496,7 @@ def stream_collection(t: Tables) -> DataFrame:
     """The add commands as a stream that keeps a collection table."""
     base = shared_dir(t.spark, "collection")
     adds = _adds(t, t.event_stream()).where(F.col("card_id").isNotNull())
-    streams.keep_collection(adds, f"{base}/table", f"{base}/checkpoint").awaitTermination()
+    streams.keep_collection(adds, t.cards(), f"{base}/table", f"{base}/checkpoint").awaitTermination()
     return streams.read_collection(t.spark, f"{base}/table")
 
 

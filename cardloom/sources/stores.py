@@ -1,17 +1,17 @@
-"""Versioned parquet tables: every write is a new version, readers see whole ones only.
-
-Two kinds: plain tables, where a version is the whole table, and grouped tables,
-where a version holds the groups (all rows of a key) that changed, and now and
-then a full one starts a new chain.
-"""
+"""Parquet tables that are replaced whole, and tables in hash buckets of which only touched ones are replaced."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-CHANGED, FULL = "v", "f"
+# Buckets of a bucketed table; fixed for a table once it holds rows.
+BUCKETS = 64
+# A marker row of a bucket says which batch of which stream it was last replaced by.
+STREAM, BATCH = "_stream", "_batch"
 
 
 def _file_system(spark: SparkSession, base: str):
@@ -19,7 +19,7 @@ def _file_system(spark: SparkSession, base: str):
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
-def versions(spark: SparkSession, base: str, kind: str = CHANGED) -> list[int]:
+def versions(spark: SparkSession, base: str) -> list[int]:
     """Complete versions in ascending order: those whose write was committed."""
     fs, root = _file_system(spark, base)
     if not fs.exists(root):
@@ -28,7 +28,7 @@ def versions(spark: SparkSession, base: str, kind: str = CHANGED) -> list[int]:
     found = []
     for status in fs.listStatus(root):
         name = status.getPath().getName()
-        if name.startswith(kind) and name[1:].isdigit() and fs.exists(new_path(status.getPath(), "_SUCCESS")):
+        if name.startswith("v") and name[1:].isdigit() and fs.exists(new_path(status.getPath(), "_SUCCESS")):
             found.append(int(name[1:]))
     return sorted(found)
 
@@ -61,32 +61,53 @@ def load_or_seed(spark: SparkSession, base: str, schema: StructType | str, seed:
     return stored
 
 
-def write_groups(rows: DataFrame, touched: DataFrame, base: str, number: int, keys: list[str], full: bool = False) -> None:
-    """Write all rows of the touched keys as version ``number``.
+def bucket_of(keys: list[str], buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def _stored(spark: SparkSession, base: str, schema: str) -> DataFrame:
+    """Rows and marker rows of all buckets; a filter on `bucket` reads those folders only."""
+    full = StructType([*spark.createDataFrame([], schema).schema, StructField(STREAM, StringType()), StructField(BATCH, LongType()), StructField("bucket", IntegerType())])
+    fs, root = _file_system(spark, base)
+    if not fs.exists(root):
+        return spark.createDataFrame([], full)
+    return spark.read.schema(full).parquet(base)
+
+
+def read_buckets(spark: SparkSession, base: str, schema: str) -> DataFrame:
+    """All rows of a bucketed table; none where there is no table."""
+    return _stored(spark, base, schema).where(F.col(STREAM).isNull()).drop(STREAM, BATCH, "bucket")
+
+
+def update_buckets(
+    batch: DataFrame, update: Callable[[DataFrame, DataFrame], DataFrame], base: str, schema: str, keys: list[str], stream: str, number: int,
+    buckets: int = BUCKETS,
+) -> None:
+    """Replace the buckets that a batch touches by what `update(their rows, the batch)` gives.
 
-    A touched key without rows has lost its group. The keys are written last and
-    complete the version; a number written again replaces the earlier try.
+    Each replaced bucket keeps a marker row for every stream that wrote to it. A bucket that already
+    carries this stream's batch is left alone, so a batch that runs again is not applied twice, and
+    batch numbers of different streams are never compared.
     """
-    spark, kind = rows.sparkSession, FULL if full else CHANGED
-    path = f"{base}/rows/{kind}{number}"
-    rows.write.mode("overwrite").parquet(path)
-    kept = spark.read.schema(rows.schema).parquet(path).select(*keys)
-    kept.unionByName(touched.select(*keys)).distinct().write.mode("overwrite").parquet(f"{base}/keys/{kind}{number}")
-
-
-def read_groups(
-    spark: SparkSession, base: str, schema: StructType | str, keys: list[str], below: int | None = None
-) -> DataFrame:
-    """Every group as its newest complete version (older than ``below``) has it."""
-    known = [(n, kind) for kind in (CHANGED, FULL) for n in versions(spark, f"{base}/keys", kind) if below is None or n < below]
-    start = max((n for n, kind in known if kind == FULL), default=0)
-    chain = [f"{kind}{n}" for n, kind in sorted(known) if n >= start]
-    empty = spark.createDataFrame([], schema)
-    if not chain:
-        return empty
-    number = F.regexp_extract(F.col("_metadata.file_path"), r"/[vf](\d+)/[^/]*$", 1).cast("bigint").alias("_version")
-    rows = spark.read.schema(schema).parquet(*[f"{base}/rows/{c}" for c in chain]).select("*", number)
-    key_schema = empty.select(*keys).schema
-    touched = spark.read.schema(key_schema).parquet(*[f"{base}/keys/{c}" for c in chain]).select("*", number)
-    newest = touched.groupBy(*keys).agg(F.max("_version").alias("_version"))
-    return rows.join(newest, [*keys, "_version"], "left_semi").select(*empty.columns)
+    spark = batch.sparkSession
+    placed = batch.withColumn("bucket", bucket_of(keys, buckets)).persist()
+    try:
+        touched = {r.bucket for r in placed.select("bucket").distinct().collect()}  # `buckets` numbers at most
+        stored = _stored(spark, base, schema).where(F.col("bucket").isin(sorted(touched)))
+        marks = stored.where(F.col(STREAM).isNotNull())
+        done = {r.bucket for r in marks.where((F.col(STREAM) == stream) & (F.col(BATCH) >= number)).select("bucket").collect()}
+        todo = sorted(touched - done)
+        if not todo:
+            return
+        held = stored.where(F.col(STREAM).isNull() & F.col("bucket").isin(todo)).drop(STREAM, BATCH, "bucket")
+        rows = update(held, placed.where(F.col("bucket").isin(todo)).drop("bucket")).select(*held.columns)
+        rows = rows.withColumn(STREAM, F.lit(None).cast("string")).withColumn(BATCH, F.lit(None).cast("long")).withColumn("bucket", bucket_of(keys, buckets))
+        own = spark.createDataFrame([(stream, number, b) for b in todo], f"{STREAM} string, {BATCH} long, bucket int")
+        others = marks.where(F.col("bucket").isin(todo) & (F.col(STREAM) != stream)).select(STREAM, BATCH, "bucket")
+        after = rows.unionByName(own.unionByName(others), allowMissingColumns=True)
+        # A folder cannot be read and replaced by one job: the new rows are whole before old ones go.
+        after.write.mode("overwrite").parquet(f"{base}/_next")
+        whole = spark.read.schema(after.schema).parquet(f"{base}/_next")
+        whole.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(base)
+    finally:
+        placed.unpersist()

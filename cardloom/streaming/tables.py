@@ -1,10 +1,9 @@
 """Tables kept up to date from streams of commands.
 
-A micro-batch rewrites the groups it touches (a collection entry, the decks of a
-user, the content of a draft) and nothing else; every ``FULL_EVERY`` batches the
-whole table is written to keep the chain of versions short. The version carries
-the number of the batch and is made from older versions only, so a batch that
-runs again after a failure writes the same version again.
+A table lies in hash buckets of its key. A micro-batch reads and replaces the buckets it touches and
+no others, so its cost follows the batch. What a batch brings is applied to the rows held, whichever
+stream or checkpoint wrote them; a batch that runs again after a failure is not applied twice.
+Commands that are refused are kept in a table of their own.
 """
 
 from __future__ import annotations
@@ -15,14 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from cardloom.functions import columns as C
 from cardloom.functions.constants import MAX_DECKS
 from cardloom.operators import deck_log, edits
-from cardloom.operators.collection import replace_or_append
+from cardloom.operators.collection import add_copies
 from cardloom.sources import stores
 
-FULL_EVERY = 50
-
 COLLECTION = "user_id bigint, card_id bigint, quantity bigint"
 COLLECTION_KEYS = ["user_id", "card_id"]
 DECKS = "id string, user_id bigint, name string, commander_id bigint, created_at timestamp, updated_at timestamp"
@@ -30,25 +26,31 @@ DECK_KEYS = ["user_id"]
 DRAFTS = "deck_id bigint, card_id bigint, quantity bigint, is_commander boolean"
 DRAFT_KEYS = ["deck_id"]
 
-Update = Callable[[DataFrame, DataFrame], DataFrame]
+# (held rows of the touched keys, batch) -> (their new rows, refused commands or None)
+Update = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame | None]]
 
 
-def _keep(
-    stream: DataFrame, update: Update, base: str, schema: str, keys: list[str], checkpoint: str, mode: str, full_every: int
-) -> StreamingQuery:
+def _refused(base: str) -> str:
+    return f"{base}-refused"
+
+
+def _keep(stream: DataFrame, update: Update, base: str, schema: str, keys: list[str], checkpoint: str) -> StreamingQuery:
     def step(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()  # read several times below
-        held = stores.read_groups(batch.sparkSession, base, schema, keys, below=number)
-        touched = batch.select(*keys).distinct()
-        full = number > 0 and number % full_every == 0
-        if not full:
-            held = held.join(touched, keys, "left_semi")
-        rows = update(held, batch).select(*held.columns)
-        stores.write_groups(rows, touched, base, number, keys, full)
-        batch.unpersist()
+        spark = batch.sparkSession
+        # The query's id is kept in its checkpoint: a new checkpoint is a new stream, whose batches count anew.
+        name = spark.read.json(f"{checkpoint}/metadata").first().id
+
+        def change(held: DataFrame, commands: DataFrame) -> DataFrame:
+            touched = commands.select(*keys).distinct()
+            rows, refused = update(held.join(touched, keys, "left_semi"), commands)
+            if refused is not None:
+                refused.write.mode("overwrite").parquet(f"{_refused(base)}/stream={name}/batch={number}")
+            return rows.select(*held.columns).unionByName(held.join(touched, keys, "left_anti"))
+
+        stores.update_buckets(batch, change, base, schema, keys, name, number)
 
     return (
-        stream.writeStream.outputMode(mode)
+        stream.writeStream.outputMode("append")
         .foreachBatch(step)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -56,61 +58,55 @@ def _keep(
     )
 
 
-def collection_totals(adds: DataFrame) -> DataFrame:
-    """Running quantities per (user_id, card_id) of a stream of add commands."""
-    return (
-        adds.select("user_id", "card_id", C.clamp_copies("quantity").alias("quantity"))
-        .groupBy("user_id", "card_id")
-        .agg(F.sum("quantity").cast("bigint").alias("quantity"))
-    )
+def read_refused(spark: SparkSession, base: str) -> DataFrame:
+    """Refused commands of all streams, with the stream and batch that brought them."""
+    return spark.read.parquet(_refused(base))
 
 
-def keep_collection(
-    adds: DataFrame, base: str, checkpoint: str, schema: str = COLLECTION, full_every: int = FULL_EVERY
-) -> StreamingQuery:
-    """Maintain a collection table: changed totals replace their rows."""
+def keep_collection(adds: DataFrame, cards: DataFrame, base: str, checkpoint: str, schema: str = COLLECTION) -> StreamingQuery:
+    """Maintain a collection table: copies are added to those held; adds of unknown cards are refused."""
 
-    def update(held: DataFrame, changed: DataFrame) -> DataFrame:
-        return replace_or_append(held, changed, COLLECTION_KEYS)
+    def update(held: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return add_copies(held, batch, cards)
 
-    return _keep(collection_totals(adds), update, base, schema, COLLECTION_KEYS, checkpoint, "update", full_every)
+    return _keep(adds, update, base, schema, COLLECTION_KEYS, checkpoint)
 
 
 def read_collection(spark: SparkSession, base: str, schema: str = COLLECTION) -> DataFrame:
-    return stores.read_groups(spark, base, schema, COLLECTION_KEYS)
+    return stores.read_buckets(spark, base, schema)
 
 
 def keep_decks(
-    ops: DataFrame, base: str, checkpoint: str, cap: int = MAX_DECKS, schema: str = DECKS, full_every: int = FULL_EVERY
+    ops: DataFrame, base: str, checkpoint: str, cap: int = MAX_DECKS, schema: str = DECKS
 ) -> StreamingQuery:
     """Maintain the saved decks: the last save wins, deletes repeat safely, creates obey the cap."""
 
-    def update(held: DataFrame, batch: DataFrame) -> DataFrame:
-        return deck_log.apply_ops(held, batch, cap)[0]
+    def update(held: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return deck_log.apply_ops(held, batch, cap)
 
-    return _keep(ops, update, base, schema, DECK_KEYS, checkpoint, "append", full_every)
+    return _keep(ops, update, base, schema, DECK_KEYS, checkpoint)
 
 
 def read_decks(spark: SparkSession, base: str, schema: str = DECKS) -> DataFrame:
-    return stores.read_groups(spark, base, schema, DECK_KEYS)
+    return stores.read_buckets(spark, base, schema)
 
 
 def keep_drafts(
-    log: DataFrame, cards: DataFrame, base: str, checkpoint: str, schema: str = DRAFTS, full_every: int = FULL_EVERY
+    log: DataFrame, cards: DataFrame, base: str, checkpoint: str, schema: str = DRAFTS
 ) -> StreamingQuery:
     """Maintain draft decks from an edit stream; a row is a card or the commander."""
 
-    def update(held: DataFrame, batch: DataFrame) -> DataFrame:
+    def update(held: DataFrame, batch: DataFrame) -> tuple[DataFrame, None]:
         inside = held.where(~F.col("is_commander"))
         leading = held.where("is_commander").select("deck_id", F.col("card_id").alias("commander_id"))
         deck_cards, leaders = edits.advance(inside, leading, batch, cards)
         seated = leaders.where(F.col("commander_id").isNotNull()).select(
             "deck_id", F.col("commander_id").alias("card_id"), F.lit(1).cast("bigint").alias("quantity"), F.lit(True).alias("is_commander")
         )
-        return deck_cards.withColumn("is_commander", F.lit(False)).unionByName(seated)
+        return deck_cards.withColumn("is_commander", F.lit(False)).unionByName(seated), None
 
-    return _keep(log, update, base, schema, DRAFT_KEYS, checkpoint, "append", full_every)
+    return _keep(log, update, base, schema, DRAFT_KEYS, checkpoint)
 
 
 def read_drafts(spark: SparkSession, base: str, schema: str = DRAFTS) -> DataFrame:
-    return stores.read_groups(spark, base, schema, DRAFT_KEYS)
+    return stores.read_buckets(spark, base, schema)

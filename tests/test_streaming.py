@@ -1,7 +1,5 @@
 """Streams give the same tables as one batch over all rows."""
 
-import pytest
-
 from cardloom.operators import collection as coll
 from cardloom.operators import deck_log, edits
 from cardloom.sources import stores
@@ -22,16 +20,41 @@ def finish(query):
     assert query.exception() is None
 
 
-@pytest.mark.parametrize("full_every", [2, 50])
-def test_collection_stream_equals_batch(spark, rows_of, tmp_path, full_every):
+def test_collection_stream_equals_batch(spark, rows_of, tmp_path):
     adds = spark.range(60).selectExpr("id AS seq", "id % 3 AS user_id", "(id + id div 20) % 7 AS card_id", "id % 5 AS quantity")
     base = str(tmp_path / "t")
     stream = streamed(spark, adds, tmp_path / "in", 4)
-    finish(tables.keep_collection(stream, base, str(tmp_path / "ck"), full_every=full_every))
-    cards = spark.range(7).selectExpr("id")
-    want, _ = coll.add_copies(spark.createDataFrame([], tables.COLLECTION), adds, cards)
+    cards = spark.range(6).selectExpr("id")  # card 6 is unknown
+    finish(tables.keep_collection(stream, cards, base, str(tmp_path / "ck")))
+    want, refused = coll.add_copies(spark.createDataFrame([], tables.COLLECTION), adds, cards)
     assert rows_of(tables.read_collection(spark, base)) == rows_of(want)
-    assert stores.versions(spark, f"{base}/keys", stores.FULL) == ([2] if full_every == 2 else [])
+    assert rows_of(tables.read_refused(spark, base), "seq") == rows_of(refused, "seq") and refused.count() > 0
+
+
+def test_a_new_checkpoint_adds_to_the_table(spark, rows_of, tmp_path):
+    base, cards = str(tmp_path / "t"), spark.range(9).selectExpr("id")
+    for number, rows in enumerate(([(0, 1, 5, 10), (1, 2, 7, 3)], [(0, 1, 5, 2)])):
+        adds = spark.createDataFrame(rows, "seq bigint, user_id bigint, card_id bigint, quantity bigint")
+        finish(tables.keep_collection(streamed(spark, adds, tmp_path / f"in{number}", 1), cards, base, str(tmp_path / f"ck{number}")))
+    assert rows_of(tables.read_collection(spark, base)) == [(1, 5, 12), (2, 7, 3)]
+
+
+def test_a_batch_that_runs_again_is_applied_once(spark, rows_of, tmp_path):
+    base, schema = str(tmp_path / "t"), "k int, v bigint"
+    batch = spark.createDataFrame([(k, 1) for k in range(20)], schema)
+
+    def add(held, rows):
+        return held.unionByName(rows).groupBy("k").agg(F.sum("v").alias("v"))
+
+    for stream, number in (("a", 0), ("a", 0), ("a", 1), ("b", 0), ("a", 1), ("b", 0)):
+        stores.update_buckets(batch, add, base, schema, ["k"], stream, number, buckets=8)
+    assert sorted(rows_of(stores.read_buckets(spark, base, schema))) == sorted((k, 3) for k in range(20))
+    only = spark.createDataFrame([(3, 0)], schema)
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("bucket=*/*.parquet")}
+    stores.update_buckets(only, lambda held, rows: held.where("k <> 3"), base, schema, ["k"], "a", 2, buckets=8)
+    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("bucket=*/*.parquet")}
+    assert len(set(before) - set(after)) == 1 and len(set(before) & set(after)) == len(before) - 1
+    assert sorted(rows_of(stores.read_buckets(spark, base, schema))) == sorted((k, 3) for k in range(20) if k != 3)
 
 
 def test_draft_stream_equals_batch(spark, rows_of, tmp_path):
@@ -42,7 +65,7 @@ def test_draft_stream_equals_batch(spark, rows_of, tmp_path):
         "id * 17 % 6 AS card_id", "CAST(NULL AS BIGINT) AS quantity",
     )
     stream = streamed(spark, log, tmp_path / "in", 4)
-    finish(tables.keep_drafts(stream, cards, str(tmp_path / "t"), str(tmp_path / "ck"), full_every=3))
+    finish(tables.keep_drafts(stream, cards, str(tmp_path / "t"), str(tmp_path / "ck")))
     got = tables.read_drafts(spark, str(tmp_path / "t"))
     assert rows_of(got.where("NOT is_commander"), "deck_id", "card_id", "quantity") == rows_of(edits.replay_cards(log, cards))
     leaders = edits.replay_commanders(log).where("commander_id IS NOT NULL")
@@ -59,12 +82,4 @@ def test_deck_stream_keeps_the_cap_and_last_save(spark, rows_of, tmp_path):
     got = tables.read_decks(spark, str(tmp_path / "t"))
     want, _ = deck_log.apply_ops(spark.createDataFrame([], tables.DECKS), ops, cap=7)
     assert rows_of(got) == rows_of(want) and got.count() == 14
-
-
-def test_groups_that_lose_all_rows_disappear(spark, rows_of, tmp_path):
-    base, schema = str(tmp_path / "t"), "k int, v int"
-    first = spark.createDataFrame([(1, 1), (1, 2), (2, 3)], schema)
-    stores.write_groups(first, first, base, 0, ["k"])
-    stores.write_groups(spark.createDataFrame([], schema), first.where("k = 1"), base, 1, ["k"])
-    assert rows_of(stores.read_groups(spark, base, schema, ["k"])) == [(2, 3)]
-    assert rows_of(stores.read_groups(spark, base, schema, ["k"], below=1)) == [(1, 1), (1, 2), (2, 3)]
+    assert tables.read_refused(spark, str(tmp_path / "t")).count() == 26
