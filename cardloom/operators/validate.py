@@ -92,7 +92,7 @@ def validate_decks(
     Copies count per ``oracle_id`` (per card id where a card has none), basic
     lands aside. The identity rule needs a known commander; without one it is
     reported as not evaluable. Cards missing from the catalogue count towards
-    the size only.
+    the size and are reported.
     """
     rows = deck_cards.join(card_facts(cards).drop("can_lead"), "card_id", "left")
     per_deck = deck_facts(rows.withColumn("listed", F.col("card_id").cast("string")), ["deck_id"], copy_limit)
@@ -106,8 +106,11 @@ def validate_decks(
         "leader_mask",
         F.coalesce("mask", F.lit(0)).alias("mask"),
         F.coalesce("repeated", F.lit(0)).alias("repeated"),
+        F.coalesce("unknown", F.lit(0)).alias("unknown"),
     )
-    return facts.withColumn("_errors", deck_errors(facts, deck_size, copy_limit)).select(
+    note = F.when(F.col("unknown") > 0, F.concat(F.col("unknown").cast("string"), F.lit(" unknown cards")))
+    errors = F.concat(deck_errors(facts, deck_size, copy_limit), F.array_compact(F.array(note)))
+    return facts.withColumn("_errors", errors).select(
         "deck_id",
         "deck_size",
         (F.size("_errors") == 0).alias("is_valid"),

@@ -469,9 +469,11 @@ FROM requests LEFT JOIN chosen c USING (request_id) LEFT JOIN offered o USING (r
     "response_check": _with(CARDS, EVENTS, RESPONSES) + """
 SELECT request_id, attempt, errors, errors = '' AS is_valid FROM checked""",
     "retry_table": _with(CARDS, EVENTS, RESPONSES) + """
-SELECT request_id, attempt + 1 AS attempt, 'Build deck ' || request_id || chr(10) || chr(10)
-  || 'The previous deck broke these rules:' || chr(10) || '- ' || replace(errors, '; ', chr(10) || '- ') AS prompt
-FROM checked WHERE errors <> '' AND attempt < 3""",
+SELECT request_id, attempt AS failed_attempt, CASE WHEN attempt < 3 THEN 'retry' ELSE 'exhausted' END AS status, errors,
+  CASE WHEN attempt < 3 THEN attempt + 1 END AS attempt,
+  CASE WHEN attempt < 3 THEN 'Build deck ' || request_id || chr(10) || chr(10)
+  || 'The previous deck broke these rules:' || chr(10) || '- ' || replace(errors, '; ', chr(10) || '- ') END AS prompt
+FROM checked WHERE errors <> ''""",
     "upgrade_suggestions": _with(*GEN_BASE, RETRIEVAL) + """
 SELECT m.request_id, row_number() OVER (PARTITION BY m.request_id ORDER BY m.score DESC, m.card_id)::INT AS rank, m.card_id, m.score,
   c.card_id IS NOT NULL AS owned
@@ -494,8 +496,9 @@ SELECT user_id, id, name, CASE WHEN contains(type_line, 'Land') THEN 7 WHEN bit_
 FROM cards JOIN collection ON card_id = id WHERE quantity <> 0 AND ci_mask & 24 <> 0""",
     "collection_seed": _with(CARDS) + """
 SELECT 'new user' AS user_id, id AS card_id, (mana_value - 4)::INT AS quantity FROM cards WHERE mana_value > 4""",
-    "stream_collection": _with(EVENTS, ADDS) + """
-SELECT user_id, card_id, sum(least(99, greatest(1, quantity)))::BIGINT AS quantity FROM adds GROUP BY ALL""",
+    "stream_collection": _with(CARDS, EVENTS, ADDS) + """
+SELECT user_id, card_id, sum(least(99, greatest(1, quantity)))::BIGINT AS quantity FROM adds
+WHERE card_id IN (SELECT id FROM cards) GROUP BY ALL""",
     "stream_decks": _with(EVENTS) + """
 , saves AS (
   SELECT coalesce(o_custkey, user_id) AS user_id, event_id AS seq, 'deck of event ' || event_id AS name, k AS commander_id, ts

@@ -15,25 +15,25 @@ from cardloom import schemas
 from cardloom.functions import columns as C
 from cardloom.functions.constants import GAME_STAGES
 
-MAX_RATING = 10.0
-
 # Section headings of a knowledge document, in order (fixed text).
 SECTIONS = ["Card", "Summary", "Roles", "Themes", "Strengths", "Weakness", "Oracle Text"]
 
 
-def ingest_metadata(responses: DataFrame, max_rating: float = MAX_RATING) -> tuple[DataFrame, DataFrame]:
+def ingest_metadata(responses: DataFrame, max_rating: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(card_id, response JSON text) -> (metadata rows, quarantine with reason).
 
-    One parse per text. Missing lists become empty ones.
+    One parse per text. Missing lists become empty ones. A rating above `max_rating`,
+    where one is given, is refused like a negative one.
     """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     parsed = responses.withColumn("_r", F.from_json("response", schemas.METADATA_JSON, options))
     rating, stage = F.col("_r.power_rating"), F.col("_r.game_stage")
+    beyond = F.lit(False) if max_rating is None else rating > max_rating
     reason = (
         F.when(F.col("_r").isNull() | F.col("_r._corrupt").isNotNull(), "malformed")
         .when(F.coalesce(F.size("_r.roles"), F.lit(0)) <= 0, "no roles")
         .when(stage.isNull() | ~stage.isin(GAME_STAGES), "game stage")
-        .when(rating.isNull() | (rating < 0) | (rating > max_rating), "power rating")
+        .when(rating.isNull() | (rating < 0) | beyond, "power rating")
     )
     judged = parsed.withColumn("reason", reason)
     lists = ["roles", "themes", "strengths", "weaknesses", "synergy_tags"]

@@ -82,22 +82,6 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     )
 
 
-def response_decks(parsed: DataFrame, cards: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Readable answers as deck tables; names the catalogue lacks drop out."""
-    ids = cards.select(F.col("name").alias("_name"), F.col("id").alias("_id"))
-    usable = parsed.where("readable")
-    decks = usable.join(ids, F.col("commander") == F.col("_name"), "left").select(
-        "request_id", "attempt", F.col("_id").alias("commander_id"), "explanation"
-    )
-    deck_cards = (
-        usable.select("request_id", "attempt", F.inline("cards"))
-        .join(ids, F.col("name") == F.col("_name"))
-        .groupBy("request_id", "attempt", F.col("_id").alias("card_id"))
-        .agg(F.sum(F.coalesce("quantity", F.lit(1))).cast("bigint").alias("quantity"))
-    )
-    return decks, deck_cards
-
-
 def judge_responses(responses: DataFrame, cards: DataFrame) -> DataFrame:
     """request_id, attempt, is_valid and errors for every answer, readable or not.
 
@@ -134,13 +118,22 @@ def judge_responses(responses: DataFrame, cards: DataFrame) -> DataFrame:
 
 
 def retry_table(judged: DataFrame, prompts: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """Next-round prompts for invalid answers, up to a fixed number of rounds."""
-    again = judged.where(~F.col("is_valid") & (F.col("attempt") < max_rounds))
+    """Every invalid answer with its errors: to be asked again, or out of rounds.
+
+    ``status`` is ``retry`` with the next attempt's number and prompt, or ``exhausted``
+    with neither once `max_rounds` attempts have been made.
+    """
+    again = F.col("attempt") < max_rounds
     text = F.concat(
         "prompt", F.lit("\n\nThe previous deck broke these rules:\n- "), F.replace(F.col("errors"), F.lit("; "), F.lit("\n- "))
     )
-    return again.join(prompts, "request_id").select(
-        "request_id", (F.col("attempt") + 1).alias("attempt"), text.alias("prompt")
+    return judged.where(~F.col("is_valid")).join(prompts, "request_id", "left").select(
+        "request_id",
+        F.col("attempt").alias("failed_attempt"),
+        F.when(again, F.lit("retry")).otherwise(F.lit("exhausted")).alias("status"),
+        "errors",
+        F.when(again, F.col("attempt") + 1).alias("attempt"),
+        F.when(again, text).alias("prompt"),
     )
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -16,7 +19,7 @@ RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
 }
 
-_LOCAL_ROOT: dict[str, str | None] = {}
+_LOCAL_ROOT: dict[str, str] = {}
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -48,12 +51,16 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder path below the cluster's shared checkpoint folder.
 
     The folder comes from ``spark.checkpoint.dir``. Only where the session names
-    none (tests on one machine) is a temporary folder used, the same one each time.
+    none and runs on one machine (tests) is a temporary folder used; it goes when Python ends.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = _LOCAL_ROOT.setdefault("path", None) or tempfile.mkdtemp(prefix="cardloom-")
-        _LOCAL_ROOT["path"] = root
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = _LOCAL_ROOT.get("path")
+        if not root:
+            root = _LOCAL_ROOT["path"] = tempfile.mkdtemp(prefix="cardloom-")
+            atexit.register(shutil.rmtree, root, ignore_errors=True)
     return f"{root.rstrip('/')}/cardloom/{name}-{uuid.uuid4().hex}"
 
 

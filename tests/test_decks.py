@@ -33,7 +33,7 @@ def test_all_errors_at_once_and_corners(spark, make_cards, rows_of):
     )
     assert got["none"]["errors"] == "no commander; color identity cannot be checked"
     assert got["empty"]["deck_size"] == 1 and got["empty"]["errors"] == "expected 100 cards, found 1"
-    assert got["lost"]["errors"] == "commander is not in the catalogue; color identity cannot be checked"
+    assert got["lost"]["errors"] == "commander is not in the catalogue; color identity cannot be checked; 1 unknown cards"
     offenders = rows_of(validate.identity_violations(decks_, deck_cards, cards), "deck_id", "card_id")
     assert offenders == [("bad", "isle"), ("bad", "red")]
 

@@ -20,8 +20,8 @@ def brute(queries, vectors, k):
     return out
 
 
-@pytest.mark.parametrize("spread,k,pivots,tile", [(0.05, 5, 8, 16), (2.0, 7, 4, 1000), (0.01, 40, 16, 10), (0.3, 500, 3, 64)])
-def test_topk_equals_brute_force(spark, spread, k, pivots, tile):
+@pytest.mark.parametrize("spread,k,block,batch", [(0.05, 5, 100, 16), (2.0, 7, 4000, 1000), (0.01, 40, 64, 10), (0.3, 500, 150, 64)])
+def test_topk_equals_brute_force(spark, spread, k, block, batch):
     rng = np.random.default_rng(3)
     centers = rng.normal(size=(5, 6))
     # one cluster holds most rows, a third of it exact copies
@@ -34,7 +34,7 @@ def test_topk_equals_brute_force(spark, spread, k, pivots, tile):
     qdf = spark.createDataFrame(list(queries.items()) + [("zero", [0.0] * 6)], "request_id string, vector array<double>")
     vdf = spark.createDataFrame(list(vectors.items()), "card_id bigint, embedding array<float>")
     got = {}
-    for r in vector_topk(qdf, vdf, k, pivots, tile).orderBy("request_id", "rank").collect():
+    for r in vector_topk(qdf, vdf, k, block, batch).orderBy("request_id", "rank").collect():
         got.setdefault(r["request_id"], []).append((r["card_id"], r["score"]))
     del vectors[999]
     assert got == brute(queries, vectors, k)
@@ -91,7 +91,7 @@ def test_metadata_answers(spark, rows_of):
         ("6", None),
         ("7", '{"roles":["Ramp"],"game_stage":"Late","power_rating":"high"}'),
     ]
-    good, bad = knowledge.ingest_metadata(spark.createDataFrame(answers, "card_id string, response string"))
+    good, bad = knowledge.ingest_metadata(spark.createDataFrame(answers, "card_id string, response string"), max_rating=10)
     assert rows_of(good, "card_id", "themes") == [("1", [])]
     assert rows_of(bad, "card_id", "reason") == [
         ("2", "game stage"), ("3", "no roles"), ("4", "power rating"), ("5", "malformed"), ("6", "malformed"), ("7", "malformed"),
@@ -124,9 +124,9 @@ def test_answers_retries_and_prompts(spark, make_cards, rows_of):
     assert "Power level: Focused\n\nCollection preference: Build strongest possible deck\n\nSelected cards:\n- Spell | Instant" in text["few"]
     assert "Candidate cards:\n- Isle | Basic Land\n- Lead | Legendary Creature\n\nRules:" in text["few"]
     assert "Selected cards" not in text["torn"]
-    again = rows_of(prompts.retry_table(judged, asked), "request_id", "attempt", "prompt")
-    assert [(r[0], r[1]) for r in again] == [("few", 2), ("torn", 3)]
-    assert again[0][2].endswith("broke these rules:\n- expected 100 cards, found 12\n- 1 unknown card names")
+    again = rows_of(prompts.retry_table(judged, asked), "request_id", "failed_attempt", "status", "attempt", "prompt")
+    assert [r[:4] for r in again] == [("few", 1, "retry", 2), ("last", 3, "exhausted", None), ("torn", 2, "retry", 3)]
+    assert again[1][4] is None and again[0][4].endswith("broke these rules:\n- expected 100 cards, found 12\n- 1 unknown card names")
 
 
 def test_upgrades_skip_the_deck(spark, rows_of):
