@@ -26,28 +26,30 @@ MATCHES = 20_000
 MATCH_BYTES = 400_000
 
 # Words that one Python worker remembers over its tasks; forgetting costs time, not results.
-WORKER_WORDS = 400_000
+WORKER_WORDS = 600_000
 
-# A word that is a token as a whole starts as that token (`single`). A step finds each word's smallest
-# (rank, place) among its neighbouring pairs, writes the new token there and drops the pair's second.
+# A word that is a token as a whole starts as that token (`single`). `after` is the place of the next
+# token of the word. A step joins neighbours with the merge table, finds each word's smallest (rank,
+# place), writes the new token there and drops the pair's second; words without a pair end.
 ENCODE = """
-WITH RECURSIVE step(n, word, place, id) AS (
-    SELECT 0, word, place, CASE WHEN single >= 0 THEN single ELSE b.id END FROM letters JOIN bytes b USING (byte)
+WITH RECURSIVE step(n, word, place, id, after) AS (
+    SELECT 0, word, place, CASE WHEN single >= 0 THEN single ELSE b.id END, place + 1 FROM letters JOIN bytes b USING (byte)
     UNION ALL
     (
-        WITH pair AS MATERIALIZED (
-            SELECT s.*, (m.id << 32) + place AS key
-            FROM (
-                SELECT *, lead(id) OVER w AS next, lead(place) OVER w AS after
-                FROM step WINDOW w AS (PARTITION BY word ORDER BY place)
-            ) s
-            LEFT JOIN merges m ON s.id = m.lhs AND s.next = m.rhs
+        WITH token AS MATERIALIZED (SELECT * FROM step),
+        pair AS (
+            SELECT a.word, (m.id << 32) + a.place AS key, b.place AS gone, b.after
+            FROM token a
+            JOIN token b ON a.word = b.word AND a.after = b.place
+            JOIN merges m ON a.id = m.lhs AND b.id = m.rhs
         ),
         best AS (
-            SELECT word, min(key) AS key, arg_min(after, key) AS gone FROM pair WHERE key IS NOT NULL GROUP BY word
+            SELECT word, min(key) AS key, arg_min(gone, key) AS gone, arg_min(after, key) AS after FROM pair GROUP BY word
         )
-        SELECT n + 1, word, place, CASE WHEN pair.key = best.key THEN best.key >> 32 ELSE id END
-        FROM pair JOIN best USING (word)
+        SELECT n + 1, word, place,
+            CASE WHEN place = key & 4294967295 THEN key >> 32 ELSE id END,
+            CASE WHEN place = key & 4294967295 THEN best.after ELSE token.after END
+        FROM token JOIN best USING (word)
         WHERE place <> gone
     )
 ),
