@@ -112,9 +112,9 @@ def default_deck_name(commander_name: Column | str) -> Column:
 
 
 def saved_deck_name(name: Column | str) -> Column:
-    """Trimmed, at most 80 characters; NULL when nothing is left."""
-    trimmed = F.substring(trim_all(name), 1, DECK_NAME_LENGTH)
-    return F.when(F.length(trimmed) > 0, trimmed)
+    """Trimmed; NULL when nothing is left or when it is longer than a name may be."""
+    trimmed = trim_all(name)
+    return F.when((F.length(trimmed) > 0) & (F.length(trimmed) <= DECK_NAME_LENGTH), trimmed)
 
 
 def display_date(ts: Column | str) -> Column:

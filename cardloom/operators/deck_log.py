@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardloom.functions.constants import MAX_DECKS
+from cardloom.functions import columns as C
+from cardloom.functions.constants import DECK_NAME_LENGTH, MAX_DECKS
 from cardloom.operators import running
 
 COLUMNS = ["id", "user_id", "name", "commander_id", "created_at", "updated_at"]
@@ -105,3 +106,34 @@ def apply_ops(
         F.col("ts").alias("updated_at"),
     )
     return kept.unionByName(created), creates.where(~F.col("accepted")).drop("effect", "accepted")
+
+
+def clean_names(ops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """-> (ops with trimmed names, refused saves): a save needs a name that is neither blank nor too long."""
+    trimmed = ops.withColumn("name", C.trim_all("name"))
+    length = F.coalesce(F.length("name"), F.lit(0))
+    fits = (F.col("op") != "save") | ((length > 0) & (length <= DECK_NAME_LENGTH))
+    return trimmed.where(fits), trimmed.where(~fits)
+
+
+def cards_after(
+    base_cards: DataFrame, base: DataFrame, ops: DataFrame, cap: int = MAX_DECKS, chunk_rows: int = running.CHUNK_ROWS
+) -> DataFrame:
+    """(deck_id, card_id, quantity) of all decks after the batch.
+
+    Ops carry ``cards``, an array of (card_id, quantity). The last save of a deck replaces its cards, an
+    accepted create brings its own, a delete takes them away.
+    """
+    classified = classify(base, ops)
+    last = (
+        classified.where(F.col("effect") == "update").groupBy("deck_id").agg(F.max_by("cards", "seq").alias("cards"))
+    )
+    gone = classified.where(F.col("effect") == "delete").select("deck_id")
+    kept = (
+        base_cards.select(F.col("deck_id").cast("string").alias("deck_id"), "card_id", "quantity")
+        .join(last.select("deck_id").unionByName(gone).distinct(), "deck_id", "left_anti")
+    )
+    replaced = last.join(gone, "deck_id", "left_anti").select("deck_id", F.inline("cards"))
+    new_id = new_deck_id(F.col("user_id").cast("string"), F.col("seq").cast("string")).alias("deck_id")
+    created = accept_creates(base, classified, cap, chunk_rows).where("accepted").select(new_id, F.inline("cards"))
+    return kept.unionByName(replaced).unionByName(created)

@@ -313,6 +313,18 @@ WHERE d.id NOT IN (SELECT deck_id FROM judged WHERE effect = 'delete')
 UNION ALL
 SELECT 'deck-' || sha256(j.user_id || ':' || j.seq), j.user_id, j.name, j.commander_id, j.ts, j.ts
 FROM judged j JOIN verdicts v ON v.user_id = j.user_id AND v.seq = j.seq WHERE j.effect = 'create' AND v.accepted""",
+    "deck_cards_after": _with(*DECK_BASE, EVENTS, DECK_OPS) + """
+, saved AS (SELECT * FROM judged WHERE effect = 'update' QUALIFY row_number() OVER (PARTITION BY deck_id ORDER BY seq DESC) = 1),
+removed AS (SELECT deck_id FROM judged WHERE effect = 'delete')
+SELECT deck_id::VARCHAR AS deck_id, card_id, quantity::INT AS quantity FROM deck_cards
+WHERE deck_id NOT IN (SELECT deck_id FROM saved) AND deck_id NOT IN (SELECT deck_id FROM removed)
+UNION ALL
+SELECT deck_id::VARCHAR, commander_id, (commander_id % 4 + 1)::INT FROM saved
+WHERE commander_id IS NOT NULL AND deck_id NOT IN (SELECT deck_id FROM removed)
+UNION ALL
+SELECT 'deck-' || sha256(j.user_id || ':' || j.seq), j.commander_id, (j.commander_id % 4 + 1)::INT
+FROM judged j JOIN verdicts v ON v.user_id = j.user_id AND v.seq = j.seq
+WHERE j.effect = 'create' AND v.accepted AND j.commander_id IS NOT NULL""",
     "deck_creates_refused": _with(*DECK_BASE, EVENTS, DECK_OPS) + """
 SELECT user_id, seq FROM verdicts WHERE NOT accepted""",
     "edit_log_replay": _with(CARDS, EVENTS, EDITS) + """

@@ -178,6 +178,15 @@ def deck_creates_refused(t: Tables) -> DataFrame:
     return refused.select("user_id", "seq")
 
 
+@query
+def deck_cards_after(t: Tables) -> DataFrame:
+    """Cards of all decks after the saves and deletes; a save brings its commander in one to four copies."""
+    listed = F.array(F.struct(F.col("commander_id").alias("card_id"), (F.col("commander_id") % 4 + 1).cast("int").alias("quantity")))
+    ops, _ = deck_log.clean_names(_deck_ops(t).withColumn("cards", F.when(F.col("commander_id").isNotNull(), listed)))
+    base_cards = t.deck_cards().select("deck_id", "card_id", F.col("quantity").cast("int").alias("quantity"))
+    return deck_log.cards_after(base_cards, _base_decks(t), ops, DECK_LOG_CAP)
+
+
 def _base_decks(t: Tables) -> DataFrame:
     return t.decks().select("id", "user_id", "name", "commander_id", "created_at", "updated_at")
 

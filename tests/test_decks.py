@@ -222,3 +222,25 @@ def test_inclusion_and_synergy(spark, make_cards, rows_of):
         )
     )
     assert got == [("lead", "isle", 0.5, 0.0), ("lead", "plain", 0.5, -0.166667), ("mono", "plain", 1.0, 0.333333)]
+
+
+def test_saves_replace_cards_and_need_a_name(spark, rows_of):
+    base = spark.createDataFrame([("1", "u", "a", None, None, None), ("2", "u", "b", None, None, None), ("3", "u", "c", None, None, None)],
+        "id string, user_id string, name string, commander_id string, created_at timestamp, updated_at timestamp")
+    cards = spark.createDataFrame([("1", "x", 2), ("2", "y", 1), ("3", "z", 4)], "deck_id string, card_id string, quantity int")
+    ops = spark.createDataFrame(
+        [
+            ("u", 1, "save", "1", " Elves ", [("p", 1), ("q", 3)]),
+            ("u", 2, "save", "1", "Goblins", [("r", 5)]),
+            ("u", 3, "delete", "2", None, None),
+            ("u", 4, "save", "3", "  \t ", [("lost", 1)]),
+            ("u", 5, "save", "9", "New", [("n", 7)]),
+            ("u", 6, "save", "3", "x" * 500, [("lost", 1)]),
+        ],
+        "user_id string, seq bigint, op string, deck_id string, name string, cards array<struct<card_id:string,quantity:int>>",
+    ).withColumns({"commander_id": F.lit(None).cast("string"), "ts": F.lit(None).cast("timestamp")})
+    good, refused = deck_log.clean_names(ops)
+    assert rows_of(refused, "seq") == [(4,), (6,)]
+    assert good.where("seq = 1").first()["name"] == "Elves"
+    got = rows_of(deck_log.cards_after(cards, base, good), "card_id", "quantity")
+    assert got == [("n", 7), ("r", 5), ("z", 4)]
