@@ -122,7 +122,8 @@ def fit(texts: list[str], labels: list[str]) -> Network:
     weights = [rng.uniform(-small, small, s).astype(np.float32) for s in shapes]
     mean, square = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
     lengths = sorted(by_length)
-    data = {n: (np.frombuffer(b"".join(rows), np.uint8).reshape(-1, n), np.array(own)) for n, (rows, own) in by_length.items()}
+    data = {n: (np.frombuffer(b"".join(rows), np.uint8).reshape(-1, n), np.array(own, np.int32)) for n, (rows, own) in by_length.items()}
+    by_length.clear()
     share = np.array([len(data[n][1]) * n for n in lengths], float)
     for step in range(1, STEPS + 1 if lengths else 0):
         x, lang = data[lengths[rng.choice(len(lengths), p=share / share.sum())]]

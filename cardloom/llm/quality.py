@@ -40,6 +40,12 @@ class Model(NamedTuple):
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """What `_features` gives, for slices of a long list: its arrays are many times the words."""
+    parts = [_features(words[at : at + 20_000]) for at in range(0, max(1, len(words)), 20_000)]
+    return np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
+
+
+def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of each word and of its n-grams with the word's ends marked, one word after the other; how many each has."""
     raw = [b"<" + w.encode("utf-8", "surrogatepass") + b">" for w in words]
     sizes = np.fromiter(map(len, raw), np.int64, len(raw))
@@ -60,7 +66,7 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             hashes.append(code)
             owners.append(owner[at])
         code = np.concatenate(hashes) * np.uint64(0x9E3779B97F4A7C15)
-        bucket = (code >> np.uint64(40)).astype(np.int64) % BUCKETS
+        bucket = ((code >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int32)
     owner = np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
     return bucket[order], np.bincount(owner, minlength=len(raw))
@@ -92,9 +98,7 @@ def fit(texts: list[str], labels: list[int], classes: int = 2) -> Model:
     for a, b, same in zip(starts[:-1], starts[1:], again):
         own, count = np.unique(places[a:b], return_counts=True)
         own, count = np.append(own, len(names)), np.append(count, same)
-        n = sizes[own]
-        at = np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        docs.append((bucket[at], np.repeat(count / max(1, b - a + same) / n, n)))
+        docs.append((own.astype(np.int32), (count / max(1, b - a + same) / sizes[own]).astype(np.float32)))
     table = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM))
     layer, bias = np.zeros((DIM, classes)), np.zeros(classes)
     truth = np.eye(classes)[np.array(labels)]
@@ -106,9 +110,11 @@ def fit(texts: list[str], labels: list[int], classes: int = 2) -> Model:
             rows = order[at : at + BATCH]
             rate = RATE * (1 - step / steps)
             step += 1
-            feats = np.concatenate([docs[r][0] for r in rows])
-            weight = np.concatenate([docs[r][1] for r in rows])
-            doc = np.repeat(np.arange(len(rows)), [len(docs[r][0]) for r in rows])
+            own = np.concatenate([docs[r][0] for r in rows])
+            n = sizes[own]
+            feats = bucket[np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            weight = np.repeat(np.concatenate([docs[r][1] for r in rows]), n)
+            doc = np.repeat(np.repeat(np.arange(len(rows)), [len(docs[r][0]) for r in rows]), n)
             parts = table[feats] * weight[:, None]
             hidden = np.stack([np.bincount(doc, parts[:, d], len(rows)) for d in range(DIM)], axis=1)
             error = (_softmax(hidden @ layer + bias) - truth[rows]) / len(rows)
