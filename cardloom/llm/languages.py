@@ -8,6 +8,7 @@ A window's positions depend on the window alone, so each distinct run of a batch
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -29,6 +30,8 @@ RATE = 0.01
 HIDDEN = 16
 WINDOW = 24
 UNKNOWN = "und"
+# Distinct runs that one Python worker remembers over its tasks; forgetting costs time, not results.
+WORKER_RUNS = 600_000
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -141,7 +144,7 @@ class _Reader:
 
     def __init__(self, net: Network) -> None:
         self.net = net
-        self.coder = Coder(self._learn, self._forget, words=True)
+        self.coder = Coder(self._learn, self._forget, words=True, memory=WORKER_RUNS)
         self._forget()
 
     def _forget(self) -> None:
@@ -177,6 +180,18 @@ class _Reader:
         return [self.net.langs[b] if k else UNKNOWN for b, k in zip(best, letters)], score
 
 
+_READERS: dict[bytes, _Reader] = {}
+
+
+def _reader(net: Network) -> _Reader:
+    """The worker's reader of this network; that of another network goes."""
+    key = hashlib.sha256(b"".join(w.tobytes() for w in net.weights) + repr(net.langs).encode()).digest()
+    if key not in _READERS:
+        _READERS.clear()
+        _READERS[key] = _Reader(net)
+    return _READERS[key]
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network:
     """Learn from documents of non-NULL language whose crc32(id as text) mod 3 is not 1; an id with several languages counts by its least."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), F.col(lang_col).cast("string").alias("label"))
@@ -197,7 +212,7 @@ def with_language(docs: DataFrame, net: Network, text_col: str = "text", keep_on
     names, place = base.columns, base.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _Reader(shared.value)
+        reader = _reader(shared.value)
         for batch in batches:
             langs, score = reader.read(batch.column(place).cast(pa.string()).fill_null("").to_pylist())
             if keep_only:

@@ -90,13 +90,13 @@ def pieces(texts: list[str], words: bool) -> tuple[np.ndarray, list[str], np.nda
 class Coder:
     """Codes of pieces in the order of first sight; `learn` is told each new piece once."""
 
-    def __init__(self, learn: Callable[[list[str]], None], forget: Callable[[], None], words: bool = False) -> None:
-        self.learn, self.forget, self.words = learn, forget, words
+    def __init__(self, learn: Callable[[list[str]], None], forget: Callable[[], None], words: bool = False, memory: int = MEMORY) -> None:
+        self.learn, self.forget, self.words, self.memory = learn, forget, words, memory
         self.codes: dict[str, int] = {}
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' codes one after the other, and where each text's codes begin (one more at the end)."""
-        if len(self.codes) > MEMORY:
+        if len(self.codes) > self.memory:
             self.codes = {}
             self.forget()
         places, names, starts = pieces(texts, self.words)
