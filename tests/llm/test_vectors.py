@@ -100,3 +100,33 @@ def test_recall_over_many_lists(spark):
         near[query] = -9
         hits += len(found & set(np.argsort(-near)[:20].tolist()))
     assert hits / (20 * len(got)) >= 0.9
+
+
+def test_ratio_follows_recall():
+    """With many lists the ratio is widened until the measured queries find enough."""
+    rng = np.random.default_rng(6)
+    points = rng.normal(size=(40_000, 24))
+    points /= np.linalg.norm(points, axis=1)[:, None]
+    centres = posting_lists.balanced_centroids(posting_lists._lifted(points[:8000], 1.0), 400, rounds=3)
+    index = posting_lists.Index(centres, posting_lists.centroid_graph(centres), 1.0, 1.0)
+    queries = points[:100]
+    near = np.argsort(-(queries @ points.T), axis=1)[:, 1:21]
+    owner = np.repeat(np.arange(len(queries)), 20)
+    index = index._replace(ratio=posting_lists.least_ratio(index, queries, owner, points[near.reshape(-1)]))
+    row, held = posting_lists.own_lists(index, posting_lists._lifted(points[near.reshape(-1)], 1.0))
+    hits = np.zeros(len(owner), bool)
+    for r, x in zip(row, held):
+        hits[r] |= x in posting_lists.search_lists(index, np.append(queries[owner[r]], 0.0)) if not hits[r] else False
+    assert hits.mean() >= 0.95
+
+
+def test_lonely_query_finds_k(spark):
+    """Queries whose own lists hold fewer than k vectors search on."""
+    rng = np.random.default_rng(8)
+    points = rng.normal(size=(6000, 16)) * 0.01 + np.eye(16)[0]
+    points[::600] = -np.eye(16)[rng.integers(1, 16, 10)] * 50 + rng.normal(size=(10, 16))
+    df = spark.createDataFrame([(k, p.tolist()) for k, p in enumerate(points)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in posting_lists.nearest(df, F.col("vec_id") % 300 == 0, k=20).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert {len(x) for x in got.values()} == {20} and len(got) == 20
