@@ -4,8 +4,9 @@ A shingle's weight is 1 + ln(times it occurs). The plane of weight and rank abov
 divided into unit regions; hashing throws a Poisson number of darts into each, every dart with a
 weight, a rank and one of K coordinates. A document is hit by the darts whose weight is below its
 shingle's weight, and the earliest hit of each coordinate is its signature. Only as many ranks are
-looked at as fill all coordinates: the larger a document, the fewer. Bands of the signature join
-candidates. Every link is then decided exactly, by the Jaccard similarity of the shingle sets.
+looked at as fill all coordinates: the larger a document, the fewer. Links are decided exactly, by the
+Jaccard similarity of the shingle sets, so a document with repeated shingles has a second signature,
+of unit weights; without repeats the two are one. Bands of the signatures join candidates.
 
 Equal texts are one node. Candidates' connected groups are compared in blocks of bounded size: first
 inside blocks and with a few hubs of the group, then between blocks as far as their nodes are not in
@@ -221,10 +222,17 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
         for batch in batches:
             rows = batch.column(1).to_pylist()
             owner, code, times = shingler.shingles(rows)
-            keys = band_keys(signatures(owner, code, 1 + np.log(times), len(rows)))
             n = np.bincount(owner, minlength=len(rows))
-            held = np.where(n > 0, BANDS, 0)
-            flat = pa.array(keys[n > 0].reshape(-1).view(np.int64))
+            keys = band_keys(signatures(owner, code, np.ones(len(code)), len(rows)))
+            # Texts with repeats: their weighted bands beside those of their sets.
+            repeats = np.bincount(owner, weights=times > 1, minlength=len(rows)) > 0
+            place = np.cumsum(repeats) - 1
+            own = repeats[owner]
+            weighted = band_keys(signatures(place[owner[own]], code[own], 1 + np.log(times[own]), int(repeats.sum())))
+            held = np.where(n > 0, BANDS, 0) + np.where(repeats, BANDS, 0)
+            both = np.concatenate([keys[n > 0], weighted])
+            text = np.concatenate([np.flatnonzero(n > 0), np.flatnonzero(repeats)])
+            flat = pa.array(both[np.argsort(text, kind="stable")].reshape(-1).view(np.int64))
             bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(held)]), pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int32()), bands], ["doc_id", "node", "n", "bands"])
 

@@ -200,6 +200,18 @@ def test_near_documents_in_blocks(spark, monkeypatch, block):
     assert sorted(got) == sorted(classes_by_force(shingle_sets(docs)))
 
 
+def test_near_documents_of_repeats(spark):
+    """Sets of shingles decide links, however often a text repeats its passages."""
+    rows = []
+    for k in range(20):
+        text = " ".join(f"p{k}q{j}" for j in range(100)) + " "
+        rows += [(4 * k + n, text * times, "en", "s", 1) for n, times in enumerate((1, 2, 3, 10))]
+    rows += [(1000, "word " * 5000, "en", "s", 1), (1001, "word " * 10, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = [(r.doc_id, r.class_id) for r in dart_minhash.classes(docs).collect()]
+    assert sorted(got) == sorted((d, 1000 if d >= 1000 else d // 4 * 4) for d, *_ in rows)
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(6)
     errors = []
