@@ -40,6 +40,7 @@ class Network(NamedTuple):
 
     langs: list[str]
     weights: list[np.ndarray]  # forward bytes, forward recurrent, backward bytes, backward recurrent, output, bias
+    floor: float = 0.0  # least probability of a document's language for it to count as known
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -192,16 +193,33 @@ def _reader(net: Network) -> _Reader:
     return _READERS[key]
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network:
-    """Learn from documents of non-NULL language whose crc32(id as text) mod 3 is not 1; an id with several languages counts by its least."""
+def floor_of(net: Network, texts: list[str]) -> float:
+    """Half way from chance to the score that all but one in a thousand of the texts with letters reach.
+
+    With one language every text scores 1, and nothing can be told from it.
+    """
+    if len(net.langs) < 2:
+        return 0.0
+    reader = _Reader(net)
+    scores = np.concatenate([np.zeros(0), *(reader.read(texts[at : at + 100])[1] for at in range(0, len(texts), 100))])
+    chance = 1 / len(net.langs)
+    return float((chance + np.quantile(scores[scores > 0], 0.001)) / 2) if (scores > 0).any() else 0.0
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", judging: bool = False) -> Network:
+    """Learn from documents of non-NULL language whose crc32(id as text) mod 3 is not 1; an id with several languages counts by its least.
+
+    With `judging` the network also has the floor that its training documents set.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), F.col(lang_col).cast("string").alias("label"))
     known = rows.filter(F.col("label").isNotNull() & (fold(F.col("doc_id"), 3) != 1)).groupBy("doc_id").agg(F.min("label").alias("label"))
     sample = sample_texts(rows.select("doc_id", "text"), known, SAMPLE)
-    return fit([r[0] for r in sample], [r[1] for r in sample])
+    net = fit([r[0] for r in sample], [r[1] for r in sample])
+    return net._replace(floor=floor_of(net, [r[0] for r in sample])) if judging else net
 
 
 def with_language(docs: DataFrame, net: Network, text_col: str = "text", keep_only: bool = False) -> DataFrame:
-    """All columns and rows of `docs` with `lang_pred` and `score`; or, with `keep_only`, only the rows with a language, as they are.
+    """All columns and rows of `docs` with `lang_pred` and `score`; or, with `keep_only`, only the rows with a language whose score reaches the network's floor, as they are.
 
     A text that is NULL, empty or without a letter is `und` with score 0. Clashing columns are replaced.
     """
@@ -216,7 +234,7 @@ def with_language(docs: DataFrame, net: Network, text_col: str = "text", keep_on
         for batch in batches:
             langs, score = reader.read(batch.column(place).cast(pa.string()).fill_null("").to_pylist())
             if keep_only:
-                yield batch.filter(pa.array([x != UNKNOWN for x in langs], pa.bool_()))
+                yield batch.filter(pa.array([x != UNKNOWN and s >= shared.value.floor for x, s in zip(langs, score)], pa.bool_()))
             else:
                 added = [pa.array(langs, pa.string()), pa.array(score)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*names, "lang_pred", "score"])

@@ -72,6 +72,14 @@ def test_languages_of_odd_rows(documents, clashing, no_documents):
     assert {(r.lang_pred, r.score) for r in nothing} == {("und", 0.0)}
 
 
+def test_language_stage_judges_by_the_network(spark, separable):
+    """Texts of letters that the network cannot place are rejected; clean ones stay, held-out ones too."""
+    docs = separable[0].filter("doc_id % 2 = 0")
+    mixed = [(9000 + k, " ".join(w + "ung" * (n % 2) for n, w in enumerate(sentence(k, 40).split())), None, "s", 1) for k in range(20)]
+    kept = {r.doc_id for r in corpus_pipeline.known_language(spark, docs.unionByName(spark.createDataFrame(mixed, SCHEMA)), "").collect()}
+    assert kept == {r.doc_id for r in docs.collect()}
+
+
 def test_gradients_through_time():
     rng = np.random.default_rng(0)
     h = languages.HIDDEN
