@@ -3,7 +3,7 @@
 Texts are cut into distinct pieces and those into matches of the pattern. For each distinct match
 the recursion holds one row for each token and its position; every step joins neighbouring rows with
 the merge table and contracts each match's leftmost pair of smallest rank, until no pair is left.
-Decoding joins the ids with the tokens' bytes and puts them together by an ordered aggregation.
+A recursion of many steps is cut into several, so that a match of any length fits. Decoding joins the ids with the tokens' bytes and puts them together by an ordered aggregation.
 """
 
 from __future__ import annotations
@@ -21,22 +21,25 @@ from pyspark.sql import functions as F
 from cardloom.llm.common import ready, text_of
 from cardloom.llm.pieces import Coder, piece_text
 
-# Matches that one recursive query works on, by number and by bytes: this bounds its memory.
+# Matches that one recursive query works on, by number and by bytes, and the rows that all its steps may
+# hold together: these bound its memory. What is not done after that many rows goes on in a further query.
 MATCHES = 20_000
 MATCH_BYTES = 400_000
+STEP_ROWS = 3_000_000
 
 # Words that one Python worker remembers over its tasks; forgetting costs time, not results.
 WORKER_WORDS = 600_000
 
-# A word that is a token as a whole starts as that token (`single`). `after` is the place of the next
-# token of the word. A step joins neighbours with the merge table, finds each word's smallest (rank,
-# place), writes the new token there and drops the pair's second; words without a pair end.
+# `after` is the place of the next token of the word. A step joins neighbours with the merge table, finds
+# each word's smallest (rank, place), writes the new token there and drops the pair's second; words
+# without a pair end. Each word's last step is its state, open if the steps allowed are used up.
 ENCODE = """
+CREATE OR REPLACE TABLE state AS
 WITH RECURSIVE step(n, word, place, id, after) AS (
-    SELECT 0, word, place, CASE WHEN single >= 0 THEN single ELSE b.id END, place + 1 FROM letters JOIN bytes b USING (byte)
+    SELECT 0, word, place, id, after FROM letters
     UNION ALL
     (
-        WITH token AS MATERIALIZED (SELECT * FROM step),
+        WITH token AS MATERIALIZED (SELECT * FROM step WHERE n < {steps}),
         pair AS (
             SELECT a.word, (m.id << 32) + a.place AS key, b.place AS gone, b.after
             FROM token a
@@ -54,10 +57,14 @@ WITH RECURSIVE step(n, word, place, id, after) AS (
     )
 ),
 last AS (SELECT word, max(n) AS n FROM step GROUP BY word)
+SELECT word, place, id, after, n = {steps} AS open FROM step JOIN last USING (word, n)
+"""
+
+DECODE = """
 SELECT list(id ORDER BY place) AS ids, unhex(string_agg(hex, '' ORDER BY place)) AS decoded
-FROM step JOIN last USING (word, n) JOIN tokens USING (id)
-GROUP BY word
-ORDER BY word
+FROM done JOIN tokens USING (id) JOIN owners USING (word)
+GROUP BY owner
+ORDER BY owner
 """
 
 
@@ -69,14 +76,19 @@ class SqlBpe:
 
         with open(ranks_path, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         self.ranks = ranks
         self.known: dict[str, tuple[str, bytes, int]] = {}
         pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         left, right, new = (pa.array(x, pa.int64()) for x in zip(*pairs))
         self._table("merges", lhs=left, rhs=right, id=new)
         self._table("tokens", id=pa.array(ranks.values(), pa.int64()), hex=pa.array([t.hex() for t in ranks], pa.string()))
-        self._table("bytes", byte=pa.array(range(256), pa.int32()), id=pa.array([ranks.get(bytes([b])) for b in range(256)], pa.int64()))
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        # Neighbouring bytes that no token holds: no merge ever reaches over them.
+        self.meets = np.zeros((256, 256), bool)
+        for token in ranks:
+            for pair in zip(token, token[1:]):
+                self.meets[pair] = True
 
     def _table(self, name: str, **columns: pa.Array) -> None:
         self.con.register("given", pa.table(columns))
@@ -84,22 +96,33 @@ class SqlBpe:
         self.con.unregister("given")
 
     def encode(self, words: list[bytes]) -> tuple[list[list[int]], list[bytes]]:
-        """Ids and decoded bytes of each word. A word that is a token as a whole is that token."""
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        """Ids and decoded bytes of each word. A word that is a token as a whole is that token.
+
+        Words are cut where two bytes meet that no token holds together; the parts take part in the
+        recursion as words of their own.
+        """
         known = np.fromiter((self.ranks.get(w, -1) for w in words), np.int64, len(words))
         # A whole token takes part as one letter of the recursion's start, and decodes like all others.
-        rows = np.where(known >= 0, 1, sizes)
-        word = np.repeat(np.arange(len(words)), rows)
-        place = np.arange(len(word)) - np.repeat(np.cumsum(rows) - rows, rows)
-        single = np.repeat(known, rows)
-        letter = np.frombuffer(b"".join(w if k < 0 else b"\0" for w, k in zip(words, known.tolist())), np.uint8).astype(np.int64)
-        self.con.register("given", pa.table({"word": word, "place": place, "single": single, "byte": letter}))
-        self.con.execute("CREATE OR REPLACE TABLE letters AS SELECT word, place, single, byte FROM given")
-        self.con.unregister("given")
-        found = self.con.sql(ENCODE).to_arrow_table()
+        rows = np.where(known >= 0, 1, np.fromiter(map(len, words), np.int64, len(words)))
+        owner = np.repeat(np.arange(len(words)), rows)
+        place = np.arange(len(owner))
+        letter = np.frombuffer(b"".join(w if k < 0 else b"\0" for w, k in zip(words, known.tolist())), np.uint8)
+        first = np.ones(len(owner), bool)
+        first[1:] = (owner[1:] != owner[:-1]) | ~self.meets[letter[:-1], letter[1:]]
+        word = np.cumsum(first)
+        single = known[owner]
+        self._table("letters", word=word, place=place, id=np.where(single >= 0, single, self.byte_ids[letter]), after=place + 1)
+        self._table("owners", word=word[first], owner=owner[first])
+        self.con.execute("CREATE OR REPLACE TABLE done (word BIGINT, place BIGINT, id BIGINT)")
+        left = len(owner)
+        while left:
+            self.con.execute(ENCODE.format(steps=max(16, STEP_ROWS // left)))
+            self.con.execute("INSERT INTO done SELECT word, place, id FROM state WHERE NOT open")
+            self.con.execute("CREATE OR REPLACE TABLE letters AS SELECT word, place, id, after FROM state WHERE open")
+            left = self.con.execute("SELECT count(*) FROM letters").fetchall()[0][0]
+        found = self.con.sql(DECODE).to_arrow_table()
         return found.column("ids").to_pylist(), found.column("decoded").to_pylist()
 
-
     def learn(self, words: Iterable[str]) -> dict[str, tuple[str, bytes, int]]:
         """(ids as text, decoded bytes, number of ids) of these words, and of others seen before."""
         if len(self.known) > WORKER_WORDS:
