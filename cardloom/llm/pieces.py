@@ -1,8 +1,9 @@
 """Texts as codes of distinct pieces, so that dear work is done once for each distinct piece.
 
 A byte-level pre-tokenizer of the GPT-2 kind always starts a new match at a single space
-between two characters that are not white space. Texts are cut there, and only there: what a
-tokenizer makes of the pieces is then what it makes of the whole text.
+between two characters that are not white space. Texts are cut there, and only there (but for a
+space before NUL, the mark of a first piece): what a tokenizer makes of the pieces is then what it
+makes of the whole text.
 """
 
 from __future__ import annotations
@@ -17,14 +18,14 @@ import pyarrow.compute as pc
 # White space besides the plain space: what Latin texts hold, and the rest.
 _LATIN_BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0"
 _OTHER_BLANK = re.compile("[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+_SAFE_SPACE = re.compile(r"(?<=\S) (?=[^\s\0])")
 # Distinct pieces that one task remembers before it starts afresh; forgetting costs time, not results.
 MEMORY = 250_000
 
 
 def _every_space_cuts(text: str) -> bool:
-    """Whether no space touches other white space or an end of the text (now and then a false no)."""
-    if "  " in text or text[:1].isspace() or text[-1:].isspace():
+    """Whether no space touches other white space, NUL or an end of the text (now and then a false no)."""
+    if "  " in text or " \0" in text or text[:1].isspace() or text[-1:].isspace():
         return False
     for blank in _LATIN_BLANKS:
         if blank in text and (f" {blank}" in text or f"{blank} " in text):

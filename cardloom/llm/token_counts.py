@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -242,6 +242,25 @@ def transducer(path: str) -> Transducer:
     return Transducer(path)
 
 
+def count_texts(tokenizer: str) -> Callable[[list[str]], np.ndarray]:
+    """A function of texts that gives their numbers of tokens; each distinct piece is read once."""
+    machine, known = transducer(tokenizer), Ragged(np.int64)
+
+    def learn(fresh: list[str]) -> None:
+        if machine.compiled > MOST_TRANSITIONS:
+            machine.clear()
+        n = [machine.count(piece_text(x)) for x in fresh]
+        known.extend(np.array(n, np.int64), np.ones(len(n), np.int64))
+
+    coder = Coder(learn, known.clear)
+
+    def count(texts: list[str]) -> np.ndarray:
+        codes, starts = coder.encode(texts)
+        return text_sums(known.take(codes)[0], starts)
+
+    return count
+
+
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (more than `limit` tokens) of every whole text.
 
@@ -251,18 +270,9 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
     ready(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine, known = transducer(tokenizer), Ragged(np.int64)
-
-        def learn(fresh: list[str]) -> None:
-            if machine.compiled > MOST_TRANSITIONS:
-                machine.clear()
-            n = [machine.count(piece_text(x)) for x in fresh]
-            known.extend(np.array(n, np.int64), np.ones(len(n), np.int64))
-
-        coder = Coder(learn, known.clear)
+        counted = count_texts(tokenizer)
         for batch in batches:
-            codes, starts = coder.encode(batch.column(1).to_pylist())
-            n = text_sums(known.take(codes)[0], starts)
+            n = counted(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))

@@ -148,7 +148,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
     """Encode all whole texts and write their ids in ascending order of `id_col`; returns the path.
 
     A NULL text counts as empty and has the end id alone. NULL ids come first; rows of one id are
-    ordered by their text. An empty table gives one file without documents. The text is shuffled
+    ordered by their text. An empty table gives no documents. The text is shuffled
     once, by ranges of the id; it is encoded after that, inside the task that writes the file.
     """
     spark = ready(docs.sparkSession)

@@ -2,7 +2,9 @@
 
 import base64
 import hashlib
+import random
 import zlib
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -19,7 +21,7 @@ from cardloom.session import shared_dir
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-PARTS = st.lists(st.sampled_from(["a", "B", "the", "tion", " ", "  ", "\n", "\t", "\x0b", "\x1c", " ", "'", "'s", "'re", "'l", "1", "²", "é", "İ", "é", "中", "!", "..", "👍", "<|endoftext|>", "\0", "﷐"]), max_size=25)
+PARTS = st.lists(st.sampled_from(["a", "B", "the", "tion", " ", "  ", "\n", "\t", "\x0b", "\x1c", " ", "'", "'s", "'re", "'l", "1", "²", "é", "İ", "é", "中", "!", "..", "👍", "<|endoftext|>", "\0", " \0", "﷐"]), max_size=25)
 TEXTS = PARTS.map("".join)
 
 
@@ -45,7 +47,7 @@ def test_library_ids(texts):
     for path, words in ((BYTES, False), (WORDS, True)):
         flat, starts = LibraryIds(path, words).encode(texts)
         for k, text in enumerate(texts):
-            assert flat[starts[k] : starts[k + 1]].tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids if k == 0 else True
+            assert flat[starts[k] : starts[k + 1]].tolist() == _library(path).encode(text, add_special_tokens=False).ids
 
 
 @settings(max_examples=200, deadline=None)
@@ -55,10 +57,33 @@ def test_transducer(text):
     assert machine.count(text) == len(_library().encode(text, add_special_tokens=False).ids)
 
 
-def _library(found=[]):  # noqa: B006
-    if not found:
-        found.append(Tokenizer.from_file(BYTES))
-    return found[0]
+@settings(max_examples=200, deadline=None)
+@given(st.lists(TEXTS, min_size=1, max_size=4))
+def test_counts_of_pieces(texts):
+    assert token_counts.count_texts(BYTES)(texts).tolist() == [len(_library().encode(x, add_special_tokens=False).ids) for x in texts]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(TEXTS, min_size=1, max_size=4))
+def test_sql_pieces(rank_encoding, texts):
+    found = list(bpe_sql.Pieces(RANKS, public_tokenizers.PATTERN).encode(texts))
+    assert found == [(rank_encoding.encode_ordinary(x), x.encode()) for x in texts]
+
+
+def test_sql_long_matches(rank_encoding, monkeypatch):
+    letters = random.Random(5)
+    texts = ["".join(letters.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(50_000)), "x" * 6000, "ab" * 2000, "中文字" * 700]
+    pieces = bpe_sql.Pieces(RANKS, public_tokenizers.PATTERN)
+    assert [x[0] for x in pieces.encode(texts)] == [rank_encoding.encode_ordinary(x) for x in texts]
+    # A recursion that is cut after few steps gives the same.
+    monkeypatch.setattr(bpe_sql, "STEP_ROWS", 100)
+    words = [x.encode() for x in ("internationalization" * 4, "antidisestablishmentarianism", "zzzzzzzzzzzz", "a", "€€€")]
+    assert bpe_sql.SqlBpe(RANKS).encode(words)[0] == [rank_encoding.encode_ordinary(x.decode()) for x in words]
+
+
+@cache
+def _library(path=BYTES):
+    return Tokenizer.from_file(path)
 
 
 def test_sql_encoding(documents, clashing, no_documents, rank_encoding):
