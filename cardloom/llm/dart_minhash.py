@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +40,8 @@ DARTS = K * np.log(K) + 2 * K
 BLOCK = 256
 BLOCK_SHINGLES = 300_000
 HUBS = 16
+# Text that is signed at once.
+SLICE_BYTES = 1 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -111,14 +114,16 @@ def signatures(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, texts
     done = np.zeros(texts, np.int64)  # ranks looked at so far
     open_ = total > 0
     while open_.any():
-        rows = np.flatnonzero(open_[owner])
+        rows = np.flatnonzero(open_[owner]).astype(np.int32)
         # Every open set's elements, each with its regions of weight and its new regions of rank.
         high = np.ceil(weight[rows]).astype(np.int64)
         new = (ranks - done)[owner[rows]]
         cells = high * new
         row = np.repeat(rows, cells)
         cell = np.arange(cells.sum()) - np.repeat(np.cumsum(cells) - cells, cells)
-        level, rank = cell % np.repeat(high, cells), cell // np.repeat(high, cells) + done[owner[row]]
+        levels = np.repeat(high.astype(np.int32), cells)
+        level, rank = (cell % levels).astype(np.int32), (cell // levels + done[owner[row]]).astype(np.int32)
+        del cell, levels
         with np.errstate(over="ignore"):
             seed = mix(element[row] + mix(level.astype(np.uint64) * _ODD + mix(rank.astype(np.uint64) + np.uint64(77))))
         count = np.searchsorted(_POISSON, _unit(mix(seed + np.uint64(1))), side="right")
@@ -156,6 +161,32 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
         return mix(keys + np.arange(BANDS, dtype=np.uint64) * _ODD)
 
 
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch in runs of about SLICE_BYTES of text; a longer text is a run of its own."""
+    sizes = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
+    run = (np.cumsum(sizes) - sizes) // SLICE_BYTES
+    starts = np.flatnonzero(np.diff(run, prepend=-1))
+    for begin, end in zip(starts.tolist(), [*starts[1:].tolist(), len(batch)]):
+        yield batch.slice(begin, end - begin)
+
+
+def _banded(shingler: Shingler, texts: list[str]) -> tuple[pa.Array, pa.Array]:
+    """Numbers of distinct shingles and band keys of the texts' sets; texts with repeats have weighted bands beside them."""
+    owner, code, times = shingler.shingles(texts)
+    n = np.bincount(owner, minlength=len(texts))
+    keys = band_keys(signatures(owner, code, np.ones(len(code)), len(texts)))
+    repeats = np.bincount(owner, weights=times > 1, minlength=len(texts)) > 0
+    place = np.cumsum(repeats) - 1
+    own = repeats[owner]
+    owner, code, times = place[owner[own]], code[own], times[own]
+    weighted = band_keys(signatures(owner, code, 1 + np.log(times), int(repeats.sum())))
+    held = np.where(n > 0, BANDS, 0) + np.where(repeats, BANDS, 0)
+    both = np.concatenate([keys[n > 0], weighted])
+    text = np.concatenate([np.flatnonzero(n > 0), np.flatnonzero(repeats)])
+    flat = pa.array(both[np.argsort(text, kind="stable")].reshape(-1).view(np.int64))
+    return pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(held)]), pa.int32()), flat)
+
+
 def _sets_meet(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of all left with all right sets, columns of shingles at a time."""
     flat = np.concatenate([*left, *right])
@@ -220,21 +251,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
-            rows = batch.column(1).to_pylist()
-            owner, code, times = shingler.shingles(rows)
-            n = np.bincount(owner, minlength=len(rows))
-            keys = band_keys(signatures(owner, code, np.ones(len(code)), len(rows)))
-            # Texts with repeats: their weighted bands beside those of their sets.
-            repeats = np.bincount(owner, weights=times > 1, minlength=len(rows)) > 0
-            place = np.cumsum(repeats) - 1
-            own = repeats[owner]
-            weighted = band_keys(signatures(place[owner[own]], code[own], 1 + np.log(times[own]), int(repeats.sum())))
-            held = np.where(n > 0, BANDS, 0) + np.where(repeats, BANDS, 0)
-            both = np.concatenate([keys[n > 0], weighted])
-            text = np.concatenate([np.flatnonzero(n > 0), np.flatnonzero(repeats)])
-            flat = pa.array(both[np.argsort(text, kind="stable")].reshape(-1).view(np.int64))
-            bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(held)]), pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int32()), bands], ["doc_id", "node", "n", "bands"])
+            for part in slices(batch, 1):
+                n, bands = _banded(shingler, part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), n, bands], ["doc_id", "node", "n", "bands"])
 
     signed = written(texts.mapInArrow(sign, "doc_id long, node string, n int, bands array<long>"), "dart-signatures")
     nodes = signed.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
@@ -247,10 +266,11 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     def list_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
-            owner, code, _ = shingler.shingles(batch.column(1).to_pylist())
-            offsets = np.searchsorted(owner, np.arange(len(batch) + 1))
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(code.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["node", "shingles"])
+            for part in slices(batch, 1):
+                owner, code, _ = shingler.shingles(part.column(1).to_pylist())
+                offsets = np.searchsorted(owner, np.arange(len(part) + 1))
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(code.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["node", "shingles"])
 
     # One document for each such node: the one of smallest id, so that no group of copies meets in a task.
     first_of = signed.join(groups, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
