@@ -180,22 +180,34 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024, id_
         full = 0
         for batch in batches:
             flat, starts = with_end(*encoder.encode(batch.column(1).to_pylist()), end_id)
-            raw = flat.astype("<u4").tobytes()
-            rows = []
-            for doc, begin, end in zip(batch.column(0).to_pylist(), starts[:-1].tolist(), starts[1:].tolist()):
-                n = end - begin
-                for start in range(0, n, capacity):
-                    length = min(capacity, n - start)
-                    at = 4 * (begin + start)
-                    tail = length < capacity
-                    rows.append((doc, n, start, length, tail, task, int(ranks[length]) if tail else full, raw[at : at + 4 * length]))
-                    if tail:
-                        ranks[length] += 1
-                    else:
-                        full += 1
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.binary()]
-            for at in range(0, len(rows), 2000):
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows[at : at + 2000]), kinds)], [x.split()[0] for x in PIECE.split(", ")])
+            # All pieces of the batch lie end to end in `flat`.
+            tokens = np.diff(starts)
+            pieces = -(-tokens // capacity)
+            first = np.cumsum(pieces) - pieces
+            doc = np.repeat(np.arange(len(tokens)), pieces)
+            start = capacity * (np.arange(len(doc)) - first[doc])
+            length = np.minimum(capacity, tokens[doc] - start)
+            tail = length < capacity
+            # A tail's place is its rank among those of its length in this task, a whole sequence's among those.
+            place = np.cumsum(~tail) - 1 + full
+            own = np.flatnonzero(tail)
+            order = own[np.argsort(length[own], kind="stable")]
+            count = np.bincount(length[own], minlength=capacity)
+            place[order] = np.arange(len(order)) - np.repeat(np.cumsum(count) - count, count) + ranks[length[order]]
+            ranks += count
+            full += int((~tail).sum())
+            # Arrow's offsets have 32 bits: a batch of more than 1 GiB of ids is handed over in parts.
+            for at in range(0, len(doc), 1 << 18):
+                some = slice(at, at + (1 << 18))
+                begin = int(starts[doc[at]] + start[at])
+                ends = np.concatenate([[0], np.cumsum(length[some])])
+                raw = np.ascontiguousarray(flat[begin : begin + int(ends[-1])], "<u4")
+                ids = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(raw)])
+                arrays = [
+                    batch.column(0).take(pa.array(doc[some])), pa.array(tokens[doc[some]]), pa.array(start[some]), pa.array(length[some].astype(np.int32)),
+                    pa.array(tail[some]), pa.array(np.full(len(ends) - 1, task, np.int32)), pa.array(place[some]), ids,
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in PIECE.split(", ")])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     pieces = written(texts.mapInArrow(encode, PIECE), "pieces")
