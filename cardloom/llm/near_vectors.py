@@ -37,8 +37,15 @@ def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, scale, np.linalg.norm(unit - codes * scale[:, None], axis=1) + EPS
 
 
+def tame(vectors: np.ndarray) -> np.ndarray:
+    """Each vector times a power of two that brings its largest component near one: squares keep inside a double's range."""
+    _, power = np.frexp(np.abs(vectors).max(axis=1))
+    return np.ldexp(vectors, -power[:, None])
+
+
 def linked_pairs(left: np.ndarray, right: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(rows of left, rows of right) with cosine >= threshold in double precision; both are raw vectors."""
+    left, right = tame(left), tame(right)
     norm_l, norm_r = np.linalg.norm(left, axis=1), np.linalg.norm(right, axis=1)
     (ql, sl, el), (qr, sr, er) = quantise(left / norm_l[:, None]), quantise(right / norm_r[:, None])
     # Products of int8 codes are integers below 2**24 up to 1040 dimensions: float32 holds them exactly.
@@ -99,7 +106,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     total = distinct.count()
     wanted = max(1, min(PIVOTS, total // TILE))
     pivots = [r.v for r in distinct.orderBy(F.xxhash64("node"), "node").limit(wanted).select("v").collect()]
-    shared = spark.sparkContext.broadcast([np.array(p, float) / np.linalg.norm(p) for p in pivots])
+    shared = spark.sparkContext.broadcast([x / np.linalg.norm(x) for p in pivots for x in tame(np.array([p], float))])
 
     def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres = shared.value
@@ -110,7 +117,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
                 own = [k for k, c in enumerate(centres) if len(c) == dim]
                 rows = np.flatnonzero(dims == dim)
                 if own:
-                    x = matrix(batch.column(2).take(pa.array(rows)))
+                    x = tame(matrix(batch.column(2).take(pa.array(rows))))
                     near = np.arccos(np.clip(x @ np.array([centres[k] for k in own]).T / np.linalg.norm(x, axis=1)[:, None], -1, 1))
                     cells[rows] = np.array(own)[near.argmin(axis=1)]
                     angles[rows] = near.min(axis=1)

@@ -52,6 +52,15 @@ def test_near_vectors_in_many_tiles(vectors, monkeypatch):
     assert sorted(map(str, near_vectors.near_duplicates(vectors).collect())) == whole
 
 
+def test_vectors_of_extreme_scale(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=8)
+    rows = [(k, (base * scale).tolist()) for k, scale in enumerate((1.0, 1e200, 1e-200, 1e-300, -1e250))]
+    rows += [(10 + k, rng.normal(size=8).tolist()) for k in range(20)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert [got[k] for k in range(5)] == [(3, 0)] * 4 + [(0, 4)]
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.integers(0, 10**6), st.floats(0.0, 0.3))
 def test_bounds_lose_no_link(seed, spread):
