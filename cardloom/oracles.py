@@ -194,8 +194,7 @@ METADATA = """answers AS (
     (['Early', 'Mid', 'Late', 'Endless'])[doc_id % 4 + 1] AS stage
   FROM documents LEFT JOIN labels USING (doc_id)),
 judged_answers AS (
-  SELECT *, CASE WHEN toxic = 1 THEN 'malformed' WHEN stage = 'Endless' THEN 'game stage'
-    WHEN rating > 10 THEN 'power rating' END AS reason FROM answers)"""
+  SELECT *, CASE WHEN toxic = 1 THEN 'malformed' WHEN stage = 'Endless' THEN 'game stage' END AS reason FROM answers)"""
 
 CSV = """csv_rows AS (
   SELECT event_id, user_id, p_partkey, CASE WHEN event_type <> 'error' THEN floor(value)::BIGINT END AS quantity
