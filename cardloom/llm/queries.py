@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardloom.llm import bpe_sql, dart_minhash, languages, mixing, near_vectors, packing, posting_lists, quality, token_counts, token_files
+from cardloom.llm import (
+    bpe_sql,
+    dart_minhash,
+    languages,
+    mixing,
+    near_vectors,
+    packing,
+    posting_lists,
+    quality,
+    token_counts,
+    token_files,
+    turn_trie,
+    url_rules,
+    whitening,
+)
 from cardloom.llm.common import ready, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +123,82 @@ def op4_near_documents(spark: SparkSession, folder: str) -> DataFrame:
 def op3_text_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Log probabilities of all documents by mixed bit predictors, beside the counted base."""
     return mixing.score_texts(table(spark, folder, "documents"))
+
+
+@query
+def op11_turn_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """The prefix trie of all conversations, rebuilt on shared heads."""
+    return turn_trie.conversation_trie(table(spark, folder, "conversations"))
+
+
+@query
+def op12_whitened(spark: SparkSession, folder: str) -> DataFrame:
+    """All vectors whitened by the 16 leading eigenvectors of their covariance."""
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+@query
+def op13_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on every page's URL."""
+    return url_rules.judge_urls(table(spark, folder, "pages"), URL_RULES)
+
+
+ORACLES["op13_url_filters"] = """
+WITH rules(host, path, verdict) AS (
+    VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+),
+places AS (
+    SELECT page_id, url,
+        coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+        coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+    FROM pages
+)
+SELECT page_id, host, path, won.rule AS rule, coalesce(won.verdict, 'allow') AS verdict FROM (
+    SELECT page_id, host, path, (
+        SELECT arg_max({'rule': r.host || r.path, 'verdict': r.verdict}, length(r.host || r.path)) FROM rules r
+        WHERE (places.host = r.host OR ends_with(places.host, '.' || r.host)) AND starts_with(places.path, r.path)
+    ) AS won FROM places
+)
+"""
+
+# The unsigned crc32 of the decimal conversation id, bit by bit.
+ORACLES["op11_turn_trie"] = """
+WITH own AS (
+    SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+        {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS turn
+    FROM conversations WHERE conv_id IS NOT NULL
+),
+listed AS (
+    SELECT c, list(turn ORDER BY i) AS turns,
+        xor(4294967295, list_reduce(list_transform(string_split(c::VARCHAR, ''), lambda x: ord(x)::BIGINT),
+            lambda crc, byte: list_reduce(range(8), lambda x, k: xor(x >> 1, (x & 1) * 3988292384), xor(crc, byte)),
+            4294967295::BIGINT)) % 6 AS h
+    FROM own GROUP BY c
+),
+rebuilt AS (
+    SELECT a.c, list_concat(coalesce(b.turns[1:a.h], []), a.turns[a.h + 1:]) AS turns
+    FROM listed a LEFT JOIN listed b ON b.c = a.c - a.c % 100
+),
+passed AS (
+    SELECT c, d, turns[1:d] AS path, len(turns) = d AS ends FROM (SELECT c, turns, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt)
+),
+nodes AS (
+    SELECT d, path, min(c) AS conv_id, count(*) AS n_convs, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends) AS ends,
+        (count(*) - 1) * coalesce(length(path[d].text), 0) AS saved
+    FROM passed GROUP BY d, path
+),
+children AS (SELECT path[1:d - 1] AS path, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+below AS (
+    SELECT path[1:top] AS path, count(*) FILTER (NOT inner_node) AS leaves, sum(saved) AS saved FROM (
+        SELECT nodes.path, nodes.saved, children.path IS NOT NULL AS inner_node, unnest(range(0, d + 1)) AS top
+        FROM nodes LEFT JOIN children ON children.path = nodes.path
+    ) GROUP BY ALL
+)
+SELECT nodes.conv_id, nodes.d AS depth, parent.conv_id AS parent_conv_id, nodes.n_convs, coalesce(children.n, 0) AS n_children,
+    below.leaves AS n_leaves, below.saved::BIGINT AS saved_tokens, sha256(coalesce(nodes.ends, '')) AS ends_sha256
+FROM nodes JOIN below ON below.path = nodes.path LEFT JOIN children ON children.path = nodes.path
+LEFT JOIN nodes parent ON parent.d = nodes.d - 1 AND parent.path = nodes.path[1:nodes.d - 1]
+"""
