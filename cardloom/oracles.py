@@ -47,16 +47,10 @@ deck_cards AS (
 EVENTS = """ev AS (
   SELECT *, (props->>'$.k')::BIGINT AS k FROM events)"""
 
-REQUESTS = """lines AS (
-  SELECT o_custkey, l_partkey, l_quantity, l_extendedprice, l_shipdate
-  FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
-context AS (
-  SELECT DISTINCT request_id, card_id FROM (
-    SELECT o_custkey AS request_id, l_partkey AS card_id,
-      row_number() OVER (PARTITION BY o_custkey ORDER BY l_quantity DESC, l_partkey DESC) AS r1,
-      row_number() OVER (PARTITION BY o_custkey ORDER BY l_extendedprice DESC, l_partkey DESC) AS r2,
-      row_number() OVER (PARTITION BY o_custkey ORDER BY l_shipdate DESC, l_partkey DESC) AS r3
-    FROM lines) WHERE 1 IN (r1, r2, r3)),
+REQUESTS = """context AS (
+  SELECT DISTINCT request_id, l_partkey AS card_id
+  FROM (SELECT o_custkey AS request_id, min(o_orderkey) AS first_order FROM orders GROUP BY o_custkey)
+  JOIN lineitem ON l_orderkey = first_order),
 requests AS (
   SELECT c_custkey AS request_id, c_custkey AS user_id,
     CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'strongest'
@@ -70,32 +64,32 @@ wanted AS (
     SELECT request_id, count(*)::INT AS n_context, bit_or(ci_mask) AS m, string_agg(name, ', ' ORDER BY id) AS names
     FROM context JOIN cards ON card_id = id GROUP BY request_id) USING (request_id))"""
 
-GENERATE = """legend_scores AS (
+GENERATE = """legend_scores AS MATERIALIZED (
   SELECT w.request_id, c.id, c.ci_mask, c.identity, c.name, row_number() OVER (PARTITION BY w.request_id ORDER BY
       (w.wanted_mask & ~c.ci_mask) = 0 DESC, bit_count(c.ci_mask & w.wanted_mask) DESC, bit_count(c.ci_mask) DESC,
       (w.pref = 'prefer' AND o.card_id IS NOT NULL) DESC, c.id) AS rn
   FROM wanted w JOIN cards c ON c.type_line = 'Legendary Creature'
   LEFT JOIN collection o ON o.user_id = w.user_id AND o.card_id = c.id AND o.quantity > 0
   WHERE w.pref <> 'only' OR o.card_id IS NOT NULL),
-leaders AS (
+leaders AS MATERIALIZED (
   SELECT w.*, s.id AS commander_id, s.ci_mask AS commander_mask, s.identity, s.name AS commander_name
   FROM wanted w LEFT JOIN legend_scores s ON s.request_id = w.request_id AND s.rn = 1),
-fitting AS (
+fitting AS MATERIALIZED (
   SELECT l.request_id, c.id, c.type_line, c.primary_role, x.card_id IS NOT NULL AS is_context,
     (l.pref = 'prefer' AND o.card_id IS NOT NULL) AS is_own, l.commander_id, l.identity
   FROM leaders l JOIN roled c ON c.ci_mask & ~l.commander_mask = 0
   LEFT JOIN context x ON x.request_id = l.request_id AND x.card_id = c.id
   LEFT JOIN collection o ON o.user_id = l.user_id AND o.card_id = c.id AND o.quantity > 0
   WHERE l.pref <> 'only' OR o.card_id IS NOT NULL),
-spells AS (
+spells AS MATERIALIZED (
   SELECT * FROM (
     SELECT request_id, id AS card_id, primary_role AS role,
       row_number() OVER (PARTITION BY request_id ORDER BY is_context DESC, is_own DESC, id)::INT AS rank
     FROM fitting WHERE type_line NOT LIKE '%Land%' AND id <> commander_id) WHERE rank <= 63),
-need AS (
+need AS MATERIALIZED (
   SELECT l.request_id, l.identity, (99 - count(s.card_id))::INT AS lands_needed
   FROM leaders l LEFT JOIN spells s USING (request_id) WHERE l.commander_id IS NOT NULL GROUP BY ALL),
-nonbasics AS (
+nonbasics AS MATERIALIZED (
   SELECT r.request_id, r.card_id, r.rank FROM (
     SELECT request_id, id AS card_id, row_number() OVER (PARTITION BY request_id ORDER BY is_own DESC, id)::INT AS rank
     FROM fitting WHERE type_line = 'Land') r JOIN need n USING (request_id)
@@ -227,6 +221,25 @@ checked AS (
   FROM answered JOIN answer_sums USING (request_id))"""
 
 
+LOOP_JUDGED = """(SELECT r.*, CASE WHEN attempt = 1 AND request_id % 7 = 0 THEN 'answer is not readable' ELSE concat_ws('; ',
+    CASE WHEN request_id % 3 = 0 AND NOT sized THEN 'expected 100 cards, found 99' END,
+    CASE WHEN a.type_line <> 'Legendary Creature' THEN 'commander is not a legendary creature' END,
+    CASE WHEN (z.ci_mask | CASE WHEN fewer THEN 0 ELSE b.ci_mask | c.ci_mask END) & ~a.ci_mask <> 0
+      THEN 'cards outside the commander''s color identity' END,
+    CASE WHEN request_id % 2 = 1 AND NOT single AND NOT fewer AND c.type_line <> 'Basic Land' THEN '1 cards exceed 1 copy' END,
+    CASE WHEN request_id % 5 = 0 AND NOT named THEN '1 unknown card names' END) END AS errors
+  FROM {rounds} r JOIN cards a ON a.id = k + least(shift, 5) JOIN cards b ON b.id = k + 6 JOIN cards c ON c.id = k + 7,
+    (SELECT arg_min(ci_mask, (ci_mask <> 0, id)) AS ci_mask FROM cards WHERE type_line = 'Basic Land') z)"""
+
+# What earlier errors have made the builder do stays done.
+LOOP = """tried AS (
+  SELECT event_id AS request_id, k, 1 AS attempt, 0 AS shift, FALSE AS sized, FALSE AS fewer, FALSE AS single, FALSE AS named FROM ev
+  UNION ALL
+  SELECT request_id, k, attempt + 1, shift + contains(errors, 'legendary')::INT, sized OR contains(errors, 'expected'),
+    fewer OR contains(errors, 'outside'), single OR contains(errors, 'exceed'), named OR contains(errors, 'unknown')
+  FROM """ + LOOP_JUDGED.format(rounds="tried") + """ WHERE errors <> '' AND attempt < 4)"""
+
+
 def _with(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
@@ -518,4 +531,9 @@ WHERE card_id IN (SELECT id FROM cards) GROUP BY ALL""",
 SELECT 'deck-' || sha256(user_id || ':' || seq) AS id, user_id, name, commander_id, ts AS created_at, ts AS updated_at
 FROM saves QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seq) <= 12""",
 }
+ORACLES["deck_build_loop"] = "WITH RECURSIVE " + ",\n".join((CARDS, EVENTS, LOOP)) + """
+SELECT request_id, attempt AS attempts, CASE WHEN errors = '' THEN 'valid' ELSE 'exhausted' END AS status, errors
+FROM """ + LOOP_JUDGED.format(rounds="tried") + """ WHERE errors = '' OR attempt = 4"""
+ORACLES["deck_build_rounds"] = "WITH RECURSIVE " + ",\n".join((CARDS, EVENTS, LOOP)) + """
+SELECT attempt, errors, count(*) AS n_requests FROM """ + LOOP_JUDGED.format(rounds="tried") + """ GROUP BY ALL"""
 ORACLES["stream_edits"] = ORACLES["edit_log_replay"]

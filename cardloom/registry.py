@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +15,7 @@ from cardloom.functions.constants import FACET_COLORS
 from cardloom.operators import collection as coll
 from cardloom.operators import deck_log, decks, edits, facets, roles, stats, validate
 from cardloom.plans import generate as gen
-from cardloom.plans import knowledge, prompts, retrieve
+from cardloom.plans import build_loop, knowledge, prompts, retrieve
 from cardloom.session import shared_dir, tune
 from cardloom.sources.collection_csv import parse_collection_lines
 from cardloom.sources.drafts import draft_cards, load_drafts
@@ -491,6 +494,44 @@ def retry_table(t: Tables) -> DataFrame:
     return prompts.retry_table(prompts.judge_responses(t.responses(), t.cards()), asked)
 
 
+def mending_builder(asked: pd.DataFrame) -> list[str]:
+    """Stands in for a model: reads the prompt alone, makes mistakes by the request's number, and mends what it is told."""
+    answers = []
+    for number, attempt, prompt in zip(asked["request_id"], asked["attempt"], asked["prompt"]):
+        def names(heading: str, prompt: str = prompt) -> list[str]:
+            block = prompt.split(f"{heading}:\n", 1)[1].split("\n\n", 1)[0]
+            return [line[2:].split(" | ")[0] for line in block.split("\n")]
+
+        told = prompt.split("The previous deck broke these rules:", 1)[-1] if attempt > 1 else ""
+        *leaders, basic = names("Candidate cards")
+        first, second = names("Selected cards")
+        cards = []
+        if "outside" not in told:
+            cards = [(first, 1), (second, 2 if number % 2 and "exceed" not in told else 1)]
+        if number % 5 == 0 and "unknown" not in told:
+            cards.append(("no such card", 1))
+        missing = 1 if number % 3 == 0 and "expected" not in told else 0
+        cards.append((basic, 99 - missing - sum(n for _, n in cards)))
+        leader = leaders[min(told.count("legendary"), len(leaders) - 1)]
+        text = json.dumps({"commander": leader, "cards": [{"name": name, "quantity": n} for name, n in cards]})
+        answers.append(text[:-7] if attempt == 1 and number % 7 == 0 else text)
+    return answers
+
+
+@query
+def deck_build_loop(t: Tables) -> DataFrame:
+    """Every request is asked again with the errors of its answer until it is valid or out of rounds."""
+    rows = build_loop.build_until_valid(t.loop_prompts(), t.cards(), build_loop.in_batches(mending_builder), max_rounds=4)
+    return rows.select("request_id", "attempts", "status", "errors")
+
+
+@query
+def deck_build_rounds(t: Tables) -> DataFrame:
+    """What went wrong in each round of the loop."""
+    rounds = build_loop.build_rounds(t.loop_prompts(), t.cards(), build_loop.in_batches(mending_builder), max_rounds=4)
+    return reduce(DataFrame.unionByName, rounds).groupBy("attempt", "errors").agg(F.count(F.lit(1)).alias("n_requests"))
+
+
 @query
 def upgrade_suggestions(t: Tables) -> DataFrame:
     deck = gen.deck_list(generated(t), t.basics())

@@ -19,45 +19,39 @@ def _file_system(spark: SparkSession, base: str):
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
-def versions(spark: SparkSession, base: str) -> list[int]:
-    """Complete versions in ascending order: those whose write was committed."""
-    fs, root = _file_system(spark, base)
-    if not fs.exists(root):
-        return []
-    new_path = spark._jvm.org.apache.hadoop.fs.Path
-    found = []
-    for status in fs.listStatus(root):
-        name = status.getPath().getName()
-        if name.startswith("v") and name[1:].isdigit() and fs.exists(new_path(status.getPath(), "_SUCCESS")):
-            found.append(int(name[1:]))
-    return sorted(found)
-
+def is_whole(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to its end."""
+    fs, _ = _file_system(spark, path)
+    return fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS"))
 
-def version_path(base: str, version: int) -> str:
-    return f"{base}/v{version}"
 
-
-def read_latest(spark: SparkSession, base: str, schema: StructType | str, below: int | None = None) -> DataFrame | None:
-    """The newest complete version (older than ``below``), or None when there is none."""
-    known = [v for v in versions(spark, base) if below is None or v < below]
-    return spark.read.schema(schema).parquet(version_path(base, known[-1])) if known else None
+def save_table(df: DataFrame, base: str) -> None:
+    """Replace the whole table. The rows may come from the table itself: they are whole elsewhere before old ones go."""
+    spark = df.sparkSession
+    fs, _ = _file_system(spark, base)
+    new_path = spark._jvm.org.apache.hadoop.fs.Path
+    beside = f"{base.rstrip('/')}-next"
+    df.write.mode("overwrite").parquet(beside)
+    fs.delete(new_path(base), True)
+    if not fs.rename(new_path(beside), new_path(base)):
+        raise OSError(f"{beside} could not take the place of {base}")
 
 
-def write_version(df: DataFrame, base: str, version: int | None = None) -> int:
-    """Write a new version and return its number. Repeating a number replaces it."""
-    if version is None:
-        known = versions(df.sparkSession, base)
-        version = known[-1] + 1 if known else 0
-    df.write.mode("overwrite").parquet(version_path(base, version))
-    return version
+def load_table(spark: SparkSession, base: str, schema: StructType | str) -> DataFrame | None:
+    """The stored table, or None where none is whole. One that stopped between old and new is the new one."""
+    fs, root = _file_system(spark, base)
+    beside = f"{base.rstrip('/')}-next"
+    if not fs.exists(root) and is_whole(spark, beside):
+        fs.rename(spark._jvm.org.apache.hadoop.fs.Path(beside), root)
+    return spark.read.schema(schema).parquet(base) if is_whole(spark, base) else None
 
 
 def load_or_seed(spark: SparkSession, base: str, schema: StructType | str, seed: DataFrame) -> DataFrame:
     """The stored table; where nothing whole is stored, the seed is stored first."""
-    stored = read_latest(spark, base, schema)
+    stored = load_table(spark, base, schema)
     if stored is None:
-        write_version(seed, base)
-        stored = read_latest(spark, base, schema)
+        save_table(seed, base)
+        stored = load_table(spark, base, schema)
     return stored
 
 
@@ -106,8 +100,10 @@ def update_buckets(
         others = marks.where(F.col("bucket").isin(todo) & (F.col(STREAM) != stream)).select(STREAM, BATCH, "bucket")
         after = rows.unionByName(own.unionByName(others), allowMissingColumns=True)
         # A folder cannot be read and replaced by one job: the new rows are whole before old ones go.
-        after.write.mode("overwrite").parquet(f"{base}/_next")
-        whole = spark.read.schema(after.schema).parquet(f"{base}/_next")
+        beside = f"{base}/_next/stream={stream}/batch={number}"
+        after.write.mode("overwrite").parquet(beside)
+        whole = spark.read.schema(after.schema).parquet(beside)
         whole.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(base)
+        _file_system(spark, base)[0].delete(spark._jvm.org.apache.hadoop.fs.Path(beside), True)
     finally:
         placed.unpersist()

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cardloom.functions import columns as C
 from cardloom.functions.constants import COLORS, ONLY_OWNED, PREFER_OWNED, STRONGEST
+from cardloom.plans.prompts import build_prompts
 
 # Noun of the part name -> roles; nouns not listed have no role entry.
 NOUN_ROLES = {
@@ -146,24 +147,15 @@ class Tables:
         )
 
     def requests(self) -> DataFrame:
-        """One request per customer, built around at most three of their parts:
-        the one bought most in one line, the dearest line and the latest line."""
-        lines = self.raw("lineitem").join(
-            self.raw("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey"
-        )
-        picks = lines.groupBy(F.col("o_custkey").alias("request_id")).agg(
-            F.max(F.struct("l_quantity", "l_partkey"))["l_partkey"].alias("p1"),
-            F.max(F.struct("l_extendedprice", "l_partkey"))["l_partkey"].alias("p2"),
-            F.max(F.struct("l_shipdate", "l_partkey"))["l_partkey"].alias("p3"),
-        )
+        """One request per customer, built around all distinct parts of their order of lowest key."""
+        first = self.raw("orders").groupBy(F.col("o_custkey").alias("request_id")).agg(F.min("o_orderkey").alias("l_orderkey"))
         names = self.raw("part").select(
-            "p_partkey", F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("name")
+            F.col("p_partkey").alias("l_partkey"), F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("name")
         )
         built_around = (
-            picks.select("request_id", F.explode(F.array_distinct(F.array("p1", "p2", "p3"))).alias("p_partkey"))
-            .join(names, "p_partkey")
+            self.raw("lineitem").select("l_orderkey", "l_partkey").join(first, "l_orderkey").join(names, "l_partkey")
             .groupBy("request_id")
-            .agg(F.array_sort(F.collect_list("name")).alias("build_around_card_names"))  # three at most
+            .agg(F.array_sort(F.collect_set("name")).alias("build_around_card_names"))  # the lines of one order
         )
         preference = (
             F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), F.lit(STRONGEST))
@@ -315,3 +307,14 @@ class Tables:
             self.events().join(a, "k").join(b, "k").join(c, "k")
             .select(F.col("event_id").alias("request_id"), (F.col("k") % 4).cast("int").alias("attempt"), text.alias("response"))
         )
+
+    def loop_prompts(self) -> DataFrame:
+        """One prompt per event: two cards to build around and six that may lead, next to its number, and a basic land."""
+        asked = self.events().select(F.col("event_id").alias("request_id"), "k")
+        open_choice = F.lit(None).cast("string")
+        requests = asked.select("request_id", open_choice.alias("power_level"), open_choice.alias("collection_preference"))
+        context = asked.select("request_id", F.explode(F.array(F.col("k") + 6, F.col("k") + 7)).alias("card_id"))
+        basic = self.cards().where(C.is_basic_land()).agg(F.min_by("id", F.struct(F.col("ci_mask") != 0, F.col("id"))).alias("id"))
+        near = F.array(*[F.col("k") + i for i in range(6)], basic.scalar())
+        offered = asked.select("request_id", F.posexplode(near).alias("rank", "card_id"))
+        return build_prompts(requests, context, offered, self.cards())

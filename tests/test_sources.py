@@ -63,16 +63,17 @@ def test_open_saved_decks(spark):
     assert drafts.open_decks(saved).first()["cards"] == {"x": 5, "y": 2}
 
 
-def test_versions_hide_unfinished_writes(spark, tmp_path):
+def test_stored_tables(spark, tmp_path):
     base, schema = str(tmp_path / "t"), "a int"
-    assert stores.read_latest(spark, base, schema) is None
-    one = stores.load_or_seed(spark, base, schema, spark.createDataFrame([(1,)], schema))
-    assert one.count() == 1 and stores.versions(spark, base) == [0]
-    assert stores.write_version(spark.createDataFrame([(1,), (2,)], schema), base) == 1
-    (tmp_path / "t" / "v2").mkdir()
-    assert stores.versions(spark, base) == [0, 1]
-    assert stores.read_latest(spark, base, schema).count() == 2
-    assert stores.read_latest(spark, base, schema, below=1).count() == 1
+    assert stores.load_table(spark, base, schema) is None
+    assert stores.load_or_seed(spark, base, schema, spark.createDataFrame([(1,)], schema)).count() == 1
+    assert stores.load_or_seed(spark, base, schema, spark.createDataFrame([(1,), (2,)], schema)).count() == 1
+    stores.save_table(stores.load_table(spark, base, schema).unionByName(spark.createDataFrame([(5,)], schema)), base)  # read while replaced
+    assert sorted(r.a for r in stores.load_table(spark, base, schema).collect()) == [1, 5]
+    (tmp_path / "t").rename(tmp_path / "t-next")  # stopped after the old rows went
+    assert stores.load_table(spark, base, schema).count() == 2
+    (tmp_path / "t" / "_SUCCESS").unlink()
+    assert stores.load_table(spark, base, schema) is None
 
 
 def test_deck_list_files(spark, make_cards, tmp_path):
