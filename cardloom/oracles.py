@@ -537,3 +537,20 @@ FROM """ + LOOP_JUDGED.format(rounds="tried") + """ WHERE errors = '' OR attempt
 ORACLES["deck_build_rounds"] = "WITH RECURSIVE " + ",\n".join((CARDS, EVENTS, LOOP)) + """
 SELECT attempt, errors, count(*) AS n_requests FROM """ + LOOP_JUDGED.format(rounds="tried") + """ GROUP BY ALL"""
 ORACLES["stream_edits"] = ORACLES["edit_log_replay"]
+ORACLES["stream_drafts_folded"] = ORACLES["edit_log_replay"]
+ORACLES["stream_draft_commanders"] = ORACLES["edit_log_commanders"] + " WHERE leader IS NOT NULL"
+ORACLES["stream_counted_adds"] = ORACLES["collection_upsert"]
+ORACLES["card_import"] = _with(CARDS) + """
+SELECT id::VARCHAR AS id, oracle_id, name, mana_cost, mana_value, identity, type_line, ci_mask::INT AS ci_mask FROM cards
+WHERE type_line <> 'Basic Land'"""
+ORACLES["card_import_quarantine"] = _with(CARDS) + """
+SELECT 'malformed' AS reason, count(*) AS n_lines FROM cards WHERE type_line = 'Basic Land'"""
+ORACLES["card_reload_changes"] = _with(CARDS) + """
+SELECT id::VARCHAR AS id, CASE type_line WHEN 'Instant' THEN 'new' ELSE 'changed' END AS change FROM cards
+WHERE type_line IN ('Instant', 'Artifact') UNION ALL SELECT 's' || s_suppkey, 'gone' FROM supplier"""
+ORACLES["card_role_rows"] = """
+SELECT doc_id::VARCHAR AS card_id, 'Text from ' || source AS summary, position::INT AS position, CASE position WHEN 0 THEN 'Text' ELSE lang END AS role,
+  CASE WHEN quality = 1 THEN 'Good' ELSE '' END AS themes
+FROM documents JOIN labels USING (doc_id), (VALUES (0), (1)) v(position) WHERE doc_id IN (SELECT p_partkey FROM part)"""
+ORACLES["metadata_without_cards"] = """
+SELECT doc_id::VARCHAR AS card_id FROM documents JOIN labels USING (doc_id) WHERE doc_id NOT IN (SELECT p_partkey FROM part)"""

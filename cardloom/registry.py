@@ -17,9 +17,11 @@ from cardloom.operators import deck_log, decks, edits, facets, roles, stats, val
 from cardloom.plans import generate as gen
 from cardloom.plans import build_loop, knowledge, prompts, retrieve
 from cardloom.session import shared_dir, tune
+from cardloom.sources import card_store
 from cardloom.sources.collection_csv import parse_collection_lines
 from cardloom.sources.drafts import draft_cards, load_drafts
 from cardloom.sources.views import Tables
+from cardloom.streaming import states
 from cardloom.streaming import tables as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -361,6 +363,65 @@ def csv_import_quarantine(t: Tables) -> DataFrame:
     return rejected.select("event_id", "reason")
 
 
+# --- stored cards -----------------------------------------------------------
+
+
+def _bulk_file(t: Tables) -> str:
+    """The catalogue as a bulk file of JSON lines, with lines that are no cards."""
+    path = shared_dir(t.spark, "bulk")
+    raw = F.struct(
+        F.col("id").cast("string").alias("id"), "oracle_id", "name", "mana_cost", F.col("mana_value").alias("cmc"), F.lit("").alias("oracle_text"),
+        "colors", "color_identity", "type_line", "keywords",
+    )
+    text = F.to_json(raw)
+    broken = F.when(F.col("type_line") == "Basic Land", F.substring(text, F.lit(1), F.length(text) - 3)).otherwise(text)
+    t.cards().select(broken.alias("value")).write.text(path)
+    return path
+
+
+@query
+def card_import(t: Tables) -> DataFrame:
+    """A bulk file into the store and back."""
+    base = shared_dir(t.spark, "cards")
+    card_store.import_cards(t.spark, _bulk_file(t), base)
+    rows = card_store.read_cards_stored(t.spark, base)
+    return rows.select("id", "oracle_id", "name", "mana_cost", "mana_value", F.array_join("color_identity", "").alias("identity"), "type_line", "ci_mask")
+
+
+@query
+def card_import_quarantine(t: Tables) -> DataFrame:
+    _, refused = card_store.import_cards(t.spark, _bulk_file(t), shared_dir(t.spark, "cards"))
+    return refused.groupBy("reason").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+@query
+def card_reload_changes(t: Tables) -> DataFrame:
+    """What a second load finds: instants are new, artifacts renamed, suppliers' cards gone."""
+    base = shared_dir(t.spark, "cards")
+    cards = t.cards().withColumn("id", F.col("id").cast("string"))
+    before = cards.where("type_line <> 'Instant'").withColumn("name", F.when(F.col("type_line") == "Artifact", F.concat(F.lit("old "), "name")).otherwise(F.col("name")))
+    gone = t.raw("supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("ordinal"))
+    card_store.load_cards(before.unionByName(gone, allowMissingColumns=True), base)
+    return card_store.load_cards(cards, base)
+
+
+@query
+def card_role_rows(t: Tables) -> DataFrame:
+    """Metadata as child rows, for the cards that are stored: of labelled documents, those with a part of their number."""
+    base = shared_dir(t.spark, "cards")
+    card_store.load_cards(t.cards().withColumn("id", F.col("id").cast("string")), base)
+    card_store.load_metadata(t.text_metadata().withColumn("card_id", F.col("card_id").cast("string")), base)
+    return card_store.read_metadata(t.spark, base).select("card_id", "summary", F.posexplode("roles").alias("position", "role"), F.array_join("themes", ",").alias("themes"))
+
+
+@query
+def metadata_without_cards(t: Tables) -> DataFrame:
+    base = shared_dir(t.spark, "cards")
+    card_store.load_cards(t.cards().withColumn("id", F.col("id").cast("string")), base)
+    _, refused = card_store.load_metadata(t.text_metadata().withColumn("card_id", F.col("card_id").cast("string")), base)
+    return refused.select("card_id")
+
+
 # --- knowledge ------------------------------------------------------------
 
 TAG_RULES = [
@@ -567,3 +628,31 @@ def stream_decks(t: Tables) -> DataFrame:
     ops = _deck_ops(t, t.event_stream())
     streams.keep_decks(ops, f"{base}/table", f"{base}/checkpoint", DECK_LOG_CAP).awaitTermination()
     return streams.read_decks(t.spark, f"{base}/table")
+
+
+@query
+def stream_drafts_folded(t: Tables) -> DataFrame:
+    """The edit log as a stream, folded in the state of each deck."""
+    base = shared_dir(t.spark, "folds")
+    states.fold_drafts(t.edit_log(t.event_stream()), t.cards(), f"{base}/changes", f"{base}/checkpoint").awaitTermination()
+    rows = states.folded_drafts(t.spark, f"{base}/changes")
+    return rows.where(~F.col("is_commander")).select("deck_id", "card_id", "quantity")
+
+
+@query
+def stream_draft_commanders(t: Tables) -> DataFrame:
+    """Who leads the drafts that the same stream has folded."""
+    base = shared_dir(t.spark, "folds")
+    states.fold_drafts(t.edit_log(t.event_stream()), t.cards(), f"{base}/changes", f"{base}/checkpoint").awaitTermination()
+    rows = states.folded_drafts(t.spark, f"{base}/changes")
+    return rows.where("is_commander").select("deck_id", F.col("card_id").alias("commander_id"))
+
+
+@query
+def stream_counted_adds(t: Tables) -> DataFrame:
+    """The add commands as a stream that delivers each of them twice, on top of the collection."""
+    base = shared_dir(t.spark, "counts")
+    twice = t.event_stream().unionByName(t.event_stream()).where("event_type = 'purchase'")
+    adds = twice.select("event_id", "ts", "user_id", (F.col("k") * 30).alias("card_id"), F.floor("value").cast("bigint").alias("quantity"))
+    states.count_adds(adds, t.cards(), f"{base}/table", f"{base}/checkpoint").awaitTermination()
+    return states.with_base(t.collection(), streams.read_collection(t.spark, f"{base}/table"))

@@ -1,5 +1,7 @@
 """Declared table schemas; nothing is inferred from data."""
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -79,6 +81,31 @@ VECTOR = _fields(
     ("embedding", T.ArrayType(T.FloatType())),
 )
 
+# Child tables of the metadata: one row for each entry of a list, in its order.
+CARD_ROLE = _fields(("card_id", _STR), ("position", T.IntegerType()), ("role", _STR))
+CARD_THEME = _fields(("card_id", _STR), ("position", T.IntegerType()), ("theme", _STR))
+METADATA_FACTS = _fields(
+    ("card_id", _STR),
+    ("summary", _STR),
+    ("game_stage", _STR),
+    ("power_rating", T.DoubleType()),
+    ("strengths", _STRS),
+    ("weaknesses", _STRS),
+    ("synergy_tags", _STRS),
+)
+
+
+def ddl(schema: T.StructType) -> str:
+    return ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in schema)
+
+
+def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """The declared columns in their order and types; columns that are missing are NULL."""
+    return df.select(
+        *[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
+    )
+
+
 # JSON text shapes, parsed with from_json.
 DRAFT_JSON = _fields(
     ("deckId", _STR),

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
+from cardloom.session import written
+
 # Buckets of a bucketed table; fixed for a table once it holds rows.
 BUCKETS = 64
 # A marker row of a bucket says which batch of which stream it was last replaced by.
@@ -73,6 +75,43 @@ def read_buckets(spark: SparkSession, base: str, schema: str) -> DataFrame:
     return _stored(spark, base, schema).where(F.col(STREAM).isNull()).drop(STREAM, BATCH, "bucket")
 
 
+def _replace_buckets(after: DataFrame, base: str, name: str) -> None:
+    """Put rows and marker rows in place of those of their buckets.
+
+    A folder cannot be read and replaced by one job: the new rows are whole, in a folder of this name, before old ones go.
+    """
+    spark, beside = after.sparkSession, f"{base}/_next/{name}"
+    after.write.mode("overwrite").parquet(beside)
+    whole = spark.read.schema(after.schema).parquet(beside)
+    whole.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(base)
+    _file_system(spark, base)[0].delete(spark._jvm.org.apache.hadoop.fs.Path(beside), True)
+
+
+def load_changed(incoming: DataFrame, base: str, schema: str, keys: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """Make the bucketed table hold the incoming rows, rewriting only buckets in which a row is new, changed or gone.
+
+    Returns the keys that differ with ``change``: new, changed or gone. Rows are compared by a hash of their
+    content; keys must be unique and not NULL in what comes in.
+    """
+    spark = incoming.sparkSession
+    columns = spark.createDataFrame([], schema).columns
+    content = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    held = _stored(spark, base, schema).where(F.col(STREAM).isNull())
+    old = held.select(*keys, F.col("bucket").alias("_old"), content.alias("_before"))
+    new = incoming.select(*keys, bucket_of(keys, buckets).alias("_new"), content.alias("_after"))
+    change = F.when(F.col("_before").isNull(), "new").when(F.col("_after").isNull(), "gone").when(F.col("_before") != F.col("_after"), "changed")
+    changes = old.join(new, keys, "full").select(*keys, F.coalesce("_old", "_new").alias("bucket"), change.alias("change"))
+    # Written first: the table they were found in is about to change.
+    changes = written(changes.where("change IS NOT NULL"), "changes")
+    touched = sorted(r.bucket for r in changes.select("bucket").distinct().collect())  # `buckets` numbers at most
+    if touched:
+        rows = incoming.select(*columns).withColumn("bucket", bucket_of(keys, buckets)).where(F.col("bucket").isin(touched))
+        marks = spark.createDataFrame([("load", 0, b) for b in touched], f"{STREAM} string, {BATCH} long, bucket int")
+        empty = [F.lit(None).cast("string").alias(STREAM), F.lit(None).cast("long").alias(BATCH)]
+        _replace_buckets(rows.select(*columns, *empty, "bucket").unionByName(marks, allowMissingColumns=True), base, "load")
+    return changes.drop("bucket")
+
+
 def update_buckets(
     batch: DataFrame, update: Callable[[DataFrame, DataFrame], DataFrame], base: str, schema: str, keys: list[str], stream: str, number: int,
     buckets: int = BUCKETS,
@@ -99,11 +138,6 @@ def update_buckets(
         own = spark.createDataFrame([(stream, number, b) for b in todo], f"{STREAM} string, {BATCH} long, bucket int")
         others = marks.where(F.col("bucket").isin(todo) & (F.col(STREAM) != stream)).select(STREAM, BATCH, "bucket")
         after = rows.unionByName(own.unionByName(others), allowMissingColumns=True)
-        # A folder cannot be read and replaced by one job: the new rows are whole before old ones go.
-        beside = f"{base}/_next/stream={stream}/batch={number}"
-        after.write.mode("overwrite").parquet(beside)
-        whole = spark.read.schema(after.schema).parquet(beside)
-        whole.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(base)
-        _file_system(spark, base)[0].delete(spark._jvm.org.apache.hadoop.fs.Path(beside), True)
+        _replace_buckets(after, base, f"stream={stream}/batch={number}")
     finally:
         placed.unpersist()

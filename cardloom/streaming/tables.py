@@ -44,7 +44,9 @@ def _keep(stream: DataFrame, update: Update, base: str, schema: str, keys: list[
             touched = commands.select(*keys).distinct()
             rows, refused = update(held.join(touched, keys, "left_semi"), commands)
             if refused is not None:
-                refused.write.mode("overwrite").parquet(f"{_refused(base)}/stream={name}/batch={number}")
+                # By bucket: a batch that runs again handles, and writes again, only those it had not finished.
+                placed = refused.withColumn("bucket", stores.bucket_of(keys))
+                placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{_refused(base)}/stream={name}/batch={number}")
             return rows.select(*held.columns).unionByName(held.join(touched, keys, "left_anti"))
 
         stores.update_buckets(batch, change, base, schema, keys, name, number)
@@ -60,7 +62,7 @@ def _keep(stream: DataFrame, update: Update, base: str, schema: str, keys: list[
 
 def read_refused(spark: SparkSession, base: str) -> DataFrame:
     """Refused commands of all streams, with the stream and batch that brought them."""
-    return spark.read.parquet(_refused(base))
+    return spark.read.parquet(_refused(base)).drop("bucket")
 
 
 def keep_collection(adds: DataFrame, cards: DataFrame, base: str, checkpoint: str, schema: str = COLLECTION) -> StreamingQuery:
