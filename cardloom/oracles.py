@@ -221,6 +221,24 @@ checked AS (
   FROM answered JOIN answer_sums USING (request_id))"""
 
 
+KNOWLEDGE = """
+SELECT doc_id AS card_id, concat_ws(chr(10) || chr(10), 'Card:', 'document ' || doc_id,
+  CASE WHEN quality IS NOT NULL THEN 'Summary:' END, CASE WHEN quality IS NOT NULL THEN 'Text from ' || source END,
+  CASE WHEN quality IS NOT NULL THEN 'Roles:' END, CASE WHEN quality IS NOT NULL THEN 'Text' || chr(10) || lang END,
+  CASE WHEN quality = 1 THEN 'Themes:' END, CASE WHEN quality = 1 THEN 'Good' END,
+  CASE WHEN toxic = 1 THEN 'Weakness:' END, CASE WHEN toxic = 1 THEN 'Toxic' END,
+  'Oracle Text:', text) AS document
+FROM documents LEFT JOIN labels USING (doc_id)"""
+
+# A word's slot: the first 32 bits of its md5 modulo 512.
+TERMS = """docs AS (""" + KNOWLEDGE + """),
+terms AS (
+  SELECT card_id, (('0x' || substr(md5(word), 1, 8))::BIGINT % 512)::INT AS slot, count(*) AS times FROM (
+    SELECT card_id, unnest(string_split_regex(lower(document), '[ \\t\\n\\x0B\\f\\r]+')) AS word FROM docs) WHERE word <> '' GROUP BY ALL),
+frequencies AS (SELECT slot, count(*) AS documents FROM terms GROUP BY slot),
+weighed AS (SELECT card_id, slot, times * ln(((SELECT count(*) FROM docs) + 1) / (documents + 1)) AS w FROM terms JOIN frequencies USING (slot)),
+norms AS (SELECT card_id, sqrt(sum(w * w)) AS norm, max(w) AS top, count(*) FILTER (w > 0)::INT AS n_used FROM weighed GROUP BY card_id)"""
+
 LOOP_JUDGED = """(SELECT r.*, CASE WHEN attempt = 1 AND request_id % 7 = 0 THEN 'answer is not readable' ELSE concat_ws('; ',
     CASE WHEN request_id % 3 = 0 AND NOT sized THEN 'expected 100 cards, found 99' END,
     CASE WHEN a.type_line <> 'Legendary Creature' THEN 'commander is not a legendary creature' END,
@@ -446,19 +464,7 @@ SELECT card_id, 'Text from ' || source AS summary, stage AS game_stage, round(ra
 SELECT doc_id AS card_id, kind, tag FROM documents JOIN (VALUES ('[0-9]{3}', 'theme', 'Numbers'), ('@', 'theme', 'Contact'),
   ('licen[cs]e', 'role', 'License'), ('the ', 'role', 'English'), ('http', 'theme', 'Links')) r(pattern, kind, tag)
   ON regexp_matches(lower(text), pattern)""",
-    "knowledge_docs": """
-SELECT doc_id AS card_id, concat_ws(chr(10) || chr(10), 'Card:', 'document ' || doc_id,
-  CASE WHEN quality IS NOT NULL THEN 'Summary:' END, CASE WHEN quality IS NOT NULL THEN 'Text from ' || source END,
-  CASE WHEN quality IS NOT NULL THEN 'Roles:' END, CASE WHEN quality IS NOT NULL THEN 'Text' || chr(10) || lang END,
-  CASE WHEN quality = 1 THEN 'Themes:' END, CASE WHEN quality = 1 THEN 'Good' END,
-  CASE WHEN toxic = 1 THEN 'Weakness:' END, CASE WHEN toxic = 1 THEN 'Toxic' END,
-  'Oracle Text:', text) AS document
-FROM documents LEFT JOIN labels USING (doc_id)""",
-    "vector_records": _with(CARDS, ROLED) + """
-SELECT id AS card_id, name, identity AS colors, CASE WHEN split_part(p_name, ' ', 2) = 'gear' THEN 'Card Draw,Ramp'
-    WHEN split_part(p_name, ' ', 2) = 'rod' THEN 'Oddity,Tutor' ELSE primary_role END AS roles,
-  type_line AS themes, mana_value, len(embedding)::INT AS dims
-FROM embeddings JOIN roled ON id = vec_id""",
+    "knowledge_docs": KNOWLEDGE,
     "retrieval_query": _with(CARDS, ROLED, REQUESTS, RETRIEVAL) + """
 , named AS (SELECT request_id, list_sort(list_distinct(flatten(list(CASE split_part(p_name, ' ', 2)
     WHEN 'gear' THEN ['Card Draw', 'Ramp'] WHEN 'rod' THEN ['Oddity', 'Tutor'] ELSE [primary_role] END)))) AS roles
@@ -554,3 +560,13 @@ SELECT doc_id::VARCHAR AS card_id, 'Text from ' || source AS summary, position::
 FROM documents JOIN labels USING (doc_id), (VALUES (0), (1)) v(position) WHERE doc_id IN (SELECT p_partkey FROM part)"""
 ORACLES["metadata_without_cards"] = """
 SELECT doc_id::VARCHAR AS card_id FROM documents JOIN labels USING (doc_id) WHERE doc_id NOT IN (SELECT p_partkey FROM part)"""
+ORACLES["tfidf_embed"] = _with(TERMS) + """
+SELECT card_id, coalesce(n_used, 0)::INT AS n_used, round(CASE WHEN norm > 0 THEN (top / norm)::FLOAT::DOUBLE ELSE 0 END, 4) AS heaviest
+FROM docs LEFT JOIN norms USING (card_id)"""
+ORACLES["word_frequencies"] = _with(TERMS) + """
+SELECT slot, documents FROM frequencies UNION ALL SELECT -1, count(*) FROM docs"""
+ORACLES["vector_records"] = _with(TERMS) + """
+SELECT doc_id::VARCHAR AS card_id, 'document ' || doc_id AS name, coalesce(lang, '') AS colors, CASE WHEN quality IS NULL THEN '' ELSE 'Text,' || lang END AS roles,
+  CASE WHEN quality = 1 THEN 'Good' ELSE '' END AS themes, n_chars::DOUBLE AS mana_value, 512 AS dims, length(document)::INT AS n_chars
+FROM documents JOIN docs ON card_id = doc_id LEFT JOIN labels USING (doc_id)"""
+ORACLES["vector_record_changes"] = "SELECT doc_id::VARCHAR AS card_id, 'changed' AS change FROM documents JOIN labels USING (doc_id)"

@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, Tokenizer
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardloom import schemas
@@ -87,13 +85,41 @@ def build_documents(cards: DataFrame, metadata: DataFrame) -> DataFrame:
 
 Encoder = Callable[[list[str]], list[list[float]]]
 
+# Slots of a document vector, and the shape of the stored frequencies: how many documents hold a word of each slot.
+FEATURES = 512
+FREQUENCIES = "slot int, documents bigint"
 
-def embed_documents(documents: DataFrame, encoder: Encoder | None = None, features: int = 512) -> DataFrame:
-    """Add a unit-length ``embedding``.
 
-    The default is hashed term frequencies weighted by inverse document
-    frequency, inside the JVM. A given ``encoder`` maps a batch of texts to
-    vectors and runs in Arrow batches.
+def term_counts(documents: DataFrame, features: int = FEATURES) -> DataFrame:
+    """(card_id, slot, times) of the words of each document.
+
+    Words are runs between white space, in lower case. A word's slot is the first 32 bits of its md5 modulo `features`.
+    """
+    words = F.filter(F.split(F.lower("document"), "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
+    slot = F.pmod(F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("bigint"), F.lit(features)).cast("int")
+    return documents.select("card_id", F.explode(words).alias("word")).groupBy("card_id", slot.alias("slot")).agg(F.count(F.lit(1)).alias("times"))
+
+
+def document_frequencies(documents: DataFrame, features: int = FEATURES) -> DataFrame:
+    """(slot, documents): a row for each slot that occurs, and slot -1 with the number of documents. Such tables add up."""
+    counted = term_counts(documents, features).groupBy("slot").agg(F.count(F.lit(1)).alias("documents"))
+    return counted.unionByName(documents.agg(F.lit(-1).alias("slot"), F.count(F.lit(1)).alias("documents")))
+
+
+def merged_frequencies(*tables: DataFrame) -> DataFrame:
+    """The frequencies of all documents behind the tables, those of documents that left with minus signs."""
+    return reduce(DataFrame.unionByName, tables).groupBy("slot").agg(F.sum("documents").cast("bigint").alias("documents"))
+
+
+def embed_documents(
+    documents: DataFrame, encoder: Encoder | None = None, features: int = FEATURES, frequencies: DataFrame | None = None
+) -> DataFrame:
+    """card_id, document and a unit-length ``embedding``; card ids are unique.
+
+    The default is hashed term frequencies weighted by inverse document frequency, ln((n + 1) / (documents + 1)),
+    from `frequencies` or else from the documents themselves. Documents without words, or of words that
+    all documents share, have a zero vector. A given ``encoder`` maps a batch of texts to vectors and
+    runs in Arrow batches.
     """
     if encoder is not None:
         id_type = documents.schema["card_id"].dataType.simpleString()
@@ -106,17 +132,20 @@ def embed_documents(documents: DataFrame, encoder: Encoder | None = None, featur
         rows = documents.select("card_id", "document")
         return rows.mapInPandas(encode, f"card_id {id_type}, document string, embedding array<float>")
 
-    stages = [
-        Tokenizer(inputCol="document", outputCol="_words"),
-        HashingTF(inputCol="_words", outputCol="_counts", numFeatures=features),
-        IDF(inputCol="_counts", outputCol="_weights"),
-        Normalizer(inputCol="_weights", outputCol="_unit"),
-    ]
-    rows = documents.select("card_id", "document")
-    model = Pipeline(stages=stages).fit(rows)
-    return model.transform(rows).select(
-        "card_id", "document", vector_to_array("_unit", "float32").alias("embedding")
+    known = document_frequencies(documents, features) if frequencies is None else frequencies
+    total = F.max(F.when(F.col("slot") == -1, F.col("documents"))).over(Window.partitionBy(F.lit(0)))  # `features` + 1 rows
+    weights = known.select("slot", F.log((total + 1) / (F.col("documents") + 1)).alias("idf")).where("slot >= 0")
+    # A slot that no document had: as rare as can be. `features` rows at most are broadcast.
+    rarest = F.log(known.where("slot = -1").select(F.max("documents")).scalar() + 1)
+    counts = term_counts(documents, features).join(F.broadcast(weights), "slot", "left")
+    weighed = counts.select("card_id", "slot", (F.col("times") * F.coalesce("idf", rarest)).alias("w"))
+    entries = F.map_from_entries(F.collect_list(F.struct("slot", "w")))  # `features` entries at most
+    vectors = weighed.groupBy("card_id").agg(entries.alias("_w"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
+    unit = F.transform(
+        F.sequence(F.lit(0), F.lit(features - 1)),
+        lambda i: F.when(F.col("_norm") > 0, F.coalesce(F.try_element_at("_w", i), F.lit(0.0)) / F.col("_norm")).otherwise(0.0).cast("float"),
     )
+    return documents.select("card_id", "document").join(vectors, "card_id", "left").select("card_id", "document", unit.alias("embedding"))
 
 
 def vector_records(embedded: DataFrame, cards: DataFrame, metadata: DataFrame) -> DataFrame:

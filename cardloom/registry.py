@@ -17,7 +17,7 @@ from cardloom.operators import deck_log, decks, edits, facets, roles, stats, val
 from cardloom.plans import generate as gen
 from cardloom.plans import build_loop, knowledge, prompts, retrieve
 from cardloom.session import shared_dir, tune
-from cardloom.sources import card_store
+from cardloom.sources import card_store, vector_store
 from cardloom.sources.collection_csv import parse_collection_lines
 from cardloom.sources.drafts import draft_cards, load_drafts
 from cardloom.sources.views import Tables
@@ -457,29 +457,49 @@ def knowledge_docs(t: Tables) -> DataFrame:
     return knowledge.build_documents(t.text_cards(), t.text_metadata())
 
 
+def _weights(rows: DataFrame, *columns: str) -> DataFrame:
+    used = F.size(F.filter("embedding", lambda x: x != 0)).alias("n_used")
+    heaviest = F.array_max("embedding").cast("double")
+    place = F.array_position("embedding", F.array_max("embedding")).cast("int")
+    return rows.select("card_id", *columns, used, F.round(heaviest, 4).alias("heaviest"), F.when(heaviest > 0, place).alias("place"))
+
+
 @query
 def tfidf_embed(t: Tables) -> DataFrame:
-    """No SQL counterpart: the hash of a word is Spark's own."""
-    rows = knowledge.embed_documents(knowledge.build_documents(t.text_cards(), t.text_metadata()))
-    used = F.size(F.filter("embedding", lambda x: x != 0)).alias("n_used")
-    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    return rows.select("card_id", used, F.round(norm, 4).alias("norm"))
+    return _weights(knowledge.embed_documents(knowledge.build_documents(t.text_cards(), t.text_metadata()))).drop("place")
+
+
+@query
+def word_frequencies(t: Tables) -> DataFrame:
+    """Documents by source counted apart, then added up."""
+    docs = knowledge.build_documents(t.text_cards(), t.text_metadata()).join(t.raw("documents").select(F.col("doc_id").alias("card_id"), "lang"), "card_id")
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    return knowledge.merged_frequencies(*[knowledge.document_frequencies(docs.where(part)) for part in (english, ~english)])
+
+
+def _records(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Documents of two runs into one store: first without the labels' metadata, then whole -> (changes, records)."""
+    base = shared_dir(t.spark, "records")
+    cards = t.text_cards().withColumns({"colors": F.array("lang"), "mana_value": F.col("n_chars").cast("double")})
+    bare = t.text_metadata().limit(0)
+    vector_store.update_records(knowledge.build_documents(cards, bare), cards, bare, base)
+    changes = vector_store.update_records(knowledge.build_documents(cards, t.text_metadata()), cards, t.text_metadata(), base)
+    return changes, vector_store.read_records(t.spark, base)
 
 
 @query
 def vector_records(t: Tables) -> DataFrame:
-    docs = t.vectors().withColumn("document", F.lit("vector"))
-    cards = t.tagged_cards()
-    rows = knowledge.vector_records(docs, cards, cards.select(F.col("id").alias("card_id"), "roles", "themes"))
-    return rows.select(
-        "card_id",
-        "meta.name",
-        F.array_join("meta.colors", "").alias("colors"),
-        F.array_join("meta.roles", ",").alias("roles"),
-        F.array_join("meta.themes", ",").alias("themes"),
-        "meta.mana_value",
-        F.size("embedding").alias("dims"),
-    )
+    """Records of all documents, those with metadata embedded again by the second run."""
+    _, records = _records(t)
+    return records.select(
+        "card_id", "meta.name", F.array_join("meta.colors", "").alias("colors"), F.array_join("meta.roles", ",").alias("roles"),
+        F.array_join("meta.themes", ",").alias("themes"), "meta.mana_value", F.size("embedding").alias("dims"), F.length("document").alias("n_chars"),
+    )
+
+
+@query
+def vector_record_changes(t: Tables) -> DataFrame:
+    return _records(t)[0]
 
 
 # --- retrieval ------------------------------------------------------------

@@ -5,6 +5,7 @@ import pytest
 
 from cardloom.operators.nearest import vector_topk
 from cardloom.plans import knowledge, prompts, retrieve
+from cardloom.sources import vector_store
 from pyspark.sql import functions as F
 
 
@@ -136,3 +137,55 @@ def test_upgrades_skip_the_deck(spark, rows_of):
     owned = spark.createDataFrame([("u", "c", 1), ("u", "b", 0)], "user_id string, card_id string, quantity int")
     got = rows_of(retrieve.upgrade_suggestions(found, deck, requests, owned, 2), "rank", "card_id", "owned")
     assert got == [(1, "b", False), (2, "c", True)]
+
+
+def test_records_embed_only_what_is_new(spark, tmp_path):
+    base = str(tmp_path / "store")
+    facts = [("a", "A", ["W"], 1.0), ("b", "B", [], 2.0), ("c", "C", None, 3.0), ("d", "D", [], 4.0)]
+    cards = spark.createDataFrame(facts, "id string, name string, colors array<string>, mana_value double")
+    meta = spark.createDataFrame([("a", ["Ramp"], None)], "card_id string, roles array<string>, themes array<string>")
+
+    def run(texts, **more):
+        docs = spark.createDataFrame(list(texts.items()), "card_id string, document string")
+        changes = vector_store.update_records(docs, cards, meta, base, **more)
+        rows = {r.card_id: r for r in vector_store.read_records(spark, base).collect()}
+        return {r.card_id: r.change for r in changes.collect()}, rows
+
+    first = {"a": "red dragon", "b": "blue bird bird", "c": "red bird"}
+    changes, rows = run(first)
+    assert changes == dict.fromkeys("abc", "new") and rows["a"].meta.roles == ["Ramp"] and rows["b"].meta.themes == []
+    whole = {r.card_id: r.embedding for r in knowledge.embed_documents(spark.createDataFrame(list(first.items()), "card_id string, document string")).collect()}
+    assert all(np.allclose(rows[k].embedding, whole[k]) for k in first)
+    second = {"a": "red dragon", "b": "a fish", "d": "red red"}
+    changes, later = run(second)
+    assert changes == {"b": "changed", "c": "gone", "d": "new"} and set(later) == {"a", "b", "d"}
+    assert later["a"].embedding == rows["a"].embedding  # not worked out again
+    docs = spark.createDataFrame(list(second.items()), "card_id string, document string")
+    counted = {r.slot: r.documents for r in vector_store.read_frequencies(spark, base).where(f"slot <> {vector_store.NOTE}").collect()}
+    assert counted == {r.slot: r.documents for r in knowledge.document_frequencies(docs).collect()}
+    fresh = {r.card_id: r.embedding for r in knowledge.embed_documents(docs).collect()}
+    assert all(np.allclose(later[k].embedding, fresh[k]) for k in "bd")
+    # A run that stopped after the counts counts nothing twice.
+    third = {**second, "c": "blue fish"}
+    docs = spark.createDataFrame(list(third.items()), "card_id string, document string")
+    load, vector_store.stores.load_changed = vector_store.stores.load_changed, None
+    try:
+        with pytest.raises(TypeError):
+            run(third)
+    finally:
+        vector_store.stores.load_changed = load
+    assert run(third)[0] == {"c": "new"} and run(third)[0] == {}
+    counted = {r.slot: r.documents for r in vector_store.read_frequencies(spark, base).where(f"slot <> {vector_store.NOTE}").collect()}
+    assert counted == {r.slot: r.documents for r in knowledge.document_frequencies(docs).collect()}
+    _, all_new = run(third, embed_all=True)
+    fresh = {r.card_id: r.embedding for r in knowledge.embed_documents(docs).collect()}
+    assert all(np.allclose(all_new[k].embedding, fresh[k]) for k in third)
+    # A vector of one's own encoder.
+    _, own = run({"a": "xyz"}, encoder=lambda texts: [[float(len(t))] for t in texts], embed_all=True)
+    assert own["a"].embedding == [3.0]
+
+
+def test_empty_documents_have_zero_vectors(spark):
+    docs = spark.createDataFrame([("a", ""), ("b", " \n"), ("c", "x"), ("d", None)], "card_id string, document string")
+    made = {r.card_id: r.embedding for r in knowledge.embed_documents(docs, features=8).collect()}
+    assert made["a"] == made["b"] == made["d"] == [0.0] * 8 and abs(sum(made["c"]) - 1) < 1e-6
