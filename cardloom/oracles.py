@@ -476,8 +476,13 @@ FROM asked JOIN named n USING (request_id) LEFT JOIN asked_vectors USING (reques
 SELECT request_id, rank, card_id, score FROM nearest WHERE rank <= 100""",
     "vector_topk_filtered": _with(CARDS, ROLED, REQUESTS, RETRIEVAL) + """
 SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, card_id)::INT AS rank, card_id, score
-FROM nearest JOIN cards ON id = card_id WHERE mana_value <= 3
+FROM nearest JOIN roled ON id = card_id WHERE mana_value <= 6 AND ci_mask & 19 <> 0
+  AND (primary_role IN ('Utility', 'Ramp', 'Oddity') OR split_part(p_name, ' ', 2) = 'gear')
 QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY score DESC, card_id) <= 20""",
+    "vector_topk_themed": _with(CARDS, ROLED, REQUESTS, RETRIEVAL) + """
+SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, card_id)::INT AS rank, card_id, score
+FROM nearest JOIN cards ON id = card_id WHERE contains(lower(name), 'bolt') AND type_line IN ('Creature', 'Legendary Creature')
+QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY score DESC, card_id) <= 5""",
     "synergistic_cards": _with(CARDS, ROLED, REQUESTS, RETRIEVAL) + """
 SELECT request_id, rank, card_id, score FROM synergistic""",
     "supporting_cards": _with(CARDS, ROLED, REQUESTS, RETRIEVAL) + "SELECT request_id, card_id, score FROM supporting",

@@ -532,10 +532,18 @@ def vector_topk(t: Tables) -> DataFrame:
 
 @query
 def vector_topk_filtered(t: Tables) -> DataFrame:
-    """Only records whose metadata has a low mana value take part."""
-    facts = t.cards().select(F.col("id").alias("card_id"), F.struct("mana_value").alias("meta"))
-    records = t.vectors().join(facts, "card_id")
-    return retrieve.similar_cards(_asked(t), records, 20, F.col("meta.mana_value") <= 3)
+    """Only records of some colors and roles with a low mana value take part."""
+    facts = t.tagged_cards().select(F.col("id").alias("card_id"), F.struct("name", "colors", "roles", "themes", "mana_value").alias("meta"))
+    wanted = retrieve.record_filter(colors=["W", "U", "G"], roles=["Utility", "Ramp", "Oddity"], max_mana=6)
+    return retrieve.similar_cards(_asked(t), t.vectors().join(facts, "card_id"), 20, wanted)
+
+
+@query
+def vector_topk_themed(t: Tables) -> DataFrame:
+    """Only creatures with bolt in their name take part."""
+    facts = t.tagged_cards().select(F.col("id").alias("card_id"), F.struct("name", "colors", "roles", "themes", "mana_value").alias("meta"))
+    wanted = retrieve.record_filter(name="Bolt", themes=["Creature", "Legendary Creature"])
+    return retrieve.similar_cards(_asked(t), t.vectors().join(facts, "card_id"), 5, wanted)
 
 
 @query

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from cardloom.operators import nearest
 from cardloom.operators.nearest import vector_topk
 from cardloom.plans import knowledge, prompts, retrieve
 from cardloom.sources import vector_store
@@ -189,3 +190,34 @@ def test_empty_documents_have_zero_vectors(spark):
     docs = spark.createDataFrame([("a", ""), ("b", " \n"), ("c", "x"), ("d", None)], "card_id string, document string")
     made = {r.card_id: r.embedding for r in knowledge.embed_documents(docs, features=8).collect()}
     assert made["a"] == made["b"] == made["d"] == [0.0] * 8 and abs(sum(made["c"]) - 1) < 1e-6
+
+
+@pytest.mark.parametrize("spread", [0.02, 3.0])
+def test_cells_lose_nothing(spread):
+    rng = np.random.default_rng(int(spread * 100))
+    centres = rng.normal(size=(12, 8))
+
+    def unit(n):
+        x = centres[rng.integers(0, 12, n)] + rng.normal(size=(n, 8)) * spread
+        return x / np.linalg.norm(x, axis=1)[:, None]
+
+    vectors, asks = unit(900), unit(70)
+    vectors[500:520] = vectors[3]  # ties
+    rows, scores, skipped = nearest.best_of(asks, vectors, 30, slice_rows=16, cell_rows=40)
+    whole = np.round(asks @ vectors.T, nearest.DIGITS)
+    best = np.argsort(-whole, axis=1, kind="stable")[:, :30]
+    assert (rows == best).all() and (scores == np.take_along_axis(whole, best, 1)).all()
+    assert skipped > 10_000 if spread < 1 else skipped >= 0
+    rows, _, _ = nearest.best_of(asks, vectors[:7], 30)
+    assert (np.sort(rows, axis=1) == np.arange(7)).all()
+
+
+def test_record_filter(spark):
+    rows = [("a", ("Red Bolt", ["R"], ["Removal"], None, 1.0)), ("b", ("Bolt", None, None, ["Fire"], 2.0)), ("c", ("Ring", ["W", "U"], ["Ramp", "Land"], ["Fire", "Ice"], None))]
+    made = spark.createDataFrame(rows, "id string, meta struct<name:string,colors:array<string>,roles:array<string>,themes:array<string>,mana_value:double>")
+
+    def ids(**wanted):
+        return "".join(sorted(r.id for r in made.where(retrieve.record_filter(**wanted)).collect()))
+
+    assert ids() == "abc" and ids(name="BOLT") == "ab" and ids(colors=["U", "R"]) == "ac" and ids(roles=["Land"]) == "c"
+    assert ids(themes=["Fire"], max_mana=2) == "b" and ids(colors=[]) == "" and ids(name="o", colors=["R"], roles=["Removal"], max_mana=1) == "a"
