@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cardloom.functions import columns as C
+from cardloom.session import written
 
 
 def library(cards: DataFrame, collection: DataFrame) -> DataFrame:
@@ -55,24 +58,55 @@ def seed(cards: DataFrame, quantities: DataFrame, user: Column) -> DataFrame:
     return cards.join(wanted, "name").select(user.alias("user_id"), F.col("id").alias("card_id"), "quantity")
 
 
-def resolve_import(rows: DataFrame, cards: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Imported (user_id, name, quantity) lines -> (collection rows, quarantine).
+def judge_import(rows: DataFrame, cards: DataFrame) -> DataFrame:
+    """Imported (user_id, name, quantity, corrupt) lines with their ``card_id`` and the ``reason`` they are refused for.
 
-    A line is quarantined with a reason when it did not parse, has no positive
-    quantity, or names no card. Names must be unique in ``cards``.
+    A line is refused when it did not parse, has no positive quantity, or names no card. Of several cards of one
+    name the first of the pool is meant.
     """
-    catalogue = cards.select(F.col("id").alias("card_id"), F.col("name").alias("_known"))
-    checked = rows.withColumn("name", C.trim_all("name")).join(catalogue, F.col("name") == F.col("_known"), "left")
+    named = cards.groupBy(F.col("name").alias("_known")).agg(F.min_by("id", "ordinal").alias("card_id"))
+    checked = rows.withColumn("name", C.trim_all("name")).join(named, F.col("name") == F.col("_known"), "left")
     reason = (
         F.when(F.col("corrupt").isNotNull() | F.col("quantity").isNull() | F.col("name").isNull(), F.lit("malformed"))
         .when(F.col("quantity") <= 0, F.lit("quantity"))
         .when(F.col("_known").isNull(), F.lit("unknown card"))
     )
-    checked = checked.withColumn("reason", reason)
-    accepted = (
-        checked.where(F.col("reason").isNull())
+    return checked.withColumn("reason", reason).drop("_known")
+
+
+def _imported(judged: DataFrame) -> DataFrame:
+    return (
+        judged.where(F.col("reason").isNull())
         .groupBy("user_id", "card_id")
         .agg(F.sum("quantity").cast("bigint").alias("quantity"))
     )
-    quarantine = checked.where(F.col("reason").isNotNull()).drop("card_id", "_known")
-    return accepted, quarantine
+
+
+def resolve_import(rows: DataFrame, cards: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Imported lines -> (collection rows, quarantine with reasons)."""
+    judged = judge_import(rows, cards)
+    return _imported(judged), judged.where(F.col("reason").isNotNull()).drop("card_id")
+
+
+class Import(NamedTuple):
+    """What an import did: the collection after it, counts per user, refused lines, and counts over all."""
+
+    collection: DataFrame
+    per_user: DataFrame
+    refused: DataFrame
+    imported: int
+    rejected: int
+
+
+def import_collection(collection: DataFrame, rows: DataFrame, cards: DataFrame) -> Import:
+    """Add imported lines to a collection. The lines are judged and written once; that pass counts them, too."""
+    counts = Observation("import")
+    good = F.col("reason").isNull()
+    watched = judge_import(rows, cards).observe(counts, F.count_if(good).alias("imported"), F.count_if(~good).alias("rejected"))
+    judged = written(watched, "import")
+    merged = (
+        collection.select("user_id", "card_id", "quantity").unionByName(_imported(judged))
+        .groupBy("user_id", "card_id").agg(F.sum("quantity").cast("bigint").alias("quantity"))
+    )
+    per_user = judged.groupBy("user_id").agg(F.count_if(F.col("reason").isNull()).alias("imported"), F.count_if(F.col("reason").isNotNull()).alias("rejected"))
+    return Import(merged, per_user, judged.where(~good).drop("card_id"), counts.get["imported"], counts.get["rejected"])

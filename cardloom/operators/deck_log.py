@@ -74,12 +74,16 @@ def accept_creates(
 def apply_ops(
     base: DataFrame, ops: DataFrame, cap: int = MAX_DECKS, chunk_rows: int = running.CHUNK_ROWS
 ) -> tuple[DataFrame, DataFrame]:
-    """-> (deck table after the batch, refused creates). The last save of a deck wins."""
+    """-> (deck table after the batch, refused creates). The last save of a deck wins.
+
+    Where both decks and ops have `cards`, a save replaces them, too.
+    """
+    carried = [c for c in ("cards",) if c in base.columns and c in ops.columns]
     classified = classify(base, ops)
     latest = (
         classified.where(F.col("effect") == "update")
         .groupBy("user_id", F.col("deck_id").alias("id"))
-        .agg(F.max_by(F.struct("name", "commander_id", "ts"), "seq").alias("_new"))
+        .agg(F.max_by(F.struct("name", "commander_id", "ts", *carried), "seq").alias("_new"))
     )
     gone = classified.where(F.col("effect") == "delete").select("user_id", F.col("deck_id").alias("id"))
     kept = (
@@ -95,6 +99,7 @@ def apply_ops(
         F.when(touched, F.col("_new.commander_id")).otherwise(F.col("commander_id")).alias("commander_id"),
         "created_at",
         F.when(touched, F.col("_new.ts")).otherwise(F.col("updated_at")).alias("updated_at"),
+        *[F.when(touched, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in carried],
     )
     creates = accept_creates(base, classified, cap, chunk_rows)
     created = creates.where("accepted").select(
@@ -104,6 +109,7 @@ def apply_ops(
         "commander_id",
         F.col("ts").alias("created_at"),
         F.col("ts").alias("updated_at"),
+        *carried,
     )
     return kept.unionByName(created), creates.where(~F.col("accepted")).drop("effect", "accepted")
 

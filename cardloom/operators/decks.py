@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cardloom.functions import columns as C
 from cardloom.functions.constants import DECK_SIZE, MAX_DECKS, SEARCH_LIMIT
-from cardloom.operators import facets
+from cardloom.operators import facets, running
 from cardloom.operators.collection import with_owned
 
 
@@ -52,6 +52,12 @@ def newest_first(decks: DataFrame) -> DataFrame:
     return decks.orderBy(F.col("updated_at").desc(), "id")
 
 
+def newest_ranked(decks: DataFrame) -> DataFrame:
+    """Each user's decks with their ``place``, the last changed first; a deck without a time comes last."""
+    age = -F.coalesce(F.unix_micros(F.col("updated_at").cast("timestamp")), F.lit(-(2**62)))
+    return running.ranked(decks, ["user_id"], [age, F.col("id")], "place")
+
+
 def ownership_split(deck_cards: DataFrame, decks: DataFrame, collection: DataFrame) -> DataFrame:
     """Per deck card: owned, missing and proxy. A card not owned at all is a proxy."""
     owners = decks.select(F.col("id").alias("deck_id"), "user_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cardloom.functions import columns as C
 from cardloom.functions.constants import FACET_COLORS, SEARCH_LIMIT
+from cardloom.operators import running
 
 GRAM = 3
 BROADCAST_CHARS = 4_000_000
@@ -45,6 +46,11 @@ def browse(
     return filter_cards(cards, query, colors, type_).orderBy(*sort_keys(sort))
 
 
+def browse_ranked(cards: DataFrame, query: str = "", colors: list[str] | None = None, type_: str = "", sort: str = "name") -> DataFrame:
+    """What each user would see, with the row's ``place`` in their list; names are in collation order."""
+    return running.ranked(filter_cards(cards, query, colors, type_), ["user_id"], [*sort_keys(sort), F.col("id")], "place")
+
+
 def facet_counts(cards: DataFrame, by: list[str] | None = None) -> DataFrame:
     """How many rows each color facet would keep, per ``by`` group.
 

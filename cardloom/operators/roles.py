@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardloom.functions import columns as C
+from cardloom.operators import running
 from cardloom.functions.constants import CARD_ROLES, COUNTED_ROLES
 
 
@@ -51,6 +52,12 @@ def role_columns(deck_cards: DataFrame, cards_with_roles: DataFrame) -> DataFram
     return rows.orderBy("deck_id", "role_order", "primary_role", "mana_value", C.name_key())
 
 
+def role_columns_ranked(deck_cards: DataFrame, cards_with_roles: DataFrame) -> DataFrame:
+    """The same with each entry's ``place`` in its deck's column."""
+    rows = role_entries(deck_cards, cards_with_roles)
+    return running.ranked(rows, ["deck_id", "role_order", "primary_role"], [F.col("mana_value"), C.name_key(), F.col("card_id")], "place")
+
+
 def role_totals(deck_cards: DataFrame, cards_with_roles: DataFrame) -> DataFrame:
     """Per deck and role: entries and copies."""
     return (

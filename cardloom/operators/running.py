@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cardloom.session import written
+
 # Sequence numbers per chunk. A unique sequence bounds the rows of one chunk.
 CHUNK_ROWS = 65_536
 
@@ -108,3 +110,23 @@ def fold_floors(
     per_chunk = compose(steps, [*keys, "_chunk"], order)
     per_key = compose(per_chunk, keys, ["_chunk"])
     return per_key.select(*keys, F.greatest("_shift", "_floor").alias("value"))
+
+
+def ranked(df: DataFrame, keys: list[str], order: list[Column], out: str) -> DataFrame:
+    """Add each row's place among its key's rows, from 1 on; `order` must leave no ties.
+
+    The rows are sorted by range of key and order, so a hot key lies in many parts; what a key has in earlier parts
+    is added to the place in its own.
+    """
+    names = [f"_o{i}" for i in range(len(order))]
+    sorted_rows = df.select("*", *[column.alias(name) for column, name in zip(order, names)])
+    ranged = sorted_rows.repartitionByRange(*keys, *names).withColumn("_part", F.spark_partition_id())
+    parts = written(ranged, "ranked")
+    inside = F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*names))
+    before = parts.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = before.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    placed = parts.withColumn("_inside", inside)
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    joined = placed.join(before, [F.col("_part") == F.col("_p"), *same])
+    return joined.select(*df.columns, (F.col("_before") + F.col("_inside")).alias(out))

@@ -575,3 +575,63 @@ SELECT doc_id::VARCHAR AS card_id, 'document ' || doc_id AS name, coalesce(lang,
   CASE WHEN quality = 1 THEN 'Good' ELSE '' END AS themes, n_chars::DOUBLE AS mana_value, 512 AS dims, length(document)::INT AS n_chars
 FROM documents JOIN docs ON card_id = doc_id LEFT JOIN labels USING (doc_id)"""
 ORACLES["vector_record_changes"] = "SELECT doc_id::VARCHAR AS card_id, 'changed' AS change FROM documents JOIN labels USING (doc_id)"
+ORACLES["draft_damaged_fields"] = _with(EVENTS) + """
+SELECT event_id, k::VARCHAR AS card_id, CASE event_type WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 ELSE 4 END::INT AS quantity
+FROM ev WHERE event_type NOT IN ('signup', 'error')
+UNION ALL SELECT event_id, 'x', 1::INT FROM ev WHERE event_type <> 'error'"""
+ORACLES["csv_import_counts"] = _with(EVENTS, CSV) + """
+SELECT user_id, count(*) FILTER (reason IS NULL) AS imported, count(*) FILTER (reason IS NOT NULL) AS rejected,
+  (SELECT count(*) FROM csv_judged WHERE reason IS NULL) AS all_imported, (SELECT count(*) FROM csv_judged WHERE reason IS NOT NULL) AS all_rejected
+FROM csv_judged GROUP BY user_id"""
+ORACLES["csv_import_collection"] = _with(COLLECTION, EVENTS, CSV) + """
+SELECT user_id, card_id, sum(quantity)::BIGINT AS quantity FROM (
+  SELECT * FROM collection UNION ALL SELECT user_id, p_partkey, quantity FROM csv_judged WHERE reason IS NULL) GROUP BY ALL"""
+
+
+def _places(order: str, only: str) -> str:
+    return _with(CARDS, COLLECTION) + f"""
+SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY {order}, id) AS place, id
+FROM cards JOIN collection ON card_id = id WHERE quantity <> 0 AND {only}"""
+
+
+ORACLES["collection_places"] = _places("name", "TRUE")
+ORACLES["collection_places_by_value"] = _places("mana_value, name", "(ci_mask & 8 <> 0 OR ci_mask = 0)")
+ORACLES["collection_places_by_color"] = _places(
+    """CASE WHEN contains(type_line, 'Land') THEN 7 WHEN ci_mask = 0 THEN 6 WHEN bit_count(ci_mask) > 1 THEN 5
+  WHEN ci_mask = 1 THEN 0 WHEN ci_mask = 2 THEN 1 WHEN ci_mask = 4 THEN 2 WHEN ci_mask = 8 THEN 3 ELSE 4 END, name""",
+    "contains(lower(name), 'ring')",
+)
+ORACLES["deck_places"] = """
+SELECT o_custkey AS user_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS place, o_orderkey AS id FROM orders"""
+ORACLES["role_column_places"] = _with(*DECK_BASE, ROLED) + """
+SELECT deck_id, primary_role, row_number() OVER (PARTITION BY deck_id, primary_role ORDER BY mana_value, name, id) AS place, card_id
+FROM deck_cards JOIN roled ON id = card_id"""
+_DECK_LOG = _with(*DECK_BASE, EVENTS, DECK_OPS)
+_AFTER = _DECK_LOG + ORACLES["deck_cards_after"][len(_DECK_LOG):].replace("SELECT deck_id::VARCHAR AS deck_id,", ", after_cards AS (SELECT deck_id::VARCHAR AS deck_id,", 1)
+ORACLES["deck_store_cards"] = _AFTER + """)
+SELECT deck_id, card_id::VARCHAR AS card_id, quantity FROM after_cards"""
+ORACLES["deck_store_lists"] = _AFTER + "), after_decks AS (" + ORACLES["deck_upsert_lww"][len(_DECK_LOG):] + """)
+SELECT d.id, d.name, count(c.card_id)::INT AS n_entries, coalesce(sum(c.quantity), 0)::BIGINT AS copies
+FROM after_decks d LEFT JOIN after_cards c ON c.deck_id = d.id GROUP BY d.id, d.name"""
+# A stored deck stands before the log of its number: its commander, then its copies as constants of 100 and more.
+_LEADERS = "WHERE op IN ('set_commander', 'remove_commander'))"
+_OPENED = EDITS.replace(_LEADERS, _LEADERS[:-1] + """
+  UNION ALL SELECT id, -2, 'seat', commander_id FROM decks
+  WHERE commander_id IS NOT NULL AND id NOT IN (SELECT deck_id FROM edit_log WHERE op = 'clear'))""")
+_STEPS = ORACLES["edit_log_replay"][len(_with(CARDS, EVENTS, EDITS)):].split("\nSELECT deck_id, card_id, q AS quantity")[0]
+ORACLES["deck_store_opened"] = _with(*DECK_BASE, EVENTS, _OPENED) + _STEPS + """
+SELECT deck_id, card_id, q AS quantity FROM (
+  SELECT deck_id, card_id, list_reduce(list(code ORDER BY seq, part), lambda q, c: CASE WHEN c >= 100 THEN c - 100
+    WHEN c = 1 THEN q + 1 WHEN c = 2 THEN greatest(q, 1) WHEN c = 3 THEN greatest(q - 1, 0) ELSE 0 END, 0::BIGINT) AS q
+  FROM (
+    SELECT s.deck_id, s.card_id, s.seq, s.part,
+      (CASE WHEN what = 'a' AND c.id IS NOT NULL THEN 1 WHEN what IN ('a', 'a1') THEN 2 WHEN what = 'r' THEN 3 ELSE 4 END)::BIGINT AS code
+    FROM steps s LEFT JOIN cards c ON c.id = s.card_id AND c.type_line = 'Basic Land'
+    UNION ALL
+    SELECT deck_id, card_id, -1, 0, 100 + quantity FROM deck_cards
+    WHERE deck_id NOT IN (SELECT deck_id FROM edit_log WHERE op = 'clear')) GROUP BY ALL)
+WHERE q > 0"""
+ORACLES["collection_stored"] = ORACLES["collection_upsert"]
+ORACLES["encoder_embed"] = "WITH docs AS (" + KNOWLEDGE + """)
+SELECT card_id, """ + ", ".join(f"length(document) - length(replace(document, '{c}', '')) AS n_{c}" for c in "aeio") + " FROM docs"
+ORACLES["stream_deck_cards"] = "SELECT id AS deck_id, commander_id AS card_id, (commander_id % 4 + 1)::INT AS quantity FROM (" + ORACLES["stream_decks"] + ")"

@@ -17,9 +17,9 @@ from cardloom.operators import deck_log, decks, edits, facets, roles, stats, val
 from cardloom.plans import generate as gen
 from cardloom.plans import build_loop, knowledge, prompts, retrieve
 from cardloom.session import shared_dir, tune
-from cardloom.sources import card_store, vector_store
+from cardloom.sources import card_store, deck_store, stores, vector_store
 from cardloom.sources.collection_csv import parse_collection_lines
-from cardloom.sources.drafts import draft_cards, load_drafts
+from cardloom.sources.drafts import draft_cards, load_drafts, open_decks
 from cardloom.sources.views import Tables
 from cardloom.streaming import states
 from cardloom.streaming import tables as streams
@@ -363,6 +363,104 @@ def csv_import_quarantine(t: Tables) -> DataFrame:
     return rejected.select("event_id", "reason")
 
 
+@query
+def draft_damaged_fields(t: Tables) -> DataFrame:
+    """Drafts with a field of another type: quantities as 1.0 or text, names as numbers, cards as a list."""
+    return draft_cards(load_drafts(t.damaged_drafts()), "event_id")
+
+
+@query
+def csv_import_counts(t: Tables) -> DataFrame:
+    """How many lines of each user's file came in, beside what the whole import counted."""
+    done = coll.import_collection(t.collection(), parse_collection_lines(t.csv_lines()), t.cards())
+    return done.per_user.withColumns({"all_imported": F.lit(done.imported).cast("bigint"), "all_rejected": F.lit(done.rejected).cast("bigint")})
+
+
+@query
+def csv_import_collection(t: Tables) -> DataFrame:
+    return coll.import_collection(t.collection(), parse_collection_lines(t.csv_lines()), t.cards()).collection
+
+
+# --- visible order -----------------------------------------------------------
+
+
+@query
+def collection_places(t: Tables) -> DataFrame:
+    """Every user's whole collection in the order of names."""
+    return facets.browse_ranked(coll.library(t.cards(), t.collection())).select("user_id", "place", "id")
+
+
+@query
+def collection_places_by_value(t: Tables) -> DataFrame:
+    owned = coll.library(t.cards(), t.collection())
+    return facets.browse_ranked(owned, colors=["R", "C"], sort="manaValue").select("user_id", "place", "id")
+
+
+@query
+def collection_places_by_color(t: Tables) -> DataFrame:
+    owned = coll.library(t.cards(), t.collection())
+    return facets.browse_ranked(owned, query="ring", sort="color").select("user_id", "place", "id")
+
+
+@query
+def deck_places(t: Tables) -> DataFrame:
+    return decks.newest_ranked(t.decks()).select("user_id", "place", "id")
+
+
+@query
+def role_column_places(t: Tables) -> DataFrame:
+    return roles.role_columns_ranked(t.deck_cards(), _deck_roles(t)).select("deck_id", "primary_role", "place", "card_id")
+
+
+# --- stored decks ------------------------------------------------------------
+
+
+def _saved_decks(t: Tables) -> DataFrame:
+    """The decks after all saves and deletes, with their cards, through the store."""
+    listed = F.array(F.struct(F.col("commander_id").alias("card_id"), (F.col("commander_id") % 4 + 1).cast("int").alias("quantity")))
+    ops, _ = deck_log.clean_names(_deck_ops(t).withColumn("cards", F.when(F.col("commander_id").isNotNull(), listed)))
+    base_cards = t.deck_cards().select("deck_id", "card_id", F.col("quantity").cast("int").alias("quantity"))
+    after, _ = deck_log.apply_ops(_base_decks(t), ops, DECK_LOG_CAP)
+    base = shared_dir(t.spark, "decks")
+    deck_store.save_decks(deck_store.with_cards(after, deck_log.cards_after(base_cards, _base_decks(t), ops, DECK_LOG_CAP)), base)
+    return deck_store.load_decks(t.spark, base)
+
+
+@query
+def deck_store_lists(t: Tables) -> DataFrame:
+    rows = _saved_decks(t)
+    total = F.aggregate("cards", F.lit(0).cast("bigint"), lambda a, c: a + c["quantity"])
+    return rows.select("id", "name", F.size("cards").alias("n_entries"), total.alias("copies"))
+
+
+@query
+def deck_store_cards(t: Tables) -> DataFrame:
+    return deck_store.deck_rows(_saved_decks(t))
+
+
+@query
+def deck_store_opened(t: Tables) -> DataFrame:
+    """Stored decks opened as drafts, then changed by the edit log of the deck of that number."""
+    opened = open_decks(deck_store.with_cards(t.decks(), t.deck_cards()))
+    numbered = F.col("deck_id").cast("bigint").alias("deck_id")
+    first = F.lit(-3).cast("bigint")
+    log = (
+        opened.select(numbered, first.alias("seq"), F.lit("open").alias("op"), F.lit(None).cast("bigint").alias("card_id"), F.lit(None).cast("bigint").alias("quantity"))
+        .unionByName(opened.select(numbered, (first + 1).alias("seq"), F.lit("seat").alias("op"), F.col("commander_id").cast("bigint").alias("card_id"), F.lit(None).cast("bigint").alias("quantity")).where("card_id IS NOT NULL"))
+        .unionByName(opened.select(numbered, F.explode("cards").alias("_c", "_q")).select("deck_id", (first + 2).alias("seq"), F.lit("put").alias("op"), F.col("_c").cast("bigint").alias("card_id"), F.col("_q").cast("bigint").alias("quantity")))
+    )
+    return edits.replay_cards(log.unionByName(t.edit_log()), t.cards())
+
+
+@query
+def collection_stored(t: Tables) -> DataFrame:
+    """A collection that is not stored yet is seeded, then replaced by what came after."""
+    base, schema = shared_dir(t.spark, "collection"), "user_id bigint, card_id bigint, quantity bigint"
+    held = stores.load_or_seed(t.spark, base, schema, t.collection())
+    stores.save_table(coll.add_copies(held, _adds(t), t.cards())[0], base)
+    return stores.load_or_seed(t.spark, base, schema, t.collection().limit(0))
+
+
 # --- stored cards -----------------------------------------------------------
 
 
@@ -469,6 +567,18 @@ def tfidf_embed(t: Tables) -> DataFrame:
     return _weights(knowledge.embed_documents(knowledge.build_documents(t.text_cards(), t.text_metadata()))).drop("place")
 
 
+def letter_counts(texts: list[str]) -> list[list[float]]:
+    """An encoder of one's own: how often each of four letters occurs."""
+    return [[float(text.count(letter)) for letter in "aeio"] for text in texts]
+
+
+@query
+def encoder_embed(t: Tables) -> DataFrame:
+    """Documents through a user's encoder, in Arrow batches."""
+    rows = knowledge.embed_documents(knowledge.build_documents(t.text_cards(), t.text_metadata()), letter_counts)
+    return rows.select("card_id", *[F.get("embedding", F.lit(i)).cast("bigint").alias(f"n_{c}") for i, c in enumerate("aeio")])
+
+
 @query
 def word_frequencies(t: Tables) -> DataFrame:
     """Documents by source counted apart, then added up."""
@@ -655,7 +765,17 @@ def stream_decks(t: Tables) -> DataFrame:
     base = shared_dir(t.spark, "decks")
     ops = _deck_ops(t, t.event_stream())
     streams.keep_decks(ops, f"{base}/table", f"{base}/checkpoint", DECK_LOG_CAP).awaitTermination()
-    return streams.read_decks(t.spark, f"{base}/table")
+    return streams.read_decks(t.spark, f"{base}/table").drop("cards")
+
+
+@query
+def stream_deck_cards(t: Tables) -> DataFrame:
+    """The cards those decks were saved with: the commander in one to four copies."""
+    base = shared_dir(t.spark, "decks")
+    listed = F.array(F.struct(F.col("commander_id").alias("card_id"), (F.col("commander_id") % 4 + 1).cast("int").alias("quantity")))
+    ops = _deck_ops(t, t.event_stream()).withColumn("cards", listed)
+    streams.keep_decks(ops, f"{base}/table", f"{base}/checkpoint", DECK_LOG_CAP).awaitTermination()
+    return deck_store.deck_rows(streams.read_decks(t.spark, f"{base}/table"))
 
 
 @query

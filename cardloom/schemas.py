@@ -107,14 +107,6 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 # JSON text shapes, parsed with from_json.
-DRAFT_JSON = _fields(
-    ("deckId", _STR),
-    ("name", _STR),
-    ("commanderId", _STR),
-    ("cards", T.MapType(T.StringType(), T.IntegerType())),
-    ("_corrupt", _STR),
-)
-
 METADATA_JSON = _fields(
     ("summary", _STR),
     ("roles", _STRS),

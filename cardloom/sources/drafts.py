@@ -5,29 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardloom import schemas
-
 _CARDS = "map<string,int>"
+FIELDS = {"deckId": "deck_id", "name": "name", "commanderId": "commander_id"}
 
 
 def load_drafts(texts: DataFrame, text: str = "draft") -> DataFrame:
     """Replace the text by deck_id, name, commander_id, cards and is_empty.
 
-    Fields a record lacks become NULL or an empty map; a corrupt text is an empty
-    draft. For one bad field inside a good record the other fields are lost too,
-    as the whole record is unreadable.
+    The text is read field by field: a field that is missing, or of a type that does not turn into
+    the field's, is NULL or an empty map, and the others stay. A quantity may be written as 1.0 or "1"; cards with one that is
+    no number drop out. A text that is no JSON object is an empty draft, as is one that names a field twice.
     """
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    parsed = texts.withColumn("_d", F.from_json(text, schemas.DRAFT_JSON, options))
-    good = F.col("_d").isNotNull() & F.col("_d._corrupt").isNull()
+    parsed = texts.withColumn("_d", F.try_parse_json(text))
     kept = [c for c in texts.columns if c != text]
-    empty = F.create_map().cast(_CARDS)
+    listed = F.try_variant_get("_d", "$.cards", "map<string,variant>")
+    counted = F.transform_values(listed, lambda k, v: F.try_variant_get(v, "$", "int"))
     rows = parsed.select(
         *kept,
-        F.when(good, F.col("_d.deckId")).alias("deck_id"),
-        F.when(good, F.col("_d.name")).alias("name"),
-        F.when(good, F.col("_d.commanderId")).alias("commander_id"),
-        F.coalesce(F.when(good, F.col("_d.cards")), empty).alias("cards"),
+        *[F.try_variant_get("_d", f"$.{field}", "string").alias(name) for field, name in FIELDS.items()],
+        F.coalesce(F.map_filter(counted, lambda k, v: v.isNotNull()), F.create_map().cast(_CARDS)).alias("cards"),
     )
     return rows.withColumn("is_empty", F.col("commander_id").isNull() & (F.size(F.map_keys("cards")) == 0))
 

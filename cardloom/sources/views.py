@@ -267,6 +267,17 @@ class Tables:
         )
         return self.events().select("event_id", text.alias("draft"))
 
+    def damaged_drafts(self) -> DataFrame:
+        """Drafts with one field of another type, by event type; the other fields are good."""
+        k = F.col("k").cast("string")
+        kind = F.col("event_type")
+        quantity = (
+            F.when(kind == "click", F.lit("2.0")).when(kind == "purchase", F.lit('"3"')).when(kind == "signup", F.lit('"many"')).otherwise(F.lit("4"))
+        )
+        cards = F.when(kind == "error", F.lit("[1]")).otherwise(F.concat(F.lit('{"'), k, F.lit('": '), quantity, F.lit(', "x": 1}')))
+        text = F.concat(F.lit('{"deckId": '), k, F.lit(', "name": ["n"], "commanderId": null, "cards": '), cards, F.lit("}"))
+        return self.events().select("event_id", text.alias("draft"))
+
     def csv_lines(self) -> DataFrame:
         """Collection lines, one per event: unknown names, bad numbers and zeroes occur."""
         names = self.raw("part").select(F.col("p_partkey").alias("_part"), "p_name")

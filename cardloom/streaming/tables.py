@@ -21,7 +21,10 @@ from cardloom.sources import stores
 
 COLLECTION = "user_id bigint, card_id bigint, quantity bigint"
 COLLECTION_KEYS = ["user_id", "card_id"]
-DECKS = "id string, user_id bigint, name string, commander_id bigint, created_at timestamp, updated_at timestamp"
+DECKS = (
+    "id string, user_id bigint, name string, commander_id bigint, created_at timestamp, updated_at timestamp, "
+    "cards array<struct<card_id:bigint,quantity:int>>"
+)
 DECK_KEYS = ["user_id"]
 DRAFTS = "deck_id bigint, card_id bigint, quantity bigint, is_commander boolean"
 DRAFT_KEYS = ["deck_id"]
@@ -81,10 +84,18 @@ def read_collection(spark: SparkSession, base: str, schema: str = COLLECTION) ->
 def keep_decks(
     ops: DataFrame, base: str, checkpoint: str, cap: int = MAX_DECKS, schema: str = DECKS
 ) -> StreamingQuery:
-    """Maintain the saved decks: the last save wins, deletes repeat safely, creates obey the cap."""
+    """Maintain the saved decks with their cards: the last save wins, deletes repeat safely, creates obey the cap.
+
+    Names are trimmed; saves with a blank or overlong one are refused, like creates beyond the cap. Commands without `cards`
+    save decks without any.
+    """
+    if "cards" not in ops.columns:
+        ops = ops.withColumn("cards", F.lit(None).cast("array<struct<card_id:bigint,quantity:int>>"))
 
     def update(held: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-        return deck_log.apply_ops(held, batch, cap)
+        named, unnamed = deck_log.clean_names(batch)
+        rows, refused = deck_log.apply_ops(held, named, cap)
+        return rows, refused.unionByName(unnamed.select(*refused.columns))
 
     return _keep(ops, update, base, schema, DECK_KEYS, checkpoint)
 
