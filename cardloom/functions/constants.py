@@ -5,7 +5,6 @@ COLORS = ["W", "U", "B", "R", "G"]
 ALL_COLORS_MASK = 31
 COLORLESS = "C"
 FACET_COLORS = ["W", "U", "B", "R", "G", "C"]
-FACET_TYPES = ["Creature", "Instant", "Sorcery", "Artifact", "Enchantment", "Planeswalker", "Land"]
 DEFAULT_IDENTITY = ["G", "W"]
 
 BASIC_NAMES = {"W": "Plains", "U": "Island", "B": "Swamp", "R": "Mountain", "G": "Forest"}
@@ -21,7 +20,6 @@ DECK_NAME_LENGTH = 80
 CANDIDATE_LIMIT = 200
 
 GAME_STAGES = ["Early", "Mid", "Late"]
-POWER_LEVELS = ["Casual", "Focused", "High Power", "Competitive"]
 DEFAULT_POWER_LEVEL = "Focused"
 STRONGEST = "Build strongest possible deck"
 PREFER_OWNED = "Prefer cards I own"

@@ -11,6 +11,12 @@ from cardloom.functions import columns as C
 from cardloom.session import written
 
 
+def first_named(cards: DataFrame) -> DataFrame:
+    """One card for each name: the first of the pool."""
+    rest = [c for c in cards.columns if c != "name"]
+    return cards.groupBy("name").agg(F.min_by(F.struct(*rest), F.struct("ordinal", "id")).alias("_first")).select("name", "_first.*").select(*cards.columns)
+
+
 def library(cards: DataFrame, collection: DataFrame) -> DataFrame:
     """All card columns plus user and quantity; empty and unknown entries drop out."""
     owned = collection.where(F.col("quantity") != 0).select("user_id", F.col("card_id").alias("id"), "quantity")
@@ -53,9 +59,9 @@ def replace_or_append(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFr
 
 
 def seed(cards: DataFrame, quantities: DataFrame, user: Column) -> DataFrame:
-    """Initial collection of a user from (name, quantity) rows."""
+    """Initial collection of a user from (name, quantity) rows; of several cards of one name the first of the pool."""
     wanted = quantities.where(F.col("quantity") > 0)
-    return cards.join(wanted, "name").select(user.alias("user_id"), F.col("id").alias("card_id"), "quantity")
+    return first_named(cards.select("name", "id", "ordinal")).join(wanted, "name").select(user.alias("user_id"), F.col("id").alias("card_id"), "quantity")
 
 
 def judge_import(rows: DataFrame, cards: DataFrame) -> DataFrame:
@@ -64,7 +70,7 @@ def judge_import(rows: DataFrame, cards: DataFrame) -> DataFrame:
     A line is refused when it did not parse, has no positive quantity, or names no card. Of several cards of one
     name the first of the pool is meant.
     """
-    named = cards.groupBy(F.col("name").alias("_known")).agg(F.min_by("id", "ordinal").alias("card_id"))
+    named = first_named(cards.select("name", "id", "ordinal")).select(F.col("name").alias("_known"), F.col("id").alias("card_id"))
     checked = rows.withColumn("name", C.trim_all("name")).join(named, F.col("name") == F.col("_known"), "left")
     reason = (
         F.when(F.col("corrupt").isNotNull() | F.col("quantity").isNull() | F.col("name").isNull(), F.lit("malformed"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardloom.functions import columns as C
+from cardloom.session import written
 
 
 def card_inclusion(decks: DataFrame, deck_cards: DataFrame) -> DataFrame:
@@ -47,6 +48,7 @@ def commander_cooccurrence(decks: DataFrame, deck_cards: DataFrame, cards: DataF
         .agg(F.count(F.lit(1)).alias("n_decks"))
         .join(masks, "card_id")
     )
+    together = written(together, "together")  # read twice
     elsewhere = (
         together.where(C.mask_within("ci_mask", "leader_mask"))
         .groupBy("card_id")

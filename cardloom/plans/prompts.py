@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cardloom import schemas
 from cardloom.functions.constants import DEFAULT_POWER_LEVEL, STRONGEST
+from cardloom.operators.collection import first_named
 from cardloom.operators.validate import card_facts, deck_errors, deck_facts
 
 RULES = [
@@ -86,10 +87,10 @@ def judge_responses(responses: DataFrame, cards: DataFrame) -> DataFrame:
     """request_id, attempt, is_valid and errors for every answer, readable or not.
 
     Every text is parsed once. Cards with unknown names count towards the size and
-    are reported as such.
+    are reported as such; of several cards of one name the first of the pool is meant.
     """
     deck = ["request_id", "attempt", "readable", "commander"]
-    facts = card_facts(cards)
+    facts = card_facts(first_named(cards.select("id", "oracle_id", "name", "type_line", "ci_mask", "ordinal")))
     listed = parse_responses(responses).select(*deck, F.inline_outer("cards"))
     rows = (
         listed.withColumn("quantity", F.when(F.col("name").isNotNull(), F.coalesce("quantity", F.lit(1))))
