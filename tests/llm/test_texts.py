@@ -1,5 +1,6 @@
 """Classifiers, scores, near-duplicates and the pipeline."""
 
+import math
 import zlib
 
 import numpy as np
@@ -141,6 +142,57 @@ def test_scores_are_probabilities():
     assert 10.0**prefix + (10.0**inner).sum() < 1 and (10.0**first).sum() < 1
 
 
+def test_scores_by_a_plain_loop():
+    """Bit by bit, byte by byte: stretched counts, weights by gate, the last table, the word's own share."""
+    rng = np.random.default_rng(2)
+    counts = [rng.integers(0, 200, (size, 2)).astype(np.float32) for size in mixing.SLOTS]
+    weights = rng.normal(size=(mixing.GATES * 8, len(mixing.ORDERS) + 1)).astype(np.float32) * 0.3
+    refine = rng.uniform(0.05, 0.95, (mixing.GATES, mixing.CELLS)).astype(np.float32)
+    words, seen = ["a", "straße", "the", "x" * 40, mixing.END], np.array([0.0, 3, 70, 0, 5])
+    got = mixing.word_scores(mixing.Model(counts, weights, refine, 100, 0.25), words, seen)
+    for word, often, score in zip(words, seen, got):
+        ev, total, k = mixing.events([word]), 0.0, 0
+        for byte in word.encode() + (b"" if word == mixing.END else b" "):
+            for place in range(8):
+                bit = byte >> (7 - place) & 1
+                pairs = [counts[o][ev.slots[o][k]] for o in range(len(mixing.ORDERS))]
+                known = float(pairs[-1].sum())
+                gate = sum(known > x for x in (0, 2, 8, 64))
+                inputs = [math.log((float(n[1]) + mixing.PRIOR) / (float(n[0]) + mixing.PRIOR)) for n in pairs] + [0.3]
+                odds = sum(float(w) * x for w, x in zip(weights[gate * 8 + place], inputs))
+                at = min(max((odds + mixing.REACH) / (2 * mixing.REACH) * (mixing.CELLS - 1), 0), mixing.CELLS - 1.001)
+                cell = int(at)
+                table = float(refine[gate, cell]) * (1 - at + cell) + float(refine[gate, cell + 1]) * (at - cell)
+                one = 0.5 / (1 + math.exp(-max(-20, min(20, odds)))) + 0.5 * table
+                total += math.log10(min(max(one if bit else 1 - one, 1e-6), 1 - 1e-6))
+                k += 1
+        assert abs(score - math.log10(0.25 * often / 100 + 0.75 * 10**total)) < 1e-3 * max(1, abs(score) / 10)
+
+
+def test_runs_over_words_add_up():
+    """Learning lowers the cost of what was learned from, and rows of several runs give their weighed mean."""
+    words = ["the", "there", "then", "other", "mother", "this", "that"] * 30
+    distinct = sorted(set(words))
+    times = np.full(len(distinct), 30.0)
+    counts = [np.zeros((size, 2), np.float32) for size in mixing.SLOTS]
+    ev = mixing.events(distinct)
+    for table, slot in zip(counts, ev.slots):
+        np.add.at(table, (slot, ev.bit), times[ev.word])
+    found = mixing.learn(counts, iter([(distinct, times)] * 40), len(words))
+    rows = [tuple(r.values()) for r in mixing._learn_rows(found).to_pylist()]
+    weights, refine, share = mixing.mixer_of(rows)
+    assert np.allclose(weights[found.mass > 0], found.weights[found.mass > 0], atol=1e-6) and 0 <= share < 1
+    before = mixing.mixer_of([])
+    cost = [mixing.word_scores(mixing.Model(counts, *m, len(words), 0.0), distinct, times).sum() for m in (before[:2], (weights, refine))]
+    assert cost[1] > cost[0]
+    twice: dict = {}
+    for kind, place, number, mass in rows + rows:
+        a, b = twice.get((kind, place), (0.0, 0.0))
+        twice[kind, place] = (a + number, b + mass)
+    again = mixing.mixer_of([(k, p, a, b) for (k, p), (a, b) in twice.items()])
+    assert np.allclose(again[0], weights, atol=1e-6) and again[2] == share
+
+
 def test_held_out_texts_change_no_score(documents):
     changed = documents.withColumn("text", F.expr("IF(crc32(cast(cast(doc_id AS string) AS binary)) % 7 = 2, 'other', text)"))
     first, second = ({str(r.doc_id): (r.score, r.held_out) for r in mixing.score_texts(x).collect()} for x in (documents, changed))
