@@ -129,29 +129,47 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     cells = homed.groupBy("dim", "cell").agg(F.max("angle").alias("reach"), F.ceil(F.count("*") / TILE).cast("int").alias("slices"))
     pairs = cell_pairs([tuple(r) for r in cells.collect()], shared.value, threshold)
     meets = spark.createDataFrame(pairs, "dim int, cell int, slices int, other int, other_slices int")
-    # A vector goes to its slice's pair with every slice of every cell that it may link with. A pair of
+    width = np.dtype("<f4" if kind == "array<float>" else "<f8")
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        """A slice as one row: its nodes, how many rows each stands for, and its raw vectors."""
+        first = frame.iloc[0]
+        flat = np.concatenate([np.asarray(x, width) for x in frame.v])
+        numbers = [frame[c].to_numpy().astype("<i8").tobytes() for c in ("node", "n")]
+        return pd.DataFrame({"dim": [first.dim], "cell": [first.cell], "slice": [first.slice], "nodes": [numbers[0]], "times": [numbers[1]], "v": [flat.tobytes()]})
+
+    sliced = homed.join(F.broadcast(cells.select("dim", "cell", "slices")), ["dim", "cell"]).withColumn("slice", F.expr("cast(pmod(xxhash64(node), slices) as int)"))
+    tiles = sliced.select("dim", "cell", "slice", "node", "n", "v").groupBy("dim", "cell", "slice").applyInPandas(
+        pack, "dim int, cell int, slice int, nodes binary, times binary, v binary"
+    )
+    tiles = written(tiles, "near-tiles")
+    # A slice goes, as one row, to its pair with every slice of every cell that it may link with. A pair of
     # tiles is named by its smaller and larger side; side 2 is a tile with itself.
     dealt = (
-        homed.join(F.broadcast(meets), ["dim", "cell"])
-        .withColumn("slice", F.expr("cast(pmod(xxhash64(node), slices) as int)"))
+        tiles.join(F.broadcast(meets), ["dim", "cell"])
         .withColumn("other_slice", F.explode(F.sequence(F.lit(0), F.col("other_slices") - 1)))
         .withColumn("mine", F.struct("cell", "slice"))
         .withColumn("theirs", F.struct(F.col("other").alias("cell"), F.col("other_slice").alias("slice")))
         .select(
             "dim", F.least("mine", "theirs").alias("low"), F.greatest("mine", "theirs").alias("high"),
             F.when(F.col("mine") == F.col("theirs"), 2).when(F.col("mine") < F.col("theirs"), 0).otherwise(1).alias("side"),
-            "node", "n", "v",
+            "nodes", "times", "v",
         )
     )
 
+    def opened(row: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        node, n = np.frombuffer(row.nodes, "<i8"), np.frombuffer(row.times, "<i8")
+        return node, n, np.frombuffer(row.v, width).astype(np.float64).reshape(len(node), -1)
+
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        left = frame[frame.side != 1]
-        own = not (frame.side == 1).any()
-        right = left if own else frame[frame.side == 1]
-        vl, vr = np.array(left.v.tolist(), float), np.array(right.v.tolist(), float)
+        own = bool((frame.side == 2).any())
+        if not own and len(frame) < 2:  # the other slice holds nothing
+            return pd.DataFrame({"a": [], "b": [], "links": []}, dtype=np.int64)
+        frame = frame.sort_values("side")
+        node_l, n_l, vl = opened(frame.iloc[0])
+        node_r, n_r, vr = (node_l, n_l, vl) if own else opened(frame.iloc[1])
+        left, right = node_l, node_r
         count_l, count_r = np.zeros(len(left), np.int64), np.zeros(len(right), np.int64)
-        node_l, node_r = left.node.to_numpy(), right.node.to_numpy()
-        n_l, n_r = left.n.to_numpy(), right.n.to_numpy()
         a, b = [], []
         for i, j in linked_pairs(vl, vr, threshold):
             if own:
