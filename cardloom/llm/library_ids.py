@@ -42,28 +42,48 @@ class _Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.rows: dict[str, int] = {}
         self.ids = Ragged(np.int32)
+        # Which tokens begin with a space, as byte-level models write it.
+        self.begins = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        self.begins[[i for token, i in self.tokenizer.get_vocab().items() if token[:1] == "\u0120"]] = True
+
+    def _add(self, words: list[str], found: list[list[int]]) -> None:
+        self.rows.update(zip(words, range(len(self.rows), len(self.rows) + len(words))))
+        self.ids.extend(np.array(list(chain.from_iterable(found)), np.int32), np.array(list(map(len, found)), np.int64))
+
+    def _add_spaced(self, words: list[str]) -> None:
+        """Words of Latin letters, each after its space, encoded as the one text they make together.
+
+        Each is a match of its own, and only its first token begins with the space: there the ids are cut.
+        """
+        texts = ["".join(words[at : at + 1024]) for at in range(0, len(words), 1024)]
+        flat = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.fromiter(chain.from_iterable(flat), np.int32, sum(map(len, flat)))
+        starts = np.flatnonzero(self.begins[ids])
+        if len(starts) != len(words):
+            raise ValueError("a tokenizer that does not cut before each space")
+        self.rows.update(zip(words, range(len(self.rows), len(self.rows) + len(words))))
+        self.ids.extend(ids, np.diff(np.append(starts, len(ids))))
 
     def rows_of(self, words: list[str]) -> np.ndarray:
         """The words' rows in `ids`."""
         if len(self.rows) > WORKER_WORDS:
             self.rows, self.ids = {}, Ragged(np.int32)
         fresh = [x for x in words if x not in self.rows]
-        # A run of Latin letters is one match of the pre-tokenizer: the library's model takes it as it is.
-        model, plain = self.tokenizer.model.tokenize, _LATIN.fullmatch
-        found: list[list[int]] = []
-        rest = []
-        for k, word in enumerate(fresh):
-            if plain(word) and (self.spaced or word[0] != " "):
-                found.append([x.id for x in model(_byte_text(word if self.spaced else word.lower()))])
-            else:
-                found.append([])
-                rest.append(k)
+        # A run of Latin letters is one match of the pre-tokenizer: no other match reaches into it.
+        plain = _LATIN.fullmatch
+        latin = [x for x in fresh if plain(x) and (self.spaced or x[0] != " ")]
+        if self.spaced:
+            lone = [x for x in latin if x[0] != " "]
+            self._add_spaced([x for x in latin if x[0] == " "])
+        else:
+            lone = latin
+        # The library's model takes such a run as it is.
+        model = self.tokenizer.model.tokenize
+        self._add(lone, [[x.id for x in model(_byte_text(word if self.spaced else word.lower()))] for word in lone])
+        rest = [x for x in fresh if x not in self.rows]
         for at in range(0, len(rest), 4096):
             part = rest[at : at + 4096]
-            for k, x in zip(part, self.tokenizer.encode_batch_fast([fresh[k] for k in part], add_special_tokens=False)):
-                found[k] = x.ids
-        self.rows.update(zip(fresh, range(len(self.rows), len(self.rows) + len(fresh))))
-        self.ids.extend(np.array(list(chain.from_iterable(found)), np.int32), np.array(list(map(len, found)), np.int64))
+            self._add(part, [x.ids for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)])
         return np.array([self.rows[x] for x in words], np.int64)
 
 
@@ -84,7 +104,8 @@ class LibraryIds:
         lines: list[int] = []
         if not self.words:
             lines = [k for k, x in enumerate(fresh) if x[:1] == "\n" and len(x) > 1]
-            fresh = [piece_text(x) for x in fresh]
+            # `piece_text` of each, without a call.
+            fresh = [" " + x if x and x[0] not in "\0\n" else piece_text(x) for x in fresh]
             for k in lines:  # the line end is a match of its own
                 fresh[k] = fresh[k][1:]
         whole = pa.array(fresh, pa.large_string())
