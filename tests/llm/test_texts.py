@@ -178,7 +178,7 @@ def test_runs_over_words_add_up():
     ev = mixing.events(distinct)
     for table, slot in zip(counts, ev.slots):
         np.add.at(table, (slot, ev.bit), times[ev.word])
-    found = mixing.learn(counts, iter([(distinct, times)] * 40), len(words))
+    found = mixing.learn(mixing.Stretched(counts, True), iter([(distinct, times)] * 40), len(words))
     rows = [tuple(r.values()) for r in mixing._learn_rows(found).to_pylist()]
     weights, refine, share = mixing.mixer_of(rows)
     assert np.allclose(weights[found.mass > 0], found.weights[found.mass > 0], atol=1e-6) and 0 <= share < 1
