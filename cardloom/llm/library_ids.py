@@ -14,6 +14,9 @@ from cardloom.llm.pieces import Coder, Ragged, piece_text
 
 # Words that one Python worker remembers over its tasks; forgetting costs time, not results.
 WORKER_WORDS = 300_000
+# Pieces that are learned, and laid out, at a time: what they take in between is given back sooner.
+LEARNED = 1 << 15
+LAID_OUT = 1 << 18
 # Between a letter or digit and one of these a match of either pre-tokenizer always ends.
 _TAIL = "!#$%&()*+,-./:;?"
 # ... if that letter stays one letter when case and composition are normalised.
@@ -101,6 +104,10 @@ class LibraryIds:
         self.coder = Coder(self._learn, self.ids.clear, words)
 
     def _learn(self, fresh: list[str]) -> None:
+        for at in range(0, len(fresh), LEARNED):
+            self._learn_some(fresh[at : at + LEARNED])
+
+    def _learn_some(self, fresh: list[str]) -> None:
         lines: list[int] = []
         if not self.words:
             lines = [k for k, x in enumerate(fresh) if x[:1] == "\n" and len(x) > 1]
@@ -129,8 +136,11 @@ class LibraryIds:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and where each text's ids begin (one more at the end)."""
         codes, starts = self.coder.encode(texts)
-        flat, sizes = self.ids.take(codes)
-        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ends = np.concatenate([[0], np.cumsum(self.ids.size[codes])])
+        flat = np.empty(ends[-1], np.int32)
+        for at in range(0, len(codes), LAID_OUT):
+            some = codes[at : at + LAID_OUT]
+            flat[ends[at] : ends[at + len(some)]] = self.ids.take(some)[0]
         return flat, ends[starts]
 
 
