@@ -190,6 +190,10 @@ METADATA = """answers AS (
 judged_answers AS (
   SELECT *, CASE WHEN toxic = 1 THEN 'malformed' WHEN stage = 'Endless' THEN 'game stage' END AS reason FROM answers)"""
 
+BOUNDED = """bounded_answers AS (
+  SELECT *, CASE WHEN toxic = 1 THEN 'malformed' WHEN stage = 'Endless' THEN 'game stage'
+    WHEN rating > 10 THEN 'power rating' END AS reason FROM answers)"""
+
 CSV = """csv_rows AS (
   SELECT event_id, user_id, p_partkey, CASE WHEN event_type <> 'error' THEN floor(value)::BIGINT END AS quantity
   FROM ev LEFT JOIN part ON p_partkey = k * 30),
@@ -459,7 +463,7 @@ SELECT user_id, p_partkey AS card_id, sum(quantity)::BIGINT AS quantity FROM csv
     "metadata_ingest": _with(METADATA) + """
 SELECT card_id, 'Text from ' || source AS summary, stage AS game_stage, round(rating, 6) AS power_rating,
   source || ',' || lang AS roles FROM judged_answers WHERE reason IS NULL""",
-    "metadata_quarantine": _with(METADATA) + "SELECT card_id, reason FROM judged_answers WHERE reason IS NOT NULL",
+    "metadata_quarantine": _with(METADATA, BOUNDED) + "SELECT card_id, reason FROM bounded_answers WHERE reason IS NOT NULL",
     "metadata_tags": """
 SELECT doc_id AS card_id, kind, tag FROM documents JOIN (VALUES ('[0-9]{3}', 'theme', 'Numbers'), ('@', 'theme', 'Contact'),
   ('licen[cs]e', 'role', 'License'), ('the ', 'role', 'English'), ('http', 'theme', 'Links')) r(pattern, kind, tag)

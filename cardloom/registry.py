@@ -28,6 +28,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 DECK_LOG_CAP = 12
 USER_DECK_CAP = 12
+# Ratings end here.
+MAX_RATING = 10
 
 
 def query(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
@@ -540,7 +542,8 @@ def metadata_ingest(t: Tables) -> DataFrame:
 
 @query
 def metadata_quarantine(t: Tables) -> DataFrame:
-    _, rejected = knowledge.ingest_metadata(t.metadata_responses())
+    """All answers that break a rule, those rated above the scale among them."""
+    _, rejected = knowledge.ingest_metadata(t.metadata_responses(), MAX_RATING)
     return rejected.select("card_id", "reason")
 
 

@@ -6,6 +6,7 @@ import pytest
 from cardloom.operators import nearest
 from cardloom.operators.nearest import vector_topk
 from cardloom.plans import knowledge, prompts, retrieve
+from cardloom.registry import QUERIES
 from cardloom.sources import vector_store
 from pyspark.sql import functions as F
 
@@ -221,3 +222,13 @@ def test_record_filter(spark):
 
     assert ids() == "abc" and ids(name="BOLT") == "ab" and ids(colors=["U", "R"]) == "ac" and ids(roles=["Land"]) == "c"
     assert ids(themes=["Fire"], max_mana=2) == "b" and ids(colors=[]) == "" and ids(name="o", colors=["R"], roles=["Removal"], max_mana=1) == "a"
+
+
+def test_quarantine_has_ratings_above_the_scale(spark, tmp_path, rows_of):
+    """Answers rated above 10 are set aside as well."""
+    docs = [(0, "a", "en", "s", 5000), (1, "b", "en", "s", 5001), (2, "c", "en", "s", 9000), (3, "d", "en", "s", 10), (4, "e", "en", "s", 9000)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(4, 1, 1)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    found = rows_of(QUERIES["metadata_quarantine"](spark, str(tmp_path)), "card_id", "reason")
+    assert found == [(1, "power rating"), (2, "power rating"), (3, "game stage"), (4, "malformed")]
