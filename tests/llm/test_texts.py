@@ -193,6 +193,32 @@ def test_runs_over_words_add_up():
     assert np.allclose(again[0], weights, atol=1e-6) and again[2] == share
 
 
+def test_scores_know_the_word_before(spark):
+    """Words in their learned order are likelier than the same words in another; so are the order's first and last word."""
+    ring = "stone river house winter garden letter music silver paper morning".split()
+    text = " ".join(ring * 3)
+    out = [k for k in range(100, 400) if held(k, 7, 2)][:2]
+    rows = [(k, text, "en", "s", 1) for k in range(60)] + [(out[0], " ".join(ring), "en", "s", 1), (out[1], " ".join(ring[::-1]), "en", "s", 1)]
+    found = {r.doc_id: r for r in mixing.score_texts(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    first, turned = (found[k] for k in out)
+    assert first.held_out and turned.held_out and abs(first.base_score - turned.base_score) < 1e-9
+    assert first.score > turned.score + 5
+
+
+def test_contexts_cross_the_blank():
+    """The word before reaches the contexts of its follower, the whole of it only the one that takes both."""
+    cat, hat, far = (mixing.events(["on"], [w]).slots for w in ("cat", "hat", "mcat"))
+    alone = mixing.events(["on"]).slots
+    differs = {o: (a != b).any() for o, a, b in zip(mixing.ORDERS, cat, hat)}
+    assert differs == {0: False, 1: False, 2: False, 3: False, 4: True, mixing.BOTH: True, mixing.OWN: False}
+    assert {o for o, a, b in zip(mixing.ORDERS, cat, far) if (a != b).any()} == {mixing.BOTH}
+    assert {o for o, a, b in zip(mixing.ORDERS, cat, alone) if (a != b).any()} == {1, 2, 3, 4, mixing.BOTH}
+    ev = mixing.events(["on", "x", mixing.END], ["", "cat", "on"])
+    assert [a.tolist() for a in ev.slots] == [
+        np.concatenate([mixing.events([w], [b]).slots[k] for w, b in (("on", ""), ("x", "cat"), (mixing.END, "on"))]).tolist() for k in range(len(mixing.ORDERS))
+    ]
+
+
 def test_held_out_texts_change_no_score(documents):
     changed = documents.withColumn("text", F.expr("IF(crc32(cast(cast(doc_id AS string) AS binary)) % 7 = 2, 'other', text)"))
     first, second = ({str(r.doc_id): (r.score, r.held_out) for r in mixing.score_texts(x).collect()} for x in (documents, changed))
