@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardloom.llm.common import fold, ready, text_of
+from cardloom.llm.common import fold, ready, text_of, written
 from cardloom.llm.labelled import sample_texts
 from cardloom.llm.pieces import Coder, text_sums
 
-# Documents that the network is trained on at most, and how.
+# Documents that the network is trained on at most (its floor is set by all), and how.
 SAMPLE = 1500
 STEPS = 1200
 BATCH = 256
@@ -193,29 +193,57 @@ def _reader(net: Network) -> _Reader:
     return _READERS[key]
 
 
-def floor_of(net: Network, texts: list[str]) -> float:
+# A round of `_at_rank` splits its range of scores into so many parts, one counted row each.
+PARTS = 1 << 16
+
+
+def _at_rank(scores: DataFrame, rank: int) -> float:
+    """The score with exactly `rank` smaller ones before it, in order; of the column `score`, within 0 to 1.
+
+    Each round counts the parts of what is left, and goes on with the part that holds the rank, until that is one value.
+    """
+    while True:
+        ends = scores.agg(F.min("score").alias("low"), F.max("score").alias("high")).first()
+        if ends.low == ends.high:
+            return float(ends.low)
+        place = F.least(F.floor((F.col("score") - ends.low) / (ends.high - ends.low) * PARTS), F.lit(PARTS - 1)).cast("int")
+        split = scores.withColumn("place", place)
+        for part, n in sorted((r.place, r["count"]) for r in split.groupBy("place").count().collect()):  # PARTS rows at most
+            if rank < n:
+                break
+            rank -= n
+        scores = split.filter(F.col("place") == part).select("score")
+
+
+def floor_of(net: Network, texts: DataFrame) -> float:
     """Half way from chance to the score that all but one in a thousand of the texts with letters reach.
 
-    With one language every text scores 1, and nothing can be told from it.
+    `texts` has the column `text`, one row for each training document; all of them are read, and the quantile is exact. With one
+    language every text scores 1, and nothing can be told from it.
     """
     if len(net.langs) < 2:
         return 0.0
-    reader = _Reader(net)
-    scores = np.concatenate([np.zeros(0), *(reader.read(texts[at : at + 100])[1] for at in range(0, len(texts), 100))])
-    chance = 1 / len(net.langs)
-    return float((chance + np.quantile(scores[scores > 0], 0.001)) / 2) if (scores > 0).any() else 0.0
+    scores = written(with_language(texts.select("text"), net).filter("score > 0").select("score"), "language-scores")
+    n = scores.count()
+    if not n:
+        return 0.0
+    at = 0.001 * (n - 1)
+    low = _at_rank(scores, int(at))
+    high = _at_rank(scores, int(at) + 1) if at > int(at) else low
+    return (1 / len(net.langs) + low + (high - low) * (at - int(at))) / 2
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", judging: bool = False) -> Network:
     """Learn from documents of non-NULL language whose crc32(id as text) mod 3 is not 1; an id with several languages counts by its least.
 
-    With `judging` the network also has the floor that its training documents set.
+    With `judging` the network also has the floor that all its training documents set, not the fitted ones alone.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), F.col(lang_col).cast("string").alias("label"))
-    known = rows.filter(F.col("label").isNotNull() & (fold(F.col("doc_id"), 3) != 1)).groupBy("doc_id").agg(F.min("label").alias("label"))
+    training = rows.filter(F.col("label").isNotNull() & (fold(F.col("doc_id"), 3) != 1))
+    known = training.groupBy("doc_id").agg(F.min("label").alias("label"))
     sample = sample_texts(rows.select("doc_id", "text"), known, SAMPLE)
     net = fit([r[0] for r in sample], [r[1] for r in sample])
-    return net._replace(floor=floor_of(net, [r[0] for r in sample])) if judging else net
+    return net._replace(floor=floor_of(net, training)) if judging else net
 
 
 def with_language(docs: DataFrame, net: Network, text_col: str = "text", keep_only: bool = False) -> DataFrame:

@@ -81,6 +81,19 @@ def test_language_stage_judges_by_the_network(spark, separable):
     assert kept == {r.doc_id for r in docs.collect()}
 
 
+def test_floor_is_set_by_all_training_documents(spark, separable, monkeypatch):
+    """The floor is the exact quantile over every training document, however few the network is fitted on."""
+    docs = separable[0]
+    monkeypatch.setattr(languages, "SAMPLE", 60)
+    net = languages.train(docs, judging=True)
+    rows = [r for r in languages.with_language(docs, net).collect() if r.lang is not None and not held(r.doc_id, 3, 1)]
+    scores = np.array([r.score for r in rows if r.score > 0])
+    assert len(scores) > 200 and abs(net.floor - (1 / len(net.langs) + np.quantile(scores, 0.001)) / 2) < 1e-12
+    drawn = [0.0, 1.0, 0.25, 0.25, 0.25 + 2**-54, 0.25 + 2**-52] + [0.5] * 40 + list(np.random.default_rng(3).random(400))
+    frame = spark.createDataFrame([(float(x),) for x in drawn], "score double")
+    assert [languages._at_rank(frame, k) for k in (0, 1, 100, 101, 102, 103, 250, 445)] == [sorted(drawn)[k] for k in (0, 1, 100, 101, 102, 103, 250, 445)]
+
+
 def test_gradients_through_time():
     rng = np.random.default_rng(0)
     h = languages.HIDDEN
