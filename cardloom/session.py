@@ -19,6 +19,11 @@ RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
 }
 
+# Shuffles begin with at least so many partitions, which adaptive plans join up again where they are small: a
+# task's share stays near their advisory size, while the session's own number would let it grow with the input.
+LEAST_PARTITIONS = 512
+INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
 _LOCAL_ROOT: dict[str, str] = {}
 
 
@@ -27,6 +32,9 @@ def tune(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    initial = str(max(LEAST_PARTITIONS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    if spark.conf.get(INITIAL, None) != initial:
+        spark.conf.set(INITIAL, initial)
     return spark
 
 
