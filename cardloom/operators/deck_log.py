@@ -76,7 +76,7 @@ def apply_ops(
 ) -> tuple[DataFrame, DataFrame]:
     """-> (deck table after the batch, refused creates). The last save of a deck wins.
 
-    Where both decks and ops have `cards`, a save replaces them, too.
+    Where both decks and ops have `cards`, a save replaces them, too; decks that have them alone keep them.
     """
     carried = [c for c in ("cards",) if c in base.columns and c in ops.columns]
     classified = classify(base, ops)
@@ -100,6 +100,7 @@ def apply_ops(
         "created_at",
         F.when(touched, F.col("_new.ts")).otherwise(F.col("updated_at")).alias("updated_at"),
         *[F.when(touched, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in carried],
+        *[c for c in ("cards",) if c in base.columns and c not in carried],
     )
     creates = accept_creates(base, classified, cap, chunk_rows)
     created = creates.where("accepted").select(
@@ -111,7 +112,7 @@ def apply_ops(
         F.col("ts").alias("updated_at"),
         *carried,
     )
-    return kept.unionByName(created), creates.where(~F.col("accepted")).drop("effect", "accepted")
+    return kept.unionByName(created, allowMissingColumns=True), creates.where(~F.col("accepted")).drop("effect", "accepted")
 
 
 def clean_names(ops: DataFrame) -> tuple[DataFrame, DataFrame]:
