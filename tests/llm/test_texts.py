@@ -299,6 +299,24 @@ def test_near_documents_in_blocks(spark, monkeypatch, block):
     assert sorted(got) == sorted(classes_by_force(shingle_sets(docs)))
 
 
+def test_candidates_have_few_links(spark):
+    """A group's links follow its nodes, however many of its nodes are hubs of bands; all nodes of a band stay together."""
+    rng = np.random.default_rng(8)
+    rows = [(f"g{g}n{n:03d}", 1000 * g + 50 * band + int(rng.integers(50))) for g in range(3) for n in range(200) for band in range(16)]
+    rows += [("alone", -1), ("pair1", -2), ("pair2", -2)]
+    links = [tuple(r) for r in dart_minhash.candidate_links(spark.createDataFrame(rows, "node string, band long")).collect()]
+    hubs, near = {}, {}
+    for node, band in rows:
+        hubs[band] = min(node, hubs.get(band, node))
+    for node, band in rows:
+        near.setdefault(node, set()).add(hubs[band])
+    plain = {(a, node) for node, found in near.items() for a in found if a != node}
+    # One link a node, and hubs among each other.
+    assert len(set(links)) == len(links) < len(plain) / 2
+    parts = [components.components(spark.createDataFrame(sorted(x), "a string, b string")).collect() for x in (links, plain)]
+    assert sorted(map(tuple, parts[0])) == sorted(map(tuple, parts[1])) and len(parts[0]) == 602
+
+
 def test_near_documents_of_repeats(spark):
     """Sets of shingles decide links, however often a text repeats its passages."""
     rows = []
@@ -330,6 +348,24 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_draw_links_anew(spark, monkeypatch):
+    """Rows written over all rounds follow the links, also where a group is a long chain in no order."""
+    rng = np.random.default_rng(12)
+    rows, plain = {"edges": 0}, components.written
+
+    def counting(df, name):
+        out = plain(df, name)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(components, "written", counting)
+    places = rng.permutation(1500)
+    links = [(int(places[k]), int(places[k + 1])) for k in range(1499)]
+    got = components.components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert sorted((r.node, r.component) for r in got) == [(k, 0) for k in range(1500)]
+    assert rows["edges"] < 3 * 2 * len(links)
+
+
 def test_pipeline(spark, tmp_path, separable):
     docs, labels = separable
     docs = docs.unionByName(docs.filter("doc_id = 2").withColumn("doc_id", F.lit(5000).cast("long")))
