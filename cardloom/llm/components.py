@@ -12,8 +12,8 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over the links (columns `a`, `b`) from each node in them.
 
     Each round a node points to the smallest of itself and its neighbours, pointers are followed to their ends, and
-    links are drawn anew between those ends. At least half of the nodes that still have links go each round, so the
-    rows of all rounds together follow the links, however far apart a group's nodes are. Tables are written
+    links are drawn anew between those ends. A node that stays alone has a smaller neighbour in the next round, so at
+    least half of the nodes that still have links go in every two rounds, and links only become fewer. Tables are written
     each round, so a lost executor repeats one round at most. An empty table of links gives an empty result.
     """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
