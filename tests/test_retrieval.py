@@ -232,3 +232,33 @@ def test_quarantine_has_ratings_above_the_scale(spark, tmp_path, rows_of):
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     found = rows_of(QUERIES["metadata_quarantine"](spark, str(tmp_path)), "card_id", "reason")
     assert found == [(1, "power rating"), (2, "power rating"), (3, "game stage"), (4, "malformed")]
+
+
+def test_scores_below_the_kth_are_not_sorted(monkeypatch):
+    sorted_in = []
+    top = nearest._top
+    monkeypatch.setattr(nearest, "_top", lambda rows, values, k: sorted_in.append(values.size) or top(rows, values, k))
+    rng = np.random.default_rng(3)
+    asks, vectors = (nearest.unit_rows(list(rng.normal(size=(n, 24)))) for n in (50, 3000))
+    vectors[1500:1700] = vectors[:200]
+    rows, scores, _ = nearest.best_of(asks, vectors, 10, slice_rows=20, cell_rows=100)
+    whole = np.round(asks @ vectors.T, nearest.DIGITS)
+    best = np.lexsort((np.broadcast_to(np.arange(3000), whole.shape), -whole), axis=1)[:, :10]
+    assert (rows == best).all() and (scores == np.take_along_axis(whole, best, 1)).all()
+    assert sum(sorted_in) < whole.size / 2
+
+
+def test_candidates_are_dealt_by_request_once(spark):
+    queries = spark.createDataFrame([(1, 1, ["t"], [1.0, 0.0]), (2, 1, ["t"], [0.0, 1.0])], "request_id long, mask int, mechanics array<string>, vector array<double>")
+    cards = spark.createDataFrame(
+        [(1, 1, 1, ["t"], "Ramp"), (2, 2, 1, ["u"], "Ramp"), (3, 3, 1, ["t"], "Utility")], "id long, ordinal long, ci_mask int, tags array<string>, primary_role string"
+    )
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (3, [0.6, 0.8])], "card_id long, embedding array<float>")
+    found = retrieve.candidates(queries, cards, vectors)
+    got = {(r.request_id, r.card_id): (r.score, r.kinds, r.rank) for r in found.collect()}
+    assert got == {
+        (1, 1): (1.0, "similar+supporting+synergistic", 1), (1, 3): (1.0, "similar+synergistic", 2), (1, 2): (0.5, "supporting", 3),
+        (2, 1): (1.0, "similar+supporting+synergistic", 1), (2, 3): (1.0, "similar+synergistic", 2), (2, 2): (0.5, "supporting", 3),
+    }
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [request_id" in plan and "collect_set" not in plan
