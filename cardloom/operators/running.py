@@ -126,7 +126,9 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], out: str) -> Dat
     before = parts.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     before = before.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    # Parts are ranges: only the first key of a part can have rows in earlier ones, so there are fewer of these than parts.
+    before = F.broadcast(before.where("_before > 0"))
     placed = parts.withColumn("_inside", inside)
     same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    joined = placed.join(before, [F.col("_part") == F.col("_p"), *same])
-    return joined.select(*df.columns, (F.col("_before") + F.col("_inside")).alias(out))
+    joined = placed.join(before, [F.col("_part") == F.col("_p"), *same], "left")
+    return joined.select(*df.columns, (F.coalesce("_before", F.lit(0)) + F.col("_inside")).alias(out))

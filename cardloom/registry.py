@@ -389,7 +389,8 @@ def csv_import_collection(t: Tables) -> DataFrame:
 @query
 def collection_places(t: Tables) -> DataFrame:
     """Every user's whole collection in the order of names."""
-    return facets.browse_ranked(coll.library(t.cards(), t.collection())).select("user_id", "place", "id")
+    owned = coll.library(t.cards(), t.collection()).select("user_id", "id", "name", "ordinal")
+    return facets.browse_ranked(owned).select("user_id", "place", "id")
 
 
 @query

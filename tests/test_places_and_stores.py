@@ -114,3 +114,20 @@ def test_decks_from_a_stream_keep_cards_and_check_names(spark, rows_of, tmp_path
     finish(tables.keep_decks(spark.readStream.schema(more.schema).parquet(str(tmp_path / "in2")), base, str(tmp_path / "ck2")))
     held = {r.name: r for r in tables.read_decks(spark, base).collect()}
     assert set(held) == {"Second", "Bare"} and [tuple(c) for c in held["Second"].cards] == [(9, 4)]
+
+
+def test_ranked_rows_are_exchanged_twice_only(spark):
+    """By range and by key of a part; what keys have in earlier parts is sent to them."""
+    rows = spark.range(4000).selectExpr("CASE WHEN id % 4 > 0 THEN 1 WHEN id % 3 > 0 THEN id % 17 END AS user_id", "id * 7919 % 4001 AS n", "id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = running.ranked(rows, ["user_id"], [F.col("n")], "place")
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        got = {r.id: r.place for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    lists = {}
+    for r in rows.collect():
+        lists.setdefault(r.user_id, []).append((r.n, r.id))
+    assert got == {id: i for own in lists.values() for i, (_, id) in enumerate(sorted(own), 1)}
+    assert "rightHint=(strategy=broadcast)" in plan
