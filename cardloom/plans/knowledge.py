@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardloom import schemas
 from cardloom.functions import columns as C
 from cardloom.functions.constants import GAME_STAGES
+from cardloom.session import written
 
 # Section headings of a knowledge document, in order (fixed text).
 SECTIONS = ["Card", "Summary", "Roles", "Themes", "Strengths", "Weakness", "Oracle Text"]
@@ -88,21 +94,62 @@ Encoder = Callable[[list[str]], list[list[float]]]
 # Slots of a document vector, and the shape of the stored frequencies: how many documents hold a word of each slot.
 FEATURES = 512
 FREQUENCIES = "slot int, documents bigint"
+# Words whose slots a task remembers (forgetting costs time only), text counted and vectors filled at a time.
+SLOT_WORDS = 500_000
+COUNTED_BYTES = 1 << 22
+FILLED = 2048
 
 
-def term_counts(documents: DataFrame, features: int = FEATURES) -> DataFrame:
-    """(card_id, slot, times) of the words of each document.
+def _slot_of(word: str, known: dict[str, int], features: int) -> int:
+    if len(known) > SLOT_WORDS:
+        known.clear()
+    slot = known[word] = int(hashlib.md5(word.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16) % features
+    return slot
+
+
+def _count_slots(texts: pa.Array, known: dict[str, int], features: int) -> list[pa.ListArray]:
+    """Per text the slots of its words, ascending, and how often each occurs."""
+    lists = pc.ascii_split_whitespace(pc.cast(texts, pa.large_string()))
+    owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    coded = lists.flatten().dictionary_encode()
+    names, places = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+    slot = np.array([-1 if x == "" else known[x] if x in known else _slot_of(x, known, features) for x in names], np.int64)[places]
+    held = slot >= 0
+    pairs, times = np.unique(owner[held] * features + slot[held], return_counts=True)
+    offsets = pa.array(np.searchsorted(pairs, np.arange(len(lists) + 1) * features), pa.int32())
+    return [pa.ListArray.from_arrays(offsets, pa.array(x, kind)) for x, kind in ((pairs % features, pa.int32()), (times, pa.int64()))]
+
+
+def term_lists(documents: DataFrame, features: int = FEATURES) -> DataFrame:
+    """(card_id, slots, times): one row for each card, with the slots its words fall into and how often.
 
     Words are runs between white space, in lower case. A word's slot is the first 32 bits of its md5 modulo `features`.
+    NULL texts have none. No word is ever a row; a card with several texts may have several entries for a slot.
     """
-    words = F.filter(F.split(F.lower("document"), "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
-    slot = F.pmod(F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("bigint"), F.lit(features)).cast("int")
-    return documents.select("card_id", F.explode(words).alias("word")).groupBy("card_id", slot.alias("slot")).agg(F.count(F.lit(1)).alias("times"))
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            texts = pc.fill_null(batch.column(1), "")
+            ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+            cuts = np.unique(np.searchsorted(ends, np.arange(0, max(1, ends[-1]), COUNTED_BYTES)))
+            for low, high in zip(cuts.tolist(), [*cuts[1:].tolist(), len(batch)]):
+                lists = _count_slots(texts.slice(low, high - low), known, features)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), *lists], ["card_id", "slots", "times"])
+
+    id_type = documents.schema["card_id"].dataType.simpleString()
+    lists = documents.select("card_id", F.lower("document").alias("document")).mapInArrow(count, f"card_id {id_type}, slots array<int>, times array<bigint>")
+    return lists.groupBy("card_id").agg(F.flatten(F.collect_list("slots")).alias("slots"), F.flatten(F.collect_list("times")).alias("times"))
 
-def document_frequencies(documents: DataFrame, features: int = FEATURES) -> DataFrame:
-    """(slot, documents): a row for each slot that occurs, and slot -1 with the number of documents. Such tables add up."""
-    counted = term_counts(documents, features).groupBy("slot").agg(F.count(F.lit(1)).alias("documents"))
+
+def document_frequencies(documents: DataFrame, features: int = FEATURES, lists: DataFrame | None = None) -> DataFrame:
+    """(slot, documents): a row for each slot that occurs, and slot -1 with the number of documents. Such tables add up.
+
+    `lists` are the documents' `term_lists`, where there are some already.
+    """
+    lists = term_lists(documents, features) if lists is None else lists
+    slots = lists.select(F.explode(F.array_distinct("slots")).alias("slot"))
+    counted = slots.groupBy("slot").agg(F.count(F.lit(1)).alias("documents"))
     return counted.unionByName(documents.agg(F.lit(-1).alias("slot"), F.count(F.lit(1)).alias("documents")))
 
 
@@ -112,14 +159,14 @@ def merged_frequencies(*tables: DataFrame) -> DataFrame:
 
 
 def embed_documents(
-    documents: DataFrame, encoder: Encoder | None = None, features: int = FEATURES, frequencies: DataFrame | None = None
+    documents: DataFrame, encoder: Encoder | None = None, features: int = FEATURES, frequencies: DataFrame | None = None, lists: DataFrame | None = None
 ) -> DataFrame:
     """card_id, document and a unit-length ``embedding``; card ids are unique.
 
     The default is hashed term frequencies weighted by inverse document frequency, ln((n + 1) / (documents + 1)),
     from `frequencies` or else from the documents themselves. Documents without words, or of words that
     all documents share, have a zero vector. A given ``encoder`` maps a batch of texts to vectors and
-    runs in Arrow batches.
+    runs in Arrow batches. `lists` are the documents' `term_lists`, where there are some already; else they are written once.
     """
     if encoder is not None:
         id_type = documents.schema["card_id"].dataType.simpleString()
@@ -132,20 +179,38 @@ def embed_documents(
         rows = documents.select("card_id", "document")
         return rows.mapInPandas(encode, f"card_id {id_type}, document string, embedding array<float>")
 
-    known = document_frequencies(documents, features) if frequencies is None else frequencies
+    lists = written(term_lists(documents, features), "terms") if lists is None else lists
+    known = document_frequencies(documents, features, lists) if frequencies is None else frequencies
     total = F.max(F.when(F.col("slot") == -1, F.col("documents"))).over(Window.partitionBy(F.lit(0)))  # `features` + 1 rows
-    weights = known.select("slot", F.log((total + 1) / (F.col("documents") + 1)).alias("idf")).where("slot >= 0")
-    # A slot that no document had: as rare as can be. `features` rows at most are broadcast.
-    rarest = F.log(known.where("slot = -1").select(F.max("documents")).scalar() + 1)
-    counts = term_counts(documents, features).join(F.broadcast(weights), "slot", "left")
-    weighed = counts.select("card_id", "slot", (F.col("times") * F.coalesce("idf", rarest)).alias("w"))
-    entries = F.map_from_entries(F.collect_list(F.struct("slot", "w")))  # `features` entries at most
-    vectors = weighed.groupBy("card_id").agg(entries.alias("_w"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-    unit = F.transform(
-        F.sequence(F.lit(0), F.lit(features - 1)),
-        lambda i: F.when(F.col("_norm") > 0, F.coalesce(F.try_element_at("_w", i), F.lit(0.0)) / F.col("_norm")).otherwise(0.0).cast("float"),
-    )
-    return documents.select("card_id", "document").join(vectors, "card_id", "left").select("card_id", "document", unit.alias("embedding"))
+    weights = known.select("slot", F.log((total + 1) / (F.col("documents") + 1)).alias("idf"))
+    # `features` rows at most are collected. A slot that no document had is as rare as can be.
+    rows = {r.slot: r.idf for r in weights.collect()}
+    size = known.where("slot = -1").select(F.max("documents")).first()[0]
+    idf = np.full(features, math.log(size + 1) if size is not None else np.nan)
+    for slot, value in rows.items():
+        if 0 <= slot < features and value is not None:
+            idf[slot] = value
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), FILLED):
+                part = batch.slice(at, FILLED)
+                slots, times = part.column(2), part.column(3)
+                owner = np.repeat(np.arange(len(part)), pc.list_value_length(slots).to_numpy(zero_copy_only=False))
+                slot = slots.flatten().to_numpy()
+                # Without any entry bincount gives whole numbers.
+                matrix = np.bincount(owner * features + slot, weights=times.flatten().to_numpy() * idf[slot], minlength=len(part) * features).astype(np.float64)
+                matrix = matrix.reshape(len(part), features)
+                norm = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
+                unit = np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0).astype(np.float32)
+                offsets = pa.array(np.arange(len(part) + 1) * features, pa.int32())
+                embedding = pa.ListArray.from_arrays(offsets, pa.array(unit.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), embedding], ["card_id", "document", "embedding"])
+
+    id_type = documents.schema["card_id"].dataType.simpleString()
+    listed = documents.select("card_id", "document").join(lists, "card_id", "left")
+    filled = [F.coalesce(x, F.array().cast("array<bigint>")).alias(x) for x in ("slots", "times")]
+    return listed.select("card_id", "document", *filled).mapInArrow(fill, f"card_id {id_type}, document string, embedding array<float>")
 
 
 def vector_records(embedded: DataFrame, cards: DataFrame, metadata: DataFrame) -> DataFrame:

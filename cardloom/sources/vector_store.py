@@ -30,11 +30,11 @@ def read_frequencies(spark: SparkSession, base: str) -> DataFrame:
     return spark.createDataFrame([], knowledge.FREQUENCIES) if held is None else held
 
 
-def _counted(differing: DataFrame, old: DataFrame, base: str) -> DataFrame:
+def _counted(differing: DataFrame, old: DataFrame, base: str, lists: DataFrame | None = None) -> DataFrame:
     """The stored frequencies with what differs counted in and old texts taken out.
 
     They are stored before the records, with a note of what was counted: a run that stops in between finds
-    the same differences again and does not count them twice.
+    the same differences again and does not count them twice. `lists` are the term lists of what enters, where there are some already.
     """
     spark = differing.sparkSession
     held = read_frequencies(spark, base)
@@ -44,7 +44,7 @@ def _counted(differing: DataFrame, old: DataFrame, base: str) -> DataFrame:
         return held.where(F.col("slot") != NOTE)
     entered = differing.where("change <> 'gone'").select("card_id", "document")
     left = knowledge.document_frequencies(old).withColumn("documents", -F.col("documents"))
-    whole = knowledge.merged_frequencies(held.where(F.col("slot") != NOTE), knowledge.document_frequencies(entered), left)
+    whole = knowledge.merged_frequencies(held.where(F.col("slot") != NOTE), knowledge.document_frequencies(entered, lists=lists), left)
     noted = spark.createDataFrame([(NOTE, note)], knowledge.FREQUENCIES)
     stores.save_table(whole.where("documents > 0 OR slot = -1").unionByName(noted), f"{base}/frequencies")
     return read_frequencies(spark, base).where(F.col("slot") != NOTE)
@@ -67,8 +67,12 @@ def update_records(
     differing = written(both.where(~same).select("card_id", "document", "_stored", change.alias("change")), "differing")
     fresh = given if embed_all else differing.where("change <> 'gone'").select("card_id", "document")
     old = differing.where("change <> 'new'").select("card_id", F.col("_stored").alias("document"))
-    frequencies = None if encoder is not None else _counted(differing, old, base)
-    made = knowledge.embed_documents(fresh, encoder, frequencies=frequencies)
+    frequencies = lists = None
+    if encoder is None:
+        # The words of what is embedded are counted once.
+        lists = written(knowledge.term_lists(fresh), "terms")
+        frequencies = _counted(differing, old, base, None if embed_all else lists)
+    made = knowledge.embed_documents(fresh, encoder, frequencies=frequencies, lists=lists)
     kept = given.join(held.drop("_stored"), "card_id").join(fresh.select("card_id"), "card_id", "left_anti")
     embedded = made.unionByName(kept.select("card_id", "document", F.col("_vector").alias("embedding")))
     as_text = F.col("id").cast("string").alias("id")

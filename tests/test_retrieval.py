@@ -262,3 +262,19 @@ def test_candidates_are_dealt_by_request_once(spark):
     }
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [request_id" in plan and "collect_set" not in plan
+
+
+def test_words_are_counted_without_a_row_for_each(spark):
+    rows = [(1, "a b  A\tc\x0bd\x0ce\rf\n"), (1, "a zz"), (2, None), (3, "   "), (None, "a q"), (4, "é É x\u2003y"), (5, "")]
+    docs = spark.createDataFrame(rows, "card_id long, document string").repartition(3)
+    lists = knowledge.term_lists(docs, 64)
+    plan = lists._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and lists.where("card_id <> 1").groupBy("card_id").count().where("count > 1").isEmpty()
+    made = knowledge.embed_documents(docs, features=64)
+    norms = {(r.card_id, r.document): round(sum(x * x for x in r.embedding), 5) for r in made.collect()}
+    assert len(norms) == 7
+    assert {k: norms[k] for k in rows} == {k: 1.0 if k[0] in (1, 4) else 0.0 for k in rows}
+    one = {tuple(r.embedding) for r in made.where("card_id = 1").collect()}
+    assert len(one) == 1  # the words of both texts of the card
+    counted = knowledge.document_frequencies(docs, 64)
+    assert counted.where("slot = -1").first().documents == 7 and counted.where("slot >= 0").agg(F.max("documents")).first()[0] >= 2
