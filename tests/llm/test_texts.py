@@ -1,10 +1,12 @@
 """Classifiers, scores, near-duplicates and the pipeline."""
 
 import math
+import pickle
 import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -387,3 +389,21 @@ def test_pipeline_on_empty_tables(spark, tmp_path, no_documents):
     no_documents.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_counts_are_sent_once_and_compressed(spark, monkeypatch):
+    sent = []
+    send = spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda value: sent.append(len(pickle.dumps(value))) or send(value))
+    rows = [(k, sentence(k, 30), "en", "s", 1) for k in range(40)]
+    found = mixing.score_texts(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(found) == 40 and all(r.score < 0 for r in found)
+    # Uncompressed the tables take 55 MB.
+    assert 0 < sum(sent) < 5_000_000
+
+
+def test_tables_come_back_from_their_chunks():
+    part = np.arange(2 * mixing.CHUNK, dtype="<f4").reshape(2, -1)
+    tables = mixing._tables([(3, 2 * mixing.CHUNK, zstandard.ZstdCompressor().compress(part.tobytes()))])
+    assert [len(x) for x in tables] == list(mixing.SLOTS) and all(not x.any() for k, x in enumerate(tables) if k != 3)
+    assert (tables[3][2 * mixing.CHUNK : 3 * mixing.CHUNK] == part.T).all() and not tables[3][: 2 * mixing.CHUNK].any()
