@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from operator import itemgetter
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -31,71 +31,51 @@ def rocksdb(spark: SparkSession) -> Iterator[None]:
 
 
 class DraftFold(StatefulProcessor):
-    """One deck's draft: its commander as a value, copies by card as a map. Emits what a batch changed."""
+    """One deck's draft, its commander and copies by card, as one value. Emits what a batch changed.
+
+    Every question to the state is a trip to the JVM: a batch reads its deck by one and writes it by one.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.leader = handle.getValueState("leader", "card_id long")
-        self.copies = handle.getMapState("copies", "card_id long", "quantity long")
+        self.draft = handle.getValueState("draft", "leader bigint, cards array<bigint>, copies array<bigint>")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timers: object) -> Iterator[Row]:
         # A batch of one deck's commands, as narrow rows; a trigger's limit bounds them.
-        log = pd.concat(list(rows)).sort_values("seq")
-        held = self.leader.get()
-        leader = before = None if held is None else held[0]
-        known: dict[int, int] = {}  # copies before the batch, of the cards it touches
-        now: dict[int, int] = {}
-
-        def copies(card: int) -> int:
-            if card not in now:
-                stored = self.copies.getValue((card,))
-                known[card] = now[card] = 0 if stored is None else stored[0]
-            return now[card]
-
-        def reset() -> None:
-            for (card,) in self.copies.keys():
-                copies(card)
-            now.update(dict.fromkeys(now, 0))
-
-        for op, card, quantity, stacks in zip(log["op"], log["card_id"], log["quantity"], log["stacks"]):
-            card = None if pd.isna(card) else int(card)
+        log = sorted(((row.seq, row.op, row.card_id, row.quantity, row.stacks) for row in rows), key=itemgetter(0))
+        leader, cards, copies = self.draft.get() or (None, [], [])
+        before, known = leader, dict(zip(cards, copies))
+        now = dict(known)
+        for _, op, card, quantity, stacks in log:
             if op in ("clear", "open"):
-                reset()
+                now.clear()
                 leader = None
             elif op == "remove_commander":
                 leader = None
             elif op == "seat":
                 leader = card
             elif op == "add":
-                now[card] = copies(card) + 1 if stacks else max(copies(card), 1)
+                now[card] = now.get(card, 0) + 1 if stacks else max(now.get(card, 0), 1)
             elif op == "remove":
-                now[card] = max(copies(card) - 1, 0)
+                now[card] = max(now.get(card, 0) - 1, 0)
             elif op == "put":
-                copies(card)
-                now[card] = 0 if pd.isna(quantity) else max(int(quantity), 0)
+                now[card] = max(quantity or 0, 0)
             elif op == "set_commander":
-                copies(card)
                 now[card] = 0
                 if leader is not None and leader != card:
-                    now[leader] = max(copies(leader), 1)
+                    now[leader] = max(now.get(leader, 0), 1)
                 leader = card
 
-        changed = [card for card in now if now[card] != known[card]]
-        for card in changed:
-            if now[card]:
-                self.copies.updateValue((card,), (now[card],))
-            else:
-                self.copies.removeKey((card,))
-        out = [(card, now[card], False) for card in changed]
+        now = {card: n for card, n in now.items() if n}
+        out = [(card, now.get(card, 0), False) for card in known.keys() | now.keys() if known.get(card, 0) != now.get(card, 0)]
         if leader != before:
-            if leader is None:
-                self.leader.clear()
-            else:
-                self.leader.update((leader,))
             out += [(c, n, True) for c, n in ((before, 0), (leader, 1)) if c is not None]
         if out:
-            cards, counts, leads = zip(*out)
-            last = int(log["seq"].iloc[-1])
-            yield pd.DataFrame({"deck_id": key[0], "seq": last, "card_id": cards, "quantity": counts, "is_commander": leads})
+            if now or leader is not None:
+                self.draft.update((leader, list(now), list(now.values())))
+            else:
+                self.draft.clear()
+        for card, count, leads in out:
+            yield Row(deck_id=key[0], seq=log[-1][0], card_id=card, quantity=count, is_commander=leads)
 
     def close(self) -> None:
         pass
@@ -113,7 +93,7 @@ def fold_drafts(log: DataFrame, cards: DataFrame, base: str, checkpoint: str) ->
         "deck_id", "seq", "op", "card_id", F.col("quantity").cast("bigint").alias("quantity"), F.col("_basic").isNotNull().alias("stacks")
     )
     with rocksdb(log.sparkSession):
-        changes = rows.groupBy("deck_id").transformWithStateInPandas(DraftFold(), CHANGES, "append", "none")
+        changes = rows.groupBy("deck_id").transformWithState(DraftFold(), CHANGES, "append", "none")
         return (
             changes.writeStream.outputMode("append").format("parquet").option("path", base)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

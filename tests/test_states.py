@@ -2,6 +2,7 @@
 
 import random
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from cardloom.operators import edits
@@ -53,6 +54,37 @@ def test_folded_drafts_go_on_after_a_restart(spark, rows_of, tmp_path):
         assert rows_of(states.folded_drafts(spark, base)) == rows_of(expected(spark, so_far))
 
 
+class CountedState:
+    """A deck's value state that counts the trips to it."""
+
+    def __init__(self):
+        self.value, self.trips = None, 0
+
+    def get(self):
+        self.trips += 1
+        return self.value
+
+    def update(self, value):
+        self.trips += 1
+        self.value = value
+
+    def clear(self):
+        self.update(None)
+
+
+def test_a_batch_makes_two_trips_to_the_state():
+    state = CountedState()
+    fold = states.DraftFold()
+    fold.init(type("Handle", (), {"getValueState": lambda self, name, schema: state})())
+    big = 2**53 + 1  # exact beside commands that name no card
+    first = [Row(seq=2 + k, op="add", card_id=big + k, quantity=None, stacks=False) for k in range(50)]
+    first += [Row(seq=99, op="seat", card_id=3, quantity=None, stacks=False), Row(seq=1, op="add", card_id=1, quantity=None, stacks=True), Row(seq=0, op="clear", card_id=None, quantity=None, stacks=False)]
+    out = list(fold.handleInputRows((7,), iter(first), None))
+    assert sorted(r.card_id for r in out if not r.is_commander) == [1, *range(big, big + 50)] and state.trips == 2
+    out = list(fold.handleInputRows((7,), iter([Row(seq=100, op="clear", card_id=None, quantity=None, stacks=False)]), None))
+    assert {(r.quantity, r.seq) for r in out} == {(0, 100)} and len(out) == 52 and state.trips == 4 and state.value is None
+
+
 ADDS = "event_id bigint, ts timestamp, user_id bigint, card_id bigint, quantity bigint"
 
 
