@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from cardloom.functions import columns as C
 from cardloom.functions.constants import DECK_NAME_LENGTH, MAX_DECKS
 from cardloom.operators import running
+from cardloom.session import written
 
 COLUMNS = ["id", "user_id", "name", "commander_id", "created_at", "updated_at"]
 
@@ -71,15 +72,25 @@ def accept_creates(
     )
 
 
-def apply_ops(
+def classify_once(
     base: DataFrame, ops: DataFrame, cap: int = MAX_DECKS, chunk_rows: int = running.CHUNK_ROWS
+) -> tuple[DataFrame, DataFrame]:
+    """-> (classified ops, creates with ``accepted``) as tables, for a batch that both `apply_ops` and `cards_after` take."""
+    classified = written(classify(base, ops), "classified")
+    return classified, written(accept_creates(base, classified, cap, chunk_rows), "creates")
+
+
+def apply_ops(
+    base: DataFrame, ops: DataFrame, cap: int = MAX_DECKS, chunk_rows: int = running.CHUNK_ROWS,
+    classed: tuple[DataFrame, DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """-> (deck table after the batch, refused creates). The last save of a deck wins.
 
-    Where both decks and ops have `cards`, a save replaces them, too; decks that have them alone keep them.
+    Where both decks and ops have `cards`, a save replaces them, too; decks that have them alone keep them. `classed` is
+    what `classify_once` gives for the same decks, ops and cap.
     """
     carried = [c for c in ("cards",) if c in base.columns and c in ops.columns]
-    classified = classify(base, ops)
+    classified = classed[0] if classed else classify(base, ops)
     latest = (
         classified.where(F.col("effect") == "update")
         .groupBy("user_id", F.col("deck_id").alias("id"))
@@ -102,7 +113,7 @@ def apply_ops(
         *[F.when(touched, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in carried],
         *[c for c in ("cards",) if c in base.columns and c not in carried],
     )
-    creates = accept_creates(base, classified, cap, chunk_rows)
+    creates = classed[1] if classed else accept_creates(base, classified, cap, chunk_rows)
     created = creates.where("accepted").select(
         new_deck_id(F.col("user_id").cast("string"), F.col("seq").cast("string")).alias("id"),
         "user_id",
@@ -124,14 +135,17 @@ def clean_names(ops: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def cards_after(
-    base_cards: DataFrame, base: DataFrame, ops: DataFrame, cap: int = MAX_DECKS, chunk_rows: int = running.CHUNK_ROWS
+    base_cards: DataFrame, base: DataFrame, ops: DataFrame, cap: int = MAX_DECKS, chunk_rows: int = running.CHUNK_ROWS,
+    classed: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """(deck_id, card_id, quantity) of all decks after the batch.
 
     Ops carry ``cards``, an array of (card_id, quantity). The last save of a deck replaces its cards, an
-    accepted create brings its own, a delete takes them away.
+    accepted create brings its own, a delete takes them away. `classed` is what `classify_once` gives.
     """
-    classified = classify(base, ops)
+    classified, creates = classed or (classify(base, ops), None)
+    if creates is None:
+        creates = accept_creates(base, classified, cap, chunk_rows)
     last = (
         classified.where(F.col("effect") == "update").groupBy("deck_id").agg(F.max_by("cards", "seq").alias("cards"))
     )
@@ -142,5 +156,5 @@ def cards_after(
     )
     replaced = last.join(gone, "deck_id", "left_anti").select("deck_id", F.inline("cards"))
     new_id = new_deck_id(F.col("user_id").cast("string"), F.col("seq").cast("string")).alias("deck_id")
-    created = accept_creates(base, classified, cap, chunk_rows).where("accepted").select(new_id, F.inline("cards"))
+    created = creates.where("accepted").select(new_id, F.inline("cards"))
     return kept.unionByName(replaced).unionByName(created)

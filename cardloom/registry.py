@@ -16,7 +16,7 @@ from cardloom.operators import collection as coll
 from cardloom.operators import deck_log, decks, edits, facets, roles, stats, validate
 from cardloom.plans import generate as gen
 from cardloom.plans import build_loop, knowledge, prompts, retrieve
-from cardloom.session import shared_dir, tune
+from cardloom.session import shared_dir, tune, written
 from cardloom.sources import card_store, deck_store, stores, vector_store
 from cardloom.sources.collection_csv import parse_collection_lines
 from cardloom.sources.drafts import draft_cards, load_drafts, open_decks
@@ -422,10 +422,13 @@ def _saved_decks(t: Tables) -> DataFrame:
     """The decks after all saves and deletes, with their cards, through the store."""
     listed = F.array(F.struct(F.col("commander_id").alias("card_id"), (F.col("commander_id") % 4 + 1).cast("int").alias("quantity")))
     ops, _ = deck_log.clean_names(_deck_ops(t).withColumn("cards", F.when(F.col("commander_id").isNotNull(), listed)))
-    base_cards = t.deck_cards().select("deck_id", "card_id", F.col("quantity").cast("int").alias("quantity"))
-    after, _ = deck_log.apply_ops(_base_decks(t), ops, DECK_LOG_CAP)
+    # Decks and the judgement of the commands are worked out once, for the decks and for their cards.
+    held = written(_base_decks(t), "decks")
+    base_cards = t.deck_cards(held).select("deck_id", "card_id", F.col("quantity").cast("int").alias("quantity"))
+    classed = deck_log.classify_once(held, ops, DECK_LOG_CAP)
+    after, _ = deck_log.apply_ops(held, ops, DECK_LOG_CAP, classed=classed)
     base = shared_dir(t.spark, "decks")
-    deck_store.save_decks(deck_store.with_cards(after, deck_log.cards_after(base_cards, _base_decks(t), ops, DECK_LOG_CAP)), base)
+    deck_store.save_decks(deck_store.with_cards(after, deck_log.cards_after(base_cards, held, ops, DECK_LOG_CAP, classed=classed)), base)
     return deck_store.load_decks(t.spark, base)
 
 

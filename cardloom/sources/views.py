@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from cardloom.functions import columns as C
 from cardloom.functions.constants import COLORS, ONLY_OWNED, PREFER_OWNED, STRONGEST
+from cardloom.operators.facets import cards_by_ids
 from cardloom.plans.prompts import build_prompts
+from cardloom.session import written
 
 # Noun of the part name -> roles; nouns not listed have no role entry.
 NOUN_ROLES = {
@@ -136,9 +138,9 @@ class Tables:
         )
         return orders.join(leaders, "id", "left")
 
-    def deck_cards(self) -> DataFrame:
-        """Deck lines without the commander."""
-        leaders = self.decks().select(F.col("id").alias("deck_id"), "commander_id")
+    def deck_cards(self, decks: DataFrame | None = None) -> DataFrame:
+        """Deck lines without the commander; `decks` are the decks where they are at hand already."""
+        leaders = (self.decks() if decks is None else decks).select(F.col("id").alias("deck_id"), "commander_id")
         return (
             self.deck_lines()
             .join(leaders, "deck_id")
@@ -324,8 +326,11 @@ class Tables:
         asked = self.events().select(F.col("event_id").alias("request_id"), "k")
         open_choice = F.lit(None).cast("string")
         requests = asked.select("request_id", open_choice.alias("power_level"), open_choice.alias("collection_preference"))
-        context = asked.select("request_id", F.explode(F.array(F.col("k") + 6, F.col("k") + 7)).alias("card_id"))
+        around = F.array(F.col("k") + 6, F.col("k") + 7)
+        context = asked.select("request_id", F.explode(around).alias("card_id"))
         basic = self.cards().where(C.is_basic_land()).agg(F.min_by("id", F.struct(F.col("ci_mask") != 0, F.col("id"))).alias("id"))
         near = F.array(*[F.col("k") + i for i in range(6)], basic.scalar())
         offered = asked.select("request_id", F.posexplode(near).alias("rank", "card_id"))
-        return build_prompts(requests, context, offered, self.cards())
+        # The cards that are listed, as a table of known size: a small one goes to every task.
+        listed = asked.select("k").distinct().select(F.explode(F.concat(around, near)).alias("card_id"))
+        return build_prompts(requests, context, offered, written(cards_by_ids(self.cards(), listed), "listed"))

@@ -244,3 +244,18 @@ def test_saves_replace_cards_and_need_a_name(spark, rows_of):
     assert good.where("seq = 1").first()["name"] == "Elves"
     got = rows_of(deck_log.cards_after(cards, base, good), "card_id", "quantity")
     assert got == [("n", 7), ("r", 5), ("z", 4)]
+
+
+def test_commands_classified_once_serve_decks_and_cards(spark, rows_of):
+    """The tables of one judgement give what each operator finds for itself."""
+    base = spark.createDataFrame([("a", 1, "A", 5, None, None), ("b", 1, "B", 6, None, None), ("c", 2, "C", None, None, None)], "id string, user_id bigint, name string, commander_id bigint, created_at timestamp, updated_at timestamp")
+    cards = spark.createDataFrame([("a", 5, 1), ("b", 6, 2), ("c", 7, 3)], "deck_id string, card_id bigint, quantity int")
+    rows = [(1, 0, "save", "a", "A2", 8), (1, 1, "save", None, "new", 9), (1, 2, "delete", "b", None, None), (1, 3, "save", None, "fits", 9), (2, 4, "delete", "x", None, None), (1, 5, "save", None, "over", 9)]
+    ops = spark.createDataFrame(rows, "user_id bigint, seq bigint, op string, deck_id string, name string, commander_id bigint")
+    ops = ops.select("*", F.timestamp_seconds("seq").alias("ts"), F.expr("array(struct(commander_id AS card_id, 1 AS quantity))").alias("cards"))
+    classed = deck_log.classify_once(base, ops, 3)
+    assert all(len(part.inputFiles()) for part in classed)
+    after, refused = deck_log.apply_ops(base, ops, 3, classed=classed)
+    want, want_refused = deck_log.apply_ops(base, ops, 3)
+    assert rows_of(after) == rows_of(want) and rows_of(refused, "seq") == rows_of(want_refused, "seq") == [(5,)]
+    assert rows_of(deck_log.cards_after(cards, base, ops, 3, classed=classed)) == rows_of(deck_log.cards_after(cards, base, ops, 3))
