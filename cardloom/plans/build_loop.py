@@ -13,14 +13,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardloom.plans.prompts import MAX_ROUNDS, judge_responses
-from cardloom.session import shared_dir
+from cardloom.plans.prompts import MAX_ROUNDS, judge_by_facts, named_facts, pool_facts
+from cardloom.session import shared_dir, written
 from cardloom.sources.stores import is_whole
 
 # (request_id, attempt, prompt) -> (request_id, attempt, response)
 Builder = Callable[[DataFrame], DataFrame]
 
 VALID, EXHAUSTED = "valid", "exhausted"
+# Names of a pool that are not looked up in the answers first.
+SMALL_POOL = 100_000
+FOUND = "request_id {id}, attempt int, prompt string, response string, errors string, is_valid boolean"
 
 
 def in_batches(answer: Callable[[pd.DataFrame], Sequence[str | None]], tasks: int | None = None) -> Builder:
@@ -65,14 +68,23 @@ def build_rounds(
     """
     base = base or shared_dir(prompts.sparkSession, "deck-rounds")
     asked = prompts.select("request_id", F.lit(1).alias("attempt"), "prompt")
+    facts = written(pool_facts(cards), "pool")  # worked out once for all rounds
+    small = facts.count() <= SMALL_POOL
     rounds = []
     for attempt in range(1, max_rounds + 1):
         asked = _once(asked, f"{base}/asked-{attempt}")
         answers = _once(builder(asked).select("request_id", "attempt", "response"), f"{base}/answers-{attempt}")
         one = answers.groupBy("request_id").agg(F.max("response").alias("response"))
         known = asked.join(one, "request_id", "left").withColumn("response", F.coalesce("response", F.lit("")))
-        judged = judge_responses(known.select("request_id", "attempt", "response"), cards)
-        found = _once(known.join(judged, ["request_id", "attempt"]), f"{base}/found-{attempt}")
+        found_at = f"{base}/found-{attempt}"
+        if not is_whole(prompts.sparkSession, found_at):
+            # Of a large pool, the names in the answers are a table of known size: where it is small it goes to every
+            # task, and the answers stay where their request is.
+            named = facts if small else written(named_facts(answers, facts), "named")
+            judged = judge_by_facts(known.select("request_id", "attempt", "response"), named).drop("attempt")
+            known = known.join(judged, "request_id")  # all of a round have the same attempt
+            known.select("request_id", "attempt", "prompt", "response", "errors", "is_valid").write.mode("overwrite").parquet(found_at)
+        found = prompts.sparkSession.read.schema(FOUND.format(id=prompts.schema["request_id"].dataType.simpleString())).parquet(found_at)
         rounds.append(found)
         still = found.where(~F.col("is_valid"))
         if attempt == max_rounds or still.isEmpty():

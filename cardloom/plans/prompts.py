@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardloom import schemas
+from cardloom.functions.columns import no_strings
 from cardloom.functions.constants import DEFAULT_POWER_LEVEL, STRONGEST
 from cardloom.operators.collection import first_named
 from cardloom.operators.validate import card_facts, deck_errors, deck_facts
@@ -41,15 +42,13 @@ def build_prompts(requests: DataFrame, context: DataFrame, candidates: DataFrame
     facts = cards.select(
         F.col("id").alias("card_id"), "ordinal", F.concat(F.lit("- "), "name", F.lit(" | "), "type_line").alias("line")
     )
-    chosen = context.join(facts, "card_id").select(
-        "request_id", F.lit("chosen").alias("part"), F.col("ordinal").cast("bigint").alias("rank"), "line"
-    )
-    offered = candidates.join(facts, "card_id").select(
-        "request_id", F.lit("offered").alias("part"), F.col("rank").cast("bigint").alias("rank"), "line"
-    )
+    chosen = context.select("request_id", F.lit("chosen").alias("part"), F.lit(None).cast("bigint").alias("rank"), "card_id")
+    offered = candidates.select("request_id", F.lit("offered").alias("part"), F.col("rank").cast("bigint").alias("rank"), "card_id")
+    place = F.when(F.col("part") == "chosen", F.col("ordinal").cast("bigint")).otherwise(F.col("rank")).alias("rank")
+    # Both lists meet the cards at once.
+    listed = chosen.unionByName(offered).join(facts, "card_id").select("request_id", "part", place, "line")
     blocks = (
-        chosen.unionByName(offered)
-        .withColumn("_chosen", F.when(F.col("part") == "chosen", F.struct("rank", "line")))
+        listed.withColumn("_chosen", F.when(F.col("part") == "chosen", F.struct("rank", "line")))
         .withColumn("_offered", F.when(F.col("part") == "offered", F.struct("rank", "line")))
         .groupBy("request_id")
         .agg(_lines("_chosen").alias("chosen"), _lines("_offered").alias("offered"))
@@ -83,14 +82,29 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     )
 
 
+def pool_facts(cards: DataFrame) -> DataFrame:
+    """What the rules need to know of each name: of several cards of one name the first of the pool is meant."""
+    return card_facts(first_named(cards.select("id", "oracle_id", "name", "type_line", "ci_mask", "ordinal")))
+
+
+def named_facts(responses: DataFrame, facts: DataFrame) -> DataFrame:
+    """The facts of the names that the answers hold; all that judging these answers needs."""
+    names = F.concat(F.coalesce(F.col("cards")["name"], no_strings()), F.array("commander"))
+    return facts.join(parse_responses(responses).select(F.explode(names).alias("card_name")).distinct(), "card_name", "left_semi")
+
+
 def judge_responses(responses: DataFrame, cards: DataFrame) -> DataFrame:
     """request_id, attempt, is_valid and errors for every answer, readable or not.
 
     Every text is parsed once. Cards with unknown names count towards the size and
     are reported as such; of several cards of one name the first of the pool is meant.
     """
+    return judge_by_facts(responses, pool_facts(cards))
+
+
+def judge_by_facts(responses: DataFrame, facts: DataFrame) -> DataFrame:
+    """`judge_responses` from the facts of the names."""
     deck = ["request_id", "attempt", "readable", "commander"]
-    facts = card_facts(first_named(cards.select("id", "oracle_id", "name", "type_line", "ci_mask", "ordinal")))
     listed = parse_responses(responses).select(*deck, F.inline_outer("cards"))
     rows = (
         listed.withColumn("quantity", F.when(F.col("name").isNotNull(), F.coalesce("quantity", F.lit(1))))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cardloom.plans import build_loop
+from cardloom.plans.prompts import named_facts, pool_facts
 
 
 @pytest.fixture(scope="module")
@@ -47,6 +48,18 @@ def test_loop(spark, pool, rows_of):
     ], key=str)
 
 
+def test_loop_with_a_large_pool(spark, pool, rows_of, monkeypatch):
+    """Judging by the names in the answers gives what the whole pool gives; names that nobody wrote are left out."""
+    prompts = spark.createDataFrame([(i, f"Build {i}") for i in ANSWERS], "request_id string, prompt string")
+    columns = ("request_id", "attempts", "status", "errors")
+    small = rows_of(build_loop.build_until_valid(prompts, pool, build_loop.in_batches(answer)), *columns)
+    monkeypatch.setattr(build_loop, "SMALL_POOL", 0)
+    assert rows_of(build_loop.build_until_valid(prompts, pool, build_loop.in_batches(answer)), *columns) == small
+    answers = spark.createDataFrame([(i, 1, a) for i, texts in ANSWERS.items() for a in texts], "request_id string, attempt int, response string")
+    named = named_facts(answers, pool_facts(pool))
+    assert rows_of(named, "card_name") == [("Lead",), ("Plains",), ("Red",), ("Spell 1",)]
+
+
 def test_loop_goes_on_where_it_stopped(spark, pool, tmp_path):
     prompts = spark.createDataFrame([("second", "x"), ("third", "y")], "request_id string, prompt string")
     log = tmp_path / "asked"
