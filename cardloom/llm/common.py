@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardloom.session import shared_dir, tune
+from cardloom.session import tune, written  # noqa: F401
 
 # Token libraries run single-threaded inside tasks: Spark deals out the cores.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -31,16 +31,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder: worked out once, read many times.
-
-    A lost executor costs the reading tasks only, not the work before the table.
-    """
-    path = shared_dir(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo `parts`; a NULL id gives NULL."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(parts)

@@ -6,12 +6,14 @@ In a pair of tiles the unit vectors' int8 codes are multiplied, exactly, as inte
 the true cosine differs from the scaled product of codes by at most |e_x| + |e_y| + |e_x||e_y|; each
 vector carries its |e|. Only pairs whose interval reaches the threshold are computed again in double
 precision. A pair of tiles gives counts of links and a spanning forest of them, never all its links.
+Tiles are not exchanged for their pairs: a round of them, of bounded size, is sent to all tasks, which hold the others.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,10 +24,13 @@ from pyspark.sql import functions as F
 from cardloom.llm.common import ready, written
 from cardloom.llm.components import components
 from cardloom.llm.vectors import matrix, vector_rows
+from cardloom.session import discard
 
 # Vectors in one tile, on average; one pivot for so many, and at most PIVOTS of them.
 TILE = 4096
 PIVOTS = 256
+# Tiles sent to all tasks at a time, on average.
+ROUND_BYTES = 32 << 20
 # Slack for the rounding of doubles in bounds.
 EPS = 1e-9
 
@@ -128,7 +133,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     # A row for each pivot and length; a cell is cut into slices of bounded size.
     cells = homed.groupBy("dim", "cell").agg(F.max("angle").alias("reach"), F.ceil(F.count("*") / TILE).cast("int").alias("slices"))
     pairs = cell_pairs([tuple(r) for r in cells.collect()], shared.value, threshold)
-    meets = spark.createDataFrame(pairs, "dim int, cell int, slices int, other int, other_slices int")
+    meets = spark.createDataFrame([(x[0], x[1], x[3]) for x in pairs], "dim int, cell int, other int")
     width = np.dtype("<f4" if kind == "array<float>" else "<f8")
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
@@ -142,32 +147,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     tiles = sliced.select("dim", "cell", "slice", "node", "n", "v").groupBy("dim", "cell", "slice").applyInPandas(
         pack, "dim int, cell int, slice int, nodes binary, times binary, v binary"
     )
-    tiles = written(tiles, "near-tiles")
-    # A slice goes, as one row, to its pair with every slice of every cell that it may link with. A pair of
-    # tiles is named by its smaller and larger side; side 2 is a tile with itself.
-    dealt = (
-        tiles.join(F.broadcast(meets), ["dim", "cell"])
-        .withColumn("other_slice", F.explode(F.sequence(F.lit(0), F.col("other_slices") - 1)))
-        .withColumn("mine", F.struct("cell", "slice"))
-        .withColumn("theirs", F.struct(F.col("other").alias("cell"), F.col("other_slice").alias("slice")))
-        .select(
-            "dim", F.least("mine", "theirs").alias("low"), F.greatest("mine", "theirs").alias("high"),
-            F.when(F.col("mine") == F.col("theirs"), 2).when(F.col("mine") < F.col("theirs"), 0).otherwise(1).alias("side"),
-            "nodes", "times", "v",
-        )
-    )
-
-    def opened(row: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        node, n = np.frombuffer(row.nodes, "<i8"), np.frombuffer(row.times, "<i8")
-        return node, n, np.frombuffer(row.v, width).astype(np.float64).reshape(len(node), -1)
-
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        own = bool((frame.side == 2).any())
-        if not own and len(frame) < 2:  # the other slice holds nothing
-            return pd.DataFrame({"a": [], "b": [], "links": []}, dtype=np.int64)
-        frame = frame.sort_values("side")
-        node_l, n_l, vl = opened(frame.iloc[0])
-        node_r, n_r, vr = (node_l, n_l, vl) if own else opened(frame.iloc[1])
+    tiles = written(tiles, "near-tiles", large=True)
+    size = tiles.agg(F.count("*").alias("n"), F.sum(F.length("nodes") * 2 + F.length("v")).alias("size")).first()
+    rounds = max(1, -(-(size.size or 0) // ROUND_BYTES))
+    parts = max(1, min(size.n, 4 * spark.sparkContext.defaultParallelism))
+
+    def opened(nodes: bytes, times: bytes, v: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        node, n = np.frombuffer(nodes, "<i8"), np.frombuffer(times, "<i8")
+        return node, n, np.frombuffer(v, width).astype(np.float64).reshape(len(node), -1)
+
+    def compare(low: tuple[bytes, bytes, bytes], high: tuple[bytes, bytes, bytes], own: bool) -> pd.DataFrame:
+        node_l, n_l, vl = opened(*low)
+        node_r, n_r, vr = (node_l, n_l, vl) if own else opened(*high)
         left, right = node_l, node_r
         count_l, count_r = np.zeros(len(left), np.int64), np.zeros(len(right), np.int64)
         a, b = [], []
@@ -189,7 +180,26 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
         counts["b"] = counts["a"]
         return pd.concat([counts[["a", "b", "links"]], pd.DataFrame({"a": nodes[a[keep]], "b": nodes[b[keep]], "links": 0})])
 
-    found = written(dealt.groupBy("dim", "low", "high").applyInPandas(compare, "a long, b long, links long"), "near-links")
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                low, high = ([batch.column(j)[i].as_buffer() for j in side] for side in ((0, 1, 2), (3, 4, 5)))
+                links = compare(low, high, batch.column(6)[i].as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(links[x].to_numpy(), pa.int64()) for x in ("a", "b", "links")], ["a", "b", "links"])
+
+    # A tile meets the tiles of the round in every cell that its own may link with; a pair meets once, its smaller tile on the left.
+    parted = F.expr(f"pmod(xxhash64(cell, slice), {rounds})")
+    mine = tiles.select("dim", "cell", F.struct("cell", "slice").alias("mine"), "nodes", "times", "v")
+    theirs = tiles.select("dim", F.col("cell").alias("other"), F.struct("cell", "slice").alias("theirs"), *[F.col(x).alias(f"their_{x}") for x in ("nodes", "times", "v")], parted.alias("round"))
+    passed = []
+    for turn in range(rounds):
+        sent = F.broadcast(theirs.where(F.col("round") == turn).drop("round"))
+        dealt = mine.repartition(parts).join(F.broadcast(meets), ["dim", "cell"]).join(sent, ["dim", "other"]).where("mine <= theirs")
+        met = dealt.select("nodes", "times", "v", "their_nodes", "their_times", "their_v", (F.col("mine") == F.col("theirs")).alias("own"))
+        passed.append(written(met.mapInArrow(meet, "a long, b long, links long"), "near-links"))
+    for table in (homed, tiles):
+        discard(table)
+    found = reduce(DataFrame.unionByName, passed)
     linked = components(found.filter("a <> b"))
     links = found.filter("a = b").groupBy("a").agg(F.sum("links").alias("links"))
     of_node = (

@@ -7,6 +7,7 @@ import re
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,7 +18,13 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Shuffle files go when their query has ended, not when the driver happens to collect garbage.
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    # A batch sent to Python is bounded in bytes, not only in rows.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
 }
+# Rows of many megabytes: their sizes are looked at one by one, not a hundred rows later.
+LARGE_ROWS = {"parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 
 # Shuffles begin with at least so many partitions, which adaptive plans join up again where they are small: a
 # task's share stays near their advisory size, while the session's own number would let it grow with the input.
@@ -25,6 +32,8 @@ LEAST_PARTITIONS = 512
 INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 
 _LOCAL_ROOT: dict[str, str] = {}
+# Where the tables lie that `written` gave.
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -72,11 +81,22 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/cardloom/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder: worked out once, read many times.
+def written(df: DataFrame, name: str, large: bool = False) -> DataFrame:
+    """The rows as a table in the shared folder: worked out once, read many times. `large`: rows of megabytes.
 
     A lost executor costs the reading tasks only, not the work before the table.
     """
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.options(**LARGE_ROWS if large else {}).option("compression", "zstd").parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN[table] = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that `written` gave, where nothing will read it any more; other rows are left alone."""
+    path = _WRITTEN.pop(table, None)
+    if path:
+        spark = table.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

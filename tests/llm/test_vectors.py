@@ -52,6 +52,22 @@ def test_near_vectors_in_many_tiles(vectors, monkeypatch):
     assert sorted(map(str, near_vectors.near_duplicates(vectors).collect())) == whole
 
 
+def test_near_vectors_in_many_rounds(vectors, monkeypatch):
+    """Tiles are sent in rounds of bounded size, and none is exchanged for the pairs it is in."""
+    whole = sorted(map(str, near_vectors.near_duplicates(vectors).collect()))
+    plans, plain = [], near_vectors.written
+
+    def noting(df, name, **more):
+        plans.extend([df._jdf.queryExecution().optimizedPlan().toString()] if name == "near-links" else [])
+        return plain(df, name, **more)
+
+    monkeypatch.setattr(near_vectors, "written", noting)
+    monkeypatch.setattr(near_vectors, "TILE", 20)
+    monkeypatch.setattr(near_vectors, "ROUND_BYTES", 8000)
+    assert sorted(map(str, near_vectors.near_duplicates(vectors).collect())) == whole
+    assert len(plans) > 2 and all("MapInArrow" in x and "FlatMapGroups" not in x for x in plans)
+
+
 def test_vectors_of_extreme_scale(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=8)

@@ -16,3 +16,16 @@ def test_shuffles_begin_with_many_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
         session.tune(spark)
+
+
+def test_written_tables_can_be_discarded(spark):
+    """Only the folder of the table goes, and the table's shuffle files do not wait for it."""
+    held, other = (session.written(spark.range(n), "held") for n in (5, 7))
+    session.discard(held)
+    session.discard(held)
+    session.discard(spark.range(3))
+    assert other.count() == 7 and session.tune(spark).conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
+    try:
+        assert spark.read.schema(held.schema).parquet(*held.inputFiles()).count() == 0
+    except Exception as gone:
+        assert "NOT_EXIST" in str(gone) or "NOT_FOUND" in str(gone)
