@@ -278,3 +278,30 @@ def test_words_are_counted_without_a_row_for_each(spark):
     assert len(one) == 1  # the words of both texts of the card
     counted = knowledge.document_frequencies(docs, 64)
     assert counted.where("slot = -1").first().documents == 7 and counted.where("slot >= 0").agg(F.max("documents")).first()[0] >= 2
+
+
+@pytest.mark.parametrize("round_bytes,batch,block", [(1, 10, 30), (9000, 16, 30), (9000, 1000, 50), (1 << 20, 1000, 50)])
+def test_topk_over_many_rounds(spark, monkeypatch, round_bytes, batch, block):
+    """Blocks go round by round to all batches, in one lane or several; neither they nor the queries are exchanged for each other."""
+    monkeypatch.setattr(nearest, "ROUND_BYTES", round_bytes)
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(300, 4)).astype(np.float32)
+    points[100:140] = points[7]
+    vectors = {f"c{i:03}": [float(x) for x in p] for i, p in enumerate(points)}
+    queries = {j: [float(x) for x in rng.normal(size=4)] for j in range(40)}
+    qdf = spark.createDataFrame(list(queries.items()), "request_id int, vector array<double>")
+    vdf = spark.createDataFrame(list(vectors.items()), "card_id string, embedding array<float>").repartition(3)
+    found = vector_topk(qdf, vdf, 25, block, batch)
+    got = {}
+    for r in found.orderBy("request_id", "rank").collect():
+        got.setdefault(r.request_id, []).append((r.card_id, r.score))
+    assert got == brute(queries, vectors, 25)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in plan and "hashpartitioning(block" not in plan and "MapInArrow" in plan
+
+
+def test_vectors_of_other_lengths_are_refused(spark):
+    q = spark.createDataFrame([("q", [1.0, 2.0])], "request_id string, vector array<double>")
+    v = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0, 3.0, 4.0])], "card_id bigint, embedding array<float>").coalesce(1)
+    with pytest.raises(Exception, match="differ in length"):
+        vector_topk(q, v).collect()
