@@ -70,9 +70,10 @@ def _stored(spark: SparkSession, base: str, schema: str) -> DataFrame:
     return spark.read.schema(full).parquet(base)
 
 
-def read_buckets(spark: SparkSession, base: str, schema: str) -> DataFrame:
-    """All rows of a bucketed table; none where there is no table."""
-    return _stored(spark, base, schema).where(F.col(STREAM).isNull()).drop(STREAM, BATCH, "bucket")
+def read_buckets(spark: SparkSession, base: str, schema: str, only: list[int] | None = None) -> DataFrame:
+    """All rows of a bucketed table, or of some buckets; none where there is no table."""
+    rows = _stored(spark, base, schema).where(F.col(STREAM).isNull())
+    return (rows if only is None else rows.where(F.col("bucket").isin(only))).drop(STREAM, BATCH, "bucket")
 
 
 def _replace_buckets(after: DataFrame, base: str, name: str) -> None:
@@ -87,13 +88,36 @@ def _replace_buckets(after: DataFrame, base: str, name: str) -> None:
     _file_system(spark, base)[0].delete(spark._jvm.org.apache.hadoop.fs.Path(beside), True)
 
 
-def load_changed(incoming: DataFrame, base: str, schema: str, keys: list[str], buckets: int = BUCKETS) -> DataFrame:
+def _loaded(rows: DataFrame, marked: list[int]) -> DataFrame:
+    """Rows with their buckets as a load stores them, and its marker rows."""
+    marks = rows.sparkSession.createDataFrame([("load", 0, b) for b in marked], f"{STREAM} string, {BATCH} long, bucket int")
+    empty = [F.lit(None).cast("string").alias(STREAM), F.lit(None).cast("long").alias(BATCH)]
+    return rows.select(*[c for c in rows.columns if c != "bucket"], *empty, "bucket").unionByName(marks, allowMissingColumns=True)
+
+
+def unstage(spark: SparkSession, base: str) -> None:
+    fs, staged = _file_system(spark, f"{base.rstrip('/')}-staged")
+    fs.delete(staged, True)
+
+
+def stage(rows: DataFrame, base: str, schema: str, keys: list[str], marked: list[int], buckets: int = BUCKETS) -> None:
+    """Put rows of the buckets `marked` beside the table, for `load_changed` to set them in place; all others may follow by further calls."""
+    columns = rows.sparkSession.createDataFrame([], schema).columns
+    placed = _loaded(rows.select(*columns).withColumn("bucket", bucket_of(keys, buckets)), marked)
+    placed.repartition("bucket").write.mode("append").option("compression", "zstd").partitionBy("bucket").parquet(f"{base.rstrip('/')}-staged")
+
+
+def load_changed(incoming: DataFrame | None, base: str, schema: str, keys: list[str], buckets: int = BUCKETS) -> DataFrame:
     """Make the bucketed table hold the incoming rows, rewriting only buckets in which a row is new, changed or gone.
 
     Returns the keys that differ with ``change``: new, changed or gone. Rows are compared by a hash of their
-    content; keys must be unique and not NULL in what comes in.
+    content; keys must be unique and not NULL in what comes in. Without `incoming` the rows are those that `stage` put
+    beside the table, all buckets of it, whose folders then take the place of the old ones.
     """
-    spark = incoming.sparkSession
+    spark = SparkSession.active() if incoming is None else incoming.sparkSession
+    beside = f"{base.rstrip('/')}-staged"
+    if staged := incoming is None:
+        incoming = read_buckets(spark, beside, schema)
     columns = spark.createDataFrame([], schema).columns
     content = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
     held = _stored(spark, base, schema).where(F.col(STREAM).isNull())
@@ -104,11 +128,19 @@ def load_changed(incoming: DataFrame, base: str, schema: str, keys: list[str], b
     # Written first: the table they were found in is about to change.
     changes = written(changes.where("change IS NOT NULL"), "changes")
     touched = sorted(r.bucket for r in changes.select("bucket").distinct().collect())  # `buckets` numbers at most
-    if touched:
+    if staged:
+        fs, root = _file_system(spark, base)
+        fs.mkdirs(root)
+        for bucket in touched:
+            own, place = (spark._jvm.org.apache.hadoop.fs.Path(x, f"bucket={bucket}") for x in (beside, base))
+            fs.delete(place, True)
+            if not fs.rename(own, place):
+                raise OSError(f"{own} could not take the place of {place}")
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(beside), True)
+        spark.catalog.refreshByPath(base)
+    elif touched:
         rows = incoming.select(*columns).withColumn("bucket", bucket_of(keys, buckets)).where(F.col("bucket").isin(touched))
-        marks = spark.createDataFrame([("load", 0, b) for b in touched], f"{STREAM} string, {BATCH} long, bucket int")
-        empty = [F.lit(None).cast("string").alias(STREAM), F.lit(None).cast("long").alias(BATCH)]
-        _replace_buckets(rows.select(*columns, *empty, "bucket").unionByName(marks, allowMissingColumns=True), base, "load")
+        _replace_buckets(_loaded(rows, touched), base, "load")
     return changes.drop("bucket")
 
 

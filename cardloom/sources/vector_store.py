@@ -2,22 +2,28 @@
 
 A run embeds only documents that are new or changed, weighted by the frequencies of all documents of that
 time, which are a small table that adds up: new documents in, old texts out. Records embedded earlier keep
-their vectors until `embed_all` works them out again.
+their vectors until `embed_all` works them out again. What needs only a card's own rows is done for some hash buckets
+at a time, so that shuffles and tables in between hold a part of the texts, and records are written once.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardloom import schemas
 from cardloom.plans import knowledge
-from cardloom.session import written
+from cardloom.session import discard, written
 from cardloom.sources import stores
 
 RECORDS = schemas.ddl(schemas.VECTOR)
 # The row of the frequencies that says what was counted last.
 NOTE = -2
+# Text of one wave of buckets; no more than WAVES of them, as each reads all texts given.
+WAVE_BYTES = 16 << 20
+WAVES = 8
 
 
 def read_records(spark: SparkSession, base: str) -> DataFrame:
@@ -58,27 +64,47 @@ def update_records(
     `documents` holds (card_id, document) of every card; `cards` and `metadata` give what records can be filtered by. A
     document whose text is stored already keeps its vector, and only its filterable facts are renewed.
     """
-    spark = documents.sparkSession
+    spark, place = documents.sparkSession, f"{base}/records"
+    stores.unstage(spark, place)
     given = written(documents.select(F.col("card_id").cast("string").alias("card_id"), "document"), "documents")
-    held = read_records(spark, base).select("card_id", F.col("document").alias("_stored"), F.col("embedding").alias("_vector"))
-    both = held.drop("_vector").join(given, "card_id", "full")
-    same = F.col("_stored").eqNullSafe(F.col("document")) & F.col("_stored").isNotNull()
-    change = F.when(F.col("_stored").isNull(), "new").when(F.col("document").isNull(), "gone").otherwise("changed")
-    differing = written(both.where(~same).select("card_id", "document", "_stored", change.alias("change")), "differing")
-    fresh = given if embed_all else differing.where("change <> 'gone'").select("card_id", "document")
+    size = given.agg(F.sum(F.octet_length("document"))).first()[0] or 0
+    waves = [[*range(i, stores.BUCKETS, n)] for n in [max(1, min(WAVES, -(-size // WAVE_BYTES)))] for i in range(n)]
+
+    def of(rows: DataFrame, wave: list[int], key: str = "card_id") -> DataFrame:
+        return rows if len(waves) == 1 else rows.where(stores.bucket_of([key]).isin(wave))
+
+    def held(wave: list[int]) -> DataFrame:
+        return stores.read_buckets(spark, place, RECORDS, wave).select("card_id", "document", "embedding")
+
+    def differences(wave: list[int]) -> DataFrame:
+        both = held(wave).select("card_id", F.col("document").alias("_stored")).join(of(given, wave), "card_id", "full")
+        same = F.col("_stored").eqNullSafe(F.col("document")) & F.col("_stored").isNotNull()
+        change = F.when(F.col("_stored").isNull(), "new").when(F.col("document").isNull(), "gone").otherwise("changed")
+        return written(both.where(~same).select("card_id", "document", "_stored", change.alias("change")), "differing")
+
+    parts = [differences(wave) for wave in waves]
+    differing = reduce(DataFrame.unionByName, parts)
+    fresh = [of(given, wave) if embed_all else part.where("change <> 'gone'").select("card_id", "document") for wave, part in zip(waves, parts)]
     old = differing.where("change <> 'new'").select("card_id", F.col("_stored").alias("document"))
-    frequencies = lists = None
+    frequencies, lists = None, [None] * len(waves)
     if encoder is None:
         # The words of what is embedded are counted once.
-        lists = written(knowledge.term_lists(fresh), "terms")
-        frequencies = _counted(differing, old, base, None if embed_all else lists)
-    made = knowledge.embed_documents(fresh, encoder, frequencies=frequencies, lists=lists)
-    kept = given.join(held.drop("_stored"), "card_id").join(fresh.select("card_id"), "card_id", "left_anti")
-    embedded = made.unionByName(kept.select("card_id", "document", F.col("_vector").alias("embedding")))
-    as_text = F.col("id").cast("string").alias("id")
-    records = knowledge.vector_records(
-        embedded, cards.select(as_text, "name", "colors", "mana_value"), metadata.select(F.col("card_id").cast("string").alias("card_id"), "roles", "themes")
-    )
-    records = written(schemas.conform(records, schemas.VECTOR), "records")
-    stores.load_changed(records, f"{base}/records", RECORDS, ["card_id"])
-    return differing.select("card_id", "change")
+        lists = [written(knowledge.term_lists(x), "terms") for x in fresh]
+        frequencies = _counted(differing, old, base, None if embed_all else reduce(DataFrame.unionByName, lists))
+    changes, ids = written(differing.select("card_id", "change"), "changes"), written(given.select("card_id"), "ids")
+    if not embed_all:
+        discard(given)  # what differs has its texts, all others have those stored
+    facts = cards.select(F.col("id").cast("string").alias("id"), "name", "colors", "mana_value")
+    extra = metadata.select(F.col("card_id").cast("string").alias("card_id"), "roles", "themes")
+    for wave, entering, words, part in zip(waves, fresh, lists, parts):
+        made = knowledge.embed_documents(entering, encoder, frequencies=frequencies, lists=words)
+        kept = of(ids, wave).join(held(wave), "card_id").join(entering.select("card_id"), "card_id", "left_anti")
+        embedded = made.unionByName(kept)
+        records = knowledge.vector_records(embedded, of(facts, wave, "id"), of(extra, wave))
+        stores.stage(schemas.conform(records, schemas.VECTOR), place, RECORDS, ["card_id"], wave)
+        for table in [part, *[words] * (words is not None)]:
+            discard(table)
+    discard(given)
+    discard(ids)
+    stores.load_changed(None, place, RECORDS, ["card_id"])
+    return changes

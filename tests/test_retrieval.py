@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from cardloom import session
 from cardloom.operators import nearest
 from cardloom.operators.nearest import vector_topk
 from cardloom.plans import knowledge, prompts, retrieve
@@ -305,3 +306,28 @@ def test_vectors_of_other_lengths_are_refused(spark):
     v = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0, 3.0, 4.0])], "card_id bigint, embedding array<float>").coalesce(1)
     with pytest.raises(Exception, match="differ in length"):
         vector_topk(q, v).collect()
+
+
+def test_records_in_waves(spark, tmp_path, monkeypatch):
+    """Waves of buckets give the same records, and leave no texts behind but those of the store."""
+    cards = spark.createDataFrame([(f"c{i}", f"C{i}", ["W"], 1.0) for i in range(60)], "id string, name string, colors array<string>, mana_value double")
+    meta = spark.createDataFrame([("c1", ["Ramp"], None)], "card_id string, roles array<string>, themes array<string>")
+    texts = [(f"c{i}", f"word{i % 7} bird " * (i + 1)) for i in range(50)]
+    later = [(k, x + " more" if i % 3 else x) for i, (k, x) in enumerate(texts[5:])] + [("c55", "fish")]
+
+    def run(base):
+        changed = []
+        for docs in (texts, later):
+            given = spark.createDataFrame(docs, "card_id string, document string")
+            changed.append(sorted(map(tuple, vector_store.update_records(given, cards, meta, base).collect())))
+        return changed, sorted(map(str, vector_store.read_records(spark, base).collect()))
+
+    whole = run(str(tmp_path / "whole"))
+    monkeypatch.setattr(vector_store, "WAVE_BYTES", 300)
+    monkeypatch.setattr(vector_store, "WAVES", 3)
+    tables, plain = [], vector_store.written
+    monkeypatch.setattr(vector_store, "written", lambda df, name: tables.append((name, plain(df, name))) or tables[-1][1])
+    assert run(str(tmp_path / "waves")) == whole
+    assert [name for name, _ in tables].count("differing") == 6
+    assert {name for name, x in tables if session._WRITTEN.get(x)} == {"changes"}
+    assert not (tmp_path / "waves" / "records-staged").exists() and not (tmp_path / "waves" / "records" / "_next").exists()
