@@ -331,3 +331,34 @@ def test_records_in_waves(spark, tmp_path, monkeypatch):
     assert [name for name, _ in tables].count("differing") == 6
     assert {name for name, x in tables if session._WRITTEN.get(x)} == {"changes"}
     assert not (tmp_path / "waves" / "records-staged").exists() and not (tmp_path / "waves" / "records" / "_next").exists()
+
+
+def test_prompts_list_candidates_where_they_lie(spark, rows_of, monkeypatch, make_cards):
+    """With the cards that may be offered known and few, candidates are not exchanged for their lines; the prompts are the same."""
+    cards = make_cards([("l", "Lead", "Legendary Creature", "WU"), ("i", "Isle", "Basic Land", "U"), ("x", "Spell", "Instant", "W"), ("y", None, "Instant", "W")])
+    requests = spark.createDataFrame(
+        [("a", None, None), ("b", "Casual", None), ("c", None, None), ("d", None, None)], "request_id string, power_level string, collection_preference string"
+    )
+    context = spark.createDataFrame([("a", "x"), ("a", "l"), ("b", "i")], "request_id string, card_id string")
+    offered = spark.createDataFrame([("a", 2, "l"), ("a", 1, "i"), ("a", 3, "y"), ("c", 1, "x"), ("c", 2, "gone")], "request_id string, rank int, card_id string")
+    offered = offered.repartition("request_id")
+    offerable = spark.createDataFrame([("l",), ("i",), ("x",), ("y",), ("no",)], "card_id string")
+    plain = rows_of(prompts.build_prompts(requests, context, offered, cards))
+    made = prompts.build_prompts(requests, context, offered, cards, offerable)
+    assert rows_of(made) == plain and "Candidate cards:\n- Isle | Basic Land\n- Lead" in plain[0][1]
+    aggregate = made._jdf.queryExecution().optimizedPlan().toString().split("collect_list(_offered")[1]
+    assert aggregate.index("BROADCAST" if "BROADCAST" in aggregate else "rightHint=(strategy=broadcast)") < aggregate.index("RepartitionByExpression")
+    monkeypatch.setattr(prompts, "SENT_BYTES", 1)
+    assert rows_of(prompts.build_prompts(requests, context, offered, cards, offerable)) == plain
+
+
+def test_offerable_cards_hold_all_candidates(spark):
+    queries = spark.createDataFrame([(i, 31, ["t", f"w{i % 4}"], [1.0, float(i)]) for i in range(6)], "request_id long, mask int, mechanics array<string>, vector array<double>")
+    cards = spark.createDataFrame(
+        [(i, i, i % 32, ["t", f"w{i % 5}"] if i % 7 else [], "Ramp" if i % 2 else "Utility") for i in range(90)],
+        "id long, ordinal long, ci_mask int, tags array<string>, primary_role string",
+    )
+    vectors = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(80, 90)], "card_id long, embedding array<float>")
+    found = {r.card_id for r in retrieve.candidates(queries, cards, vectors, similar=4, synergistic=6, supporting=2).collect()}
+    held = {r.card_id for r in retrieve.offerable(cards, vectors, 6, 2).collect()}
+    assert found <= held and len(held) < 90
