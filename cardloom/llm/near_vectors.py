@@ -30,7 +30,7 @@ from cardloom.session import discard
 TILE = 4096
 PIVOTS = 256
 # Tiles sent to all tasks at a time, on average.
-ROUND_BYTES = 32 << 20
+ROUND_BYTES = 8 << 20
 # Slack for the rounding of doubles in bounds.
 EPS = 1e-9
 
